@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, small, stored
+from .shared import WORD, fresh, small, stored
 
 #: Three levels of 12 bits, then single hash values of what is left: about a 69-billionth of a source.
 LEVELS, DIGIT = 3, 12
@@ -117,8 +117,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     neither sorted nor shuffled.
     """
     budgets = budget_table(_sized(docs, key, source, text, seed), weights, cap)
-    budgets = budgets.select(F.col("source").alias("_source"), F.col("passes").alias("_passes"), F.col("threshold").alias("_threshold"))
-    out = docs.join(small(budgets), docs[source].eqNullSafe(F.col("_source")))
-    copies = F.col("_passes") + (hash_key(key, seed) < F.col("_threshold")).cast("long")
-    out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    own_source, passes, threshold, copy = (fresh(docs, name) for name in ("_source", "_passes", "_threshold", "_copy"))
+    budgets = budgets.select(F.col("source").alias(own_source), F.col("passes").alias(passes), F.col("threshold").alias(threshold))
+    out = docs.join(small(budgets), docs[source].eqNullSafe(F.col(own_source)))
+    copies = F.col(passes) + (hash_key(key, seed) < F.col(threshold)).cast("long")
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Hashes, as_bytes, mix, ready, shingles, small, stored, words
+from .shared import Hashes, as_bytes, fresh, mix, ready, shingles, small, stored, words
 
 #: Bits of a part; the ratio of a band's bounds; members of a bucket that are compared as pairs; members of a block.
 PART_BITS, BAND, SMALL, BLOCK = 128, 1.4, 8, 256
@@ -284,15 +284,16 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     Rows with empty sets all stay. Of rows that repeat a key and a text one stays.
     """
     ready(docs.sparkSession)
-    mark = F.coalesce(F.xxhash64(F.col(text)), F.lit(0))
+    mark = F.coalesce(F.xxhash64(docs[text]), F.lit(0))
     profiles, named = _named(docs.select(F.col(key).alias("id"), mark.alias("mark"), F.col(text).alias("text")), k, t)
     found = profiles.where("node is not null").select("id", "mark", "node", "rest").join(named, ["node", "rest"])
     stays = F.col("id").eqNullSafe(F.col("keeper_id")) & (F.col("mark") == F.col("keeper_mark"))
-    gone = stored(found.where(~stays).select(F.col("id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "gone")
-    same = docs[key].eqNullSafe(F.col("_id")) & (mark == F.col("_mark"))
+    own_id, own_mark = fresh(docs, "_id"), fresh(docs, "_mark")
+    pair = F.col("id").alias(own_id), F.col("mark").alias(own_mark)
+    gone = stored(found.where(~stays).select(*pair).distinct(), "gone")
+    same = docs[key].eqNullSafe(F.col(own_id)) & (mark == F.col(own_mark))
     kept = docs.join(small(gone), same, "left_anti")
-    repeated = found.where(stays).groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.count("*").alias("rows")).where("rows > 1").select("_id", "_mark")
-    repeated = stored(repeated, "repeated")
+    repeated = stored(found.where(stays).groupBy(*pair).agg(F.count("*").alias("rows")).where("rows > 1").select(own_id, own_mark), "repeated")
     if repeated.isEmpty():
         return kept
     again = kept.join(small(repeated), same, "left_semi").dropDuplicates([key, text])

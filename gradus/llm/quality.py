@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Hashes, as_bytes, mix, ready, words
+from .shared import Hashes, as_bytes, fresh, mix, ready
 
 #: Hashed features; the largest number of rated rows that a fit takes, those of the smallest hash; and of features.
 BUCKETS, MAX_RATED, MAX_FEATURES = 1 << 16, 12_000, 12_000_000
@@ -128,8 +128,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", beyond: int | None
     k = len(model.cuts) - 1 if beyond is None else beyond
     docs = docs.drop("expected_grade", "tail_probability")
     columns = docs.columns if columns is None else columns
-    docs = docs.select(*columns, F.col(text).alias("_scored"))
-    schema = docs.drop("_scored").schema.add("expected_grade", "double").add("tail_probability", "double")
+    schema = docs.select(*columns).schema.add("expected_grade", "double").add("tail_probability", "double")
+    docs = docs.select(*columns, F.col(text).alias(fresh(docs, "_scored")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, m = Hashes(), model_at.value

@@ -81,6 +81,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it for as long as a column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def words(text: bytes | None) -> list[bytes]:
     """Words of a UTF-8 text with A-Z in lower case; bytes.split cuts at exactly the six ASCII spaces."""
     return text.lower().split() if text else []
