@@ -47,8 +47,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = C
     free_words = F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), none)
     free_weight = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), none)
     level = ranked.withColumn("level", free_words / free_weight).withColumn("capped", F.col("level") >= ratio)
-    # Once a source isn't capped, none after it is: its level holds for the rest.
-    level = level.withColumn("level", F.min(F.when(~F.col("capped"), F.col("level"))).over(whole))
+    # Once a source is not capped none after it is, and levels only fall from there: the first one holds for all.
+    level = level.withColumn("level", F.max(F.when(~F.col("capped"), F.col("level"))).over(whole))
     target = F.when(F.col("capped"), F.col("most")).otherwise(F.col("weight") * F.col("level"))
     return level.select("source", "source_size", target.alias("target"))
 

@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, parity_join, quality, url_filter
+from . import decontam, license_scan, media, mixing, parity_join, quality, sharding, url_filter, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), listed)
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a media file under a wrong type, sniffed, validated and read back."""
+    stored = media.store(table(spark, sf_dir, "documents"))
+    found = media.inspect(stored, "doc_id", extra=["n_bytes"])
+    files = F.array_join(F.transform("files", lambda f: F.concat_ws(":", f["kind"], f["start"], f["length"])), ",")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected", files.alias("files"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(table(spark, sf_dir, "documents"))
 
@@ -42,11 +50,41 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.where(F.col("tail_probability") >= quality.KEEP).withColumn("keep", F.lit(True))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that leak benchmark items, with each item and its coverage."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.count_pieces(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.join(table(spark, sf_dir, "documents"), k=3, t=Fraction(9, 10))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op3_mixing, op4_quality_classifier, op9_ngram_jaccard_join)}
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as it is read from the shards of the last manifest version, with a digest of its text."""
+    rows = sharding.shard(table(spark, sf_dir, "documents")).read(shard="shard")
+    return rows.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"), "shard")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_ALL = (op1_url_filter, op2_media_columns, op3_mixing, op4_quality_classifier, op5_license_scan, op6_decontamination, op7_token_counts, op8_warc, op9_ngram_jaccard_join, op10_sharding, pipeline)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 _URL_SQL = """
 WITH p AS (
@@ -71,7 +109,7 @@ w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS
 o AS (SELECT *, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST) AS k FROM w),
 c AS (SELECT a.k, (SELECT sum(source_size) FROM w)::DOUBLE - coalesce(sum(b.source_size) * 3, 0) AS words, (SELECT sum(weight) FROM w) - coalesce(sum(b.weight), 0) AS weights
   FROM o a LEFT JOIN o b ON b.k < a.k GROUP BY a.k),
-l AS (SELECT min(c.words / c.weights) AS level FROM c JOIN o USING (k) WHERE c.words / c.weights < 3.0::DOUBLE * o.source_size / o.weight),
+l AS (SELECT max(c.words / c.weights) AS level FROM c JOIN o USING (k) WHERE c.words / c.weights < 3.0::DOUBLE * o.source_size / o.weight),
 t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN 3.0::DOUBLE * source_size ELSE least(3.0::DOUBLE * source_size, weight * level) END AS target FROM o, l),
 n AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS passes FROM t),
 h AS (SELECT source, hash, sum(size) AS words FROM d GROUP BY source, hash),

@@ -107,6 +107,36 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
 
+#: ASCII bytes that are neither letters, digits nor white space.
+PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+
+
+class Numbers(dict):
+    """Numbers of words in a vocabulary without ASCII punctuation at their ends; 0 for others, -1 where nothing is left.
+
+    It forgets when it holds many, so memory is bounded.
+    """
+
+    def __init__(self, vocabulary: dict[bytes, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        bare = word.strip(PUNCTUATION)
+        value = self[word] = self.vocabulary.get(bare, 0) if bare else -1
+        return value
+
+    def of(self, found: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, found), np.int32, len(found))
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Words in lower case without punctuation at their ends; those of punctuation alone go."""
+    return [w for w in (x.strip(PUNCTUATION) for x in words((text or "").encode())) if w]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser (murmur3's) that spreads every bit of a 64-bit value over all others."""
     x = x ^ (x >> np.uint64(33))
