@@ -30,6 +30,8 @@ from .shared import Hashes, as_bytes, fresh, mix, ready, shingles, small, stored
 
 #: Bits of a part; the ratio of a band's bounds; members of a bucket that are compared as pairs; members of a block.
 PART_BITS, BAND, SMALL, BLOCK = 128, 1.4, 8, 256
+#: Bits of the whole-set sketch by which pairs are first compared.
+SKETCH = 2048
 #: Seeds tried at most; a set that still has too many empty parts then also joins on them.
 SEEDS = 24
 
@@ -130,8 +132,9 @@ def _profiles(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     return docs.mapInArrow(work, f"id {dict(docs.dtypes)['id']}, mark long, n long, node long, rest long, keys array<long>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(node, rest, shingles): the set's hashes as bytes."""
+def _sets(docs: DataFrame, k: int, whole: bool) -> DataFrame:
+    """(node, rest, shingles): the set's hashes as bytes; or (node, rest, sketch) if not whole."""
+    name = "shingles" if whole else "sketch"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -143,10 +146,10 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                     hi, lo = _digest(own)
                     node.append(hi - (1 << 64) if hi >> 63 else hi)
                     rest.append(lo - (1 << 64) if lo >> 63 else lo)
-                    found.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(rest, pa.int64()), pa.array(found, pa.large_binary()).cast(pa.binary())], ["node", "rest", "shingles"])
+                    found.append(own.tobytes() if whole else _sketch(own, SKETCH).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(rest, pa.int64()), pa.array(found, pa.binary())], ["node", "rest", name])
 
-    return docs.mapInArrow(work, "node long, rest long, shingles binary")
+    return docs.mapInArrow(work, f"node long, rest long, {name} binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
@@ -168,6 +171,24 @@ def _sketch(own: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def _near(pairs: DataFrame, t: Fraction) -> DataFrame:
+    """(u, v) of those (u, v, nu, nv, a, b) whose sketches a and b aren't farther apart than linked sets can be."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            far = np.bitwise_count(_rows(b.column("a")) ^ _rows(b.column("b"))).sum(1)
+            most = (b.column("nu").to_numpy() + b.column("nv").to_numpy()) * (t.denominator - t.numerator) // (t.denominator + t.numerator)
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(far <= most))
+
+    return pairs.mapInArrow(work, "u long, v long")
+
+
+def _rows(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in sketches), np.uint64).reshape(len(sketches), SKETCH // 64)
+
+
 def _verified(pairs: DataFrame, t: Fraction) -> DataFrame:
     """(u, v) of those (u, v, a, b) whose sets a and b link."""
 
@@ -243,18 +264,27 @@ def _named(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
     size_of = vertices.groupBy("node").agg(F.max("n").alias("n"))
     pairs = pairs.join(size_of.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(size_of.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
     fits = F.least("nu", "nv") * F.lit(t.denominator) >= F.greatest("nu", "nv") * F.lit(t.numerator)
-    pairs = stored(pairs.where(fits).select("u", "v"), "pairs")
+    pairs = stored(pairs.where(fits), "pairs")
     joined = members.join(small(hot), "bucket")
     families = components(joined.select(F.col("node").alias("u"), F.col("hub").alias("v"))).select(F.col("node").alias("u"), F.col("component").alias("family"))
-    wanted = pairs.select("u").unionAll(pairs.select("v")).unionAll(families.select("u")).distinct().select(F.col("u").alias("node"))
-    # Only candidates' texts are read again, by id: those of others are never shuffled.
+    families = stored(families, "families")
     nameless = F.lit(-(1 << 63))
-    ids = vertices.join(wanted, "node", "left_semi").select(F.coalesce(F.col("keeper.id").cast("long"), nameless).alias("_first"))
-    ids = stored(ids.distinct(), "wanted")
-    texts = docs.withColumn("_first", F.coalesce(F.col("id").cast("long"), nameless)).join(small(ids), "_first", "left_semi")
-    sets = _sets(texts.select("text"), k).groupBy("node", "rest").agg(F.first("shingles").alias("shingles"))
-    sets = stored(sets.select("node", "shingles"), "sets")
-    left = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+
+    def read_again(nodes: DataFrame, whole: bool) -> DataFrame:
+        """Sets or sketches of some vertices. Their texts are read by id: those of others are never shuffled."""
+        ids = vertices.join(nodes, "node", "left_semi").select(F.coalesce(F.col("keeper.id").cast("long"), nameless).alias("_first"))
+        ids = stored(ids.distinct(), "wanted")
+        texts = docs.withColumn("_first", F.coalesce(F.col("id").cast("long"), nameless)).join(small(ids), "_first", "left_semi")
+        name = "shingles" if whole else "sketch"
+        rows = _sets(texts.select("text"), k, whole).groupBy("node", "rest").agg(F.first(name).alias(name))
+        return stored(rows.select("node", name), name)
+
+    sketches = read_again(pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct(), False)
+    left = pairs.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u")
+    near = stored(_near(left.join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v"), t), "near")
+    # Only of those that may link are the sets themselves compared.
+    sets = read_again(near.select(F.col("u").alias("node")).unionAll(near.select(F.col("v").alias("node"))).unionAll(families.select(F.col("u").alias("node"))).distinct(), True)
+    left = near.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
     both = left.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     links = _verified(both, t).unionAll(_blocks(families.join(sets.select(F.col("node").alias("u"), "shingles"), "u"), t))
     found = components(stored(links, "found"))
