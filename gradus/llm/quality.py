@@ -1,8 +1,9 @@
 """Grade documents by ordinal regression: a cumulative-link model over hashed words.
 
 P(grade > k) = sigmoid(w . x - cut_k): one weight vector for all grades, and ordered cuts. x marks which hashed words,
-word shapes and text statistics a document has, each once, so a long document isn't diluted. The model is fitted here
-on a bounded sample of rated rows; scoring runs over every document on the executors.
+words' starts and text statistics a document has, each once, so a long document isn't diluted. The model is fitted here
+on a bounded sample of rated rows, over features that tell grades apart beyond chance; scoring runs over every document
+on the executors.
 """
 
 from __future__ import annotations
@@ -18,7 +19,11 @@ from pyspark.sql import functions as F
 from .shared import Hashes, as_bytes, fresh, mix, ready
 
 #: Hashed features; the largest number of rated rows that a fit takes, those of the smallest hash; and of features.
-BUCKETS, MAX_RATED, MAX_FEATURES = 1 << 16, 12_000, 12_000_000
+BUCKETS, MAX_RATED, MAX_FEATURES = 1 << 20, 12_000, 16_000_000
+#: A feature is used if it is in FEWEST rated documents and off by so many deviations for one of the cuts.
+FEWEST, DEVIATIONS = 3, 4.0
+#: Bytes of a word's start that is a feature too.
+START = 5
 #: Byte classes: lower-case letter, upper-case letter, digit, part of a longer character, anything else.
 _CLASS = bytes(0 if 97 <= b <= 122 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if b >= 128 else 4 for b in range(256))
 _EDGES = b"".join(bytes([b]) for b in range(256) if _CLASS[b] == 4)
@@ -44,6 +49,7 @@ def features(text: bytes | None, hashes: Hashes) -> np.ndarray:
         min(15, n.bit_length()), min(15, len(raw) // max(1, n) // 2),
     )
     own = [(i << 8) + v for i, v in enumerate(stats)]
+    distinct |= {w[:START] + b"\0" for w in distinct if len(w) > START}
     hashed = mix(hashes.of(list(distinct))) % np.uint64(BUCKETS - 4096) if distinct else np.zeros(0, np.uint64)
     return np.unique(np.concatenate((hashed.astype(np.int64) + 4096, np.array(own, np.int64))).astype(np.int32))
 
@@ -60,12 +66,31 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.cuts - self.weights[at].sum(), -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, rounds: int = 150, rate: float = 0.08, decay: float = 2e-4) -> Model:
+def telling(rows: list[np.ndarray], grades: np.ndarray, top: int) -> np.ndarray:
+    """Features whose documents' grades are above or below a cut more often than chance has it, and statistics' features."""
+    flat, n = np.concatenate(rows), len(rows)
+    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    have = np.bincount(flat, minlength=BUCKETS)
+    most = np.zeros(BUCKETS)
+    for k in range(top):
+        above = (grades > k).astype(float)
+        p = above.mean()
+        off = np.bincount(flat, (above - p)[owner], BUCKETS)
+        spread = np.sqrt(np.maximum(have * (1 - have / n) * p * (1 - p), 1e-9))
+        most = np.maximum(most, np.abs(off) / spread)
+    return np.flatnonzero((have >= FEWEST) & ((most >= DEVIATIONS) | (np.arange(BUCKETS) < 4096)))
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, rounds: int = 250, rate: float = 0.08, decay: float = 1e-4) -> Model:
     """Maximum likelihood by full-batch Adam. The cuts' gaps are exponentials, so they keep their order.
 
     rows: features of each rated document. Without rows, weights are 0 and the cuts stay evenly spaced.
     """
     weights, free = np.zeros(BUCKETS), np.zeros(max(1, top))
+    if rows:
+        used = np.zeros(BUCKETS, bool)
+        used[telling(rows, grades, max(1, top))] = True
+        rows = [r[used[r]] for r in rows]
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     used, local = np.unique(flat, return_inverse=True)
@@ -154,4 +179,4 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 #: The lowest probability of the top grade with which a document is kept.
-KEEP = 0.5
+KEEP = 0.75
