@@ -7,8 +7,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
-
 
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
@@ -24,7 +22,7 @@ def log_softmax(logits: Column, temperature: float = 1.0) -> Column:
 
 
 def _plogp(p: Column) -> Column:
-    return F.when(p > 0, p * F.log(p)).otherwise(ZERO)
+    return F.when(p > 0, p * F.log(p)).otherwise(F.lit(0.0))
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -38,7 +36,7 @@ def probabilities(log_p: Column) -> Column:
 def js_divergence(p: Column, q: Column) -> Column:
     """Jensen-Shannon divergence of two distributions over its maximum, in [0, 1]; terms of probability 0 are 0."""
     def half(a: Column, m: Column) -> Column:
-        return F.when(a > 0, a * (F.log(a) - F.log(m))).otherwise(ZERO)
+        return F.when(a > 0, a * (F.log(a) - F.log(m))).otherwise(F.lit(0.0))
 
     terms = F.zip_with(p, q, lambda a, b: half(a, (a + b) / 2) + half(b, (a + b) / 2))
     return clamp(total(terms) / F.lit(2 * math.log(2)))
@@ -136,7 +134,7 @@ def reward_block(answer: Column, certainty: Column, visual_confidence: Column, a
     utility = F.lit(a) * answer
     miss = -F.lit(rho_answer) * F.coalesce(F.pow(answer_confidence - answer, 2), F.lit(1.0))
     apart = -F.lit(rho_visual) * F.coalesce(F.pow(visual_confidence - certainty, 2), F.lit(1.0))
-    report = miss + apart - F.when(errors, F.lit(penalty)).otherwise(ZERO)
+    report = miss + apart - F.when(errors, F.lit(penalty)).otherwise(F.lit(0.0))
     return {"utility": utility, "report": report, "content": utility + report}
 
 

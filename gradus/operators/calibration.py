@@ -41,7 +41,8 @@ def pearson(a: Column, b: Column, *, clamp: bool = True) -> Column:
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
     out = F.try_divide(F.covar_pop(x, y), F.nullif(F.sqrt(F.var_pop(x) * F.var_pop(y)), F.lit(0.0)))
-    out = F.least(F.greatest(out, F.lit(-1.0)), F.lit(1.0)) if clamp else out
+    # least and greatest pass over nulls, so a null is kept by hand.
+    out = F.when(out.isNotNull(), F.least(F.greatest(out, F.lit(-1.0)), F.lit(1.0))) if clamp else out
     return F.when(F.count(x) >= 2, out)
 
 
@@ -80,17 +81,25 @@ def map_means(rows: DataFrame, column: str, keys: str = "name") -> DataFrame:
 def risk_coverage(rows: DataFrame, key: str, report: str, correct: str, labelled: Column | None = None) -> DataFrame:
     """The curve: with the n most confident answers kept, the share of answers kept and of those wrong.
 
-    Rows are ranked by falling report, then key. A global window would sort them in one task; here ranks are a bucket's
-    offset plus a rank within it. Buckets follow the order: the report in thousandths, then the key's first letters.
+    Rows are ranked by falling report, then key. A global window would sort them in one task; here a rank is the rows of
+    earlier thousandths of the report, and of earlier (report, first letters of the key) in the same one, plus a rank
+    among the rest. Only the thousandths' totals meet in one task.
     """
     labelled = F.lit(True) if labelled is None else labelled
     totals = rows.agg(F.count("*").alias("total_count"), F.count_if(labelled).alias("labelled_count"))
-    used = rows.where(labelled & F.col(report).isNotNull()).select(F.col(key).alias("id"), F.col(report).alias("report"), (1 - F.col(correct).cast("int")).alias("wrong"), F.floor(-F.col(report) * 1000).alias("b1"), F.substring(key, 1, 3).alias("b2"))
-    buckets = used.groupBy("b1", "b2").agg(F.count("*").alias("n"), F.sum("wrong").alias("w"))
-    before = Window.orderBy("b1", "b2").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select("b1", "b2", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"), F.sum("n").over(Window.partitionBy()).alias("reported_count"))
-    within = Window.partitionBy("b1", "b2").orderBy(F.col("report").desc(), F.col("id"))
-    ranked = used.join(buckets, ["b1", "b2"]).crossJoin(F.broadcast(totals))
+    used = rows.where(labelled & F.col(report).isNotNull()).select(F.col(key).alias("id"), F.col(report).alias("report"), (1 - F.col(correct).cast("int")).alias("wrong"), F.floor(-F.col(report) * 1000).alias("part"), F.substring(key, 1, 3).alias("start"))
+    buckets = used.groupBy("part", "report", "start").agg(F.count("*").alias("n"), F.sum("wrong").alias("w"))
+    parts = buckets.groupBy("part").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+
+    def earlier(column: str, window) -> Column:
+        return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    upto, inside = Window.orderBy("part"), Window.partitionBy("part").orderBy(F.col("report").desc(), "start")
+    parts = parts.select("part", earlier("n", upto).alias("n1"), earlier("w", upto).alias("w1"), F.sum("n").over(Window.partitionBy()).alias("reported_count"))
+    buckets = buckets.select("part", "report", "start", earlier("n", inside).alias("n2"), earlier("w", inside).alias("w2")).join(F.broadcast(parts), "part")
+    buckets = buckets.select("part", "report", "start", (F.col("n1") + F.col("n2")).alias("n0"), (F.col("w1") + F.col("w2")).alias("w0"), "reported_count")
+    within = Window.partitionBy("part", "report", "start").orderBy("id")
+    ranked = used.join(buckets, ["part", "report", "start"]).crossJoin(F.broadcast(totals))
     ranked = ranked.withColumn("retained_count", F.col("n0") + F.row_number().over(within)).withColumn("error_count", F.col("w0") + F.sum("wrong").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     n = F.col("retained_count")
     return ranked.select("id", n, "reported_count", "total_count", (n / F.col("reported_count")).alias("coverage_of_reported"), F.try_divide(n, F.col("labelled_count")).alias("coverage_of_labeled"), (n / F.col("total_count")).alias("coverage_of_all"), "error_count", (F.col("error_count") / n).alias("risk"))

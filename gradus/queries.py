@@ -653,3 +653,83 @@ def snk03_provenance(spark, sf_dir):
 @query("SELECT split, count(*) AS n FROM (SELECT source AS split FROM documents) GROUP BY 1")
 def agg24_split_counts(spark, sf_dir):
     return D.table(spark, sf_dir, "documents").groupBy(F.col("source").alias("split")).agg(F.count("*").alias("n"))
+
+
+# Digests, earlier formats and manifests.
+
+
+@query("SELECT event_id, sha256(concat('{\"k\": ', json_extract_string(props, '$.k'), '}')) AS digest FROM events")
+def hsh02_canonical_digests(spark, sf_dir):
+    from .functions.digests import canonical_sha256
+
+    return D.table(spark, sf_dir, "events").select("event_id", canonical_sha256("props").alias("digest"))
+
+
+@query("SELECT count(*) AS n, sha256(string_agg(CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY rank_sha256, o_orderkey)) AS sha256 FROM (SELECT o_orderkey, sha256(concat('7:', o_orderkey)) AS rank_sha256 FROM orders ORDER BY rank_sha256, o_orderkey LIMIT 32)")
+def hsh03_subset_digest(spark, sf_dir):
+    from .functions.digests import listed_sha256
+
+    return listed_sha256(S.subset(D.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 32, 7), "rank_sha256", "o_orderkey")
+
+
+@query("SELECT r_regionkey, r_name, sha256(r_name) AS digest FROM region")
+def hsh01_content_digest(spark, sf_dir):
+    return D.table(spark, sf_dir, "region").select("r_regionkey", "r_name", F.sha2("r_name", 256).alias("digest"))
+
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'answer' WHEN n_chars % 120 > 100 THEN 'confidence' END AS error, CASE WHEN doc_id % 4 <> 0 AND n_chars % 120 <= 100 THEN lang END AS color, CASE WHEN doc_id % 4 <> 0 AND n_chars % 120 <= 100 THEN source END AS answer, CASE WHEN doc_id % 4 <> 0 AND n_chars % 120 <= 100 THEN CAST(n_chars % 120 AS INT) END AS visual_confidence FROM documents")
+def str10_legacy_completions(spark, sf_dir):
+    from .functions.legacy import parsed
+
+    docs = D.table(spark, sf_dir, "documents")
+    facts = F.concat(F.lit('{"color": "'), "lang", F.lit('"}'))
+    said = F.when(F.col("doc_id") % 4 == 0, F.lit("none")).otherwise(F.concat(F.lit("\\boxed{"), "source", F.lit("}")))
+    text = F.concat(F.lit("<think><vision>"), facts, F.lit("</vision><reasoning>so</reasoning></think><answer>"), said, F.lit("</answer><confidence><visual>"), (F.col("n_chars") % 120).cast("string"), F.lit("</visual><conditional>"), (F.col("doc_id") % 101).cast("string"), F.lit("</conditional></confidence>"))
+    rows = docs.select("doc_id", text.alias("t")).withColumn("p", parsed("t"))
+    return rows.select("doc_id", "p.error", F.try_element_at("p.facts", F.lit("color")).alias("color"), "p.answer", "p.visual_confidence")
+
+
+@query("SELECT doc_id, concat('/data/', CASE WHEN doc_id % 2 = 0 THEN 'abs' ELSE concat('set/', source) END) AS image FROM documents")
+def src19_resolved_paths(spark, sf_dir):
+    from .sources.manifests import resolved
+
+    path = F.when(F.col("doc_id") % 2 == 0, "/data/abs").otherwise(F.col("source"))
+    return D.table(spark, sf_dir, "documents").select("doc_id", resolved(path, "/data/set/").alias("image"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 45")
+def src08_projected_scan(spark, sf_dir):
+    from .sources.manifests import projected
+
+    return projected(spark, f"{sf_dir}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_quantity"]).where("l_quantity > 45").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT conv_id, CASE WHEN count(*) > 6 THEN 'completion_ids has 1 to the most' END AS rule FROM conversations GROUP BY conv_id HAVING count(*) > 6")
+def src10_pack_contract(spark, sf_dir):
+    from .sources.manifests import pack_rules
+
+    packs = D.table(spark, sf_dir, "conversations").groupBy(F.col("conv_id")).agg(F.collect_list(F.col("turn").cast("int")).alias("completion_ids"))
+    packs = packs.withColumn("example_id", F.col("conv_id").cast("string")).withColumn("prompt_token_sha256", F.sha2("example_id", 256))
+    return V.rules_table(packs, "conv_id", pack_rules(6))
+
+
+@query("SELECT event_id, 'a/k' AS key, CAST(event_id % 5 AS DOUBLE) AS value FROM events UNION ALL SELECT event_id, 'value', value FROM events", "value")
+def prd18_flattened_scalars(spark, sf_dir):
+    from .functions.digests import flattened
+
+    rows = D.table(spark, sf_dir, "events").select(F.col("event_id"), F.struct((F.col("event_id") % 5).alias("k"), F.col("event_type").alias("s")).alias("a"), "value")
+    return flattened(rows, "event_id")
+
+
+@query("SELECT doc_id, starts_with(concat('x/', source), 'x/') AND doc_id % 3 <> 0 AS holds FROM documents")
+def prd11_contained_paths(spark, sf_dir):
+    path = F.concat(F.when(F.col("doc_id") % 3 == 0, "x/../").otherwise("x/"), "source")
+    return D.table(spark, sf_dir, "documents").select("doc_id", V.inside(path, "x").alias("holds"))
+
+
+@query("SELECT replace(event_type, '/', '_') AS key, sum(value) AS value FROM events WHERE event_type IN ('view', 'click') GROUP BY 1", "value")
+def prd19_allowed_keys(spark, sf_dir):
+    from .streaming.telemetry import allowed
+
+    return allowed(D.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("key")).agg(F.sum("value").alias("value")), ["view", "click"])

@@ -6,7 +6,7 @@ variants, which refuse repeated keys, NaN and infinities. Values are typed only
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Kinds of field: the variant type that a value must have, and how it is read.
@@ -19,13 +19,17 @@ class ContractError(ValueError):
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, raw): lines of text files, numbered from 1 within each file.
+    """(file, line, raw) of text files, with lines numbered from 1 within each file.
 
-    A file is read whole by one task only to be numbered: files of records are split by their writers.
+    Files are read in splits. A line's number is the lines of its file's earlier splits and its place in its own, so no
+    task holds more than a split.
     """
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    split = rows.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), r"\r?\n")).alias("at", "raw"))
-    return split.select("file", (F.col("at") + 1).alias("line"), "raw")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("raw"), F.monotonically_increasing_id().alias("at"))
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
+    return rows.select("file", "block", "raw", place.alias("place")).join(blocks, ["file", "block"]).select("file", (F.col("n0") + F.col("place")).alias("line"), "raw")
 
 
 def parsed(rows: DataFrame, raw: str = "raw") -> DataFrame:
