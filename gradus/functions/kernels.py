@@ -146,3 +146,23 @@ def log_ratio(student: Column, teacher: Column) -> Column:
 
 def sampled_weights(reward: Column, calibration: Column, ratio: Column, beta: float = 0.0, content_baseline: float = 0.0, report_baseline: float = 0.0) -> tuple[Column, Column]:
     return reward - F.lit(beta) * ratio - F.lit(content_baseline), calibration - F.lit(report_baseline)
+
+
+# Agreement of aligned vectors.
+
+
+def masked_deltas(a: Column, b: Column, mask: Column) -> tuple[Column, Column, Column]:
+    """(entries compared, largest, mean absolute difference) where the mask is 1; null differences without entries."""
+    pairs = F.filter(F.arrays_zip(a.alias("a"), b.alias("b"), mask.alias("m")), lambda x: x["m"] == 1)
+    deltas = F.transform(pairs, lambda x: F.abs(x["a"] - x["b"]).cast("double"))
+    return F.size(deltas), F.array_max(deltas), F.try_divide(total(deltas), F.size(deltas))
+
+
+def ragged_delta(a: Column, b: Column, length: Column) -> Column:
+    """The largest absolute difference over each row's own length."""
+    return F.array_max(F.zip_with(F.slice(a, 1, length), F.slice(b, 1, length), lambda x, y: F.abs(x - y)))
+
+
+def gate(checks: dict[str, Column]) -> Column:
+    """Names of the checks that don't hold, in their order; a null doesn't hold. None left means the gate is open."""
+    return F.array_compact(F.array(*[F.when(~F.coalesce(holds, F.lit(False)), name) for name, holds in checks.items()]))

@@ -179,3 +179,16 @@ def messages(system: str, question: Column, hint: Column) -> Column:
     user = F.array(item("image", F.lit(None).cast("string")), item("text", said))
     return F.array(F.struct(F.lit("system").alias("role"), F.array(item("text", F.lit(system))).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
 
+
+
+def with_image(turns: Column, text: Column) -> Column:
+    """Chat turns with each image item replaced by the text, as a text item."""
+    def item(x: Column) -> Column:
+        return F.when(x["type"] == "image", F.struct(F.lit("text").alias("type"), text.alias("text"))).otherwise(x)
+
+    return F.transform(turns, lambda t: F.struct(t["role"].alias("role"), F.transform(t["content"], item).alias("content")))
+
+
+def images_of(turns: Column) -> Column:
+    """Number of image items in chat turns."""
+    return F.aggregate(turns, F.lit(0), lambda n, t: n + F.size(F.filter(t["content"], lambda x: x["type"] == "image")))

@@ -87,3 +87,29 @@ def successors(ids: DataFrame) -> DataFrame:
     a, b = ids.select(F.col("pos").alias("p"), "id", F.col("scene").alias("s")), ids.select(F.col("pos").alias("q"), F.col("id").alias("next_id"), F.col("scene").alias("t"))
     jump = F.pmod(F.col("q") - F.col("p"), F.lit(n))
     return a.join(F.broadcast(b), (F.col("s") != F.col("t")) & (jump > 0)).groupBy("id").agg(F.min_by("next_id", jump).alias("next_id"))
+
+
+def split_sizes(candidates: int, plans: tuple[tuple[int, int], ...] = ((512, 128), (256, 64))) -> tuple[int, int]:
+    """The first (train, validation) that the candidates suffice for."""
+    for train, validation in plans:
+        if candidates >= train + validation:
+            return train, validation
+    raise ValueError(f"{candidates} candidates are too few")
+
+
+def allowed_only(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    return rows.join(names, key, "left_semi")
+
+
+def at_positions(annotations: DataFrame, rows: DataFrame, position: str, frozen: list[str]) -> DataFrame:
+    """Annotations joined to rows by position, with ``same``: whether the frozen fields are equal on both sides."""
+    renamed = rows.withColumnsRenamed({c: f"{c}_found" for c in frozen})
+    same = F.lit(True)
+    for c in frozen:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_found"))
+    return annotations.join(renamed, position, "left").withColumn("same", same)
+
+
+def first_few(rows: DataFrame, order: str, k: int = 5) -> DataFrame:
+    """The k smallest, to be shown in an error."""
+    return rows.orderBy(order).limit(k)

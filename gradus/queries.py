@@ -733,3 +733,96 @@ def prd19_allowed_keys(spark, sf_dir):
     from .streaming.telemetry import allowed
 
     return allowed(D.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("key")).agg(F.sum("value").alias("value")), ["view", "click"])
+
+
+# Agreement, completeness and positions.
+
+
+@query(f"WITH {_LONG}, k AS (SELECT * FROM e WHERE i % 3 <> 0 AND i < 40) SELECT vec_id, CAST(count(*) AS INT) AS compared, max(abs(s1 - t1)) AS largest, avg(abs(s1 - t1)) AS mean FROM k GROUP BY vec_id", "largest mean")
+def agg37_masked_deltas(spark, sf_dir):
+    mask = F.transform("student", lambda x, i: ((i % 3 != 0) & (i < 40)).cast("int"))
+    n, largest, mean = K.masked_deltas(F.col("student"), F.col("teacher"), F.col("mask"))
+    return _logp(spark, sf_dir).withColumn("mask", mask).select("vec_id", n.alias("compared"), largest.alias("largest"), mean.alias("mean"))
+
+
+@query(f"WITH {_LONG} SELECT max(abs(s1 - t1)) AS largest FROM e WHERE i < vec_id % 60 + 1", "largest")
+def agg43_ragged_delta(spark, sf_dir):
+    rows = _logp(spark, sf_dir)
+    length = (F.col("vec_id") % 60 + 1).cast("int")
+    return rows.agg(F.max(K.ragged_delta(F.col("student"), F.col("teacher"), length)).alias("largest"))
+
+
+@query("SELECT event_type, CASE WHEN avg(value) > 100 THEN '' ELSE 'mean,' END || CASE WHEN min(event_id) > 3 THEN '' ELSE 'late' END AS failed FROM events GROUP BY 1")
+def agg44_audit_gate(spark, sf_dir):
+    rows = D.table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("m"), F.min("event_id").alias("first"), F.count("*").alias("n"))
+    failed = K.gate({"rows": F.col("n") > 0, "mean": F.col("m") > 100, "late": F.col("first") > 3})
+    return rows.select("event_type", F.concat(F.when(F.array_contains(failed, "mean"), "mean,").otherwise(""), F.when(F.array_contains(failed, "late"), "late").otherwise("")).alias("failed"))
+
+
+@query(f"WITH {GRP}, c AS (SELECT grp, reward - avg(reward) OVER (PARTITION BY grp) AS adv, reward - 200 AS told FROM g) SELECT grp, bool_and(abs(adv - told) <= 50) AS close FROM c GROUP BY grp")
+def agg45_advantage_parity(spark, sf_dir):
+    rows = G.centred(D.view(spark, sf_dir, D.REWARDS), "grp", "reward")
+    return rows.groupBy("grp").agg(F.bool_and(F.abs(F.col("advantage") - (F.col("reward") - 200)) <= 50).alias("close"))
+
+
+@query("SELECT user_id, CASE WHEN g.n IS NULL THEN 'missing' WHEN e.user_id IS NULL THEN 'unexpected' ELSE 'repeated' END AS problem FROM (SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 0) e FULL JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1) g USING (user_id) WHERE g.n IS NULL OR e.user_id IS NULL OR g.n > 1")
+def jn13_completeness(spark, sf_dir):
+    e = D.table(spark, sf_dir, "events")
+    return V.complete(e.where("event_id % 3 = 0"), e.where("event_id % 2 = 0").select("user_id").distinct(), "user_id")
+
+
+@query("SELECT o_orderkey, o_custkey, l_suppkey, l_suppkey = (o_custkey % 10) + 1 AS same FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1")
+def jn11_positions(spark, sf_dir):
+    orders = D.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_custkey") % 10 + 1).alias("supplier"))
+    lines = D.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("supplier"))
+    out = S.at_positions(orders, lines, "o_orderkey", ["supplier"]).where("supplier_found IS NOT NULL")
+    return out.select("o_orderkey", "o_custkey", F.col("supplier_found").alias("l_suppkey"), "same")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def jn10_allowed_names(spark, sf_dir):
+    names = D.table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return S.allowed_only(D.table(spark, sf_dir, "orders"), names, "o_custkey").select("o_orderkey")
+
+
+@query("SELECT event_id, CAST(user_id % 2 AS INT) AS rank, CAST(event_id % 2 AS INT) AS from_rank, user_id % 2 <> event_id % 2 AS strange FROM events")
+def set06_united_ranks(spark, sf_dir):
+    e = D.table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 2).cast("int").alias("rank"))
+    return V.united([e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")])
+
+
+@query("SELECT DISTINCT user_id AS nonce FROM events WHERE event_id % 4 = 1")
+def stm08_fresh_rollouts(spark, sf_dir):
+    rows = D.table(spark, sf_dir, "events").select(F.col("user_id").alias("nonce"), (F.col("event_id") % 4).alias("version"))
+    return V.fresh_only(rows, "nonce", "version", 1).select("nonce")
+
+
+@query("SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) <> count(DISTINCT l_partkey)")
+def set05_repeated_sources(spark, sf_dir):
+    return D.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct("l_partkey").alias("d")).where("n <> d").select("l_orderkey")
+
+
+@query("SELECT doc_id, doc_id % 4 <> 0 AS holds FROM documents")
+def prd12_questions(spark, sf_dir):
+    hint = "Answer with the option's letter"
+    question = F.concat(F.when(F.col("doc_id") % 4 == 0, "").otherwise("<image>"), F.lit("  Is  it "), "source", F.lit("?\n"), F.lit(hint))
+    return D.table(spark, sf_dir, "documents").select("doc_id", V.question_holds(question, F.concat(F.lit("Is it "), "source", F.lit("?"))).alias("holds"))
+
+
+@query("SELECT doc_id, doc_id % 5 IN (0, 1, 2, 3) AS holds FROM documents")
+def prd13_answers(spark, sf_dir):
+    answer = F.element_at(F.array(*map(F.lit, "ABCDE")), (F.col("doc_id") % 5 + 1).cast("int"))
+    return D.table(spark, sf_dir, "documents").select("doc_id", V.answer_holds(answer, F.lit("Q\nA. w\nB. x\nC) y\nD. z")).alias("holds"))
+
+
+@query("SELECT conv_id, turn, 1 AS images, concat('seen ', role) AS said FROM conversations")
+def str15_teacher_messages(spark, sf_dir):
+    turns = T.messages("sys", F.col("text"), F.lit(None).cast("string"))
+    swapped = T.with_image(turns, F.concat(F.lit("seen "), "role"))
+    return D.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.images_of(turns).alias("images"), swapped[1]["content"][0]["text"].alias("said"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
+def srt08_first_few(spark, sf_dir):
+    rows = D.table(spark, sf_dir, "orders").withColumn("o", F.struct(-F.col("o_totalprice"), "o_orderkey"))
+    return S.first_few(rows, "o").select("o_orderkey")

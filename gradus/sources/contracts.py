@@ -143,3 +143,39 @@ def inside(path: Column, prefix: str) -> Column:
 def unique_normalised(values: Column, normalise) -> Column:
     folded = F.transform(values, normalise)
     return (F.size(values) > 0) & F.forall(folded, lambda v: v != "") & (F.size(F.array_distinct(folded)) == F.size(folded))
+
+
+def question_holds(question: Column, cleaned: Column, token: str = "<image>", hint: str = "Answer with the option's letter") -> Column:
+    """The image token starts the question and is there once, a hint is there once, and without both it is the cleaned one."""
+    count = lambda part: (F.length(question) - F.length(F.replace(question, F.lit(part), F.lit("")))) / len(part)
+    spaced = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    bare = F.replace(F.replace(question, F.lit(token), F.lit("")), F.lit(hint), F.lit(""))
+    return question.startswith(token) & (count(token) == 1) & (count(hint) == 1) & (spaced(bare) == spaced(cleaned))
+
+
+def answer_holds(answer: Column, question: Column) -> Column:
+    """A letter from A to D, and each of the four options once in the question."""
+    letters = F.regexp_extract_all(question, F.lit(r"(?m)^\s*([A-D])[.)]\s+"), F.lit(1))
+    return answer.rlike("^[A-D]$") & (F.array_sort(letters) == F.array(*map(F.lit, "ABCD")))
+
+
+def complete(gathered: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """(key, problem) of ids that are missing, unexpected, or there more than once."""
+    counts = gathered.groupBy(key).agg(F.count("*").alias("n"))
+    both = expected.select(key, F.lit(True).alias("_e")).join(counts, key, "full_outer")
+    problem = F.when(F.col("n").isNull(), "missing").when(F.col("_e").isNull(), "unexpected").when(F.col("n") > 1, "repeated")
+    return both.select(key, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def united(shards: list[DataFrame], rank: str = "rank") -> DataFrame:
+    """All ranks' rows, with ``from_rank``; a row that names another rank than its shard's is told by ``strange``."""
+    parts = [s.withColumn("from_rank", F.lit(i)) for i, s in enumerate(shards)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.withColumn("strange", ~F.col(rank).eqNullSafe(F.col("from_rank")))
+
+
+def fresh_only(rows: DataFrame, nonce: str, version: str, current: int) -> DataFrame:
+    """Rows of the current version, each nonce once; works on streams, where the state is the nonces seen."""
+    return rows.where(F.col(version) == current).dropDuplicates([nonce])
