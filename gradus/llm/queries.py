@@ -121,4 +121,23 @@ SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, n.source_size, n.target, CAST(d
   CAST(n.passes + CASE WHEN d.hash < coalesce(x.threshold, 0) THEN 1 ELSE 0 END AS BIGINT) AS copies, d.source
 FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source"""
 
-SQL: dict[str, str] = {"op1_url_filter": _URL_SQL, "op3_mixing": _MIX_SQL}
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS newest FROM p GROUP BY h),
+d AS (SELECT page_id, h, newest, sha1(h) AS x FROM p JOIN g USING (h))
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((((strpos('0123456789abcdef', x[i * 5 // 4 + 1]) - 1) * 16 + strpos('0123456789abcdef', x[i * 5 // 4 + 2]) - 1) // CAST(power(2, 3 - i * 5 % 4) AS BIGINT)) % 32 + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to
+FROM d"""
+
+_JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s), u AS (SELECT doc_id, unnest(sh) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 90 * (p.n + q.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT doc_id, any_value(n) AS n_shingles, min(reached) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id"""
+
+SQL: dict[str, str] = {"op1_url_filter": _URL_SQL, "op3_mixing": _MIX_SQL, "op8_warc": _WARC_SQL, "op9_ngram_jaccard_join": _JACCARD_SQL}

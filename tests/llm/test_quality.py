@@ -3,7 +3,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradus.llm import quality
-from gradus.llm.shared import Hashes
 
 
 def docs(spark, n=600):
@@ -65,5 +64,5 @@ def test_no_labels(spark):
 
 @pytest.mark.parametrize("text", [None, b"", b"a", b"!!! ???", "é".encode() * 9])
 def test_features_are_sorted_and_distinct(text):
-    found = quality.features(text, Hashes())
+    found = quality.features(text, quality.Tokens())
     assert list(found) == sorted(set(found)) and found.min() >= 0 and found.max() < quality.BUCKETS
