@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Hashes, as_bytes, fresh, mix, ready
+from .shared import as_bytes, fresh, ready
 
 #: Hashed features; the largest number of rated rows that a fit takes, those of the smallest hash; and of features.
 BUCKETS, MAX_RATED, MAX_FEATURES = 1 << 20, 12_000, 16_000_000
@@ -34,24 +35,34 @@ def _share(part: int, whole: int) -> int:
     return int(np.searchsorted((0.01, 0.03, 0.08, 0.15, 0.3, 0.5, 0.75), part / whole)) if whole else 0
 
 
-def features(text: bytes | None, hashes: Hashes) -> np.ndarray:
+class Tokens(dict):
+    """Features of words, remembered: the word's own, its start's, and whether a sign ends it, in one number."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 400_000:
+            self.clear()
+        bare = word.strip(_EDGES)
+        own = start = 4096 + xxhash.xxh3_64_intdigest(bare) % (BUCKETS - 4096)
+        if len(bare) > START:
+            start = 4096 + xxhash.xxh3_64_intdigest(bare[:START] + b"\0") % (BUCKETS - 4096)
+        value = self[word] = own | start << 24 | (word[-1] in b"!*$%&#|@") << 48
+        return value
+
+
+def features(text: bytes | None, tokens: Tokens) -> np.ndarray:
     """Sorted distinct feature numbers of a text; a null or empty one has only those of its statistics."""
     raw = text or b""
-    found = raw.split()
-    lowered = [w.strip(_EDGES) for w in raw.lower().split()]
-    distinct = set(lowered)
+    found = raw.lower().split()
+    distinct = set(found)
+    packed = np.fromiter(map(tokens.__getitem__, distinct), np.int64, len(distinct))
     shape = np.bincount(np.frombuffer(raw.translate(_CLASS), np.uint8), minlength=5) if raw else np.zeros(5, int)
     n = len(found)
-    repeats = sum(map(bytes.__eq__, lowered[1:], lowered))
-    tail = sum(1 for w in found if w[-1:] in b"!*$%&#|@")
     stats = (
-        _share(int(shape[1]), len(raw)), _share(int(shape[2]), len(raw)), _share(int(shape[4]) - n, len(raw)), _share(len(distinct), n), _share(repeats, n), _share(tail, n), _share(raw.count(b"|"), n),
-        min(15, n.bit_length()), min(15, len(raw) // max(1, n) // 2),
+        _share(int(shape[1]), len(raw)), _share(int(shape[2]), len(raw)), _share(int(shape[4]) - n, len(raw)), _share(len(distinct), n), _share(int((packed >> 48).sum()), len(distinct)),
+        _share(raw.count(b"|"), n), min(15, n.bit_length()), min(15, len(raw) // max(1, n) // 2),
     )
-    own = [(i << 8) + v for i, v in enumerate(stats)]
-    distinct |= {w[:START] + b"\0" for w in distinct if len(w) > START}
-    hashed = mix(hashes.of(list(distinct))) % np.uint64(BUCKETS - 4096) if distinct else np.zeros(0, np.uint64)
-    return np.unique(np.concatenate((hashed.astype(np.int64) + 4096, np.array(own, np.int64))).astype(np.int32))
+    own = np.array([(i << 8) + v for i, v in enumerate(stats)], np.int64)
+    return np.unique(np.concatenate((packed & 0xFFFFFF, packed >> 24 & 0xFFFFFF, own)).astype(np.int32))
 
 
 @dataclass(frozen=True)
@@ -125,9 +136,9 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, key: str, text: str, grade
     rated = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        tokens = Tokens()
         for b in batches:
-            found = [features(t, hashes).tobytes() for t in as_bytes(b.column("_text"))]
+            found = [features(t, tokens).tobytes() for t in as_bytes(b.column("_text"))]
             yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("_grade"), pa.array(found, pa.binary())], ["_key", "_grade", "at"])
 
     kind = dict(rated.dtypes)
@@ -157,9 +168,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", beyond: int | None
     docs = docs.select(*columns, F.col(text).alias(fresh(docs, "_scored")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, m = Hashes(), model_at.value
+        tokens, m = Tokens(), model_at.value
         for b in batches:
-            tails = [m.tails(features(t, hashes)) for t in as_bytes(b.column(b.num_columns - 1))]
+            tails = [m.tails(features(t, tokens)) for t in as_bytes(b.column(b.num_columns - 1))]
             graded = [pa.array([float(t.sum()) for t in tails], pa.float64()), pa.array([float(t[k]) for t in tails], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *graded], [*b.schema.names[:-1], "expected_grade", "tail_probability"])
 
