@@ -12,13 +12,21 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once a row: named in a lambda, it would be computed again for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def log_softmax(logits: Column, temperature: float = 1.0) -> Column:
     """Log probabilities, shifted by the maximum so that no exponential overflows."""
-    scaled = F.transform(logits, lambda x: x.cast("double") / F.lit(float(temperature)))
-    top = F.array_max(scaled)
-    # The shift is one value a row: it is bound once by aggregate's finish function.
-    spread = F.aggregate(scaled, F.lit(0.0), lambda a, x: a + F.exp(x - top), lambda a: F.log(a) + top)
-    return F.transform(scaled, lambda x: x - spread)
+    def spread(scaled: Column, top: Column) -> Column:
+        return F.aggregate(scaled, F.lit(0.0), lambda a, x: a + F.exp(x - top), lambda a: F.log(a) + top)
+
+    def shifted(scaled: Column) -> Column:
+        whole = bound(F.array_max(scaled), lambda top: spread(scaled, top))
+        return bound(whole, lambda w: F.transform(scaled, lambda x: x - w))
+
+    return bound(F.transform(logits, lambda x: x.cast("double") / F.lit(float(temperature))), shifted)
 
 
 def _plogp(p: Column) -> Column:
