@@ -1,35 +1,40 @@
 """Exact Jaccard self-join of documents' word shingles by parity sketches.
 
 Sets A and B with similarity of at least t differ in d <= (|A| + |B|) (1 - t) / (1 + t) shingles. Sets are put in bands
-by size, and in a band of largest d each shingle flips one bit of one of d + 1 + E parts of a bit sketch. A shingle
-that both sets have cancels in the XOR of their sketches, so the Hamming distance never exceeds d, and at least 1 + E
-parts agree in all bits. Documents are joined on those parts; a hash of (band, part, bits) is the join key.
+by size, and in a band of largest d each shingle flips one bit of one of d + 1 + E + R parts of a bit sketch. A shingle
+that both sets have cancels in the XOR of their sketches, so the Hamming distance never exceeds d, and at least
+1 + E + R parts agree in all bits. Documents are joined on those parts; a hash of (band, part, bits) is the join key.
 
-An empty part says nothing and is no key. A set with over E empty parts is dealt anew with another seed, under whose
-parts it is joined too: two sets that agree in empty parts alone both have over E of them and meet there.
+An empty part says nothing and is no key. A set with at most E empty parts shares 1 + R keys at least with each that it
+links to. A set with more is dealt anew with another seed, under whose parts it is joined too: two sets that agree in
+too many empty parts both have over E of them and meet there.
 
-Candidates of small buckets are compared as distinct pairs. A bucket of over SMALL members belongs to a family (the
-components of such buckets); members of a family are compared in square blocks of bounded size, and only links that
-join two groups of a block go out. Both first compare whole sketches, then the sets of shingles themselves.
+Pairs of small buckets are counted, and those with 1 + R common keys compared: first their whole sketches, then the sets
+of shingles themselves. A bucket of over SMALL members belongs to a family (the components of such buckets); members of
+a family are compared in square blocks of bounded size, and only links that join two groups of a block go out.
 
 Equal sets are one vertex throughout, so copies never meet as pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Hashes, as_bytes, fresh, mix, ready, shingles, small, stored, words
+from .shared import Hashes, as_bytes, drop, fresh, mix, place, ready, shingles, small, stored, words
 
-#: Bits of a part; the ratio of a band's bounds; members of a bucket that are compared as pairs; members of a block.
-PART_BITS, BAND, SMALL, BLOCK = 128, 1.4, 8, 256
+#: Bits of a part; members of a bucket that are compared as pairs; members of a block.
+PART_BITS, SMALL, BLOCK = 128, 40, 256
+#: Low bits of a join key that tell its band.
+BAND_BITS = 9
 #: Bits of the whole-set sketch by which pairs are first compared.
 SKETCH = 2048
 #: Seeds tried at most; a set that still has too many empty parts then also joins on them.
@@ -42,27 +47,32 @@ def differ(a: int, b: int, t: Fraction) -> int:
 
 
 def bands(t: Fraction, most: int = 1 << 40) -> list[int]:
-    """Lower bounds of the size bands."""
+    """Lower bounds of the size bands; a band's sets can link to those of the next at most, but for the smallest sizes."""
     out, low = [], 1
     while low < most:
         out.append(low)
-        low = max(low + 1, int(low * BAND))
+        low = max(low + 1, int(low / t))
     return out
 
 
-def parts_of(band: int, lows: list[int], t: Fraction) -> tuple[int, int]:
-    """Parts of the band's sketches, and E. The band also takes larger sets that can link to one of its own."""
+def parts_of(band: int, lows: list[int], t: Fraction) -> tuple[int, int, int]:
+    """Parts of the band's sketches, E and R. The band also takes larger sets that can link to one of its own."""
     top = lows[band + 1] - 1
-    least = differ(top, int(top / t), t) + 1
-    return least + (spare := 1 + least // 25), spare
+    d = differ(top, int(top / t), t)
+    more = d // 24
+    # Empty parts of the band's smallest sets: their mean, and two deviations.
+    mean = (d + 1 + more) * math.exp(-lows[band] / (1.06 * (d + 1 + more)))
+    empty = 1 + int(1.2 * mean + 2 * math.sqrt(mean)) if d else 0
+    return d + 1 + empty + more, empty, more
 
 
 class Keys:
-    """Join keys of shingle sets."""
+    """Join keys of shingle sets. It is made by the driver, so all tasks lay out parts alike."""
 
     def __init__(self, t: Fraction):
         self.t, self.lows = t, bands(t)
         self.starts = np.array(self.lows)
+        self.layout = [parts_of(b, self.lows, t) for b in range(len(self.lows) - 1)]
 
     def of(self, own: np.ndarray) -> np.ndarray:
         n = len(own)
@@ -75,7 +85,7 @@ class Keys:
         return np.unique(np.concatenate(out))
 
     def _band(self, own: np.ndarray, band: int) -> np.ndarray:
-        parts, spare = parts_of(band, self.lows, self.t)
+        parts, spare, _ = self.layout[band]
         out = []
         for seed in range(SEEDS):
             last = seed == SEEDS - 1
@@ -92,12 +102,11 @@ class Keys:
                 break
             if last:
                 out.append(np.array([salt], np.uint64))
-        return np.concatenate(out)
+        low = np.uint64((1 << BAND_BITS) - 1)
+        return np.concatenate(out) & ~low | np.uint64(band)
 
 
 def _digest(own: np.ndarray) -> tuple[int, int]:
-    import xxhash
-
     h = xxhash.xxh3_128_intdigest(own.tobytes())
     return h >> 64, h & (1 << 64) - 1
 
@@ -109,8 +118,10 @@ def _signed(values: np.ndarray) -> np.ndarray:
 def _profiles(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
     """(id, mark, n, node, rest, keys): a digest in two longs for equal sets, and the join keys. Empty sets have nulls."""
 
+    keys = Keys(t)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, keys = Hashes(), Keys(t)
+        hashes = Hashes()
         for b in batches:
             n, node, rest, found = [], [], [], []
             for text in as_bytes(b.column("text")):
@@ -189,6 +200,12 @@ def _rows(sketches: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in sketches), np.uint64).reshape(len(sketches), SKETCH // 64)
 
 
+def _needs(t: Fraction) -> list[int]:
+    """By band, the parts that a linked pair has in common at least."""
+    lows = bands(t)
+    return [1 + parts_of(b, lows, t)[2] for b in range(len(lows) - 1)]
+
+
 def _verified(pairs: DataFrame, t: Fraction) -> DataFrame:
     """(u, v) of those (u, v, a, b) whose sets a and b link."""
 
@@ -246,25 +263,41 @@ def _blocks(members: DataFrame, t: Fraction) -> DataFrame:
 
 def _named(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
     """For (id, mark, text): profiles of all rows, and (node, rest, component_id, keeper_id, keeper_mark) of all sets."""
-    profiles = stored(_profiles(docs, k, t), "profiles")
+    spark = docs.sparkSession
+    whole = stored(_profiles(docs, k, t), "keys")
+    profiles = stored(whole.drop("keys"), "profiles")
     # Vertices: one for each set. Its keeper is the row of the smallest id, then the smallest mark.
     order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
     vertices = profiles.where("node is not null").groupBy("node", "rest").agg(F.min(order).alias("keeper"), F.first("n").alias("n"))
     vertices = stored(vertices, "vertices")
-    keyed = profiles.select("node", F.explode("keys").alias("bucket"))
-    # Buckets with two sets at least, found with fixed-width minima that combine before the shuffle.
-    shared = keyed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket")
-    shared = stored(shared, "shared")
-    members = stored(keyed.join(small(shared), "bucket", "left_semi").distinct(), "members")
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub"))
-    few = sizes.where(F.col("size") <= SMALL).select("bucket")
-    hot = stored(sizes.where(F.col("size") > SMALL).select("bucket", "hub"), "hot")
-    one = members.join(few, "bucket", "left_semi")
-    pairs = one.select("bucket", F.col("node").alias("u")).join(one.select("bucket", F.col("node").alias("v")), "bucket").where("u < v").select("u", "v").distinct()
+    keyed = whole.select("node", F.explode("keys").alias("bucket"))
+    # Buckets with two sets at least, found with fixed-width aggregates that combine before the shuffle.
+    shared = keyed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("rows")).where("low < high")
+    shared = stored(shared.select("bucket", F.least("rows", F.lit(SMALL + 1)).cast("int").alias("rows")), "shared")
+    # Rows may be copies of fewer sets: a bucket of many rows is small yet if its sets are few.
+    many = shared.where(F.col("rows") > SMALL).select("bucket")
+    members = stored(keyed.join(small(many), "bucket", "left_semi").distinct(), "members")
+    sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")), "sizes")
+    hot = sizes.where(F.col("size") > SMALL).select("bucket", "hub")
+    copied = members.join(small(sizes.where(F.col("size") <= SMALL).select("bucket")), "bucket", "left_semi")
+    # Shuffled at any size: both sides are in the billions where it matters.
+    rare = keyed.join(shared.where(F.col("rows") <= SMALL).select("bucket"), "bucket", "left_semi")
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        """At most SMALL members each; joined by bucket, they are where they are gathered."""
+        return rows.groupBy("bucket").agg(F.array_sort(F.collect_set("node")).alias("m")).select("m", F.col("bucket").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int").alias("band"))
+
+    sets_of = stored(gathered(rare).unionAll(gathered(copied)), "buckets")
+    drop(spark, place(whole))
+    at = F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("u"), y.alias("v"))))
+    pairs = sets_of.select("band", F.explode(F.flatten(at)).alias("p")).select("band", "p.u", "p.v").groupBy("u", "v", "band").agg(F.count("*").alias("common"))
+    # Under the band of its smaller set a linked pair has 1 + R common parts.
+    pairs = pairs.where(F.col("common") >= F.element_at(F.array(*map(F.lit, _needs(t))), F.col("band") + 1)).select("u", "v").distinct()
     size_of = vertices.groupBy("node").agg(F.max("n").alias("n"))
     pairs = pairs.join(size_of.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(size_of.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
     fits = F.least("nu", "nv") * F.lit(t.denominator) >= F.greatest("nu", "nv") * F.lit(t.numerator)
     pairs = stored(pairs.where(fits), "pairs")
+    drop(spark, place(sets_of))
     joined = members.join(small(hot), "bucket")
     families = components(joined.select(F.col("node").alias("u"), F.col("hub").alias("v"))).select(F.col("node").alias("u"), F.col("component").alias("family"))
     families = stored(families, "families")

@@ -69,11 +69,28 @@ def _drop_all() -> None:
             return
 
 
+#: Spark's setting that drops an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write a table to the shared folder and read it. It survives the loss of any executor."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage: write a table to the shared folder and read it. It survives the loss of any executor.
+
+    The shuffle files of the plan that made it are dropped at once, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path, before = folder(spark, name), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def place(df: DataFrame) -> str:
+    """The folder of a stored table."""
+    return df._jdf.queryExecution().analyzed().relation().location().rootPaths().head().toString()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -74,3 +74,15 @@ def test_keys_meet_for_all_linked_sizes():
             b = a[drop:]
             if len(b) and parity_join.linked(a, b, t):
                 assert set(keys.of(a)) & set(keys.of(b))
+
+
+def test_families_in_several_blocks(spark, monkeypatch):
+    """Buckets of over three members and blocks of about four: links within and between blocks are all found."""
+    monkeypatch.setattr(parity_join, "SMALL", 3)
+    monkeypatch.setattr(parity_join, "BLOCK", 4)
+    rng = random.Random(9)
+    words = [f"v{rng.randrange(400)}" for _ in range(120)]
+    rows = [(i, " ".join(edited(rng, words, rng.randrange(1, 9)))) for i in range(60)]
+    got = sorted((tuple(r) for r in parity_join.join(spark.createDataFrame(rows, "doc_id long, text string"), k=3, t=Fraction(9, 10)).collect()), key=repr)
+    assert got == brute(rows, 3, Fraction(9, 10))
+    assert 1 < len({c for _, _, c in got}) < 60
