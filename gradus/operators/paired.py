@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,30 +101,68 @@ def delta_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def hashed_bootstrap(rows: DataFrame, reps: int, seed: int) -> DataFrame:
+def hashed_bootstrap(rows: DataFrame, reps: int, seed: int, blocks: int = 24) -> DataFrame:
     """(condition, metric, scope, low, high): percentile intervals of resampled means.
 
     Draw j of resample r takes the delta whose place is a hash of (seed, r, j) modulo n, so any engine makes the same
-    draws. Weights of the places are counted by (r, place), and joined to the deltas: nothing is held in one task.
+    draws. A task makes a block of the resamples for all groups, so that a draw is hashed once for them; it holds their
+    deltas as arrays.
     """
     keys = ["condition", "metric", "scope"]
-    placed = rows.withColumn("place", (F.row_number().over(Window.partitionBy(*keys).orderBy("example_id")) - 1).cast("long"))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    draws = sizes.select(*keys, "n", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    at = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "rep", "draw").cast("binary")), 1, 15), 16, 10).cast("long") % F.col("n")
-    counts = draws.withColumn("place", at).groupBy(*keys, "rep", "n", "place").agg(F.count("*").alias("times"))
-    means = counts.join(placed, [*keys, "place"]).groupBy(*keys, "rep", "n").agg((F.sum(F.col("times") * F.col("delta")) / F.col("n")).alias("mean"))
+    ordered = F.sort_array(F.collect_list(F.struct("example_id", "delta")))
+    groups = rows.groupBy(*keys).agg(F.transform(ordered, lambda x: x["delta"].cast("double")).alias("values"))
+    dealt = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(min(blocks, reps) - 1)))).repartition(blocks, "block")
+    kinds = dealt.select(*keys).schema.add("mean", "double")
+
+    def resampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = [np.array(v, float) for v in b.column("values").to_pylist()]
+            own: dict[int, list[int]] = {}
+            for i, block in enumerate(b.column("block").to_pylist()):
+                own.setdefault(block, []).append(i)
+            at, means = [], []
+            for block, members in own.items():
+                most = max(len(values[i]) for i in members)
+                for rep in range(block + 1, reps + 1, min(blocks, reps)):
+                    digests = b"".join([hashlib.md5(b"%d|%d|%d" % (seed, rep, j)).digest() for j in range(1, most + 1)])
+                    drawn = np.frombuffer(digests, ">u8")[::2].astype(np.uint64) >> np.uint64(4)
+                    for i in members:
+                        n = len(values[i])
+                        at.append(i)
+                        means.append(values[i][drawn[:n] % np.uint64(n)].mean())
+            taken = b.select(keys).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(means, pa.float64())], [*keys, "mean"])
+
+    means = dealt.mapInArrow(resampled, kinds)
     return means.groupBy(*keys).agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
 
 
+def twister_means(values: np.ndarray, reps: int, seed: int) -> np.ndarray:
+    """Means of resamples by the draws of random.Random(seed).randrange(n), made in blocks: the top bits of each word, if below n."""
+    n, (*key, pos) = len(values), random.Random(seed).getstate()[1]
+    words = np.random.MT19937()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(key, np.uint32), "pos": pos}}
+    shift, means, left = np.uint64(32 - n.bit_length()), [], np.zeros(0, np.int64)
+    for first in range(0, reps, size := max(1, (1 << 20) // n)):
+        need = min(size, reps - first) * n
+        parts, have = [left], len(left)
+        while have < need:
+            raw = words.random_raw(need - have + 64) >> shift
+            parts.append(raw[raw < n].astype(np.int64))
+            have += len(parts[-1])
+        places = np.concatenate(parts)
+        left = places[need:]
+        means.append(values[places[:need]].reshape(-1, n).mean(1))
+    return np.concatenate(means)
+
+
 def exact_bootstrap(rows: DataFrame, reps: int, seed: int) -> DataFrame:
     """The same with Mersenne Twister draws in order of ids: one group of deltas a task, as that order is the result."""
     keyed = rows.withColumn("seed", seed_of(F.concat_ws("|", F.lit(str(seed)), "condition", "metric", "scope")).cast("string"))
 
     def interval(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("example_id")["delta"].tolist()
-        rng, n = random.Random(int(pdf["seed"].iloc[0])), len(values)
-        means = pd.Series([sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(reps)])
+        values = pdf.sort_values("example_id")["delta"].to_numpy(float)
+        means = pd.Series(twister_means(values, reps, int(pdf["seed"].iloc[0])))
         first = pdf.iloc[0]
         return pd.DataFrame([{"condition": first["condition"], "metric": first["metric"], "scope": first["scope"], "low": means.quantile(0.025), "high": means.quantile(0.975)}])
 

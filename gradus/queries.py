@@ -25,6 +25,8 @@ R = f"r AS ({D.duck(D.ROLLOUTS)})"
 TOK, SAM = f"t AS ({D.duck(D.TOKENS)})", f"s AS ({D.duck(D.SAMPLES)})"
 ATT, GRP = f"a AS ({D.duck(D.ATTEMPTS)})", f"g AS ({D.duck(D.REWARDS)})"
 METRICS = ["raw_js", "baseline_js", "corrected_gap", "teacher_entropy", "uncertainty", "visual_proxy"]
+#: Resamples of a bootstrap, as many as the reference makes by default.
+REPS = 5000
 
 
 def query(sql: str | None = None, doubles: str = "") -> Callable[[Query], Query]:
@@ -498,12 +500,18 @@ def agg28_fallback_transitions(spark, sf_dir):
 
 @query(f"WITH {_DELTA}, p AS (SELECT *, row_number() OVER (PARTITION BY condition, metric, scope ORDER BY example_id) - 1 AS place FROM l WHERE metric = 'raw_js' AND delta IS NOT NULL), n AS (SELECT condition, metric, scope, count(*) AS n FROM p GROUP BY ALL), d AS (SELECT n.*, r.rep, w.draw, CAST('0x' || substr(md5(concat_ws('|', '3', r.rep, w.draw)), 1, 15) AS BIGINT) % n AS place FROM n, range(1, 101) r(rep), LATERAL (SELECT unnest(range(1, n.n + 1)) AS draw) w), m AS (SELECT d.condition, d.metric, d.scope, d.rep, avg(delta) AS mean FROM d JOIN p USING (condition, metric, scope, place) GROUP BY ALL) SELECT condition, metric, scope, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m GROUP BY ALL", "low high")
 def agg29_hashed_bootstrap(spark, sf_dir):
+    """A reduced form, 100 resamples of one metric, for its SQL; agg29_hashed_bootstrap_5000 is the whole job."""
     return P.hashed_bootstrap(P.deltas(D.view(spark, sf_dir, D.SAMPLES), "view", ["raw_js"]), 100, 3)
 
 
+@query(f"WITH {_DELTA}, p AS (SELECT *, row_number() OVER (PARTITION BY condition, metric, scope ORDER BY example_id) - 1 AS place, count(*) OVER (PARTITION BY condition, metric, scope) AS n FROM l WHERE delta IS NOT NULL), n AS (SELECT DISTINCT condition, metric, scope, n FROM p), h AS MATERIALIZED (SELECT rep, draw, CAST('0x' || substr(md5(concat_ws('|', '3', rep, draw)), 1, 15) AS BIGINT) AS hash FROM range(1, {REPS + 1}) r(rep), (SELECT unnest(range(1, (SELECT max(n) FROM n) + 1)) AS draw)), m AS (SELECT n.condition, n.metric, n.scope, h.rep, avg(delta) AS mean FROM n JOIN h ON h.draw <= n.n JOIN p ON p.condition = n.condition AND p.metric = n.metric AND p.scope = n.scope AND p.place = h.hash % n.n GROUP BY ALL) SELECT condition, metric, scope, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m GROUP BY ALL", "low high")
+def agg29_hashed_bootstrap_5000(spark, sf_dir):
+    return P.hashed_bootstrap(P.deltas(D.view(spark, sf_dir, D.SAMPLES), "view", METRICS), REPS, 3)
+
+
 @query(doubles="low high")
 def agg29_exact_bootstrap(spark, sf_dir):
-    return P.exact_bootstrap(P.deltas(D.view(spark, sf_dir, D.SAMPLES), "view", ["raw_js"]), 100, 3)
+    return P.exact_bootstrap(P.deltas(D.view(spark, sf_dir, D.SAMPLES), "view", METRICS), REPS, 3)
 
 
 @query(f"WITH {TOK}, {SAM} SELECT t.example_id, t.condition, token_index FROM t ANTI JOIN (SELECT * FROM s WHERE NOT proxy_fallback) q ON t.example_id = q.example_id AND t.condition = q.condition")
