@@ -156,6 +156,42 @@ def sampled_weights(reward: Column, calibration: Column, ratio: Column, beta: fl
     return reward - F.lit(beta) * ratio - F.lit(content_baseline), calibration - F.lit(report_baseline)
 
 
+def _masked(values: Column, mask: Column) -> Column:
+    return F.transform(F.filter(F.arrays_zip(values.alias("v"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: x["v"])
+
+
+def joint_loss(log_p: Column, content: Column, report: Column, divergence: Column, content_reward: Column, report_reward: Column, policy_weight: float, divergence_weight: float) -> dict[str, Column]:
+    """A rollout's -R_c sum(content log p) - R_r sum(report log p), and the mean divergence of its content tokens.
+
+    log_p and the masks of 0 and 1 are aligned with the sampled tokens; divergence has one entry a content token. The
+    policy term is not divided by the tokens. Where there is no content the divergence is 0, and a mean of no tokens null.
+    All are null where the arrays don't align.
+    """
+    c, r = _masked(log_p, content), _masked(log_p, report)
+    policy = -content_reward * total(c) - report_reward * total(r)
+    apart = F.when(F.size(c) > 0, total(divergence) / F.size(c)).otherwise(F.lit(0.0)) if divergence_weight > 0 else F.lit(0.0)
+    aligned = (F.size(log_p) == F.size(content)) & (F.size(log_p) == F.size(report))
+    if divergence_weight > 0:
+        aligned = aligned & ((F.size(c) == 0) | (F.size(divergence) == F.size(c)))
+    out = {
+        "loss": F.lit(float(policy_weight)) * policy + F.lit(float(divergence_weight)) * apart, "policy_loss": policy, "opsd_loss": apart,
+        "policy_loss_per_generated_token": F.try_divide(policy, F.size(log_p)), "content_mean_nll": -F.try_divide(total(c), F.size(c)), "report_mean_nll": -F.try_divide(total(r), F.size(r)),
+        "content_tokens": F.size(c), "report_tokens": F.size(r),
+    }
+    return {name: F.when(aligned, x) for name, x in out.items()}
+
+
+def batch_loss(content_weight: Column, report_weight: Column, content_log_p: Column, report_log_p: Column) -> Column:
+    """An aggregate: the mean over rollouts of each segment's negative weight (see sampled_weights) times its sum of log probabilities."""
+    return F.avg(-content_weight * total(content_log_p) - report_weight * total(report_log_p))
+
+
+def rescore_ids(prompt: Column, response: Column) -> tuple[Column, Column]:
+    """(sampled ids after the prompt's, place of the first of them); null unless both have ids and none is below 0."""
+    fair = (F.size(prompt) > 0) & (F.size(response) > 0) & F.forall(F.concat(prompt, response), lambda x: F.coalesce(x >= 0, F.lit(False)))
+    return F.when(fair, F.concat(prompt, response)), F.when(fair, F.size(prompt))
+
+
 # Agreement of aligned vectors.
 
 

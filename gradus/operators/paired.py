@@ -93,6 +93,15 @@ def transitions(samples: DataFrame, baseline: str) -> DataFrame:
     return both.groupBy("condition", F.concat(name(F.col("_f")), F.lit("_to_"), name(F.col("proxy_fallback"))).alias("change")).agg(F.count("*").alias("n"))
 
 
+def coverage(samples: DataFrame, baseline: str) -> DataFrame:
+    """(condition, ids of the baseline, of the condition, of both, of one alone): what ``deltas`` can't compare is counted here."""
+    old = samples.where(F.col("condition") == baseline).select("example_id").distinct().withColumn("_old", F.lit(1))
+    new = samples.where(F.col("condition") != baseline).select("condition", "example_id").distinct()
+    found = new.join(old, "example_id", "left").groupBy("condition").agg(F.count("*").alias("condition_sample_count"), F.count("_old").alias("shared_example_ids"))
+    both = found.crossJoin(F.broadcast(old.agg(F.count("*").alias("baseline_sample_count"))))
+    return both.select("condition", "baseline_sample_count", "condition_sample_count", "shared_example_ids", (F.col("baseline_sample_count") - F.col("shared_example_ids")).alias("baseline_only_count"), (F.col("condition_sample_count") - F.col("shared_example_ids")).alias("condition_only_count"))
+
+
 def delta_summary(rows: DataFrame) -> DataFrame:
     d = F.col("delta")
     return rows.groupBy("condition", "metric", "scope").agg(

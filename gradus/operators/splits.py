@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +92,25 @@ def successors(ids: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b), (F.col("s") != F.col("t")) & (jump > 0)).groupBy("id").agg(F.min_by("next_id", jump).alias("next_id"))
 
 
+def epoch_order(n: int, steps: int, seed: int) -> Iterator[tuple[int, int, int]]:
+    """(step, epoch, place) of rows dealt in shuffled epochs, each taken from its end; one Mersenne Twister runs through all.
+
+    That order is one stream, so it is made on the driver: places, not rows.
+    """
+    rng, left, epoch = random.Random(seed), [], 0
+    for step in range(1, steps + 1 if n else 1):
+        if not left:
+            left, epoch = list(range(n)), epoch + 1
+            rng.shuffle(left)
+        yield step, epoch, left.pop()
+
+
+def in_epochs(rows: DataFrame, order: str, steps: int, seed: int) -> DataFrame:
+    """(step, epoch, columns of rows) of ``epoch_order`` over the rows in order."""
+    places = rows.sparkSession.createDataFrame(list(epoch_order(rows.count(), steps, seed)), "step long, epoch long, shard long")
+    return stride(rows, order, (1 << 31) - 1).withColumn("shard", F.col("shard").cast("long")).join(places, "shard").select("step", "epoch", *rows.columns)
+
+
 def split_sizes(candidates: int, plans: tuple[tuple[int, int], ...] = ((512, 128), (256, 64))) -> tuple[int, int]:
     """The first (train, validation) that the candidates suffice for."""
     for train, validation in plans:

@@ -378,6 +378,51 @@ def mth03_sampled_weights(spark, sf_dir):
     return _logp(spark, sf_dir).select("vec_id", ratio.alias("ratio"), content.alias("content"), report.alias("report"))
 
 
+# Rollouts of twelve tokens: the first eight are content, the last three a report.
+_SAMPLED = f"{_LONG}, v AS (SELECT vec_id, ln(sum(exp(s / 1.1::DOUBLE))) AS ls, ln(sum(exp(t / 1.1::DOUBLE))) AS lt FROM e GROUP BY vec_id), k AS (SELECT vec_id, max(CASE WHEN i = vec_id * 7 % 64 THEN s1 END) AS p, max(CASE WHEN i = vec_id * 7 % 64 THEN t1 END) AS q, sum(least(exp(t / 1.1::DOUBLE - lt) * ((t / 1.1::DOUBLE - lt) - (s / 1.1::DOUBLE - ls)), 0.05)) AS kl FROM e JOIN v USING (vec_id) GROUP BY vec_id), o AS (SELECT vec_id // 12 AS example, p, q, kl, vec_id % 12 < 8 AS c, vec_id % 12 >= 9 AS r FROM k)"
+
+
+def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(example, p, q, c, r, kl): log probabilities of sampled tokens by student and teacher, masks, and divergences of content tokens."""
+    at = (F.col("vec_id") * 7 % 64 + 1).cast("int")
+    picked = lambda name: F.element_at(K.log_softmax(F.col(name)), at)
+    kl = K.content_divergence(K.log_softmax(F.col("student"), 1.1), K.log_softmax(F.col("teacher"), 1.1), clip=0.05)
+    place = F.col("vec_id") % 12
+    rows = D.logits(spark, sf_dir).select(F.floor(F.col("vec_id") / 12).alias("example"), F.struct("vec_id", picked("student").alias("p"), picked("teacher").alias("q"), (place < 8).cast("int").alias("c"), (place >= 9).cast("int").alias("r"), kl.alias("kl")).alias("x"))
+    rows = rows.groupBy("example").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return rows.select("example", *[F.col(f"x.{n}") for n in "pqcr"], F.transform(F.filter("x", lambda x: x["c"] == 1), lambda x: x["kl"]).alias("kl"))
+
+
+@query(f"WITH {_SAMPLED}, g AS (SELECT example, -0.75 * coalesce(sum(CASE WHEN c THEN p END), 0) - 0.25 * coalesce(sum(CASE WHEN r THEN p END), 0) AS policy, coalesce(avg(CASE WHEN c THEN kl END), 0) AS apart, count(*) AS n, -avg(CASE WHEN c THEN p END) AS cn, -avg(CASE WHEN r THEN p END) AS rn, CAST(count_if(c) AS INT) AS cs, CAST(count_if(r) AS INT) AS rs FROM o GROUP BY example) SELECT example, 0.9 * policy + 0.5 * apart AS loss, policy AS policy_loss, apart AS opsd_loss, policy / n AS policy_loss_per_generated_token, cn AS content_mean_nll, rn AS report_mean_nll, cs AS content_tokens, rs AS report_tokens FROM g", "loss policy_loss opsd_loss policy_loss_per_generated_token content_mean_nll report_mean_nll")
+def arr10_joint_loss(spark, sf_dir):
+    c = {n: F.col(n) for n in ("p", "c", "r", "kl")}
+    return _sampled(spark, sf_dir).select("example", *[x.alias(n) for n, x in K.joint_loss(c["p"], c["c"], c["r"], c["kl"], F.lit(0.75), F.lit(0.25), 0.9, 0.5).items()])
+
+
+@query(f"WITH {_SAMPLED}, g AS (SELECT example, coalesce(sum(CASE WHEN c THEN p END), 0) AS cp, coalesce(sum(CASE WHEN c THEN p - q END), 0) AS k, coalesce(sum(CASE WHEN r THEN p END), 0) AS rp FROM o GROUP BY example) SELECT avg(-(1 - 0.5 * k - 0.1) * cp - (0.25 - 0.2) * rp) AS loss, avg(k) AS mean_sampled_log_ratio, count(*) AS rollout_count FROM g", "loss mean_sampled_log_ratio")
+def mth04_batch_loss(spark, sf_dir):
+    p, q, c, r = (F.col(n) for n in "pqcr")
+    rows = _sampled(spark, sf_dir).select(K._masked(p, c).alias("content"), K._masked(q, c).alias("teacher"), K._masked(p, r).alias("report"))
+    rows = rows.withColumn("ratio", K.log_ratio(F.col("content"), F.col("teacher")))
+    weights = K.sampled_weights(F.lit(1.0), F.lit(0.25), F.col("ratio"), 0.5, 0.1, 0.2)
+    return rows.agg(K.batch_loss(*weights, F.col("content"), F.col("report")).alias("loss"), F.avg("ratio").alias("mean_sampled_log_ratio"), F.count("*").alias("rollout_count"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN list_concat([doc_id, n_chars], [doc_id % 11]) END AS input_ids, CASE WHEN doc_id % 5 <> 0 AND doc_id % 7 <> 0 THEN 2 END AS response_start FROM documents")
+def arr13_rescore_ids(spark, sf_dir):
+    doc, chars = F.col("doc_id").cast("long"), F.col("n_chars").cast("long")
+    prompt = F.when(doc % 5 != 0, F.array(doc, chars)).otherwise(F.array().cast("array<bigint>"))
+    ids, start = K.rescore_ids(prompt, F.array(F.when(doc % 7 == 0, F.lit(-1)).otherwise(doc % 11)))
+    return D.table(spark, sf_dir, "documents").select("doc_id", ids.alias("input_ids"), start.alias("response_start"))
+
+
+@query()
+def win09_epoch_order(spark, sf_dir):
+    """Three epochs' steps; the Mersenne Twister has no SQL form."""
+    items = D.table(spark, sf_dir, "benchmark").select("item_id")
+    return S.in_epochs(items, "item_id", 3 * items.count(), 42)
+
+
 @query(f"WITH {R}, m AS (SELECT id, {_Y} AS y, answer_confidence AS a, visual_confidence AS v, visual_proxy AS s, e1 OR e2 OR proxy_fallback AS bad FROM r) SELECT id, y AS utility, -coalesce(power(a - y, 2), 1) - coalesce(power(v - s, 2), 1) - CASE WHEN bad THEN 0.5 ELSE 0 END AS report, y - coalesce(power(a - y, 2), 1) - coalesce(power(v - s, 2), 1) - CASE WHEN bad THEN 0.5 ELSE 0 END AS content, y - power(a - y, 2) - power(v - s, 2) AS total FROM m", "utility report content total")
 def mth06_rewards(spark, sf_dir):
     rows = D.rollouts(spark, sf_dir)
@@ -493,6 +538,11 @@ def agg28_paired_deltas(spark, sf_dir):
     return P.delta_summary(P.deltas(D.view(spark, sf_dir, D.SAMPLES), "view", METRICS))
 
 
+@query(f"WITH {SAM}, o AS (SELECT DISTINCT example_id FROM s WHERE condition = 'view'), n AS (SELECT DISTINCT condition, example_id FROM s WHERE condition <> 'view'), g AS (SELECT condition, (SELECT count(*) FROM o) AS b, count(*) AS c, count(o.example_id) AS x FROM n LEFT JOIN o USING (example_id) GROUP BY condition) SELECT condition, b AS baseline_sample_count, c AS condition_sample_count, x AS shared_example_ids, b - x AS baseline_only_count, c - x AS condition_only_count FROM g")
+def jn07_condition_coverage(spark, sf_dir):
+    return P.coverage(D.view(spark, sf_dir, D.SAMPLES), "view")
+
+
 @query(f"WITH {_DELTA} SELECT condition, concat(CASE WHEN was THEN 'fallback' ELSE 'valid' END, '_to_', CASE WHEN now THEN 'fallback' ELSE 'valid' END) AS change, count(*) AS n FROM j GROUP BY ALL")
 def agg28_fallback_transitions(spark, sf_dir):
     return P.transitions(D.view(spark, sf_dir, D.SAMPLES), "view")
