@@ -81,15 +81,18 @@ def absent(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return ids.join(rows, key, "left_anti")
 
 
-def successors(ids: DataFrame) -> DataFrame:
-    """For each of a stated list of (pos, id, scene): the next one in a circle that has another scene.
+def successors(ids: DataFrame, hashes: tuple[str, ...] = ()) -> DataFrame:
+    """For each of a stated list of (pos, id, scene): the next one in a circle that has another scene and other hashes.
 
-    The list is a bounded set of at most some tens of rows, held against itself.
+    The list is a bounded set of at most some tens of rows, held against itself. A null scene or hash differs from none.
     """
     n = ids.count()
-    a, b = ids.select(F.col("pos").alias("p"), "id", F.col("scene").alias("s")), ids.select(F.col("pos").alias("q"), F.col("id").alias("next_id"), F.col("scene").alias("t"))
-    jump = F.pmod(F.col("q") - F.col("p"), F.lit(n))
-    return a.join(F.broadcast(b), (F.col("s") != F.col("t")) & (jump > 0)).groupBy("id").agg(F.min_by("next_id", jump).alias("next_id"))
+    a, b = (ids.select(F.col("pos").alias(f"{x}pos"), F.col("id").alias(f"{x}id"), *[F.col(c).alias(f"{x}{c}") for c in ("scene", *hashes)]) for x in "pq")
+    jump = F.pmod(F.col("qpos") - F.col("ppos"), F.lit(n))
+    other = jump > 0
+    for c in ("scene", *hashes):
+        other = other & (F.col(f"p{c}") != F.col(f"q{c}"))
+    return a.join(F.broadcast(b), other).groupBy(F.col("pid").alias("id")).agg(F.min_by("qid", jump).alias("next_id"))
 
 
 def epoch_order(n: int, steps: int, seed: int) -> Iterator[tuple[int, int, int]]:

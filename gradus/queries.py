@@ -493,8 +493,18 @@ def jn05_listed_order(spark, sf_dir):
 
 @query("WITH i AS (SELECT item_id AS pos, item_id AS id, (item_id * 7) % 3 AS scene FROM benchmark WHERE item_id < 32) SELECT a.id, arg_min(b.id, ((b.pos - a.pos) % 32 + 32) % 32) AS next_id FROM i a JOIN i b ON a.scene <> b.scene GROUP BY a.id")
 def jn08_successors(spark, sf_dir):
-    ids = D.table(spark, sf_dir, "benchmark").where("item_id < 32").select(F.col("item_id").alias("pos"), F.col("item_id").alias("id"), ((F.col("item_id") * 7) % 3).alias("scene"))
-    return S.successors(ids)
+    """By the scene and the hash of each text, which stands for both images."""
+    ids = D.table(spark, sf_dir, "benchmark").where("item_id < 32").select(F.col("item_id").alias("pos"), F.col("item_id").alias("id"), ((F.col("item_id") * 7) % 3).alias("scene"), F.sha2("text", 256).alias("student"), F.sha2("text", 256).alias("teacher"))
+    return S.successors(ids, ("student", "teacher"))
+
+
+@query("WITH i AS (SELECT item_id AS pos, item_id AS id, (item_id * 7) % 3 AS scene, sha256(CAST(item_id // 2 % 5 AS VARCHAR)) AS student, sha256(CAST(item_id // 3 % 4 AS VARCHAR)) AS teacher FROM benchmark WHERE item_id < 32) SELECT a.id, arg_min(b.id, ((b.pos - a.pos) % 32 + 32) % 32) AS next_id FROM i a JOIN i b ON a.scene <> b.scene AND a.student <> b.student AND a.teacher <> b.teacher GROUP BY a.id")
+def jn08_donors(spark, sf_dir):
+    """The same where images repeat across scenes."""
+    item = F.col("item_id")
+    image = lambda per, of: F.sha2((F.floor(item / per) % of).cast("string"), 256)
+    ids = D.table(spark, sf_dir, "benchmark").where("item_id < 32").select(item.alias("pos"), item.alias("id"), ((item * 7) % 3).alias("scene"), image(2, 5).alias("student"), image(3, 4).alias("teacher"))
+    return S.successors(ids, ("student", "teacher"))
 
 
 @query("SELECT CASE WHEN t.l_orderkey IS NOT NULL AND s.c_custkey IS NOT NULL THEN 'both' WHEN t.l_orderkey IS NOT NULL THEN 'lines' WHEN s.c_custkey IS NOT NULL THEN 'customer' ELSE 'neither' END AS state, count(*) AS n FROM orders o LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R') t ON t.l_orderkey = o.o_orderkey LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) s ON s.c_custkey = o.o_custkey GROUP BY 1")
