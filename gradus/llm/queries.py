@@ -43,11 +43,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that the classifier selects, with their expected grade and the probability of the top grade."""
+    """Every document with its expected grade, the probability of the top grade, and whether the classifier keeps it."""
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model, columns=["doc_id"])
-    return scored.where(F.col("tail_probability") >= quality.KEEP).withColumn("keep", F.lit(True))
+    return scored.withColumn("keep", F.col("tail_probability") >= quality.KEEP)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
