@@ -146,6 +146,26 @@ def reward_block(answer: Column, certainty: Column, visual_confidence: Column, a
     return {"utility": utility, "report": report, "content": utility + report}
 
 
+#: Rewards of the content and the report of a completion that breaks the earlier format.
+MALFORMED_CONTENT, MALFORMED_REPORT = -2.0, -3.0
+
+
+def unlabelled_block(answer: Column, certainty: Column, visual_confidence: Column, answer_confidence: Column, errors: Column, **weights: float) -> dict[str, Column]:
+    """The earlier form of ``reward_block``: an answer whose label is null earns nothing, and its report costs a miss of 1."""
+    known = F.coalesce(answer, F.lit(0))
+    return reward_block(known, certainty, visual_confidence, F.when(answer.isNotNull(), answer_confidence), errors, **weights)
+
+
+def attempt_rewards(parsed: Column, calibration: Column, total: Column) -> dict[str, Column]:
+    """Rewards of content and report of attempts in the earlier format; malformed ones get the two constants."""
+    return {"content": F.when(parsed, total).otherwise(F.lit(MALFORMED_CONTENT)), "report": F.when(parsed, calibration).otherwise(F.lit(MALFORMED_REPORT))}
+
+
+def rollout_errors(errors: Column, fallback: Column, answered: Column, letters: Column, canonical: Column) -> Column:
+    """Format errors with those of a fallback and, where the accepted answers are letters, of an answer that isn't one."""
+    return F.array_compact(F.concat(errors, F.array(F.when(fallback, "vision_proxy_fallback"), F.when(answered & letters & ~canonical, "noncanonical_option_answer"))))
+
+
 def log_ratio(student: Column, teacher: Column) -> Column:
     """Sum of log-probability differences of sampled tokens; null unless the arrays are as long and all are at most 0."""
     fair = (F.size(student) == F.size(teacher)) & F.forall(student, lambda x: x <= 0) & F.forall(teacher, lambda x: x <= 0)

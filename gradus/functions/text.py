@@ -10,7 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 SECTIONS = ("vision", "reason", "reasoning", "answer")
 SCORE = "^(?:10|[0-9])$"
@@ -32,6 +32,12 @@ def normalized(texts: pd.Series) -> pd.Series:
     return texts.map(fold, na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def folded(lists: pd.Series) -> pd.Series:
+    """Each string of a list, normalised."""
+    return lists.map(lambda values: [fold(v) for v in values], na_action="ignore")
+
+
 def normalized_ascii(text: Column) -> Column:
     """The same for ASCII text, without leaving the JVM."""
     return F.trim(F.regexp_replace(F.lower(text), r"[\x09-\x0D\x1C-\x20]+", " "))
@@ -128,42 +134,41 @@ def masks(spans: Column, vision_start: Column, vision_end: Column, report_start:
     return F.struct(content.alias("content"), F.transform(content, lambda c: 1 - c).alias("report"), seen.alias("vision"))
 
 
-def choices(question: Column) -> Column:
-    """Map of option letter to normalised text; of a letter that repeats the last counts."""
-    pattern = r"(?m)^\s*([A-D])[.)]\s+([^\n]+)$"
-    pairs = F.zip_with(F.regexp_extract_all(question, F.lit(pattern), F.lit(1)), F.regexp_extract_all(question, F.lit(pattern), F.lit(2)), lambda a, b: F.struct(F.lower(a).alias("key"), normalized_ascii(b).alias("value")))
+def options(question: Column, part: int) -> Column:
+    """Letters (1) or texts (2) of the option lines of a question."""
+    return F.regexp_extract_all(question, F.lit(r"(?mdU)^\s*([A-D])[.)]\s+([^\n]+)$"), F.lit(part))
+
+
+def choices(letters: Column, texts: Column) -> Column:
+    """Map of option letter to text; of a letter that repeats the last counts."""
+    pairs = F.zip_with(letters, texts, lambda a, b: F.struct(F.lower(a).alias("key"), b.alias("value")))
     last = F.filter(pairs, lambda p, i: F.size(F.filter(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda x: x["key"] == p["key"])) == 0)
     return F.map_from_entries(last)
 
 
-def grade(answer: Column, accepted: Column, question: Column) -> tuple[Column, Column]:
-    """(correct, canonical) of a normalised answer against normalised accepted ones; options come from the question."""
-    letters = F.forall(accepted, lambda x: x.rlike("^[a-d]$"))
-    missing = F.coalesce(answer, F.lit("")) == ""
-    member = F.array_contains(accepted, answer)
-    letter, described = F.regexp_extract(answer, r"^([a-d])[.)]\s+(.+)$", 1), F.regexp_extract(answer, r"^([a-d])[.)]\s+(.+)$", 2)
-    option = F.array_contains(accepted, letter) & (F.try_element_at(choices(question), letter) == described)
-    plain = ~letters | answer.rlike("^[a-d]$")
-    correct = F.when(missing, False).when(plain, member).when(letter != "", F.coalesce(option, F.lit(False))).otherwise(False)
-    return correct, F.when(missing, False).otherwise(plain)
+def verify(answer: Column, accepted: Column) -> Column:
+    """Whether a normalised answer is an accepted one; null where there is none to look at."""
+    return F.when(F.coalesce(answer, F.lit("")) != "", F.array_contains(accepted, answer))
 
 
-def boxed(text: str | None) -> str | None:
-    """The content of the last ``\\boxed{...}`` whose braces balance."""
-    at = -1 if text is None else text.rfind("\\boxed{")
-    if at < 0:
-        return None
-    depth, start = 1, at + 7
-    for i in range(start, len(text)):
-        depth += {"{": 1, "}": -1}.get(text[i], 0)
-        if depth == 0:
-            return text[start:i]
-    return None
+def graded(rows: DataFrame, answer: str, accepted: str, question: str) -> DataFrame:
+    """Adds correct, canonical, and verified, which is null without an answer; answers, accepted and options are folded."""
+    own = {"_answer": F.get(folded(F.array(answer)), F.lit(0)), "_accepted": folded(F.col(accepted)), "_texts": folded(options(F.col(question), 2))}
+    rows = rows.withColumns(own)
+    correct, canonical = grade(F.col("_answer"), F.col("_accepted"), choices(options(F.col(question), 1), F.col("_texts")))
+    return rows.withColumns({"correct": correct, "canonical": canonical, "verified": verify(F.col("_answer"), F.col("_accepted"))}).drop(*own)
 
 
-@F.pandas_udf(StringType())
-def boxed_answer(texts: pd.Series) -> pd.Series:
-    return texts.map(boxed, na_action="ignore")
+def grade(answer: Column, accepted: Column, by_letter: Column) -> tuple[Column, Column]:
+    """(correct, canonical) of a normalised answer against normalised accepted ones and the map of ``choices``."""
+    letters = F.forall(accepted, lambda x: x.rlike(r"\A[a-d]\z"))
+    missing = F.coalesce(answer, F.lit("")) == ""
+    member = F.array_contains(accepted, answer)
+    letter, described = (F.regexp_extract(answer, r"(?d)\A([a-d])[.)] (.+)\z", i) for i in (1, 2))
+    option = F.array_contains(accepted, letter) & (F.try_element_at(by_letter, letter) == described)
+    plain = ~letters | answer.rlike(r"\A[a-d]\z")
+    correct = F.when(missing, False).when(plain, member).when(letter != "", F.coalesce(option, F.lit(False))).otherwise(False)
+    return correct, F.when(missing, False).otherwise(plain)
 
 
 def without_terminal(ids: Column, terminals: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import legacy_score
+from ..functions.legacy import verify
 from .calibration import calibration_error
 
 
@@ -24,13 +25,14 @@ def verified(examples: DataFrame, attempts: DataFrame) -> DataFrame:
     """Each example with per_fact, visual and answer (0 or 1), and the scores of parsed attempts.
 
     examples: id, facts map<string, array<string>> of accepted values, answers array<string>. attempts: id, parsed
-    (boolean), visual_facts map<string, string>, answer, visual_confidence and answer_confidence in percent.
+    (boolean), visual_facts map<string, string>, answer, visual_confidence and answer_confidence in percent. Values are
+    compared in their folded form.
     """
     rows = examples.join(attempts.withColumn("received", F.lit(True)), "id", "left")
+    rows = verify(rows)
     parsed = F.coalesce(F.col("parsed"), F.lit(False))
-    slot = F.transform_values("facts", lambda k, accepted: parsed & F.coalesce(F.array_contains(accepted, F.try_element_at("visual_facts", k)), F.lit(False)))
-    rows = rows.withColumn("parsed", parsed).withColumn("received", F.coalesce("received", F.lit(False))).withColumn("per_fact", slot)
-    rows = rows.withColumn("visual", F.forall(F.map_values("per_fact"), lambda x: x).cast("int")).withColumn("answer_ok", (parsed & F.coalesce(F.array_contains("answers", F.col("answer")), F.lit(False))).cast("int"))
+    rows = rows.withColumns({"parsed": parsed, "received": F.coalesce("received", F.lit(False)), "per_fact": F.transform_values("per_fact_correct", lambda k, ok: parsed & ok)})
+    rows = rows.withColumns({"visual": F.forall(F.map_values("per_fact"), lambda x: x).cast("int"), "answer_ok": (F.col("parsed") & F.col("answer_correct")).cast("int")})
     v, r = F.col("visual_confidence") / 100, F.col("answer_confidence") / 100
     scores = legacy_score(F.col("visual"), F.col("answer_ok"), v, r)
     return rows.select("id", "facts", "received", "parsed", "per_fact", "visual", "answer_ok", F.when(parsed, v).alias("v"), F.when(parsed, r).alias("r"), *[F.when(parsed, c).alias(name) for name, c in scores.items()])

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 QUANTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
 
@@ -112,7 +114,7 @@ def evaluate_rollouts(rows: DataFrame, threshold: float = 0.8, bins: int = 10) -
     scored, paired = label & answer.isNotNull(), eligible & visual.isNotNull()
     clean, both = F.size("format_errors") == 0, visual.isNotNull() & answer.isNotNull()
     confident = scored & (answer >= threshold)
-    reason = (F.trim("reason_text") != "") & ~F.arrays_overlap("format_errors", F.array(F.lit("missing_or_invalid_reason"), F.lit("empty_reason"), F.lit("misordered_reason")))
+    reason = (strip(F.col("reason_text")) != "") & ~F.arrays_overlap("format_errors", F.array(F.lit("missing_or_invalid_reason"), F.lit("empty_reason"), F.lit("misordered_reason")))
     count = lambda condition: F.count_if(F.coalesce(condition, F.lit(False)))
     n = F.count("*")
     measures = {

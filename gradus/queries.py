@@ -183,7 +183,7 @@ def win01_risk_coverage(spark, sf_dir):
 
 # Audit.
 
-_V = f"""{ATT}, v AS (SELECT *, coalesce(parsed AND said_status = status, false) AS f1, coalesce(parsed AND said_priority IN (priority, 'any'), false) AS f2, coalesce(parsed AND answer = 'yes', false) AS ok, visual_confidence / 100.0::DOUBLE AS vc, answer_confidence / 100.0::DOUBLE AS rc FROM a),
+_V = f"""{ATT}, v AS (SELECT *, parsed AND k % 3 <> 0 AS f1, parsed AND k % 4 <> 0 AS f2, parsed AND k % 2 = 0 AS ok, visual_confidence / 100.0::DOUBLE AS vc, answer_confidence / 100.0::DOUBLE AS rc FROM a),
 x AS (SELECT *, CAST(f1 AND f2 AS INT) AS visual, CAST(ok AS INT) AS answer_ok, CASE WHEN parsed THEN vc END AS v, CASE WHEN parsed THEN rc END AS r FROM v),
 z AS (SELECT *, 2 * visual + answer_ok AS util, -power(v - visual, 2) - visual * power(r - answer_ok, 2) AS cal FROM x)"""
 
@@ -641,19 +641,10 @@ def str06_canonical(spark, sf_dir):
     return rows.join(D.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("doc_id", "lang")
 
 
-@query("SELECT doc_id, doc_id % 6 IN (0, 2) AS correct, doc_id % 6 IN (0, 1) AS canonical FROM documents")
-def str07_grade_answers(spark, sf_dir):
-    """Options from the question; answers right and wrong, bare, with their text, with another's, and none."""
-    question = F.lit("Which?\nA. First  one\nB) Second One\nC. third\nD. fourth")
-    said = F.element_at(F.array(*map(F.lit, ["b", "c", "b) second one", "b. third", "second one", ""])), (F.col("doc_id") % 6 + 1).cast("int"))
-    correct, canonical = T.grade(T.normalized_ascii(said), F.array(F.lit("b")), question)
-    return D.table(spark, sf_dir, "documents").select("doc_id", correct.alias("correct"), canonical.alias("canonical"))
-
-
-@query("SELECT conv_id, turn, trim(regexp_replace(lower(text), '[\\x09-\\x0D\\x1C-\\x20]+', ' ', 'g')) AS folded FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("SELECT doc_id, trim(regexp_replace(replace(lower(nfc_normalize(replace(text, 'ﬁ', 'fi'))), 'ß', 'ss'), '[\\x09-\\x0D\\x1C-\\x20]+', ' ', 'g')) AS folded FROM (SELECT doc_id, concat(text, ' ﬁ Ä STRASSE Straße') AS text FROM documents) d")
 def str01_normalise(spark, sf_dir):
-    """Over ASCII texts, where SQL can follow; the operator folds all of Unicode."""
-    return D.table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("conv_id", "turn", T.normalized("text").alias("folded"))
+    """Over all documents, in four languages, each with a ligature and a sharp s."""
+    return D.table(spark, sf_dir, "documents").select("doc_id", T.normalized(F.concat("text", F.lit(" ﬁ Ä STRASSE Straße"))).alias("folded"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '1,2' ELSE concat('1,2,', doc_id % 3) END AS ids FROM documents")
@@ -746,16 +737,62 @@ def hsh01_content_digest(spark, sf_dir):
 
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'answer' WHEN n_chars % 120 > 100 THEN 'confidence' END AS error, CASE WHEN doc_id % 4 <> 0 AND n_chars % 120 <= 100 THEN lang END AS color, CASE WHEN doc_id % 4 <> 0 AND n_chars % 120 <= 100 THEN source END AS answer, CASE WHEN doc_id % 4 <> 0 AND n_chars % 120 <= 100 THEN CAST(n_chars % 120 AS INT) END AS visual_confidence FROM documents")
+_FAULT = f"CASE doc_id % {len(D.LEGACY_CASES)} {' '.join(f'WHEN {i} THEN {chr(39)}{e}{chr(39)}' for i, (_, e) in enumerate(D.LEGACY_CASES) if e)} END"
+_OLD = f"o AS (SELECT *, doc_id % {len(D.LEGACY_CASES)} AS kind, {_FAULT} AS error FROM ({D.duck(D.LEGACY)}) y)"
+_FITS = f"""{_OLD}, f AS (SELECT *, error IS NULL AS parsed, CASE WHEN error IS NULL THEN kind <> 3 END AS color_ok, CASE WHEN error IS NULL THEN kind IN (0, 1, 4) END AS shape_ok, CASE WHEN error IS NULL THEN kind <> 1 END AS answer_correct, CASE WHEN error IS NULL THEN n_chars % 101 END AS v FROM o),
+t AS (SELECT *, color_ok AND shape_ok AS visual_correct, power(v / 100.0::DOUBLE - CAST(color_ok AND shape_ok AS INT), 2) AS off FROM f)"""
+
+
+@query(f"WITH {_OLD} SELECT doc_id, error, CASE WHEN error IS NULL AND kind <> 3 THEN lang END AS color, CASE WHEN kind IN (0, 1, 4) THEN source END AS shape, CASE WHEN error IS NULL THEN CASE kind WHEN 1 THEN concat('frac', chr(123), '1', chr(125), chr(123), '2', chr(125)) ELSE source END END AS answer, CASE WHEN error IS NULL THEN CAST(n_chars % 101 AS INT) END AS visual_confidence, CASE WHEN error IS NULL THEN 90 END AS answer_confidence, CASE WHEN error IS NULL THEN CAST(strpos(completion, '<confidence>') - 1 AS INT) END AS report_start FROM o")
 def str10_legacy_completions(spark, sf_dir):
+    """Whole and faulty completions of the earlier format, over two slots."""
     from .functions.legacy import parsed
 
-    docs = D.table(spark, sf_dir, "documents")
-    facts = F.concat(F.lit('{"color": "'), "lang", F.lit('"}'))
-    said = F.when(F.col("doc_id") % 4 == 0, F.lit("none")).otherwise(F.concat(F.lit("\\boxed{"), "source", F.lit("}")))
-    text = F.concat(F.lit("<think><vision>"), facts, F.lit("</vision><reasoning>so</reasoning></think><answer>"), said, F.lit("</answer><confidence><visual>"), (F.col("n_chars") % 120).cast("string"), F.lit("</visual><conditional>"), (F.col("doc_id") % 101).cast("string"), F.lit("</conditional></confidence>"))
-    rows = docs.select("doc_id", text.alias("t")).withColumn("p", parsed("t"))
-    return rows.select("doc_id", "p.error", F.try_element_at("p.facts", F.lit("color")).alias("color"), "p.answer", "p.visual_confidence")
+    rows = D.view(spark, sf_dir, D.LEGACY).withColumn("slots", F.array(F.lit("color"), F.lit("shape"))).withColumn("p", parsed("completion", "slots"))
+    fact = lambda name: F.try_element_at("p.facts", F.lit(name)).alias(name)
+    return rows.select("doc_id", "p.error", fact("color"), fact("shape"), "p.answer", "p.visual_confidence", "p.answer_confidence", "p.report_start")
+
+
+@query(f"WITH {_FITS} SELECT doc_id, parsed, error AS format_error, color_ok, shape_ok, visual_correct, answer_correct, 2 * CAST(visual_correct AS INT) + CAST(answer_correct AS INT) + 0.0::DOUBLE AS utility, -off - CAST(visual_correct AS INT) * power(0.9::DOUBLE - CAST(answer_correct AS INT), 2) AS calibration FROM t", "utility calibration")
+def str12_attempts(spark, sf_dir):
+    """Attempts with all their evidence; accepted values differ from what is said in case, spaces and width."""
+    from .functions.legacy import attempts
+
+    wide = F.translate("source", "0123456789", "０１２３４５６７８９")
+    facts = F.create_map(F.lit("color"), F.array(F.upper("lang"), F.lit("any")), F.lit("shape"), F.array(F.concat(F.lit(" "), F.upper("source"), F.lit("\n"))))
+    rows = attempts(D.view(spark, sf_dir, D.LEGACY).withColumns({"facts": facts, "answers": F.array(wide)}))
+    return rows.select("doc_id", "parsed", "format_error", F.col("per_fact_correct")["color"].alias("color_ok"), F.col("per_fact_correct")["shape"].alias("shape_ok"), "visual_correct", "answer_correct", "utility", "calibration")
+
+
+@query(f"WITH {_FITS}, r AS (SELECT doc_id, CASE WHEN parsed THEN 2 * CAST(visual_correct AS INT) + CAST(answer_correct AS INT) - off - CAST(visual_correct AS INT) * power(0.9::DOUBLE - CAST(answer_correct AS INT), 2) ELSE -2 END AS content, CASE WHEN parsed THEN -off - CAST(visual_correct AS INT) * power(0.9::DOUBLE - CAST(answer_correct AS INT), 2) ELSE -3 END AS report FROM t) SELECT doc_id, CAST(content AS DOUBLE) AS content, CAST(report AS DOUBLE) AS report FROM r", "content report")
+def mth08_attempt_rewards(spark, sf_dir):
+    """Rewards of attempts in the earlier format, with the constants of malformed ones."""
+    from .functions.legacy import attempts
+
+    facts = F.create_map(F.lit("color"), F.array("lang"), F.lit("shape"), F.array("source"))
+    rows = attempts(D.view(spark, sf_dir, D.LEGACY).withColumns({"facts": facts, "answers": F.array("source")}))
+    return rows.select("doc_id", *[c.alias(n) for n, c in K.attempt_rewards(F.col("parsed"), F.col("calibration"), F.col("total")).items()])
+
+
+@query(f"WITH {R}, x AS (SELECT *, CASE WHEN answer_label_available THEN {_Y} END AS y FROM r) SELECT id, coalesce(y, 0.0) AS utility, -coalesce(power(answer_confidence - y, 2), 1.0) - coalesce(power(visual_confidence - visual_proxy, 2), 1.0) - CASE WHEN e1 OR e2 THEN 0.5::DOUBLE ELSE 0 END AS report FROM x", "utility report")
+def mth07_unlabelled_rewards(spark, sf_dir):
+    """The earlier reward block: answers without a label earn nothing and their report costs the most."""
+    answer = F.when(F.col("answer_label_available"), F.col("answer_correct").cast("double"))
+    block = K.unlabelled_block(answer, F.col("visual_proxy"), F.col("visual_confidence"), F.col("answer_confidence"), F.size("format_errors") > 0)
+    return D.rollouts(spark, sf_dir).select("id", block["utility"].alias("utility"), block["report"].alias("report"))
+
+
+_SAID = ("b", "c", "b) second ﬁve", "b. third", "second ﬁve", "", "Ｂ", "b.  SECOND\u00a0FIVE", None)
+
+
+@query(f"WITH k AS (SELECT doc_id, doc_id % {len(_SAID)} AS kind FROM documents) SELECT doc_id, kind IN (0, 2, 6, 7) AS correct, kind IN (0, 1, 6) AS canonical, CASE WHEN kind NOT IN (5, 8) THEN kind IN (0, 6) END AS verified, CASE WHEN kind IN (2, 3, 4, 7) THEN 'noncanonical_option_answer' ELSE '' END AS errors FROM k")
+def str07_grade_answers(spark, sf_dir):
+    """Options from the question; answers right and wrong, bare, wide, with their text, with another's, and none."""
+    docs = D.table(spark, sf_dir, "documents").select("doc_id", F.lit("Which?\nA. First  one\nB) Second ﬁve\nC. third\nD. fourth").alias("question"), F.array(F.lit("ｂ")).alias("accepted"))
+    said = F.get(F.array(*[F.lit(x).cast("string") for x in _SAID]), (F.col("doc_id") % len(_SAID)).cast("int"))
+    rows = T.graded(docs.withColumn("said", said), "said", "accepted", "question")
+    errors = K.rollout_errors(F.array().cast("array<string>"), F.lit(False), F.col("verified").isNotNull(), F.lit(True), F.col("canonical"))
+    return rows.select("doc_id", "correct", "canonical", "verified", F.array_join(errors, ",").alias("errors"))
 
 
 @query("SELECT doc_id, concat('/data/', CASE WHEN doc_id % 2 = 0 THEN 'abs' ELSE concat('set/', source) END) AS image FROM documents")

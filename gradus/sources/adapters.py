@@ -40,10 +40,46 @@ REWARDS = "SELECT event_id, CAST(floor(event_id / 4) AS BIGINT) AS grp, value AS
 #: Attempts at stating an order's status and priority; some are missing, some malformed.
 ATTEMPTS = """
 SELECT CAST(o_orderkey AS STRING) AS id, o_orderkey AS k, o_orderstatus AS status, o_orderpriority AS priority, o_orderkey % 5 <> 0 AS received, o_orderkey % 5 <> 0 AND o_orderkey % 11 <> 0 AS parsed,
-  CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS said_status, CASE WHEN o_orderkey % 4 = 0 THEN '9-NONE' ELSE o_orderpriority END AS said_priority, CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END AS answer,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'X' WHEN o_orderkey % 7 = 1 THEN concat(' ', lower(o_orderstatus), chr(9)) ELSE o_orderstatus END AS said_status, CASE WHEN o_orderkey % 4 = 0 THEN '9-NONE' ELSE o_orderpriority END AS said_priority, CASE WHEN o_orderkey % 8 = 6 THEN 'ＹＥＳ' WHEN o_orderkey % 4 = 0 THEN ' Yes' WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE 'no' END AS answer,
   CAST((o_orderkey * 7) % 101 AS INT) AS visual_confidence, CAST((o_orderkey * 11) % 101 AS INT) AS answer_confidence
 FROM {orders}"""
 
+
+def _legacy(vision: str, answer: str = "concat(chr(92), 'boxed', chr(123), source, chr(125))", visual: str = "CAST(n_chars % 101 AS STRING)", conditional: str = "'90'", reasoning: str = "'so'", gap: str = "''", tail: str = "''", space: str = "''") -> str:
+    return f"concat({space}, '<think>', {space}, '<vision>', {vision}, '</vision>', {space}, '<reasoning>', {reasoning}, '</reasoning></think>', {space}, {answer}, {space}, {gap}, '<confidence><vision_confidence>', {visual}, '</vision_confidence>', {space}, '<conditional_answer_confidence>', {conditional}, '</conditional_answer_confidence></confidence>', {space}, {tail})"
+
+
+def _object(*pairs: str) -> str:
+    return f"concat(chr(123), {', '.join([*pairs]) or chr(39) * 2}, chr(125))"
+
+
+_COLOR, _SHAPE = "'\"color\": \"', lang, '\"'", "', \"shape\": \"', source, '\"'"
+#: Completions of the earlier format over slots color and shape: SQL of the text, and the code of its fault.
+LEGACY_CASES: tuple[tuple[str, str | None], ...] = (
+    (_legacy(_object(_COLOR, _SHAPE)), None),
+    (_legacy(_object(_COLOR, _SHAPE), answer="concat(chr(92), 'boxed', chr(123), 'frac', chr(123), '1', chr(125), chr(123), '2', chr(125), chr(125))"), None),
+    (_legacy(_object(_COLOR)), None),
+    (_legacy(_object()), None),
+    (_legacy(_object(_COLOR, _SHAPE), space="concat(chr(10), chr(32), chr(9))"), None),
+    (_legacy(_object(_COLOR, "', \"size\": \"x\"'")), "unknown_fact"),
+    (_legacy(_object(_COLOR, "', \"color\": \"x\"'")), "repeated_fact"),
+    (_legacy(_object("'\"color\": 42'")), "fact_not_string"),
+    (_legacy(_object("'color'")), "facts_not_json"),
+    (_legacy("'[\"color\"]'"), "facts_not_object"),
+    (_legacy(_object(_COLOR), visual="'101'"), "confidence"),
+    (_legacy(_object(_COLOR), visual="'08'"), "confidence"),
+    (_legacy(_object(_COLOR), conditional="'90.0'"), "confidence"),
+    (_legacy(_object(_COLOR), tail="' extra'"), "confidence"),
+    (_legacy(_object(_COLOR), gap="'<analysis>maybe</analysis>'"), "confidence"),
+    (_legacy(_object(_COLOR), answer="source"), "boxed_answer"),
+    (_legacy(_object(_COLOR), answer="concat(chr(92), 'boxed', chr(123), source)"), "boxed_answer"),
+    (_legacy(_object(_COLOR), reasoning="' '"), "empty_reasoning"),
+    (_legacy(_object(_COLOR), answer="concat(chr(92), 'boxed', chr(123), ' ', chr(125))"), "empty_answer"),
+    ("concat('text alone ', source)", "structure"),
+    ("CAST(NULL AS STRING)", "missing"),
+)
+LEGACY = f"SELECT doc_id, lang, source, n_chars, CASE doc_id % {len(LEGACY_CASES)} {' '.join(f'WHEN {i} THEN {text}' for i, (text, _) in enumerate(LEGACY_CASES))} END AS completion FROM {{documents}}"
+
 #: Tagged completions with nine kinds of faults.
 COMPLETIONS = """
 SELECT doc_id, CASE doc_id % 9

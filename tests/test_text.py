@@ -49,13 +49,14 @@ def test_masks(spark):
 )
 def test_grading(spark, answer, accepted, want):
     rows = spark.createDataFrame([(answer, accepted, "Which?\nA. Cat\n B) Dog")], "a string, k array<string>, q string")
-    correct, canonical = T.grade(F.col("a"), F.col("k"), F.col("q"))
-    assert tuple(rows.select(correct, canonical).first()) == want
+    got = T.graded(rows, "a", "k", "q").first()
+    assert (got["correct"], got["canonical"]) == want
+    assert got["verified"] == (answer in accepted if answer else None)
 
 
 def test_choices_last_counts(spark):
     rows = spark.createDataFrame([("A. one\nB. two\nA. three",), ("none",)], "q string")
-    assert [r[0] for r in rows.select(T.choices(F.col("q"))).collect()] == [{"b": "two", "a": "three"}, {}]
+    assert [r[0] for r in rows.select(T.choices(T.options(F.col("q"), 1), T.options(F.col("q"), 2))).collect()] == [{"b": "two", "a": "three"}, {}]
 
 
 def test_folding(spark):
@@ -71,21 +72,31 @@ def test_terminals_and_messages(spark):
     assert [x["role"] for x in m] == ["system", "user"] and m[1]["content"][1]["text"] == "Question: Q?"
 
 
-@pytest.mark.parametrize(("text", "want"), [("\\boxed{a{b}c}", "a{b}c"), ("\\boxed{x} \\boxed{y}", "y"), ("\\boxed{open", None), ("none", None), (None, None)])
-def test_boxed(text, want):
-    assert T.boxed(text) == want
+LEGACY = "<think><vision>{}</vision><reasoning>{}</reasoning></think>{}{}<confidence><vision_confidence>{}</vision_confidence><conditional_answer_confidence>{}</conditional_answer_confidence></confidence>{}"
+
+
+@pytest.mark.parametrize(
+    ("parts", "error"),
+    [({}, None), ({"facts": "{}"}, None), ({"facts": '{"object": "a", "extra": "v"}'}, "unknown_fact"), ({"facts": '{"object": "a", "object": "b"}'}, "repeated_fact"), ({"facts": '{"object": 42}'}, "fact_not_string"), ({"facts": "[]"}, "facts_not_object"), ({"facts": "x"}, "facts_not_json"),
+     ({"answer": "\\boxed{\\frac{1}{2}}"}, None), ({"answer": "yes"}, "boxed_answer"), ({"answer": "\\boxed{open"}, "boxed_answer"), ({"answer": "\\boxed{ }"}, "empty_answer"), ({"reasoning": "\n"}, "empty_reasoning"), ({"visual": "101"}, "confidence"), ({"visual": "08"}, "confidence"), ({"conditional": "90.0"}, "confidence"), ({"tail": " extra"}, "confidence"), ({"gap": "<analysis>x</analysis>"}, "confidence"), ({"gap": "\n ", "tail": "\n"}, None)],
+)
+def test_legacy_grammar(parts, error):
+    p = {"facts": '{"object": "square", "颜色": "blue"}', "reasoning": "so", "answer": "\\boxed{square}", "gap": "", "visual": "80", "conditional": "90", "tail": ""} | parts
+    text = LEGACY.format(*(p[k] for k in ("facts", "reasoning", "answer", "gap", "visual", "conditional", "tail")))
+    got = legacy.parse(text, {"object", "颜色"})
+    assert got[0] == error
+    if error is None:
+        assert got[3] == p["answer"][7:-1] and got[4:] == (80, 90, text.index("<confidence>"))
 
 
 def test_legacy_attempts(spark):
-    def make(facts='{"color": "red"}', answer="\\boxed{yes}", v="90", r="80"):
-        return f"<think><vision>{facts}</vision><reasoning>so</reasoning></think><answer>{answer}</answer><confidence><visual>{v}</visual><conditional>{r}</conditional></confidence>"
-
-    texts = [make(), make(facts='{"a": "x", "a": "y"}'), make(facts="[]"), make(answer="yes"), make(v="101"), make(r="080"), "no", None]
-    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    got = [r[0] for r in rows.orderBy("i").select(legacy.parsed("t")).collect()]
-    assert [g["error"] for g in got] == [None, "facts", "facts", "answer", "confidence", "confidence", "structure", "missing"]
-    assert (got[0]["facts"], got[0]["answer"], got[0]["visual_confidence"]) == ({"color": "red"}, "yes", 90)
-    assert legacy.accepts(" YES ", ["yes"]) and not legacy.accepts(None, ["yes"])
+    text = LEGACY.format('{"color": " ＲＥＤ "}', "so", "\\boxed{Yes}", "", 80, 90, "")
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "no")], "i int, completion string")
+    rows = rows.withColumns({"facts": F.expr("map('color', array('blue', 'red'), 'shape', array('x'))"), "answers": F.expr("array('yes')")})
+    got = legacy.attempts(rows).orderBy("i").collect()
+    assert [(r["format_error"], r["visual_correct"], r["answer_correct"]) for r in got] == [(None, False, True), ("missing", None, None), ("structure", None, None)]
+    assert got[0]["per_fact_correct"] == {"color": True, "shape": False} and got[1]["per_fact_correct"] is None
+    assert round(got[0]["total"], 9) == round(1 - 0.8**2, 9)
 
 
 def test_digests(spark):
