@@ -1,19 +1,28 @@
 """Exact Jaccard self-join of documents' word shingles by parity sketches.
 
 Sets A and B with similarity of at least t differ in d <= (|A| + |B|) (1 - t) / (1 + t) shingles. Sets are put in bands
-by size, and in a band of largest d each shingle flips one bit of one of d + 1 + E + R parts of a bit sketch. A shingle
-that both sets have cancels in the XOR of their sketches, so the Hamming distance never exceeds d, and at least
+by size, and in a band of largest d each shingle flips one bit of one of P = d + 1 + E + R parts of a bit sketch. A
+shingle that both sets have cancels in the XOR of their sketches, so the Hamming distance never exceeds d, and at least
 1 + E + R parts agree in all bits. Documents are joined on those parts; a hash of (band, part, bits) is the join key.
 
 An empty part says nothing and is no key. A set with at most E empty parts shares 1 + R keys at least with each that it
 links to. A set with more is dealt anew with another seed, under whose parts it is joined too: two sets that agree in
 too many empty parts both have over E of them and meet there.
 
-Pairs of small buckets are counted, and those with 1 + R common keys compared: first their whole sketches, then the sets
-of shingles themselves. A bucket of over SMALL members belongs to a family (the components of such buckets); members of
-a family are compared in square blocks of bounded size, and only links that join two groups of a block go out.
+Parts are dealt to groups, and a key comes with its mark, the parity sketch of its group in 32 bits. A group of q parts
+in which two sets differ by q shingles or more need have no part in common, and the sum of q - (differing shingles) over
+the other groups is 1 + E + R at least. So only members of a bucket whose marks are under q bits apart count, and a
+linked pair still has 1 + R such keys. Passages that many documents share thus make few candidates: the rest of the
+group differs.
 
-Equal sets are one vertex throughout, so copies never meet as pairs.
+Candidates with 1 + R common keys go on to a comparison of whole sketches, four bits or more for each shingle. What is
+near there belongs to one family, in which the sets of shingles themselves are compared, in square blocks of bounded
+size; only links that join two groups of a block go out. Two kinds of buckets make families by themselves: those whose
+members are mostly near each other, as of many near copies, and those of over GATHERED members. Of the latter a set may
+leave out R by band, as it then still has a common key with each that it links to.
+
+Equal sets are one vertex throughout, so copies never meet as pairs. Keys are worked off in SLICES, one after another,
+which bounds the disk that their shuffles take.
 """
 
 from __future__ import annotations
@@ -29,14 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Hashes, as_bytes, drop, fresh, mix, place, ready, shingles, small, stored, words
-
-#: Bits of a part; members of a bucket that are compared as pairs; members of a block.
-PART_BITS, SMALL, BLOCK = 128, 40, 256
-#: Low bits of a join key that tell its band.
-BAND_BITS = 9
-#: Bits of the whole-set sketch by which pairs are first compared.
-SKETCH = 2048
+from .shared import Hashes, as_bytes, drop, fresh, mix, place, ready, shingles, small, stored, tidy, words
+
+#: Bits of a part; parts of a group.
+PART_BITS, GROUP = 128, 6
+#: Members of a bucket that are gathered; pairs a member by which a bucket goes out as pairs, else as a family.
+GATHERED, DENSE = 2048, 16
+#: Members of a block, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
+#: Low bits of a join key that tell its band; the next ones tell its slice.
+BAND_BITS, SLICES = 9, 4
 #: Seeds tried at most; a set that still has too many empty parts then also joins on them.
 SEEDS = 24
 
@@ -59,7 +70,7 @@ def parts_of(band: int, lows: list[int], t: Fraction) -> tuple[int, int, int]:
     """Parts of the band's sketches, E and R. The band also takes larger sets that can link to one of its own."""
     top = lows[band + 1] - 1
     d = differ(top, int(top / t), t)
-    more = d // 24
+    more = (d + 4) // 8
     # Empty parts of the band's smallest sets: their mean, and two deviations.
     mean = (d + 1 + more) * math.exp(-lows[band] / (1.06 * (d + 1 + more)))
     empty = 1 + int(1.2 * mean + 2 * math.sqrt(mean)) if d else 0
@@ -67,43 +78,49 @@ def parts_of(band: int, lows: list[int], t: Fraction) -> tuple[int, int, int]:
 
 
 class Keys:
-    """Join keys of shingle sets. It is made by the driver, so all tasks lay out parts alike."""
+    """Join keys of shingle sets, and their marks. It is made by the driver, so all tasks lay out parts alike."""
 
     def __init__(self, t: Fraction):
         self.t, self.lows = t, bands(t)
         self.starts = np.array(self.lows)
         self.layout = [parts_of(b, self.lows, t) for b in range(len(self.lows) - 1)]
+        self.groups = [max(1, parts // GROUP) for parts, _, _ in self.layout]
+        #: By band, the bits by which marks of a group with a common part may differ.
+        self.apart = np.array([-(-parts // groups) - 1 for (parts, _, _), groups in zip(self.layout, self.groups, strict=True)])
 
-    def of(self, own: np.ndarray) -> np.ndarray:
+    def of(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(own)
         band = int(np.searchsorted(self.starts, n, "right")) - 1
-        out = [self._band(own, band)]
+        out = self._band(own, band)
         # Where the largest set of the band below can link to this one, they meet under that band's parts.
         while band and (self.lows[band] - 1) * self.t.denominator >= n * self.t.numerator:
             band -= 1
-            out.append(self._band(own, band))
-        return np.unique(np.concatenate(out))
+            out += self._band(own, band)
+        return np.concatenate([k for k, _ in out]), np.concatenate([m for _, m in out])
 
-    def _band(self, own: np.ndarray, band: int) -> np.ndarray:
-        parts, spare, _ = self.layout[band]
-        out = []
+    def _band(self, own: np.ndarray, band: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        parts, spare, more = self.layout[band]
+        low, out = np.uint64((1 << BAND_BITS) - 1), []
         for seed in range(SEEDS):
-            last = seed == SEEDS - 1
             salt = np.uint64(((band << 8 | seed) * 2 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
             dealt = mix(own ^ salt)
             part = ((dealt >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            cell = mix((part * np.uint64(PART_BITS) + (dealt & np.uint64(PART_BITS - 1))) ^ salt)
             order = np.argsort(part.astype(np.uint16) if parts < 65_536 else part, kind="stable")
-            part, cell = part[order], cell[order]
+            part, dealt = part[order], dealt[order]
+            cell = mix((part * np.uint64(PART_BITS) + (dealt & np.uint64(PART_BITS - 1))) ^ salt)
             first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             sketch = np.bitwise_xor.reduceat(cell, first)
-            out.append(mix(sketch ^ mix(part[first] ^ salt)))
+            group = (part * np.uint64(self.groups[band])) // np.uint64(parts)
+            border = np.concatenate(([True], group[1:] != group[:-1]))
+            mark = np.bitwise_xor.reduceat(np.uint32(1) << (dealt >> np.uint64(8) & np.uint64(31)).astype(np.uint32), np.flatnonzero(border))
+            keys = mix(sketch ^ mix(part[first] ^ salt))
+            out.append((keys & ~low | np.uint64(band), mark[(np.cumsum(border) - 1)[first]]))
             if parts - len(first) <= spare:
                 break
-            if last:
-                out.append(np.array([salt], np.uint64))
-        low = np.uint64((1 << BAND_BITS) - 1)
-        return np.concatenate(out) & ~low | np.uint64(band)
+        else:  # sets that all seeds leave too many empty parts all meet
+            keys = mix(np.arange(1 + more, dtype=np.uint64) ^ salt)
+            out.append((keys & ~low | np.uint64(band), np.zeros(1 + more, np.uint32)))
+        return out
 
 
 def _digest(own: np.ndarray) -> tuple[int, int]:
@@ -115,15 +132,13 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint64).view(np.int64)
 
 
-def _profiles(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """(id, mark, n, node, rest, keys): a digest in two longs for equal sets, and the join keys. Empty sets have nulls."""
-
-    keys = Keys(t)
+def _profiles(docs: DataFrame, k: int, keys: Keys) -> DataFrame:
+    """(id, mark, n, node, rest, sketch, and keys and marks by slice): node and rest tell equal sets. Empty sets have nulls."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            n, node, rest, found = [], [], [], []
+            n, node, rest, sketch, found = [], [], [], [], []
             for text in as_bytes(b.column("text")):
                 own = shingles(hashes.of(words(text)), k)
                 n.append(len(own))
@@ -131,21 +146,32 @@ def _profiles(docs: DataFrame, k: int, t: Fraction) -> DataFrame:
                     hi, lo = _digest(own)
                     node.append(hi - (1 << 64) if hi >> 63 else hi)
                     rest.append(lo - (1 << 64) if lo >> 63 else lo)
-                    found.append(_signed(keys.of(own)))
+                    sketch.append(_sketch(own, _bits(len(own))).tobytes())
+                    found.append(keys.of(own))
                 else:
                     node.append(None)
                     rest.append(None)
-                    found.append(np.zeros(0, np.int64))
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in found])))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(rest, pa.int64()), lists], ["id", "mark", "n", "node", "rest", "keys"])
-
-    return docs.mapInArrow(work, f"id {dict(docs.dtypes)['id']}, mark long, n long, node long, rest long, keys array<long>")
-
-
-def _sets(docs: DataFrame, k: int, whole: bool) -> DataFrame:
-    """(node, rest, shingles): the set's hashes as bytes; or (node, rest, sketch) if not whole."""
-    name = "shingles" if whole else "sketch"
+                    sketch.append(None)
+                    found.append((np.zeros(0, np.uint64), np.zeros(0, np.uint32)))
+            columns = [b.column("id"), b.column("mark"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(rest, pa.int64()), pa.array(sketch, pa.binary())]
+            owner = np.repeat(np.arange(len(found)), [len(x) for x, _ in found])
+            every, marks = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, kind) for i, kind in enumerate((np.uint64, np.uint32)))
+            of = every >> np.uint64(BAND_BITS) & np.uint64(SLICES - 1)
+            for s in range(SLICES):
+                own = of == s
+                ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner[own], minlength=len(found))))), pa.int32())
+                columns += [pa.ListArray.from_arrays(ends, pa.array(every[own].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(marks[own].view(np.int32)))]
+            yield pa.RecordBatch.from_arrays(columns, names)
+        tidy()
+
+    by_slice = [f"{what}{s}" for s in range(SLICES) for what in ("keys", "marks")]
+    names = ["id", "mark", "n", "node", "rest", "sketch", *by_slice]
+    kinds = ", ".join(f"{c} array<{'long' if c.startswith('keys') else 'int'}>" for c in by_slice)
+    return docs.mapInArrow(work, f"id {dict(docs.dtypes)['id']}, mark long, n long, node long, rest long, sketch binary, {kinds}")
+
+
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """(node, rest, shingles): the sets' hashes as bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -157,10 +183,11 @@ def _sets(docs: DataFrame, k: int, whole: bool) -> DataFrame:
                     hi, lo = _digest(own)
                     node.append(hi - (1 << 64) if hi >> 63 else hi)
                     rest.append(lo - (1 << 64) if lo >> 63 else lo)
-                    found.append(own.tobytes() if whole else _sketch(own, SKETCH).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(rest, pa.int64()), pa.array(found, pa.binary())], ["node", "rest", name])
+                    found.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(rest, pa.int64()), pa.array(found, pa.binary())], ["node", "rest", "shingles"])
+        tidy()
 
-    return docs.mapInArrow(work, f"node long, rest long, {name} binary")
+    return docs.mapInArrow(work, "node long, rest long, shingles binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
@@ -176,45 +203,99 @@ def linked(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
     return both * t.denominator >= (x + y - both) * t.numerator
 
 
+def _bits(n: int) -> int:
+    """Bits of the whole sketch of n shingles: a power of two of at least four for each."""
+    return max(256, 1 << (4 * n - 1).bit_length())
+
+
 def _sketch(own: np.ndarray, bits: int) -> np.ndarray:
     """A parity sketch of a whole set: bit i is the number, modulo 2, of shingles dealt to it."""
     odd = np.bincount((own >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def _far(a: np.ndarray, b: np.ndarray) -> int:
+    """The Hamming distance of two sketches; the longer is folded, as the XOR of its halves is the shorter sketch."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _near(pairs: DataFrame, t: Fraction) -> DataFrame:
     """(u, v) of those (u, v, nu, nv, a, b) whose sketches a and b aren't farther apart than linked sets can be."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            far = np.bitwise_count(_rows(b.column("a")) ^ _rows(b.column("b"))).sum(1)
             most = (b.column("nu").to_numpy() + b.column("nv").to_numpy()) * (t.denominator - t.numerator) // (t.denominator + t.numerator)
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(far <= most))
+            ok = [_far(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) <= m for x, y, m in zip(b.column("a"), b.column("b"), most, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.mapInArrow(work, "u long, v long")
 
 
-def _rows(sketches: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in sketches), np.uint64).reshape(len(sketches), SKETCH // 64)
+def _met(buckets: DataFrame, keys: Keys) -> DataFrame:
+    """(band, u, v) of the pairs in buckets (bucket, m) of (node, mark) whose marks allow a link.
 
-
-def _needs(t: Fraction) -> list[int]:
-    """By band, the parts that a linked pair has in common at least."""
-    lows = bands(t)
-    return [1 + parts_of(b, lows, t)[2] for b in range(len(lows) - 1)]
-
-
-def _verified(pairs: DataFrame, t: Fraction) -> DataFrame:
-    """(u, v) of those (u, v, a, b) whose sets a and b link."""
+    Of a bucket with over ``DENSE`` such pairs a member, (-1, member, the first of those that it is near to in steps).
+    """
+    apart, dense = keys.apart, DENSE
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), t) for x, y in zip(b.column("a"), b.column("b"), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    return pairs.mapInArrow(work, "u long, v long")
+            lists = b.column("m")
+            flat = lists.flatten()
+            node, mark = flat.field("node").to_numpy(), flat.field("mark").to_numpy().view(np.uint32)
+            band = b.column("bucket").to_numpy() & (1 << BAND_BITS) - 1
+            owner = np.repeat(np.arange(len(band)), lists.value_lengths().to_numpy())
+            order = np.lexsort((node, owner))
+            node, mark, owner = node[order], mark[order], owner[order]
+            new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (node[1:] != node[:-1]))) if len(node) else np.zeros(0, bool)
+            node, mark, owner = node[new], mark[new], owner[new]
+            many = np.bincount(owner, minlength=len(band))
+            start = np.cumsum(many) - many
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for m in np.unique(many):
+                if m < 2:
+                    continue
+                which = np.flatnonzero(many == m)
+                if m <= 2 * dense + 1:  # never dense
+                    i, j = np.triu_indices(m, 1)
+                    for some in np.array_split(which, -(-len(which) * len(i) // 1_000_000)):
+                        at = start[some][:, None]
+                        ok = np.bitwise_count(mark[at + i] ^ mark[at + j]) <= apart[band[some]][:, None]
+                        of, pair = np.nonzero(ok)
+                        out.append((band[some][of], node[start[some][of] + i[pair]], node[start[some][of] + j[pair]]))
+                else:
+                    for x in which:
+                        out.append(_large(band[x], node[start[x] : start[x] + m], mark[start[x] : start[x] + m], apart, dense))
+            columns = [np.concatenate([o[c] for o in out]) if out else np.zeros(0, np.int64) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int32)), pa.array(columns[1]), pa.array(columns[2])], ["band", "u", "v"])
+        tidy()
+
+    return buckets.mapInArrow(work, "band int, u long, v long")
+
+
+def _large(band: int, node: np.ndarray, mark: np.ndarray, apart: np.ndarray, dense: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_met`` has of one bucket of distinct nodes."""
+    m, first, second, found = len(node), [], [], 0
+    group = np.arange(m)
+    for i in range(m - 1):
+        near = i + 1 + np.flatnonzero(np.bitwise_count(mark[i + 1 :] ^ mark[i]) <= apart[band])
+        found += len(near)
+        if found <= dense * m:
+            first.append(np.full(len(near), i))
+            second.append(near)
+        # A group is named by its first member.
+        named = np.unique(np.append(group[near], group[i]))
+        if len(named) > 1:
+            group[np.isin(group, named)] = named[0]
+    if found <= dense * m:
+        i, j = np.concatenate(first), np.concatenate(second)
+        return np.full(len(i), band), node[i], node[j]
+    other = np.flatnonzero(group != np.arange(m))
+    return np.full(len(other), -1), node[other], node[group[other]]
 
 
 def _compare(vertex: np.ndarray, side: np.ndarray, same: bool, sets: list[np.ndarray], t: Fraction) -> list[tuple[int, int]]:
@@ -222,8 +303,7 @@ def _compare(vertex: np.ndarray, side: np.ndarray, same: bool, sets: list[np.nda
     order = np.argsort([len(s) for s in sets], kind="stable")
     vertex, side, sets = vertex[order], side[order], [sets[i] for i in order]
     size = np.array([len(s) for s in sets])
-    bits = 1 << max(9, int(4 * size.max() - 1).bit_length())
-    bits = min(bits, 1 << 16)
+    bits = min(_bits(int(size.max())), 1 << 16)
     sketches = np.stack([_sketch(s, bits) for s in sets])
     group, out = np.arange(len(sets)), []
     for i in range(len(sets)):
@@ -246,8 +326,8 @@ def _compare(vertex: np.ndarray, side: np.ndarray, same: bool, sets: list[np.nda
 
 def _blocks(members: DataFrame, t: Fraction) -> DataFrame:
     """Links within families: (family, u, shingles) to (u, v)."""
-    counts = members.groupBy("family").agg(F.count("*").alias("members"))
-    dealt = members.join(small(counts), "family").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    counts = members.groupBy("family").agg(F.count("*").alias("members"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    dealt = members.join(small(counts), "family").withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("u", F.lit("block")), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "u", "shingles")
@@ -261,65 +341,73 @@ def _blocks(members: DataFrame, t: Fraction) -> DataFrame:
     return dealt.groupBy("family", "one", "two").applyInArrow(work, "u long, v long")
 
 
-def _named(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
-    """For (id, mark, text): profiles of all rows, and (node, rest, component_id, keeper_id, keeper_mark) of all sets."""
-    spark = docs.sparkSession
-    whole = stored(_profiles(docs, k, t), "keys")
-    profiles = stored(whole.drop("keys"), "profiles")
-    # Vertices: one for each set. Its keeper is the row of the smallest id, then the smallest mark.
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
-    vertices = profiles.where("node is not null").groupBy("node", "rest").agg(F.min(order).alias("keeper"), F.first("n").alias("n"))
-    vertices = stored(vertices, "vertices")
-    keyed = whole.select("node", F.explode("keys").alias("bucket"))
+def _slice(whole: DataFrame, s: int, keys: Keys) -> tuple[DataFrame, DataFrame]:
+    """Of one slice of the keys: (band, u, v, common) of pairs and, for band -1, of families; (node, bucket, hub) of buckets of over GATHERED sets."""
+    plain = whole.select("node", F.explode(f"keys{s}").alias("bucket"))
+    keyed = whole.select("node", F.explode(F.arrays_zip(F.col(f"keys{s}").alias("bucket"), F.col(f"marks{s}").alias("mark"))).alias("k")).select("node", "k.bucket", "k.mark")
     # Buckets with two sets at least, found with fixed-width aggregates that combine before the shuffle.
-    shared = keyed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("rows")).where("low < high")
-    shared = stored(shared.select("bucket", F.least("rows", F.lit(SMALL + 1)).cast("int").alias("rows")), "shared")
-    # Rows may be copies of fewer sets: a bucket of many rows is small yet if its sets are few.
-    many = shared.where(F.col("rows") > SMALL).select("bucket")
+    shared = plain.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("rows")).where("low < high")
+    shared = stored(shared.select("bucket", F.least("rows", F.lit(GATHERED + 1)).cast("int").alias("rows")), "shared")
+    # Rows may be copies of fewer sets: a bucket of many rows is gathered yet if its sets are few.
+    many = shared.where(F.col("rows") > GATHERED).select("bucket")
     members = stored(keyed.join(small(many), "bucket", "left_semi").distinct(), "members")
     sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")), "sizes")
-    hot = sizes.where(F.col("size") > SMALL).select("bucket", "hub")
-    copied = members.join(small(sizes.where(F.col("size") <= SMALL).select("bucket")), "bucket", "left_semi")
+    copied = members.join(small(sizes.where(F.col("size") <= GATHERED).select("bucket")), "bucket", "left_semi")
     # Shuffled at any size: both sides are in the billions where it matters.
-    rare = keyed.join(shared.where(F.col("rows") <= SMALL).select("bucket"), "bucket", "left_semi")
+    rare = keyed.join(shared.where(F.col("rows") <= GATHERED).select("bucket"), "bucket", "left_semi")
 
     def gathered(rows: DataFrame) -> DataFrame:
-        """At most SMALL members each; joined by bucket, they are where they are gathered."""
-        return rows.groupBy("bucket").agg(F.array_sort(F.collect_set("node")).alias("m")).select("m", F.col("bucket").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int").alias("band"))
+        """Joined by bucket, rows are where they are gathered."""
+        return _met(rows.groupBy("bucket").agg(F.collect_list(F.struct("node", "mark")).alias("m")), keys)
 
-    sets_of = stored(gathered(rare).unionAll(gathered(copied)), "buckets")
+    met = stored(gathered(rare).unionAll(gathered(copied)).groupBy("band", "u", "v").agg(F.count("*").alias("common")), "met")
+    hot = stored(members.join(small(sizes.where(F.col("size") > GATHERED).select("bucket", "hub")), "bucket").select("node", "bucket", "hub"), "hot")
+    for gone in (shared, members, sizes):
+        drop(whole.sparkSession, place(gone))
+    return met, hot
+
+
+def _named(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """For (id, mark, text): profiles of all rows, and (node, rest, component_id, keeper_id, keeper_mark) of all sets."""
+    spark, keys = docs.sparkSession, Keys(t)
+    whole = stored(_profiles(docs, k, keys), "keys")
+    profiles = whole.select("id", "mark", "n", "node", "rest")
+    # Vertices: one for each set. Its keeper is the row of the smallest id, then the smallest mark.
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    vertices = stored(profiles.where("node is not null").groupBy("node", "rest").agg(F.min(order).alias("keeper")), "vertices")
+    slices = [_slice(whole, s, keys) for s in range(SLICES)]
+    # One file holds a slice's keys, sketches and numbers: what is read again is written apart before the keys go.
+    profiles, sketches = stored(profiles, "profiles"), stored(whole.where("node is not null").select("node", "n", "sketch"), "sketches")
     drop(spark, place(whole))
-    at = F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("u"), y.alias("v"))))
-    pairs = sets_of.select("band", F.explode(F.flatten(at)).alias("p")).select("band", "p.u", "p.v").groupBy("u", "v", "band").agg(F.count("*").alias("common"))
-    # Under the band of its smaller set a linked pair has 1 + R common parts.
-    pairs = pairs.where(F.col("common") >= F.element_at(F.array(*map(F.lit, _needs(t))), F.col("band") + 1)).select("u", "v").distinct()
-    size_of = vertices.groupBy("node").agg(F.max("n").alias("n"))
-    pairs = pairs.join(size_of.select(F.col("node").alias("u"), F.col("n").alias("nu")), "u").join(size_of.select(F.col("node").alias("v"), F.col("n").alias("nv")), "v")
+    met = slices[0][0]
+    hot = slices[0][1]
+    for m, h in slices[1:]:
+        met, hot = met.unionAll(m), hot.unionAll(h)
+    band = F.col("bucket").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
+    spare = F.array(*[F.lit(more) for _, _, more in keys.layout])
+    # A set leaves out its large buckets of a band if they are R at most; those of the others make families.
+    large = stored(hot.groupBy("node", band.alias("band")).agg(F.count("*").alias("lost")), "large")
+    left_out = large.where(F.col("lost") <= F.element_at(spare, F.col("band") + 1))
+    staying = hot.withColumn("band", band).join(small(left_out.select("node", "band")), ["node", "band"], "left_anti")
+    pairs = met.where("band >= 0").groupBy("u", "v", "band").agg(F.sum("common").alias("common"))
+    if not left_out.isEmpty():
+        lost = small(left_out.select(F.col("node").alias("u"), "band", F.col("lost").alias("lost_u")))
+        pairs = pairs.join(lost, ["u", "band"], "left").join(lost.withColumnsRenamed({"u": "v", "lost_u": "lost_v"}), ["v", "band"], "left")
+        pairs = pairs.withColumn("common", F.col("common") + F.greatest(F.coalesce("lost_u", F.lit(0)), F.coalesce("lost_v", F.lit(0))))
+    pairs = stored(pairs.where(F.col("common") > F.element_at(spare, F.col("band") + 1)).select("u", "v").distinct(), "pairs")
+    wanted = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
+    seen = stored(sketches.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "seen")
+    sides = pairs.join(seen.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("a")), "u").join(seen.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("b")), "v")
     fits = F.least("nu", "nv") * F.lit(t.denominator) >= F.greatest("nu", "nv") * F.lit(t.numerator)
-    pairs = stored(pairs.where(fits), "pairs")
-    drop(spark, place(sets_of))
-    joined = members.join(small(hot), "bucket")
-    families = components(joined.select(F.col("node").alias("u"), F.col("hub").alias("v"))).select(F.col("node").alias("u"), F.col("component").alias("family"))
-    families = stored(families, "families")
+    near = _near(sides.where(fits), t).unionAll(met.where("band < 0").select("u", "v")).unionAll(staying.select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    families = stored(components(stored(near, "near")).select(F.col("node").alias("u"), F.col("component").alias("family")), "families")
+    # The texts of families' sets are read again, by id: those of others are never shuffled.
     nameless = F.lit(-(1 << 63))
-
-    def read_again(nodes: DataFrame, whole: bool) -> DataFrame:
-        """Sets or sketches of some vertices. Their texts are read by id: those of others are never shuffled."""
-        ids = vertices.join(nodes, "node", "left_semi").select(F.coalesce(F.col("keeper.id").cast("long"), nameless).alias("_first"))
-        ids = stored(ids.distinct(), "wanted")
-        texts = docs.withColumn("_first", F.coalesce(F.col("id").cast("long"), nameless)).join(small(ids), "_first", "left_semi")
-        name = "shingles" if whole else "sketch"
-        rows = _sets(texts.select("text"), k, whole).groupBy("node", "rest").agg(F.first(name).alias(name))
-        return stored(rows.select("node", name), name)
-
-    sketches = read_again(pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct(), False)
-    left = pairs.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a")), "u")
-    near = stored(_near(left.join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v"), t), "near")
-    # Only of those that may link are the sets themselves compared.
-    sets = read_again(near.select(F.col("u").alias("node")).unionAll(near.select(F.col("v").alias("node"))).unionAll(families.select(F.col("u").alias("node"))).distinct(), True)
-    left = near.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-    both = left.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    links = _verified(both, t).unionAll(_blocks(families.join(sets.select(F.col("node").alias("u"), "shingles"), "u"), t))
+    ids = vertices.join(families.select(F.col("u").alias("node")), "node", "left_semi").select(F.coalesce(F.col("keeper.id").cast("long"), nameless).alias("_first"))
+    ids = stored(ids.distinct(), "wanted")
+    texts = docs.withColumn("_first", F.coalesce(F.col("id").cast("long"), nameless)).join(small(ids), "_first", "left_semi")
+    sets = stored(_sets(texts.select("text"), k).groupBy("node", "rest").agg(F.first("shingles").alias("shingles")), "sets")
+    links = _blocks(families.join(sets.select(F.col("node").alias("u"), "shingles"), "u"), t)
     found = components(stored(links, "found"))
     labelled = vertices.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = labelled.groupBy("component").agg(F.min("keeper.id").alias("component_id"), F.min("keeper").alias("kept"))

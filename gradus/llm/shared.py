@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one long or two that may be broadcast: at most some 64 MB.
 BROADCAST_ROWS = 2_000_000
+#: Bytes of an Arrow batch, and words whose hashes a worker remembers: they bound a worker's memory.
+BATCH_BYTES, REMEMBERED = 8 << 20, 200_000
 ROOT = str(Path(__file__).resolve().parents[2])
 _made: list[tuple[SparkSession, str]] = []
 
@@ -29,8 +32,8 @@ def ready(spark: SparkSession) -> None:
     known = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in known.split(":"):
         env["PYTHONPATH"] = f"{ROOT}:{known}".rstrip(":")
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != str(32 << 20):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != str(BATCH_BYTES):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -49,6 +52,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def tidy() -> None:
+    """Give a Python worker's free memory back, as the worker stays when its task has ended."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def filesystem(spark: SparkSession, path: str):
     """Hadoop's file system for a path, and the path as it takes it. For metadata only."""
     jvm = spark._jvm
@@ -115,7 +125,7 @@ class Hashes(dict):
     """64-bit hashes of words, remembered; forgotten when there are many, so memory is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -139,7 +149,7 @@ class Numbers(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         bare = word.strip(PUNCTUATION)
         value = self[word] = self.vocabulary.get(bare, 0) if bare else -1

@@ -62,27 +62,39 @@ def test_empty_table(spark):
     assert parity_join.one_of_each(frame).count() == 0
 
 
-def test_keys_meet_for_all_linked_sizes():
+@pytest.mark.parametrize("t", [Fraction(9, 10), Fraction(8, 10), Fraction(1, 2)])
+def test_linked_sets_have_common_keys_with_near_marks(t):
+    """1 + R in the band of the smaller set, of those whose marks allow a link; and sketches are as near as they must be."""
     import numpy as np
 
-    rng, t = np.random.default_rng(0), Fraction(9, 10)
+    rng = np.random.default_rng(0)
     keys = parity_join.Keys(t)
-    for n in (1, 2, 9, 10, 13, 19, 40, 100, 333, 1000):
+    for n in (1, 2, 5, 9, 10, 13, 19, 40, 100, 333, 1000, 5000):
         for _ in range(20):
             a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
-            drop = int(rng.integers(0, n // 10 + 1))
-            b = a[drop:]
-            if len(b) and parity_join.linked(a, b, t):
-                assert set(keys.of(a)) & set(keys.of(b))
-
-
-def test_families_in_several_blocks(spark, monkeypatch):
-    """Buckets of over three members and blocks of about four: links within and between blocks are all found."""
-    monkeypatch.setattr(parity_join, "SMALL", 3)
-    monkeypatch.setattr(parity_join, "BLOCK", 4)
+            gone = int(rng.integers(0, int(n * (1 - t)) + 1))
+            b = np.unique(np.concatenate((a[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, gone + 1)) // 2).astype(np.uint64))))
+            if not len(b) or not parity_join.linked(a, b, t):
+                continue
+            band = int(np.searchsorted(keys.starts, min(len(a), len(b)), "right")) - 1
+            one, two = (dict(zip(*(x.tolist() for x in keys.of(own)), strict=True)) for own in (a, b))
+            common = [x for x in one.keys() & two.keys() if x & 511 == band and (one[x] ^ two[x]).bit_count() <= keys.apart[band]]
+            assert len(common) >= 1 + keys.layout[band][2], (n, gone)
+            far = parity_join._far(*(parity_join._sketch(x, parity_join._bits(len(x))) for x in (a, b)))
+            assert far <= len(np.setxor1d(a, b)) <= parity_join.differ(len(a), len(b), t)
+
+
+@pytest.mark.parametrize("limits", [{"GATHERED": 3, "BLOCK": 4}, {"DENSE": 1, "BLOCK": 4}, {"GATHERED": 12, "DENSE": 1, "BLOCK_BYTES": 4000}])
+def test_families_in_several_blocks(spark, monkeypatch, limits):
+    """Small limits, so buckets are left out, make families by size or by density, and families take several blocks."""
+    for name, value in limits.items():
+        monkeypatch.setattr(parity_join, name, value)
     rng = random.Random(9)
-    words = [f"v{rng.randrange(400)}" for _ in range(120)]
+    words, shared = [f"v{rng.randrange(400)}" for _ in range(120)], [f"s{i}" for i in range(70)]
     rows = [(i, " ".join(edited(rng, words, rng.randrange(1, 9)))) for i in range(60)]
+    # A passage that is most of many texts which are no copies of each other.
+    rows += [(i, " ".join([*shared, *(f"u{i}x{n}" for n in range(50))])) for i in range(60, 100)]
+    rows += [(i, rows[i - 40][1]) for i in range(100, 120)] + [(i, rows[i - 40][1] + " tail") for i in range(120, 130)]
     got = sorted((tuple(r) for r in parity_join.join(spark.createDataFrame(rows, "doc_id long, text string"), k=3, t=Fraction(9, 10)).collect()), key=repr)
     assert got == brute(rows, 3, Fraction(9, 10))
-    assert 1 < len({c for _, _, c in got}) < 60
+    assert 1 < len({c for _, _, c in got}) < 130
