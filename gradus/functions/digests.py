@@ -29,6 +29,11 @@ def compact_sha256(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: hashlib.sha256(canonical(t, True).encode()).hexdigest(), na_action="ignore")
 
 
+def pixel_sha256(width: Column, height: Column, pixels: Column) -> Column:
+    """SHA-256 of an RGB image: its size in a header, then the bytes of its pixels."""
+    return F.sha2(F.concat(F.concat(F.lit("RGB:"), width.cast("string"), F.lit("x"), height.cast("string"), F.lit(":")).cast("binary"), pixels), 256)
+
+
 def listed_sha256(rows: DataFrame, order: str, value: str) -> DataFrame:
     """One row: SHA-256 of the values in order, one a line. For the id lists of frozen subsets, which are short."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("string").alias("v")))), lambda x: x["v"])

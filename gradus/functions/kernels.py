@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -146,6 +146,22 @@ def reward_block(answer: Column, certainty: Column, visual_confidence: Column, a
     return {"utility": utility, "report": report, "content": utility + report}
 
 
+def empty_certainty() -> Column:
+    """What an example without usable vision tokens has: no certainty, no means, fallback."""
+    parts = [F.lit(None).cast("double").alias(n) for n in ("raw_js", "baseline_js", "corrected_gap", "teacher_entropy", "uncertainty")]
+    return F.struct(F.lit(0.0).alias("certainty"), *parts, F.lit(0).cast("long").alias("vision_tokens"), F.lit(True).alias("fallback"))
+
+
+def with_fallback(examples: DataFrame, certainty: DataFrame, key: str) -> DataFrame:
+    """One row for each example: its certainty, or ``empty_certainty`` where it has no tokens or none that count.
+
+    certainty: (key, certainty, raw_js, baseline_js, corrected_gap, teacher_entropy, uncertainty, vision_tokens, fallback).
+    """
+    names = ["certainty", "raw_js", "baseline_js", "corrected_gap", "teacher_entropy", "uncertainty", "vision_tokens", "fallback"]
+    found = certainty.where("vision_tokens > 0 AND NOT fallback").select(key, F.struct(*names).alias("_found"))
+    return examples.select(key).join(found, key, "left").select(key, F.coalesce("_found", empty_certainty()).alias("_all")).select(key, "_all.*")
+
+
 #: Rewards of the content and the report of a completion that breaks the earlier format.
 MALFORMED_CONTENT, MALFORMED_REPORT = -2.0, -3.0
 

@@ -177,6 +177,11 @@ def without_terminal(ids: Column, terminals: Column) -> Column:
     return F.when(ends, F.slice(ids, 1, F.greatest(F.size(ids) - 1, F.lit(0)))).otherwise(ids)
 
 
+def without_image_marks(question: Column, mark: str = "<image>") -> Column:
+    """A problem's text without the marks that stand for its images."""
+    return strip(F.replace(question, F.lit(mark), F.lit("")))
+
+
 def messages(system: str, question: Column, hint: Column) -> Column:
     """A chat of a system line and a user turn with an image and text; a hint adds a line."""
     item = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))

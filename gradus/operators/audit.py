@@ -38,6 +38,17 @@ def verified(examples: DataFrame, attempts: DataFrame) -> DataFrame:
     return rows.select("id", "facts", "received", "parsed", "per_fact", "visual", "answer_ok", F.when(parsed, v).alias("v"), F.when(parsed, r).alias("r"), *[F.when(parsed, c).alias(name) for name, c in scores.items()])
 
 
+class IdsDiffer(ValueError):
+    """Examples and attempts don't have the same ids."""
+
+
+def evaluate(examples: DataFrame, attempts: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``audit`` of attempts that have exactly the examples' ids; else IdsDiffer with the first few of each kind."""
+    if found := mismatches(examples, attempts).orderBy("problem", "id").limit(5).collect():
+        raise IdsDiffer("; ".join(f"{r['problem']}: {r['id']}" for r in found))
+    return audit(verified(examples, attempts), threshold)
+
+
 def audit(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row of measures of ``verified``. Rewards and visual reports count parsed attempts, conditional ones those with V."""
     n, v, r = F.count("*"), F.col("v"), F.col("r")

@@ -162,3 +162,9 @@ def weighted_means(rows: DataFrame, group: str, value: str, weight: str) -> Data
     """(group, n, positions, mean): means by position; without positions the mean is the placeholder 0, not null."""
     out = rows.groupBy(group).agg(F.count("*").alias("n"), F.sum(weight).cast("long").alias("positions"), F.sum(F.col(value) * F.col(weight)).alias("total"))
     return out.select(group, "n", "positions", F.coalesce(F.try_divide("total", F.col("positions").cast("double")), F.lit(0.0)).alias("mean"))
+
+
+def diagnostic_coverage(rows: DataFrame, step: str, positions: str) -> DataFrame:
+    """(step, attempts, rows with sampled positions, positions, their share of the attempts); null counts as none."""
+    n = F.coalesce(F.col(positions), F.lit(0))
+    return rows.groupBy(step).agg(F.count("*").alias("attempts"), F.count_if(n > 0).alias("diagnostic_rows"), F.sum(n.cast("double")).alias("diagnostic_positions"), F.avg((n > 0).cast("int")).alias("diagnostic_coverage"))

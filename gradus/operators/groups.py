@@ -68,3 +68,20 @@ def counters(rows: DataFrame, run: str, step: str, success: Column) -> DataFrame
 def at_intervals(rows: DataFrame, step: str, every: int, last: int) -> DataFrame:
     """The steps at which validation runs, each once: the first, every so many, and the last."""
     return rows.where((F.col(step) == 0) | (F.col(step) % every == 0) | (F.col(step) == last)).dropDuplicates([step])
+
+
+def batch_means(rows: DataFrame, batch: str, values: list[str]) -> DataFrame:
+    """(batch, rollout_count, mean of each value, finite): a batch with a value that isn't finite is told."""
+    holds = [F.bool_and(F.col(v).isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) for v in values]
+    finite = holds[0]
+    for h in holds[1:]:
+        finite = finite & h
+    return rows.groupBy(batch).agg(F.count("*").alias("rollout_count"), *[F.avg(v).alias(f"mean_{v}") for v in values], finite.alias("finite"))
+
+
+def rank_slice(rows: DataFrame, place: str, ranks: int, rank: int, total: int) -> DataFrame:
+    """The rows of one rank: a run of total / ranks places, as shards are gathered in order of ranks."""
+    if total % ranks:
+        raise ValueError("ranks must have equal shares")
+    share = total // ranks
+    return rows.where((F.col(place) >= rank * share) & (F.col(place) < (rank + 1) * share))

@@ -931,3 +931,229 @@ def str15_teacher_messages(spark, sf_dir):
 def srt08_first_few(spark, sf_dir):
     rows = D.table(spark, sf_dir, "orders").withColumn("o", F.struct(-F.col("o_totalprice"), "o_orderkey"))
     return S.first_few(rows, "o").select("o_orderkey")
+
+
+# Record files, written from base tables and read again.
+
+_KINDS = len(D.EXAMPLE_CASES)
+_BROKEN = f"CASE doc_id % {_KINDS} {' '.join(f'WHEN {i} THEN {chr(39)}{r}{chr(39)}' for i, (_, r) in enumerate(D.EXAMPLE_CASES) if r)} END"
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """The document's number, which each line has in it."""
+    return rows.withColumn("doc_id", F.coalesce(F.nullif(F.regexp_extract("raw", "#([0-9]+)#", 1), F.lit("")), F.regexp_extract("raw", '"id": "?([0-9]+)', 1)).cast("long"))
+
+
+@query(f"SELECT doc_id, {_BROKEN} AS rule FROM documents WHERE doc_id % {_KINDS} <> 0")
+def src01_broken_lines(spark, sf_dir):
+    """What a strict scan tells of each line that breaks the contract of examples."""
+    rows = V.parsed(V.lines(spark, D.written_lines(spark, sf_dir, D.EXAMPLE_LINES)))
+    return V.violations(rows, V.EXAMPLE).join(_told(rows), ["file", "line"]).select("doc_id", "rule")
+
+
+@query(f"SELECT concat('#', doc_id, '#') AS id, 'dev' AS split, concat('s/', source, '.png') AS student_image, concat('#', doc_id, '# which?') AS question, lang AS shape, 2 AS slots, 2 AS answers FROM documents WHERE doc_id % {_KINDS} = 0")
+def src02_examples(spark, sf_dir):
+    """Strictly loaded examples, with facts as text and as objects."""
+    path = D.written_lines(spark, sf_dir, D.EXAMPLE_LINES, f"doc_id % {_KINDS} = 0")
+    rows = V.parsed(V.lines(spark, path))
+    V.raise_on(V.violations(rows, V.EXAMPLE), "examples")
+    return V.examples(rows).select("id", "split", "student_image", "question", F.col("facts")["shape"][0].alias("shape"), F.size("facts").alias("slots"), F.size("answers").alias("answers"))
+
+
+_OUT = "SELECT doc_id, concat(chr(123), '\"id\": \"', doc_id, '\", \"visual_facts\": ', chr(123), '\"color\": \"', lang, '\"', chr(125), ', \"reasoning\": \"so\", \"answer\": \"yes\", \"visual_confidence\": ', CASE doc_id % 4 WHEN 1 THEN '\"high\"' WHEN 2 THEN '0.5' ELSE CAST(doc_id % 101 AS STRING) END, CASE WHEN doc_id % 4 = 3 THEN '' ELSE ', \"conditional_answer_confidence\": 7' END, chr(125)) AS value FROM {documents}"
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 4 IN (0, 3) THEN doc_id % 101 END AS visual_confidence, CASE doc_id % 4 WHEN 3 THEN 'missing keys: conditional_answer_confidence' WHEN 0 THEN NULL ELSE 'visual_confidence must be int' END AS format_error FROM documents")
+def src03_attempts(spark, sf_dir):
+    """Permissively loaded outputs: what is malformed is kept with its error."""
+    return V.load_attempts(spark, D.written_lines(spark, sf_dir, _OUT), V.OUTPUT).select("id", "visual_confidence", "format_error")
+
+
+_PROXY = "SELECT doc_id, concat(chr(123), '\"id\": \"', doc_id, '\", \"split\": \"train\", \"student_image\": \"a.png\", \"teacher_image\": \"b.png\", \"question\": \"which?\", \"accepted_answers\": [\"', lang, '\"]', CASE doc_id % 6 WHEN 1 THEN ', \"teacher_evidence\": \" \"' WHEN 2 THEN ', \"teacher_evidence\": 5' WHEN 3 THEN concat(', \"teacher_evidence\": ', chr(123), '\"a\": [1, null]', chr(125)) WHEN 4 THEN ', \"teacher_evidence\": true' WHEN 5 THEN ', \"teacher_evidence\": \"seen\", \"student_image_hint\": \"left\"' ELSE '' END, chr(125)) AS value FROM {documents}"
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, lang AS answer, CASE WHEN doc_id % 6 = 5 THEN 'left' END AS hint, doc_id % 6 NOT IN (1, 2, 4) AS evidence_holds FROM documents")
+def src04_proxy_examples(spark, sf_dir):
+    """Proxy examples with their optional fields, and whether their evidence is text or JSON."""
+    rows = V.load(spark, D.written_lines(spark, sf_dir, _PROXY), V.PROXY_EXAMPLE, V.PROXY_OPTIONAL)
+    return rows.select("id", F.try_variant_get("accepted_answers", "$[0]", "string").alias("answer"), F.col("student_image_hint").alias("hint"), V.evidence_holds(F.col("teacher_evidence")).alias("evidence_holds"))
+
+
+_SOURCES = "SELECT p.page_id, CAST(p.page_id AS STRING) AS id, CASE p.page_id % 5 WHEN 1 THEN 'test' WHEN 2 THEN 'validation' ELSE 'train' END AS split, concat('i', p.page_id % 40, '.png') AS image, CASE p.page_id % 7 WHEN 1 THEN 'XYZ' WHEN 2 THEN sha2('other', 256) WHEN 3 THEN sha2(concat('image', (p.page_id % 40) % 30), 256) END AS sha256, p.page_id % 3 AS box FROM {pages} p"
+
+
+@query(
+    f"""WITH s AS ({D.duck(_SOURCES).replace("sha2('other', 256)", "sha256('other')").replace("sha2(concat('image', (p.page_id % 40) % 30), 256)", "sha256(concat('image', (p.page_id % 40) % 30))")}), b AS (SELECT *, page_id % 40 < 35 AS there, (page_id % 40) % 30 AS content FROM s),
+x AS (SELECT content FROM b WHERE there GROUP BY content HAVING count(DISTINCT split) > 1)
+SELECT id, 'split is train or validation' AS rule FROM b WHERE split = 'test' UNION ALL SELECT id, 'image exists' FROM b WHERE NOT there UNION ALL SELECT id, 'digest is SHA-256' FROM b WHERE page_id % 7 = 1 UNION ALL SELECT id, 'digest is the file''s' FROM b WHERE there AND page_id % 7 IN (1, 2)
+UNION ALL SELECT id, 'there is a box' FROM b WHERE box = 0 UNION ALL SELECT id, 'box is in the image' FROM b WHERE there AND box = 1 UNION ALL SELECT id, 'evidence is text or JSON' FROM b WHERE page_id % 11 = 0 UNION ALL SELECT id, 'image is in one split' FROM b WHERE there AND content IN (SELECT content FROM x)"""
+)
+def src06_source_rows(spark, sf_dir):
+    """Source rows against images: files, digests, boxes, evidence, and contents in two splits."""
+    from .sources.manifests import source_problems
+
+    rows = D.view(spark, sf_dir, _SOURCES)
+    box = F.when(F.col("box") == 1, F.array(F.lit(0), F.lit(0), F.lit(11), F.lit(5))).when(F.col("box") == 2, F.array(F.lit(0), F.lit(0), F.lit(10), F.lit(5)))
+    rows = rows.withColumns({"box": box, "evidence": F.try_parse_json(F.when(F.col("page_id") % 11 == 0, F.lit("5")).otherwise(F.lit('{"a": 1}')))})
+    images = spark.range(35).select(F.concat(F.lit("i"), F.col("id"), F.lit(".png")).alias("file"), F.sha2(F.concat(F.lit("image"), F.col("id") % 30), 256).alias("sha256"), F.lit(10).alias("width"), F.lit(10).alias("height"))
+    return source_problems(rows, images)
+
+
+@query("SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS index, r_regionkey AS k FROM region")
+def src05_numbered_rows(spark, sf_dir):
+    """Rows of one file by their place, if it has the rows and the digest that are asked for."""
+    from .sources.manifests import digest, numbered
+    from .sources.scratch import folder
+
+    path = folder(spark, "rows")
+    D.table(spark, sf_dir, "region").orderBy("r_regionkey").coalesce(1).select(F.to_json(F.struct("r_regionkey")).alias("value")).write.text(path)
+    files = digest(spark, path).collect()
+    found = numbered(spark, files[0]["file"], D.table(spark, sf_dir, "region").count(), files[0]["sha256"])
+    return found.select("index", F.try_variant_get("doc", "$.r_regionkey", "int").alias("k"))
+
+
+@query("SELECT o_orderstatus AS split, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
+def snk02_manifest_round_trip(spark, sf_dir):
+    """JSON lines by split, written whole and read again."""
+    from .plans.reports import write_manifest
+    from .sources.scratch import folder
+
+    path = folder(spark, "manifest")
+    write_manifest(D.table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("split"), "o_orderkey", "o_totalprice"), path)
+    return spark.read.schema("o_orderkey long, o_totalprice double, split string").json(path).groupBy("split").agg(F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("SELECT event_type, 2 * count(*) AS n FROM events GROUP BY 1")
+def snk06_appended_events(spark, sf_dir):
+    """An event log that is appended to twice."""
+    from .plans.reports import append_events
+    from .sources.scratch import folder
+
+    path, rows = folder(spark, "log"), D.table(spark, sf_dir, "events").select("event_id", "event_type")
+    append_events(rows, path)
+    append_events(rows, path)
+    return spark.read.schema("event_id long, event_type string").json(path).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT concat('[', chr(10), string_agg(concat('  {', chr(10), '    \"name\": \"', r_name, '\",', chr(10), '    \"nations\": ', n, chr(10), '  }'), concat(',', chr(10)) ORDER BY r_name), chr(10), ']', chr(10)) AS report FROM (SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1)")
+def snk01_json_report(spark, sf_dir):
+    from .plans.reports import as_json
+
+    named = D.table(spark, sf_dir, "nation").join(D.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return spark.createDataFrame([(as_json(named.groupBy(F.col("r_name").alias("name")).agg(F.count("*").alias("nations")).orderBy("name")),)], "report string")
+
+
+@query("SELECT concat('## Nations', chr(10), chr(10), '| name | share |', chr(10), '| --- | --- |', chr(10), string_agg(concat('| ', r_name, ' | ', printf('%.4f', n / 25.0), ' |'), chr(10) ORDER BY r_name), chr(10)) AS report FROM (SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1)")
+def snk07_markdown_report(spark, sf_dir):
+    from .plans.reports import as_markdown
+
+    named = D.table(spark, sf_dir, "nation").join(D.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return spark.createDataFrame([(as_markdown(named.groupBy(F.col("r_name").alias("name")).agg((F.count("*") / F.lit(25.0)).alias("share")).orderBy("name"), "Nations"),)], "report string")
+
+
+# Contracts of examples, attempts and samples.
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, CASE p_partkey % 5 WHEN 0 THEN 'aliases differ from the canonical value' WHEN 1 THEN 'answers differ' WHEN 2 THEN 'answers are not empty' WHEN 3 THEN 'there are facts' END AS rule FROM part WHERE p_partkey % 5 <> 4")
+def prd03_example_rules(spark, sf_dir):
+    """Aliases and answers that are the same when folded, empty answers, and no facts."""
+    kind = F.col("p_partkey") % 5
+    alias = F.when(kind == 0, F.concat(F.lit(" "), F.upper("p_brand"))).otherwise(F.lit("another"))
+    facts = F.when(kind == 3, F.create_map().cast("map<string,array<string>>")).otherwise(F.create_map(F.lit("brand"), F.array("p_brand", alias)))
+    answers = F.array(F.lit("Yes"), F.when(kind == 1, F.lit("ＹＥＳ")).when(kind == 2, F.lit("\t")).otherwise(F.lit("yeah")))
+    return V.example_rules(D.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), facts.alias("facts"), answers.alias("answers")))
+
+
+@query("SELECT event_id, event_id % 6 IN (0, 3) AS holds FROM events")
+def prd06_parse_or_error(spark, sf_dir):
+    kind = F.col("event_id") % 6
+    parsed = F.when(kind.isin(0, 1), "a").when(kind == 2, "b")
+    error = F.when(kind.isin(1, 3), "bad").when(kind == 4, " ")
+    return D.table(spark, sf_dir, "events").select("event_id", V.parsed_or_error(parsed, F.lit("a"), error).alias("holds"))
+
+
+@query(f"WITH {SAM}, m AS (SELECT example_id, condition, vision_tokens - 2 AS vision_tokens, proxy_fallback, visual_proxy + 0.05 AS visual_proxy, CASE WHEN vision_tokens % 4 = 0 THEN NULL ELSE raw_js END AS raw_js FROM s) SELECT concat(example_id, '/', condition) AS id, unnest(list_filter([CASE WHEN vision_tokens < 0 THEN 'vision_tokens is at least 0' END, CASE WHEN visual_proxy > 1 THEN 'visual_proxy is a probability' END, CASE WHEN proxy_fallback THEN 'fallback means proxy 0' END, CASE WHEN vision_tokens <> 0 AND raw_js IS NULL THEN 'raw_js is there with tokens' END], lambda x: x IS NOT NULL)) AS rule FROM m")
+def prd16_sample_contract(spark, sf_dir):
+    rows = D.view(spark, sf_dir, D.SAMPLES).withColumns({"id": F.concat("example_id", F.lit("/"), "condition"), "raw_js": F.when(F.col("vision_tokens") % 4 != 0, F.col("raw_js")), "visual_proxy": F.col("visual_proxy") + 0.05})
+    return V.rules_table(rows.withColumn("vision_tokens", F.col("vision_tokens") - 2), "id", V.sample_rules(["raw_js"]))
+
+
+# Rollouts, from token ids on.
+
+
+@query("SELECT step, count(*) AS attempts, count(CASE WHEN p > 0 THEN 1 END) AS diagnostic_rows, CAST(sum(p) AS DOUBLE) AS diagnostic_positions, count(CASE WHEN p > 0 THEN 1 END) / count(*) AS diagnostic_coverage FROM (SELECT n_chars % 16 AS step, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id % 4 END AS p FROM documents) GROUP BY step", "diagnostic_positions diagnostic_coverage")
+def agg23_diagnostic_coverage(spark, sf_dir):
+    rows = D.table(spark, sf_dir, "documents").select((F.col("n_chars") % 16).alias("step"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 4).alias("positions"))
+    return C.diagnostic_coverage(rows, "step", "positions")
+
+
+@query("SELECT user_id % 20 AS batch, count(*) AS rollout_count, avg(value) AS mean_reward, avg(-value * value) AS mean_calibration, true AS finite FROM events GROUP BY 1", "mean_reward mean_calibration")
+def agg39_batch_means(spark, sf_dir):
+    rows = D.table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("batch"), F.col("value").alias("reward"), (-F.col("value") * F.col("value")).alias("calibration"))
+    return G.batch_means(rows, "batch", ["reward", "calibration"])
+
+
+@query("SELECT event_id, event_id // 5 AS place FROM events WHERE event_id % 5 = 2 AND event_id // 5 BETWEEN 50 AND 99")
+def win03_rank_slice(spark, sf_dir):
+    rows = D.table(spark, sf_dir, "events").where("event_id % 5 = 2").select("event_id", F.floor(F.col("event_id") / 5).alias("place"))
+    return G.rank_slice(rows, "place", 4, 1, 200)
+
+
+@query(f"WITH {SAM}, c AS (SELECT example_id, vision_tokens, corrected_gap FROM s WHERE condition = 'click') SELECT e.example_id, coalesce(CASE WHEN vision_tokens >= 3 THEN corrected_gap END, 0.0) AS certainty, CASE WHEN vision_tokens >= 3 THEN corrected_gap END AS corrected_gap, CASE WHEN vision_tokens >= 3 THEN vision_tokens ELSE 0 END AS vision_tokens, coalesce(vision_tokens, 0) < 3 AS fallback FROM (SELECT DISTINCT example_id FROM s) e LEFT JOIN c USING (example_id)", "certainty corrected_gap")
+def arr06_fallback_rows(spark, sf_dir):
+    """Examples without tokens of a condition, or with too few, have the row of no certainty."""
+    samples = D.view(spark, sf_dir, D.SAMPLES)
+    none = F.lit(None).cast("double")
+    certainty = samples.where("condition = 'click'").select("example_id", F.col("corrected_gap").alias("certainty"), "raw_js", "baseline_js", "corrected_gap", "teacher_entropy", none.alias("uncertainty"), F.col("vision_tokens").cast("long").alias("vision_tokens"), F.col("proxy_fallback").alias("fallback"))
+    return K.with_fallback(samples.select("example_id").distinct(), certainty, "example_id").select("example_id", "certainty", "corrected_gap", "vision_tokens", "fallback")
+
+
+@query(r"SELECT doc_id, trim(replace(concat('<image>', lang, ' <image> ', source), '<image>', ''), ' ') AS problem FROM documents")
+def str16_clean_problems(spark, sf_dir):
+    return D.table(spark, sf_dir, "documents").select("doc_id", T.without_image_marks(F.concat(F.lit("<image>"), "lang", F.lit(" <image> "), "source", F.lit("\n\u00a0"))).alias("problem"))
+
+
+@query(f"WITH {_PARSED}, q AS (SELECT doc_id, length(completion) AS n, CASE doc_id % 9 WHEN 5 THEN strpos(completion, '</answer><confidence>') + 8 ELSE strpos(completion, '<confidence>') - 1 END AS b FROM c), t AS (SELECT *, CAST(ceil(n / 7) AS INT) AS body, CASE WHEN b < 0 THEN CAST(ceil(n / 7) AS INT) ELSE CAST(floor(b / 7) AS INT) END AS content FROM q) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN body + 1 ELSE body END AS tokens, content AS content_tokens, CASE WHEN doc_id % 2 = 0 THEN body + 1 ELSE body END - content AS report_tokens, false AS unverified, NULL::VARCHAR AS problem FROM t")
+def str20_prepared_rollouts(spark, sf_dir):
+    """Tokens of seven characters, half of them with a terminal one; a third with offsets that don't hold."""
+    from .functions import rollouts as O
+
+    rows = D.view(spark, sf_dir, D.COMPLETIONS)
+    count = F.ceil(F.length("completion") / 7).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring("completion", i * 7 + 1, F.lit(7)))
+    ids = F.concat(F.sequence(F.lit(1), count), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
+    short = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct((i * 7).alias("start"), F.least(i * 7 + 7, F.length("completion")).alias("end")))
+    offsets = F.when(F.col("doc_id") % 3 == 0, F.slice(short, 1, 1)).otherwise(short)
+    made = O.prepared(rows.withColumns({"ids": ids, "pieces": pieces, "offsets": offsets}), "ids", "pieces", F.array(F.lit(0)), "offsets")
+    total = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x)
+    return made.select("doc_id", F.size("ids").alias("tokens"), total("content_mask").alias("content_tokens"), total("report_mask").alias("report_tokens"), F.array_contains("format_errors", "token_spans_unverified").alias("unverified"), "problem")
+
+
+@query("SELECT page_id, sha256(concat('RGB:', page_id % 7, 'x', 3, ':', substr(url, 1, 6))) AS digest FROM pages")
+def hsh07_pixel_digests(spark, sf_dir):
+    from .functions.digests import pixel_sha256
+
+    return D.table(spark, sf_dir, "pages").select("page_id", pixel_sha256(F.col("page_id") % 7, F.lit(3), F.substring("url", 1, 6).cast("binary")).alias("digest"))
+
+
+@query("SELECT user_id, event_id, value, highest FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest FROM events) WHERE value < highest", "value highest")
+def stm03_falling_states(spark, sf_dir):
+    from .streaming.telemetry import falling_states
+
+    return falling_states(D.table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value")
+
+
+@query(f"WITH {R} SELECT step, sum(CAST(answer_correct AS INT)) AS good, count(*) AS attempts, avg(answer_confidence) AS confidence FROM r WHERE step < 3 GROUP BY step", "confidence")
+def stm02_tracked_windows(spark, sf_dir):
+    """Windows of three steps, published one after another by a tracker with counters that rise."""
+    from .streaming.telemetry import Tracker
+
+    sent: list[dict] = []
+    tracker = Tracker(sent.append, lambda rows: rows.agg(F.sum(F.col("answer_correct").cast("int")).alias("good"), F.count("*").alias("attempts"), F.avg("answer_confidence").alias("confidence")))
+    rows = D.rollouts(spark, sf_dir)
+    for step in range(3):
+        tracker.record(rows.where(F.col("step") == step))
+        tracker.log_training({"optimizer_successful_updates": step}, step)
+    tracker.finish()
+    found = [(x["trainer/state_global_step"], x["train/good"], x["train/attempts"], x.get("train/confidence")) for x in sent if x.get("train/attempts")]
+    return spark.createDataFrame(found, "step int, good long, attempts long, confidence double")

@@ -10,6 +10,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import folder
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 ROLLOUTS = """
@@ -80,6 +82,30 @@ LEGACY_CASES: tuple[tuple[str, str | None], ...] = (
 )
 LEGACY = f"SELECT doc_id, lang, source, n_chars, CASE doc_id % {len(LEGACY_CASES)} {' '.join(f'WHEN {i} THEN {text}' for i, (text, _) in enumerate(LEGACY_CASES))} END AS completion FROM {{documents}}"
 
+
+def _record(*fields: str) -> str:
+    return f"concat(chr(123), {', '.join(fields)}, chr(125))"
+
+
+_ID, _IMAGES = "'\"id\": \"#', doc_id, '#\"'", "', \"student_image\": \"s/', source, '.png\", \"teacher_image\": \"t/', source, '.png\"'"
+_ASKED, _SPLIT = "', \"question\": \"#', doc_id, '# which?\"'", "', \"split\": \"dev\"'"
+_FACTS, _ACCEPTED = "', \"required_visual_facts\": ', chr(123), '\"color\": \"red\", \"shape\": ', chr(123), '\"canonical\": \"', lang, '\", \"aliases\": [\"any\"]', chr(125), chr(125)", "', \"accepted_answers\": [\"yes\", \"', lang, '\"]'"
+#: JSON lines of examples: SQL of the line, and the rule that it breaks.
+EXAMPLE_CASES: tuple[tuple[str, str | None], ...] = (
+    (_record(_ID, _SPLIT, _IMAGES, _ASKED, _FACTS, _ACCEPTED), None),
+    (_record(_ID, _IMAGES, _ASKED, _FACTS, _ACCEPTED), "missing keys: split"),
+    (_record(_ID, _SPLIT, _IMAGES, _ASKED, _FACTS, _ACCEPTED, "', \"z\": 1, \"y\": 2'"), "unknown keys: y, z"),
+    (_record(_ID, _SPLIT, _IMAGES, _ASKED, _FACTS, _ACCEPTED, "', \"id\": \"again\"'"), "invalid JSON"),
+    (_record(_ID, _SPLIT, _IMAGES, _ASKED, _FACTS, "', \"accepted_answers\": [NaN]'"), "invalid JSON"),
+    ("concat('[\"#', doc_id, '#\"]')", "not an object"),
+    (_record("'\"id\": ', doc_id", _SPLIT, _IMAGES, _ASKED, _FACTS, _ACCEPTED), "id must be string"),
+    (_record(_ID, _SPLIT, _IMAGES, "', \"question\": \"  \"'", _FACTS, _ACCEPTED), "question is empty"),
+    (_record(_ID, _SPLIT, _IMAGES, _ASKED, _FACTS, "', \"accepted_answers\": \"yes\"'"), "accepted_answers must be array"),
+    (_record(_ID, _SPLIT, _IMAGES, _ASKED, "', \"required_visual_facts\": null'", _ACCEPTED), "required_visual_facts must be object"),
+    ("concat(chr(123), '\"id\": \"#', doc_id, '#\"')", "invalid JSON"),
+)
+EXAMPLE_LINES = f"SELECT doc_id, lang, source, CASE doc_id % {len(EXAMPLE_CASES)} {' '.join(f'WHEN {i} THEN {text}' for i, (text, _) in enumerate(EXAMPLE_CASES))} END AS value FROM {{documents}}"
+
 #: Tagged completions with nine kinds of faults.
 COMPLETIONS = """
 SELECT doc_id, CASE doc_id % 9
@@ -124,6 +150,13 @@ def examples_and_attempts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
     return examples, attempts
 
 
+def written_lines(spark: SparkSession, sf_dir: str, sql: str, where: str = "true") -> str:
+    """A folder of text files with one line for each value of a statement."""
+    path = folder(spark, "lines")
+    view(spark, sf_dir, sql).where(where).select("value").write.text(path)
+    return path
+
+
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, student, teacher, baseline): an embedding and the two after it."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 4).alias("v"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import folded
+
 #: Kinds of field: the variant type that a value must have, and how it is read.
 KINDS = {"string": "STRING", "int": "BIGINT", "bool": "BOOLEAN", "number": "BIGINT|DECIMAL.*|DOUBLE|FLOAT", "array": "ARRAY<.*", "object": "OBJECT<.*", "any": ".*"}
 READS = {"string": "string", "int": "bigint", "bool": "boolean", "number": "double"}
@@ -21,15 +23,14 @@ class ContractError(ValueError):
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, raw) of text files, with lines numbered from 1 within each file.
 
-    Files are read in splits. A line's number is the lines of its file's earlier splits and its place in its own, so no
-    task holds more than a split.
+    Files are read in splits, each by one task in order. A line's number is its place from the first of its split, and
+    the lines of its file's earlier splits; only the splits' totals are shuffled and sorted, not the lines.
     """
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("raw"), F.monotonically_increasing_id().alias("at"))
-    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
-    return rows.select("file", "block", "raw", place.alias("place")).join(blocks, ["file", "block"]).select("file", (F.col("n0") + F.col("place")).alias("line"), "raw")
+    blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    return rows.join(blocks, ["file", "block"]).select("file", (F.col("n0") + F.col("at") - F.col("first") + 1).alias("line"), "raw")
 
 
 def parsed(rows: DataFrame, raw: str = "raw") -> DataFrame:
@@ -74,8 +75,12 @@ def raise_on(found: DataFrame, what: str) -> None:
 
 
 def typed(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """Fields as columns; arrays, objects and anything else stay variants."""
-    return rows.select("file", "line", *[F.try_variant_get("doc", f"$.{f}", READS.get(kind, "variant")).alias(f) for f, kind in fields.items()])
+    """Fields as columns, null where a value has another type; arrays, objects and anything else stay variants."""
+    def read(field: str, kind: str) -> Column:
+        value = F.try_variant_get("doc", f"$.{field}", READS.get(kind, "variant"))
+        return F.when(type_of(F.col("doc"), field).rlike(f"^(?:{KINDS[kind]})$"), value) if kind in READS else value
+
+    return rows.select("file", "line", *[read(f, kind).alias(f) for f, kind in fields.items()])
 
 
 def load(spark: SparkSession, path: str, required: dict[str, str], optional: dict[str, str] | None = None, key: str = "id") -> DataFrame:
@@ -95,6 +100,64 @@ def load_attempts(spark: SparkSession, path: str, required: dict[str, str], key:
     return typed(rows, required).join(errors, ["file", "line"], "left")
 
 
+# Schemas of the record files: required fields, and optional ones.
+EXAMPLE = {"id": "string", "split": "string", "student_image": "string", "teacher_image": "string", "question": "string", "required_visual_facts": "object", "accepted_answers": "array"}
+OUTPUT = {"id": "string", "visual_facts": "object", "reasoning": "string", "answer": "string", "visual_confidence": "int", "conditional_answer_confidence": "int"}
+PROXY_EXAMPLE = {"id": "string", "split": "string", "student_image": "string", "teacher_image": "string", "question": "string", "accepted_answers": "array"}
+PROXY_OPTIONAL = {"student_image_hint": "string", "teacher_question": "string", "teacher_evidence": "any"}
+SOURCE_ROW = {"id": "string", "split": "string", "source_image": "string", "question": "string", "accepted_answers": "array"}
+SOURCE_OPTIONAL = {"evidence_bbox_xyxy": "any", "source_image_sha256": "string", "teacher_evidence": "any"}
+
+
+def examples(rows: DataFrame) -> DataFrame:
+    """Parsed example lines as columns: facts map<slot, accepted values>, canonical value first, and answers."""
+    facts = F.try_variant_get("doc", "$.required_visual_facts", "map<string,variant>")
+    plain = lambda v: F.try_variant_get(v, "$", "string")
+    accepted = lambda k, v: F.when(F.schema_of_variant(v) == "STRING", F.array(plain(v))).otherwise(F.concat(F.array(F.try_variant_get(v, "$.canonical", "string")), F.coalesce(F.try_variant_get(v, "$.aliases", "array<string>"), F.array().cast("array<string>"))))
+    named = {k: kind for k, kind in EXAMPLE.items() if kind == "string"}
+    fields = [F.try_variant_get("doc", f"$.{f}", "string").alias(f) for f in named]
+    return rows.select("file", "line", *fields, F.transform_values(facts, accepted).alias("facts"), F.try_variant_get("doc", "$.accepted_answers", "array<string>").alias("answers"))
+
+
+def example_rules(rows: DataFrame) -> DataFrame:
+    """(id, rule) of ``examples``: facts and answers are there, and none has the same value twice when folded."""
+    own = rows.withColumns({"_values": folded(F.flatten(F.map_values("facts"))), "_answers": folded("answers")})
+    values = F.map_values("facts")
+    before = lambda i: F.aggregate(F.slice(values, 1, i), F.lit(0), lambda n, v: n + F.size(v))
+    own = own.withColumn("_by", F.transform(values, lambda v, i: F.slice("_values", before(i) + 1, F.size(v))))
+    once = lambda x: F.size(F.array_distinct(x)) == F.size(x)
+    return rules_table(own, "id", {
+        "there are facts": F.size("facts") > 0, "slots are named": F.forall(F.map_keys("facts"), lambda k: F.trim(k) != ""), "facts are not empty": F.forall("_values", lambda v: v != ""),
+        "aliases differ from the canonical value": F.forall("_by", once), "there are answers": F.size("answers") > 0, "answers are not empty": F.forall("_answers", lambda v: v != ""), "answers differ": once(F.col("_answers")),
+    })
+
+
+def parsed_or_error(parsed_id: Column, own_id: Column, error: Column) -> Column:
+    """An attempt has either a parse under its own id, or an error that isn't empty."""
+    return F.coalesce(F.when(parsed_id.isNull(), F.length(F.trim(error)) > 0).otherwise(error.isNull() & (parsed_id == own_id)), F.lit(False))
+
+
+def evidence_holds(doc: Column) -> Column:
+    """Evidence, a variant, is nothing, text that isn't empty, or an object or array; parsing has refused what is not finite."""
+    kind = F.schema_of_variant(doc)
+    return F.coalesce(F.when(kind == "STRING", F.trim(F.try_variant_get(doc, "$", "string")) != "").otherwise((kind == "VOID") | kind.rlike("^(?:OBJECT|ARRAY)<")), F.lit(True))
+
+
+def sample_rules(metrics: list[str]) -> dict[str, Column]:
+    """The contract of diagnostic samples."""
+    number = {f"{m} is finite": finite(F.col(m)) for m in metrics}
+    there = {f"{m} is there with tokens": (F.col("vision_tokens") == 0) | F.col(m).isNotNull() for m in metrics}
+    return {
+        "keys are not empty": (F.length("example_id") > 0) & (F.length("condition") > 0), "vision_tokens is at least 0": F.col("vision_tokens") >= 0, "proxy_fallback is known": F.col("proxy_fallback").isNotNull(),
+        "visual_proxy is a probability": F.col("visual_proxy").isNotNull() & finite(F.col("visual_proxy"), 0, 1), "fallback means proxy 0": ~F.col("proxy_fallback") | (F.col("visual_proxy") == 0), **number, **there,
+    }
+
+
+def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n) that are there more than once."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def rules_table(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(key, rule) for each row and rule that doesn't hold; a rule that is null doesn't hold."""
     broken = [F.when(~F.coalesce(holds, F.lit(False)), name) for name, holds in rules.items()]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import messages
-from .contracts import ContractError, lines, parsed, rules_table
+from .contracts import ContractError, box_holds, evidence_holds, lines, parsed, rules_table
 
 
 def numbered(spark: SparkSession, path: str, rows: int | None = None, sha256: str | None = None) -> DataFrame:
@@ -50,6 +50,22 @@ def training_rows(manifest: DataFrame, folder: str, system: str) -> DataFrame:
     return manifest.select("id", "split", messages(system, F.col("question"), F.lit(None).cast("string")).alias("prompt"), resolved(F.col("student_image"), folder).alias("image"), resolved(F.col("teacher_image"), folder).alias("teacher_image"), payload.alias("example_payload"))
 
 
+def source_problems(rows: DataFrame, images: DataFrame, need_box: bool = True) -> DataFrame:
+    """(id, rule) of source rows against their images.
+
+    rows: id, split, image, sha256 (null if not told), box, evidence (a variant). images: file, sha256, width, height.
+    Splits are train and validation, both are there, and no image's content is in both.
+    """
+    both = rows.join(images.select(F.col("file").alias("image"), F.col("sha256").alias("_sha"), "width", "height"), "image", "left")
+    rules = {
+        "split is train or validation": F.col("split").isin("train", "validation"), "image exists": F.col("_sha").isNotNull(), "digest is SHA-256": F.col("sha256").isNull() | F.col("sha256").rlike("^[0-9a-f]{64}$"), "digest is the file's": F.col("sha256").isNull() | F.col("_sha").isNull() | (F.col("sha256") == F.col("_sha")),
+        "there is a box": F.lit(not need_box) | F.col("box").isNotNull(), "box is in the image": F.col("box").isNull() | F.col("_sha").isNull() | F.coalesce(box_holds(F.col("box"), F.col("width"), F.col("height")), F.lit(False)), "evidence is text or JSON": evidence_holds(F.col("evidence")),
+    }
+    found = rules_table(both, "id", rules)
+    seen = both.where("_sha IS NOT NULL").groupBy("_sha").agg(F.count_distinct("split").alias("splits")).where("splits > 1").select("_sha")
+    return found.unionAll(both.join(seen, "_sha", "left_semi").select("id", F.lit("image is in one split").alias("rule")))
+
+
 def id_list(text: str, count: int | None = None) -> list[str]:
     """Ids of a JSON array, of an object's subset_ids or ids, or one a line; distinct, in their order."""
     try:

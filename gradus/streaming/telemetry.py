@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -38,6 +39,71 @@ def allowed(rows: DataFrame, names: list[str], key: str = "key") -> DataFrame:
     return rows.where(F.col(key).isin(names) & ~dropped).withColumn(key, F.regexp_replace(key, "/", "_"))
 
 
+class Falling(ValueError):
+    """A counter of a run moved backwards."""
+
+
+class Tracker:
+    """Publishes the log events of one run: windows of rollouts, validations and counters, in order of its steps.
+
+    rollouts wait until a training log flushes them; ``finish`` refuses a good end while some wait. evidence holds
+    counters, of which ``successful`` may not fall.
+    """
+
+    def __init__(self, sink: Callable[[dict], None], report: Callable[[DataFrame], DataFrame], successful: str = "optimizer_successful_updates"):
+        self.sink, self.report, self.successful = sink, report, successful
+        self.waiting: list[DataFrame] = []
+        self.last: int | None = None
+        self.closed = False
+
+    def _evidence(self, evidence: dict, step: int) -> dict:
+        if self.closed:
+            raise RuntimeError("the tracker has finished")
+        counters = {k: v for k, v in {**evidence, "trainer/state_global_step": step}.items() if v is not None}
+        if self.successful not in counters or any(type(v) is not int or v < 0 for v in counters.values()):
+            raise ValueError("counters must be whole numbers from 0, and successful updates be among them")
+        if self.last is not None and counters[self.successful] < self.last:
+            raise Falling(f"{self.successful} fell from {self.last} to {counters[self.successful]}")
+        self.last = counters[self.successful]
+        return {k.replace("optimizer_", "optimizer/"): v for k, v in counters.items()}
+
+    def record(self, rollouts: DataFrame) -> None:
+        if self.closed:
+            raise RuntimeError("the tracker has finished")
+        self.waiting.append(rollouts)
+
+    def log_training(self, evidence: dict, step: int) -> None:
+        """Flush what waits as one window of the report, with the counters."""
+        out = self._evidence(evidence, step)
+        if self.waiting:
+            rows = self.waiting[0]
+            for more in self.waiting[1:]:
+                rows = rows.unionByName(more)
+            found = self.report(rows).first()
+            out |= {f"train/{k}": v for k, v in (found.asDict() if found else {}).items() if v is not None}
+        self.sink(out)
+        self.waiting.clear()
+
+    def log_validation(self, report: DataFrame, names: list[str], evidence: dict, step: int) -> None:
+        """The allowed measures of a validation report of one row, at the same counters."""
+        out, found = self._evidence(evidence, step), report.first().asDict()
+        self.sink(out | {f"validation/{n}": found[n] for n in names if found.get(n) is not None})
+
+    def log_counters(self, evidence: dict, step: int) -> None:
+        self.sink(self._evidence(evidence, step))
+
+    def finish(self, good: bool = True) -> None:
+        if not self.closed and good and self.waiting:
+            raise RuntimeError("rollouts wait that no training log has flushed")
+        self.closed = True
+
+
+def falling_states(rows: DataFrame, run: str, step: str, counter: str) -> DataFrame:
+    """Rows of a batch whose counter is below one of an earlier step of the run."""
+    before = Window.partitionBy(run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("highest", F.max(counter).over(before)).where(F.col(counter) < F.col("highest"))
+
+
 class Counter(StatefulProcessor):
     """Keeps a run's last counters; rows that fall below it are told apart."""
 
@@ -47,12 +113,16 @@ class Counter(StatefulProcessor):
     def handleInputRows(self, key, rows, timer_values):
         last = self.last.get() if self.last.exists() else (0, 0)
         done, tried, out = last[0], last[1], []
-        # A batch's rows of one run come in batches of rows: they are put in order of steps together.
-        frame = pd.concat(list(rows)).sort_values("step")
-        for r in frame.itertuples():
+        # A micro-batch's steps of one run, two numbers each, are put in order together.
+        steps, wins = [], []
+        for frame in rows:
+            steps.append(frame["step"].to_numpy(np.int64))
+            wins.append(frame["success"].to_numpy(bool))
+        steps, wins = np.concatenate(steps), np.concatenate(wins)
+        for i in np.argsort(steps, kind="stable"):
             tried += 1
-            done += int(bool(r.success))
-            out.append((key[0], int(r.step), tried, done, tried - done))
+            done += int(wins[i])
+            out.append((key[0], int(steps[i]), tried, done, tried - done))
         self.last.update((done, tried))
         yield pd.DataFrame(out, columns=["run", "step", "attempted", "successful", "skipped"])
 
