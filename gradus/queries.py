@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import kernels as K
+from .functions import prompts as N
 from .functions import text as T
 from .operators import audit as A
 from .operators import calibration as C
@@ -663,10 +664,27 @@ def str19_masks(spark, sf_dir):
     return rows.select("doc_id", F.aggregate(made["content"], F.lit(0), lambda a, x: a + x).alias("content_tokens"), count.alias("tokens"))
 
 
-@query("SELECT conv_id, turn, concat('Question: ', text, CASE WHEN turn % 2 = 0 THEN concat(chr(10), 'Hint: ', role) ELSE '' END) AS prompt FROM conversations")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_ASK = "SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN concat('Which? A. ', lang, ' B. x C. y D. z') ELSE concat(' How many ', source, '? ') END AS question, CASE WHEN doc_id % 2 = 0 THEN concat(' ', source, ' ') END AS hint, CASE WHEN doc_id % 5 = 0 THEN concat('[\"', lang, '\"]') END AS evidence FROM {documents}"
+
+
+@query(
+    f"""WITH q AS ({D.duck(_ASK)}) SELECT doc_id, sha256(concat({_quoted(N.GUIDANCE + N.START)}, CASE WHEN hint IS NOT NULL THEN concat('Image focus: ', trim(hint), chr(10)) ELSE '' END, 'Question: ', trim(question))) AS single,
+sha256(concat({_quoted(N.GUIDANCE)}, ' ', CASE WHEN doc_id % 3 = 0 THEN {_quoted(N.ONE_LETTER)} ELSE {_quoted(N.DIRECT)} END, {_quoted(N.GIVEN_IMAGE)})) AS system, concat(CASE WHEN hint IS NOT NULL THEN concat('Image focus: ', trim(hint), chr(10)) ELSE '' END, 'Question: ', trim(question), {_quoted(N.FOUR_BLOCKS)}) AS student,
+concat(CASE WHEN evidence IS NOT NULL THEN concat({_quoted(N.EVIDENCE)}, evidence, chr(10)) ELSE '' END, 'Question: ', trim(question)) AS teacher, concat('Question: ', trim(question)) AS plain_teacher, sha256(concat(trim(question), {_quoted(N.EARLIER_ASK)}, chr(123), '"color": "visible value", "a ', lang, '": "visible value"', chr(125), {_quoted(N.EARLIER_REST)})) AS earlier FROM q"""
+)
 def str14_prompts(spark, sf_dir):
-    made = T.messages("Answer from the image.", F.col("text"), F.when(F.col("turn") % 2 == 0, F.col("role")))
-    return D.table(spark, sf_dir, "conversations").select("conv_id", "turn", made[1]["content"][1]["text"].alias("prompt"))
+    """The four kinds of prompts, with and without hints, evidence and options."""
+    question, hint, evidence = F.col("question"), F.col("hint"), F.col("evidence")
+    said = lambda turns, i=1, j=1: turns[i]["content"][j]["text"]
+    rows = D.view(spark, sf_dir, _ASK)
+    return rows.select(
+        "doc_id", F.sha2(N.single(question, hint), 256).alias("single"), F.sha2(said(N.student(question, hint), 0, 0), 256).alias("system"), said(N.student(question, hint)).alias("student"),
+        said(N.teacher(question, evidence)).alias("teacher"), said(N.teacher(question, evidence, False)).alias("plain_teacher"), F.sha2(N.earlier(question, F.array(F.lit("color"), F.concat(F.lit("a "), "lang"))), 256).alias("earlier"),
+    )
 
 
 # Contracts.
