@@ -1,7 +1,7 @@
 """Calibration of reported confidences against outcomes, with the denominator of each measure stated.
 
-Measures of nothing are null, never 0. Means and sums are partial aggregates; the only orderings over whole tables are
-quantiles, and the risk-coverage curve, whose ranks come from bucket totals.
+Measures of nothing are null, never 0. Means and sums are partial aggregates; quantiles come from nested histograms, and
+the ranks of the risk-coverage curve from bucket totals.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .quantiles import beside, quantiles
 
 QUANTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -52,15 +53,13 @@ def brier(report: Column, target: Column) -> Column:
     return F.avg(F.pow(report - target.cast("double"), 2))
 
 
-def distribution(value: Column, prefix: str = "") -> list[Column]:
-    """Count, mean, population variance and deviation, and interpolated quantiles."""
-    value = value.cast("double")
-    out = [F.count(value).alias(f"{prefix}sample_count"), F.avg(value).alias(f"{prefix}mean"), F.var_pop(value).alias(f"{prefix}variance"), F.stddev_pop(value).alias(f"{prefix}std")]
-    return out + [F.percentile(value, F.lit(q)).alias(f"{prefix}{name}") for name, q in QUANTILES.items()]
-
-
-def describe(value: Column, prefix: str = "") -> list[Column]:
-    return [*distribution(value, prefix), F.min(value.cast("double")).alias(f"{prefix}min"), F.max(value.cast("double")).alias(f"{prefix}max")]
+def described(rows: DataFrame, keys: list[str], value: Column, prefix: str = "", ends: bool = True) -> DataFrame:
+    """(keys, count, mean, population variance and deviation, interpolated quantiles, and least and greatest with ends)."""
+    rows = rows.select(*keys, value.cast("double").alias("_value"))
+    v = F.col("_value")
+    out = [F.count(v).alias(f"{prefix}sample_count"), F.avg(v).alias(f"{prefix}mean"), F.var_pop(v).alias(f"{prefix}variance"), F.stddev_pop(v).alias(f"{prefix}std")]
+    out += [F.min(v).alias(f"{prefix}min"), F.max(v).alias(f"{prefix}max")] if ends else []
+    return beside(rows.groupBy(*keys).agg(*out), quantiles(rows, keys, "_value", {f"{prefix}{n}": q for n, q in QUANTILES.items()}), keys)
 
 
 def histogram(rows: DataFrame, value: str, bins: int = 10) -> DataFrame:
@@ -127,10 +126,12 @@ def evaluate_rollouts(rows: DataFrame, threshold: float = 0.8, bins: int = 10) -
         "reason_present_count": count(reason), "format_clean_count": count(clean), "format_clean_rate": count(clean) / n, "visual_report_count": count(visual.isNotNull()), "answer_report_count": count(answer.isNotNull()),
         "both_reports_count": count(both), "both_reports_rate": count(both) / n, "proxy_nonfallback_rate": count(eligible) / n,
     }
-    out = rows.agg(*[c.alias(name) for name, c in measures.items()], *distribution(F.when(eligible, proxy), "proxy_"), *distribution(F.col("vision_tokens"), "vision_tokens_"))
+    out = rows.agg(*[c.alias(name) for name, c in measures.items()])
+    # Single rows of aggregates are put side by side.
+    for frame in (described(rows, [], F.when(eligible, proxy), "proxy_", False), described(rows, [], F.col("vision_tokens"), "vision_tokens_", False)):
+        out = out.crossJoin(F.broadcast(frame))
     out = out.withColumn("proxy_mean_difference", F.col("proxy_mean_correct") - F.col("proxy_mean_incorrect"))
     scored_rows, paired_rows = rows.where(scored).withColumn("y", correct), rows.where(paired)
-    # Single rows of aggregates are put side by side.
     for name, frame, report, target in (("answer_ece", scored_rows, "answer_confidence", "y"), ("visual_proxy_binned_mean_error", paired_rows, "visual_confidence", "visual_proxy")):
         out = out.crossJoin(F.broadcast(calibration_error(frame, report, target, bins, name)))
     return out

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
+import math
 import random
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .calibration import describe, pearson
+from .calibration import described, pearson
+from .quantiles import beside, quantiles
 from .splits import seed_of
 
 TOLERANCE = 1e-12
@@ -58,7 +57,7 @@ def condition_summary(samples: DataFrame, tokens: DataFrame, metrics: list[str])
     def long(rows: DataFrame, weighting: str) -> DataFrame:
         have = [m for m in metrics if m in rows.columns]
         values = rows.select("condition", *[F.col(m).cast("double").alias(m) for m in have]).unpivot(["condition"], have, "metric", "value")
-        return values.where("value IS NOT NULL").groupBy("condition", "metric").agg(*describe(F.col("value"))).withColumn("weighting", F.lit(weighting))
+        return described(values.where("value IS NOT NULL"), ["condition", "metric"], F.col("value")).withColumn("weighting", F.lit(weighting))
 
     return long(samples, "examples").unionByName(long(tokens, "tokens"))
 
@@ -103,47 +102,44 @@ def coverage(samples: DataFrame, baseline: str) -> DataFrame:
 
 
 def delta_summary(rows: DataFrame) -> DataFrame:
-    d = F.col("delta")
-    return rows.groupBy("condition", "metric", "scope").agg(
-        F.count("*").alias("n"), F.avg(d).alias("mean_delta"), F.median(d).alias("median_delta"), F.stddev_pop(d).alias("std_delta"),
+    d, keys = F.col("delta"), ["condition", "metric", "scope"]
+    out = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(d).alias("mean_delta"), F.stddev_pop(d).alias("std_delta"),
         F.count_if(d > TOLERANCE).alias("positive"), F.count_if(d < -TOLERANCE).alias("negative"), F.count_if(F.abs(d) <= TOLERANCE).alias("zero"),
     )
+    return beside(out, quantiles(rows, keys, "delta", {"median_delta": 0.5}), keys)
 
 
-def hashed_bootstrap(rows: DataFrame, reps: int, seed: int, blocks: int = 24) -> DataFrame:
-    """(condition, metric, scope, low, high): percentile intervals of resampled means.
+#: P(a Poisson number of mean 1 is at most k), from k = 0 on.
+POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(9))
+#: Resamples that one digest makes weights for.
+PER_DIGEST = 4
 
-    Draw j of resample r takes the delta whose place is a hash of (seed, r, j) modulo n, so any engine makes the same
-    draws. A task makes a block of the resamples for all groups, so that a draw is hashed once for them; it holds their
-    deltas as arrays.
+
+def hashed_bootstrap(rows: DataFrame, reps: int, seed: int) -> DataFrame:
+    """(condition, metric, scope, low, high): percentile intervals of resampled means, by a Poisson bootstrap.
+
+    A resample takes each example a Poisson number of times, which a digest of (seed, block of resamples, example) tells,
+    so any engine draws the same. Examples are weighted where they stand: nothing is ordered or numbered, all metrics of
+    an example share its weights, and sums combine before the shuffle.
     """
     keys = ["condition", "metric", "scope"]
-    ordered = F.sort_array(F.collect_list(F.struct("example_id", "delta")))
-    groups = rows.groupBy(*keys).agg(F.transform(ordered, lambda x: x["delta"].cast("double")).alias("values"))
-    dealt = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(min(blocks, reps) - 1)))).repartition(blocks, "block")
-    kinds = dealt.select(*keys).schema.add("mean", "double")
-
-    def resampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values = [np.array(v, float) for v in b.column("values").to_pylist()]
-            own: dict[int, list[int]] = {}
-            for i, block in enumerate(b.column("block").to_pylist()):
-                own.setdefault(block, []).append(i)
-            at, means = [], []
-            for block, members in own.items():
-                most = max(len(values[i]) for i in members)
-                for rep in range(block + 1, reps + 1, min(blocks, reps)):
-                    digests = b"".join([hashlib.md5(b"%d|%d|%d" % (seed, rep, j)).digest() for j in range(1, most + 1)])
-                    drawn = np.frombuffer(digests, ">u8")[::2].astype(np.uint64) >> np.uint64(4)
-                    for i in members:
-                        n = len(values[i])
-                        at.append(i)
-                        means.append(values[i][drawn[:n] % np.uint64(n)].mean())
-            taken = b.select(keys).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(means, pa.float64())], [*keys, "mean"])
-
-    means = dealt.mapInArrow(resampled, kinds)
-    return means.groupBy(*keys).agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
+    kinds = [(r["metric"], r["scope"]) for r in rows.select("metric", "scope").distinct().orderBy("metric", "scope").collect()]
+    wide = rows.groupBy("condition", "example_id").agg(*[F.max(F.when((F.col("metric") == m) & (F.col("scope") == s), F.col("delta"))).alias(f"d{i}") for i, (m, s) in enumerate(kinds)])
+    blocks = wide.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // PER_DIGEST))))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("block").cast("string"), F.col("example_id")).cast("binary"))
+    parts = F.array(*[F.struct((F.col("block") * PER_DIGEST + i).alias("rep"), F.substring(F.col("digest"), 8 * i + 1, 8).alias("hex")) for i in range(PER_DIGEST)])
+    dealt = blocks.withColumn("digest", digest).withColumn("part", F.explode(parts)).where(F.col("part.rep") < reps)
+    u = F.conv(F.col("part.hex"), 16, 10).cast("long") / F.lit(float(1 << 32))
+    weight = F.lit(0)
+    for bound in POISSON:
+        weight = weight + (F.col("u") >= F.lit(bound)).cast("int")
+    dealt = dealt.select("condition", F.col("part.rep").alias("rep"), u.alias("u"), *[f"d{i}" for i in range(len(kinds))]).withColumn("w", weight).where("w > 0")
+    sums = dealt.groupBy("condition", "rep").agg(*[x for i in range(len(kinds)) for x in (F.sum(F.col("w") * F.col(f"d{i}")).alias(f"s{i}"), F.sum(F.when(F.col(f"d{i}").isNotNull(), F.col("w"))).alias(f"n{i}"))])
+    means = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(s).alias("scope"), F.try_divide(F.col(f"s{i}"), F.col(f"n{i}").cast("double")).alias("mean")) for i, (m, s) in enumerate(kinds)])
+    long = sums.select("condition", F.explode(means).alias("m")).select("condition", "m.*").where("mean IS NOT NULL")
+    # A row a resample.
+    return long.groupBy(*keys).agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
 
 
 def twister_means(values: np.ndarray, reps: int, seed: int) -> np.ndarray:

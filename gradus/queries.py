@@ -131,7 +131,7 @@ def agg13_pearson(spark, sf_dir):
 
 @query(f"WITH {R} SELECT step, {distribution_sql('visual_proxy')}, min(visual_proxy) AS min, max(visual_proxy) AS max FROM r WHERE NOT proxy_fallback GROUP BY step", DISTRIBUTION + " min max")
 def agg15_distribution(spark, sf_dir):
-    return D.rollouts(spark, sf_dir).where("NOT proxy_fallback").groupBy("step").agg(*C.describe(F.col("visual_proxy")))
+    return C.described(D.rollouts(spark, sf_dir).where("NOT proxy_fallback"), ["step"], F.col("visual_proxy"))
 
 
 @query(f"WITH {R}, h AS (SELECT least(floor(visual_proxy * 20), 19) AS b, count(*) AS n FROM r GROUP BY 1) SELECT CAST(i AS INT) AS bin, coalesce(n, 0) AS n FROM range(20) x(i) LEFT JOIN h ON b = i")
@@ -559,13 +559,24 @@ def agg28_fallback_transitions(spark, sf_dir):
     return P.transitions(D.view(spark, sf_dir, D.SAMPLES), "view")
 
 
-@query(f"WITH {_DELTA}, p AS (SELECT *, row_number() OVER (PARTITION BY condition, metric, scope ORDER BY example_id) - 1 AS place FROM l WHERE metric = 'raw_js' AND delta IS NOT NULL), n AS (SELECT condition, metric, scope, count(*) AS n FROM p GROUP BY ALL), d AS (SELECT n.*, r.rep, w.draw, CAST('0x' || substr(md5(concat_ws('|', '3', r.rep, w.draw)), 1, 15) AS BIGINT) % n AS place FROM n, range(1, 101) r(rep), LATERAL (SELECT unnest(range(1, n.n + 1)) AS draw) w), m AS (SELECT d.condition, d.metric, d.scope, d.rep, avg(delta) AS mean FROM d JOIN p USING (condition, metric, scope, place) GROUP BY ALL) SELECT condition, metric, scope, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m GROUP BY ALL", "low high")
+def bootstrap_sql(metrics: list[str], reps: int, seed: int) -> str:
+    weight = " + ".join(f"CAST(u >= {bound!r}::DOUBLE AS INT)" for bound in P.POISSON)
+    kinds = [(m, scope, f"CASE WHEN NOT fell THEN {m} END" if scope == "valid_to_valid" else m) for m in metrics for scope in ("all_available", "valid_to_valid")]
+    sums = ", ".join(f"sum(w * {x}) / nullif(sum(CASE WHEN {x} IS NOT NULL THEN w END), 0) AS m{i}" for i, (_, _, x) in enumerate(kinds))
+    long = " UNION ALL ".join(f"SELECT condition, '{m}' AS metric, '{scope}' AS scope, m{i} AS mean FROM q" for i, (m, scope, _) in enumerate(kinds))
+    return f"""WITH {_DELTA}, h AS (SELECT j.*, b.block, md5(concat_ws('|', '{seed}', b.block, example_id)) AS digest FROM j, range({-(-reps // P.PER_DIGEST)}) b(block)),
+d AS (SELECT h.*, block * {P.PER_DIGEST} + i.i AS rep, CAST('0x' || substr(digest, CAST(8 * i.i + 1 AS BIGINT), 8) AS BIGINT) / {float(1 << 32)!r}::DOUBLE AS u FROM h, range({P.PER_DIGEST}) i(i)),
+w AS (SELECT *, {weight} AS w FROM d WHERE rep < {reps}), q AS (SELECT condition, rep, {sums} FROM w GROUP BY condition, rep), m AS ({long})
+SELECT condition, metric, scope, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m WHERE mean IS NOT NULL GROUP BY ALL"""
+
+
+@query(bootstrap_sql(["raw_js"], 100, 3), "low high")
 def agg29_hashed_bootstrap(spark, sf_dir):
-    """A reduced form, 100 resamples of one metric, for its SQL; agg29_hashed_bootstrap_5000 is the whole job."""
+    """A reduced form, 100 resamples of one metric; agg29_hashed_bootstrap_5000 is the whole job."""
     return P.hashed_bootstrap(P.deltas(D.view(spark, sf_dir, D.SAMPLES), "view", ["raw_js"]), 100, 3)
 
 
-@query(f"WITH {_DELTA}, p AS (SELECT *, row_number() OVER (PARTITION BY condition, metric, scope ORDER BY example_id) - 1 AS place, count(*) OVER (PARTITION BY condition, metric, scope) AS n FROM l WHERE delta IS NOT NULL), n AS (SELECT DISTINCT condition, metric, scope, n FROM p), h AS MATERIALIZED (SELECT rep, draw, CAST('0x' || substr(md5(concat_ws('|', '3', rep, draw)), 1, 15) AS BIGINT) AS hash FROM range(1, {REPS + 1}) r(rep), (SELECT unnest(range(1, (SELECT max(n) FROM n) + 1)) AS draw)), m AS (SELECT n.condition, n.metric, n.scope, h.rep, avg(delta) AS mean FROM n JOIN h ON h.draw <= n.n JOIN p ON p.condition = n.condition AND p.metric = n.metric AND p.scope = n.scope AND p.place = h.hash % n.n GROUP BY ALL) SELECT condition, metric, scope, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m GROUP BY ALL", "low high")
+@query(bootstrap_sql(METRICS, REPS, 3), "low high")
 def agg29_hashed_bootstrap_5000(spark, sf_dir):
     return P.hashed_bootstrap(P.deltas(D.view(spark, sf_dir, D.SAMPLES), "view", METRICS), REPS, 3)
 

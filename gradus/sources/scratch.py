@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -25,6 +25,13 @@ def folder(spark: SparkSession, name: str) -> str:
     return _made[-1][1]
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write a table to a shared folder and read it."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _drop() -> None:
     for spark, path in _made:
         try:
