@@ -326,7 +326,7 @@ def _compare(vertex: np.ndarray, side: np.ndarray, same: bool, sets: list[np.nda
 
 def _blocks(members: DataFrame, t: Fraction) -> DataFrame:
     """Links within families: (family, u, shingles) to (u, v)."""
-    counts = members.groupBy("family").agg(F.count("*").alias("members"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    counts = stored(members.groupBy("family").agg(F.count("*").alias("members"), F.sum(F.octet_length("shingles")).alias("bytes")), "counts")
     dealt = members.join(small(counts), "family").withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("u", F.lit("block")), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -353,8 +353,8 @@ def _slice(whole: DataFrame, s: int, keys: Keys) -> tuple[DataFrame, DataFrame]:
     members = stored(keyed.join(small(many), "bucket", "left_semi").distinct(), "members")
     sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")), "sizes")
     copied = members.join(small(sizes.where(F.col("size") <= GATHERED).select("bucket")), "bucket", "left_semi")
-    # Shuffled at any size: both sides are in the billions where it matters.
-    rare = keyed.join(shared.where(F.col("rows") <= GATHERED).select("bucket"), "bucket", "left_semi")
+    # Shuffled and sorted at any size, and so gathered: both sides are in the billions where it matters.
+    rare = keyed.join(shared.where(F.col("rows") <= GATHERED).select("bucket").hint("merge"), "bucket", "left_semi")
 
     def gathered(rows: DataFrame) -> DataFrame:
         """Joined by bucket, rows are where they are gathered."""

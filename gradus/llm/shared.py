@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space, as in the regular expression below.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of one long or two that may be broadcast: at most some 64 MB.
-BROADCAST_ROWS = 2_000_000
+#: Rows, and bytes, that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 #: Bytes of an Arrow batch, and words whose hashes a worker remembers: they bound a worker's memory.
 BATCH_BYTES, REMEMBERED = 8 << 20, 200_000
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -39,10 +39,13 @@ def ready(spark: SparkSession) -> None:
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share, dropped when the driver ends.
 
-    The folder is spark.checkpoint.dir. Only where that is unset, as in tests, a temporary folder is set.
+    The folder is spark.checkpoint.dir. Where that is unset, a temporary folder is set if the master is local, as in
+    tests; else it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gradus-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -104,8 +107,14 @@ def place(df: DataFrame) -> str:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if a count shows that the table is small; else leave it to a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """Hint a broadcast if a count of rows and bytes shows that the table is small; else leave it to a shuffled join.
+
+    The count runs the table's plan: it is meant for stored tables, and for what is quickly made.
+    """
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c, kind in df.dtypes if kind in ("string", "binary")]
+    width = sum(wide, F.lit(16 + 8 * len(df.columns)).cast("long"))
+    many, size = df.select(width.alias("width")).limit(rows + 1).agg(F.count("*"), F.sum("width")).first()
+    return F.broadcast(df) if many <= rows and (size or 0) <= BROADCAST_BYTES else df
 
 
 def fresh(df: DataFrame, name: str) -> str:
