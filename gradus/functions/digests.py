@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType, StringType, StructType
 
 
+#: Ids of a list that is put in one line after another.
+MOST_LISTED = 100_000
+
+
 def canonical(text: str | None, compact: bool = False) -> str | None:
     """JSON with sorted keys, in plain spacing or compact; null for null."""
     if text is None:
@@ -35,9 +39,10 @@ def pixel_sha256(width: Column, height: Column, pixels: Column) -> Column:
 
 
 def listed_sha256(rows: DataFrame, order: str, value: str) -> DataFrame:
-    """One row: SHA-256 of the values in order, one a line. For the id lists of frozen subsets, which are short."""
+    """One row: SHA-256 of the values in order, one a line, of a frozen subset's ids: over MOST_LISTED are refused."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("string").alias("v")))), lambda x: x["v"])
-    return rows.agg(F.count("*").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"))
+    few = rows.limit(MOST_LISTED + 1).agg(F.count("*").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"))
+    return few.withColumn("sha256", F.when(F.col("n") <= MOST_LISTED, F.col("sha256")).otherwise(F.raise_error(F.lit(f"a list has at most {MOST_LISTED} ids"))))
 
 
 def scalars(rows: DataFrame) -> dict[str, Column]:

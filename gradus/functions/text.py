@@ -182,15 +182,6 @@ def without_image_marks(question: Column, mark: str = "<image>") -> Column:
     return strip(F.replace(question, F.lit(mark), F.lit("")))
 
 
-def messages(system: str, question: Column, hint: Column) -> Column:
-    """A chat of a system line and a user turn with an image and text; a hint adds a line."""
-    item = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
-    said = F.concat_ws("\n", F.concat(F.lit("Question: "), question), F.concat(F.lit("Hint: "), hint))
-    user = F.array(item("image", F.lit(None).cast("string")), item("text", said))
-    return F.array(F.struct(F.lit("system").alias("role"), F.array(item("text", F.lit(system))).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
-
-
-
 def with_image(turns: Column, text: Column) -> Column:
     """Chat turns with each image item replaced by the text, as a text item."""
     def item(x: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..sources.scratch import stored
 from .quantiles import beside, quantiles
 
 QUANTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
@@ -82,30 +83,34 @@ def map_means(rows: DataFrame, column: str, keys: str = "name") -> DataFrame:
 def risk_coverage(rows: DataFrame, key: str, report: str, correct: str, labelled: Column | None = None) -> DataFrame:
     """The curve: with the n most confident answers kept, the share of answers kept and of those wrong.
 
-    Rows are ranked by falling report, then key. A global window would sort them in one task; here a rank is the rows of
-    earlier thousandths of the report, and of earlier (report, first letters of the key) in the same one, plus a rank
-    among the rest. Only the thousandths' totals meet in one task.
+    Rows are ranked by falling report, then key, without a global sort in one task: they are dealt by ranges, so whatever
+    keys and reports look like, a rank is the rows of earlier ranges, and a rank within one. Only ranges' totals meet.
     """
     labelled = F.lit(True) if labelled is None else labelled
     totals = rows.agg(F.count("*").alias("total_count"), F.count_if(labelled).alias("labelled_count"))
-    used = rows.where(labelled & F.col(report).isNotNull()).select(F.col(key).alias("id"), F.col(report).alias("report"), (1 - F.col(correct).cast("int")).alias("wrong"), F.floor(-F.col(report) * 1000).alias("part"), F.substring(key, 1, 3).alias("start"))
-    buckets = used.groupBy("part", "report", "start").agg(F.count("*").alias("n"), F.sum("wrong").alias("w"))
-    parts = buckets.groupBy("part").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
-
-    def earlier(column: str, window) -> Column:
-        return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-
-    upto, inside = Window.orderBy("part"), Window.partitionBy("part").orderBy(F.col("report").desc(), "start")
-    parts = parts.select("part", earlier("n", upto).alias("n1"), earlier("w", upto).alias("w1"), F.sum("n").over(Window.partitionBy()).alias("reported_count"))
-    buckets = buckets.select("part", "report", "start", earlier("n", inside).alias("n2"), earlier("w", inside).alias("w2")).join(F.broadcast(parts), "part")
-    buckets = buckets.select("part", "report", "start", (F.col("n1") + F.col("n2")).alias("n0"), (F.col("w1") + F.col("w2")).alias("w0"), "reported_count")
-    within = Window.partitionBy("part", "report", "start").orderBy("id")
-    ranked = used.join(buckets, ["part", "report", "start"]).crossJoin(F.broadcast(totals))
+    used = rows.where(labelled & F.col(report).isNotNull()).select(F.col(key).alias("id"), F.col(report).alias("report"), (1 - F.col(correct).cast("int")).alias("wrong"))
+    dealt = stored(used.repartitionByRange(F.col("report").desc(), "id").withColumn("part", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("part").agg(F.count("*").alias("n"), F.sum("wrong").alias("w"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"), F.sum("n").over(Window.partitionBy()).alias("reported_count"))
+    within = Window.partitionBy("part").orderBy(F.col("report").desc(), "id")
+    ranked = dealt.join(F.broadcast(parts), "part").crossJoin(F.broadcast(totals))
     ranked = ranked.withColumn("retained_count", F.col("n0") + F.row_number().over(within)).withColumn("error_count", F.col("w0") + F.sum("wrong").over(within.rowsBetween(Window.unboundedPreceding, 0)))
     n = F.col("retained_count")
     return ranked.select("id", n, "reported_count", "total_count", (n / F.col("reported_count")).alias("coverage_of_reported"), F.try_divide(n, F.col("labelled_count")).alias("coverage_of_labeled"), (n / F.col("total_count")).alias("coverage_of_all"), "error_count", (F.col("error_count") / n).alias("risk"))
 
 
+def confident_errors(rows: DataFrame, report: str, target: str, threshold: float) -> DataFrame:
+    """One row: pairs with a report of at least the threshold, and those of them whose target is 0."""
+    sure = F.col(report) >= threshold
+    return rows.agg(F.count_if(sure).alias("confident"), F.count_if(sure & (F.col(target) == 0)).alias("errors"))
+
+
+def by_outcome(rows: DataFrame, outcome: str, value: str) -> DataFrame:
+    """(outcome, n, mean of the value)."""
+    return rows.groupBy(outcome).agg(F.count("*").alias("n"), F.avg(value).alias(f"{value}_mean"))
+
+
 def evaluate_rollouts(rows: DataFrame, threshold: float = 0.8, bins: int = 10) -> DataFrame:
     """One row of all scalar measures of rollout records: one pass for what is plain, one more for each binned error."""
     answer, visual, proxy = F.col("answer_confidence"), F.col("visual_confidence"), F.col("visual_proxy")

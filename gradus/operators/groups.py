@@ -79,6 +79,18 @@ def batch_means(rows: DataFrame, batch: str, values: list[str]) -> DataFrame:
     return rows.groupBy(batch).agg(F.count("*").alias("rollout_count"), *[F.avg(v).alias(f"mean_{v}") for v in values], finite.alias("finite"))
 
 
+def update_metrics(rows: DataFrame, update: str, reward: str, tolerance: float = 1e-12) -> DataFrame:
+    """(update, variance, mean, all_zero): whether all rewards of an update are nothing."""
+    return rows.groupBy(update).agg(F.var_pop(reward).alias("variance"), F.avg(reward).alias("mean"), F.bool_and(F.abs(reward) < tolerance).alias("all_zero"))
+
+
+def parity(rows: DataFrame, group: str, told: str, reward: str, scale: str = "none", relative: float = 1e-5, absolute: float = 1e-6) -> DataFrame:
+    """(group, close): whether advantages that are told are those that ``centred`` makes of the rewards, within both bounds."""
+    made = centred(rows, group, reward, scale, "_made")
+    near = F.abs(F.col(told) - F.col("_made")) <= F.lit(absolute) + F.lit(relative) * F.abs("_made")
+    return made.groupBy(group).agg(F.bool_and(near).alias("close"))
+
+
 def rank_slice(rows: DataFrame, place: str, ranks: int, rank: int, total: int) -> DataFrame:
     """The rows of one rank: a run of total / ranks places, as shards are gathered in order of ranks."""
     if total % ranks:

@@ -84,6 +84,15 @@ def deltas(samples: DataFrame, baseline: str, metrics: list[str]) -> DataFrame:
     return long.select("condition", "example_id", "metric", F.explode(scopes).alias("scope"), "delta")
 
 
+def condition_order(conditions: DataFrame, known: list[str], column: str = "condition") -> DataFrame:
+    """(condition, place): the known ones in their order, the baseline first, and all others after them by name."""
+    at = F.array_position(F.array(*map(F.lit, known)), F.col(column))
+    names = conditions.select(column).distinct()
+    # Conditions are few: a row each.
+    order = Window.orderBy(F.when(at > 0, at).otherwise(len(known) + 1), column)
+    return names.select(column, (F.row_number().over(order) - 1).cast("int").alias("place"))
+
+
 def transitions(samples: DataFrame, baseline: str) -> DataFrame:
     """(condition, change, n) of falling back, from the baseline to each condition."""
     old = samples.where(F.col("condition") == baseline).select("example_id", F.col("proxy_fallback").alias("_f"))

@@ -8,6 +8,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a frozen list that is held against itself.
+MOST_LISTED = 1000
+
 
 def rank_key(seed: object, *parts: Column) -> Column:
     """SHA-256 of the seed and parts, with NUL between."""
@@ -63,18 +66,23 @@ def seed_of(text: Column, below: int | None = None) -> Column:
 
 
 def stride(rows: DataFrame, order: str, world: int) -> DataFrame:
-    """Adds the shard of each row by its place in order. Places come from bucket totals, not from one sorted task."""
+    """Adds the shard of each row by its place in order.
+
+    Places come from totals of buckets of 4096 numbers, and those from totals of 4096 buckets each: a row of sixteen
+    million numbers meets the others in one task.
+    """
     buckets = rows.withColumn("_b", F.floor(F.col(order) / 4096))
-    totals = buckets.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    totals = buckets.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_c", F.floor(F.col("_b") / 4096))
+    earlier = lambda n, window: F.coalesce(F.sum(n).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    coarse = totals.groupBy("_c").agg(F.sum("_n").alias("_m")).select("_c", earlier("_m", Window.orderBy("_c")).alias("_first"))
+    totals = totals.join(coarse, "_c").select("_b", (F.col("_first") + earlier("_n", Window.partitionBy("_c").orderBy("_b"))).alias("_before"))
     place = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
     return buckets.join(totals, "_b").withColumn("shard", F.pmod(place, F.lit(world)).cast("int")).drop("_b", "_before")
 
 
 def in_listed_order(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Rows of a list of (position, key), and the position; a key that no row has stays away, see ``absent``."""
-    return F.broadcast(ids).join(rows, key)
+    return rows.join(ids, key)
 
 
 def absent(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -84,9 +92,11 @@ def absent(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 def successors(ids: DataFrame, hashes: tuple[str, ...] = ()) -> DataFrame:
     """For each of a stated list of (pos, id, scene): the next one in a circle that has another scene and other hashes.
 
-    The list is a bounded set of at most some tens of rows, held against itself. A null scene or hash differs from none.
+    The list is held against itself, so it has MOST_LISTED rows at most. A null scene or hash differs from none.
     """
     n = ids.count()
+    if n > MOST_LISTED:
+        raise ValueError(f"a list of {n} ids is too long; {MOST_LISTED} are the most")
     a, b = (ids.select(F.col("pos").alias(f"{x}pos"), F.col("id").alias(f"{x}id"), *[F.col(c).alias(f"{x}{c}") for c in ("scene", *hashes)]) for x in "pq")
     jump = F.pmod(F.col("qpos") - F.col("ppos"), F.lit(n))
     other = jump > 0
@@ -135,6 +145,19 @@ def at_positions(annotations: DataFrame, rows: DataFrame, position: str, frozen:
     return annotations.join(renamed, position, "left").withColumn("same", same)
 
 
+def repeating(rows: DataFrame, group: str, source: str) -> DataFrame:
+    """Groups that select a source more than once."""
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.count_distinct(source).alias("d")).where("n <> d").select(group)
+
+
+def matched(rows: DataFrame, sides: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Rows with ``state``: the name of the one side that has their key, both or neither. sides: name to (ids, key)."""
+    (one, (a, key_a)), (two, (b, key_b)) = sides.items()
+    rows = rows.join(a.select(key_a).distinct().withColumn("_one", F.lit(True)), key_a, "left").join(b.select(key_b).distinct().withColumn("_two", F.lit(True)), key_b, "left")
+    state = F.when(F.col("_one") & F.col("_two"), "both").when(F.col("_one"), one).when(F.col("_two"), two).otherwise("neither")
+    return rows.withColumn("state", state).drop("_one", "_two")
+
+
 def first_few(rows: DataFrame, order: str, k: int = 5) -> DataFrame:
     """The k smallest, to be shown in an error."""
     return rows.orderBy(order).limit(k)

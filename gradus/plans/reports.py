@@ -66,6 +66,11 @@ def frequency_svg(report: DataFrame, series: str, at: str, n: str) -> str:
     return "\n".join([*out, "</svg>"]) + "\n"
 
 
+def split_counts(rows: DataFrame, split: str) -> DataFrame:
+    """(split, n)."""
+    return rows.groupBy(split).agg(F.count("*").alias("n"))
+
+
 def write_manifest(rows: DataFrame, path: str, split: str = "split") -> None:
     """JSON lines in a folder for each split; fails if the path exists, and appears whole or not at all."""
     rows.write.mode("errorifexists").partitionBy(split).json(path)

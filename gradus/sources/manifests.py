@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import messages
+from ..functions.prompts import student
 from .contracts import ContractError, box_holds, evidence_holds, lines, parsed, rules_table
 
 
@@ -44,10 +44,11 @@ def missing_files(rows: DataFrame, column: str, listing: DataFrame) -> DataFrame
     return rows.join(listing.select(F.col("file").alias(column)), column, "left_anti")
 
 
-def training_rows(manifest: DataFrame, folder: str, system: str) -> DataFrame:
-    """(id, split, prompt, image, teacher_image, example_payload) of manifest records."""
+def training_rows(manifest: DataFrame, folder: str, hint: str | None = None) -> DataFrame:
+    """(id, split, prompt, image, teacher_image, example_payload) of manifest records; hint names a column of image hints."""
+    focus = F.col(hint) if hint else F.lit(None).cast("string")
     payload = F.to_json(F.struct(*sorted(manifest.columns)))
-    return manifest.select("id", "split", messages(system, F.col("question"), F.lit(None).cast("string")).alias("prompt"), resolved(F.col("student_image"), folder).alias("image"), resolved(F.col("teacher_image"), folder).alias("teacher_image"), payload.alias("example_payload"))
+    return manifest.select("id", "split", student(F.col("question"), focus).alias("prompt"), resolved(F.col("student_image"), folder).alias("image"), resolved(F.col("teacher_image"), folder).alias("teacher_image"), payload.alias("example_payload"))
 
 
 def source_problems(rows: DataFrame, images: DataFrame, need_box: bool = True) -> DataFrame:

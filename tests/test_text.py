@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gradus.functions import digests, legacy
+from gradus.functions import digests, legacy, prompts
 from gradus.functions import text as T
 
 TAIL = "<confidence><visual_confidence>{}</visual_confidence><answer_confidence>{}</answer_confidence></confidence>"
@@ -68,7 +68,7 @@ def test_folding(spark):
 def test_terminals_and_messages(spark):
     rows = spark.createDataFrame([([1, 2, 9, 9],), ([9],), ([],), ([1],)], "ids array<int>")
     assert [r[0] for r in rows.select(T.without_terminal(F.col("ids"), F.array(F.lit(9)))).collect()] == [[1, 2, 9], [], [], [1]]
-    m = spark.range(1).select(T.messages("sys", F.lit("Q?"), F.lit(None).cast("string"))).first()[0]
+    m = spark.range(1).select(prompts.teacher(F.lit(" Q? "), F.lit(None).cast("string"))).first()[0]
     assert [x["role"] for x in m] == ["system", "user"] and m[1]["content"][1]["text"] == "Question: Q?"
 
 
