@@ -2,7 +2,8 @@
 
 The source plans one partition for a run of files of about PARTITION_BYTES. Predicates on the record type and on
 headers are pushed down to it: they are tried on a record's parsed header block, and the block of a record that fails
-is skipped without a look at it. With the option ``payload`` set to false no payload is decoded at all.
+is skipped without a look at it. With the option ``payload`` set to false no payload is decoded; set to ``digest`` it
+is read for its length and SHA-1, which are columns, and not sent on.
 
 Archives are reached through pyarrow's file systems, so the folder may be local, HDFS or an object store.
 """
@@ -28,9 +29,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe,
 from .shared import folder, ready, small, stored
 
 PARTITION_BYTES, READ_BYTES = 64 << 20, 1 << 20
+#: Compressed bytes after which a task begins another archive: archives are read whole by a task.
+ARCHIVE_BYTES = 256 << 20
+SUFFIXES = (".warc", ".warc.gz")
 #: Characters that would end a header line.
 _BREAKS = str.maketrans("", "", "\r\n")
-SCHEMA = "record_id string, record_type string, target_uri string, date string, content_type string, content_length long, payload_digest string, refers_to string, headers map<string,string>, http_headers map<string,string>, payload binary, file string, place long"
+SCHEMA = "record_id string, record_type string, target_uri string, date string, content_type string, content_length long, payload_digest string, refers_to string, headers map<string,string>, http_headers map<string,string>, payload binary, file string, place long, read_bytes long, read_digest string"
 #: Columns that are headers; others are computed.
 COLUMNS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 
@@ -71,14 +75,20 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
 
     Of rows whose payloads are equal and have at least ``least`` bytes, that with the largest key is the response and
     the others revisit it; rows that repeat that key and payload are responses too, and so are rows without a key when
-    no equal payload has one. A null payload is an empty one. Each task writes one file under its partition's number:
-    a task that runs again replaces it whole, so lost executors and double runs leave no part of a file.
+    no equal payload has one. A null payload is an empty one, and an empty table makes no archives; texts of any length
+    are one record each. Each task writes files under its partition's number, and moves them into place when all are
+    whole: a task that runs again replaces them, so lost executors and double runs leave no part of a file. A folder
+    that holds archives is refused.
     """
     spark = pages.sparkSession
     ready(spark)
+    store, at = _opened(path)
+    if any(i.path.endswith(SUFFIXES) for i in store.get_file_info(arrow_fs.FileSelector(at, recursive=True, allow_not_found=True))):
+        raise FileExistsError(f"{path} has archives")
+    most = ARCHIVE_BYTES
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), payload.alias("html"))
-    # A key for equal payloads: built-in hashes, 20 bytes and the length, so that texts don't move to be grouped.
+    # A key for equal payloads: their SHA-1, so that texts don't move to be grouped.
     same = F.unhex(F.sha1(F.col("html").cast("binary")))
     keyed = rows.withColumn("same", same)
     newest = keyed.where(F.octet_length("html") >= least).groupBy("same").agg(F.max("id").alias("newest"), F.count("*").alias("rows"))
@@ -86,27 +96,33 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
     dealt = keyed.join(small(newest), "same", "left").select("id", "url", "html", "newest")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, store, at = 0, *_opened(path)
-        name = f"{at.rstrip('/')}/part-{TaskContext.get().partitionId():06d}.warc.gz"
-        half = f"{name}.{uuid.uuid4().hex}.tmp"
-        out = None
+        store, at = _opened(path)
+        own, half = f"part-{TaskContext.get().partitionId():06d}-", f"{uuid.uuid4().hex}.tmp"
+        folder_of, made, out = at.rstrip("/"), [], None
         for b in batches:
             for page, uri, text, newest in zip(b.column("id"), b.column("url"), b.column("html").cast(pa.large_binary()), b.column("newest"), strict=True):
-                if out is None:
-                    store.create_dir(at, recursive=True)
-                    out = store.open_output_stream(half, compression=None)
+                if out is None or made[-1][2] >= most:
+                    if out is None:
+                        store.create_dir(at, recursive=True)
+                    else:
+                        out.close()
+                    made.append([f"{folder_of}/{own}{len(made):04d}.warc.gz", 0, 0])
+                    out = store.open_output_stream(f"{made[-1][0]}.{half}", compression=None)
                 page, newest, body = page.as_py(), newest.as_py(), text.as_py()
                 revisit = newest is not None and page != newest
-                # A row's own name tells rows that repeat a key apart.
-                out.write(gzip.compress(record("revisit" if revisit else "response", record_id(page), uri.as_py(), body, len(body), digest(body), record_id(newest) if revisit else None), 1, mtime=0))
-                n += 1
-        if out is not None:
-            out.close()
-            size = store.get_file_info(half).size
-            if store.get_file_info(name).type != arrow_fs.FileType.NotFound:
-                store.delete_file(name)
-            store.move(half, name)
-            yield pa.RecordBatch.from_arrays([pa.array([f"{path.rstrip('/')}/{name.rsplit('/', 1)[1]}"]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["file", "records", "bytes"])
+                member = gzip.compress(record("revisit" if revisit else "response", record_id(page), uri.as_py(), body, len(body), digest(body), record_id(newest) if revisit else None), 1, mtime=0)
+                out.write(member)
+                made[-1][1:] = made[-1][1] + 1, made[-1][2] + len(member)
+        if out is None:
+            return
+        out.close()
+        for info in store.get_file_info(arrow_fs.FileSelector(at)):  # of this task's earlier run
+            if info.base_name.startswith(own) and info.base_name.endswith(SUFFIXES):
+                store.delete_file(info.path)
+        for name, _, _ in made:
+            store.move(f"{name}.{half}", name)
+        files, records, sizes = zip(*made, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array([f"{path.rstrip('/')}/{name.rsplit('/', 1)[1]}" for name in files]), pa.array(records, pa.int64()), pa.array(sizes, pa.int64())], ["file", "records", "bytes"])
 
     return stored(dealt.mapInArrow(work, "file string, records long, bytes long"), "archives")
 
@@ -241,8 +257,8 @@ def _holds(value: str | None, test: tuple) -> bool:
     return value in arg if kind == "in" else value.startswith(arg) if kind == "starts" else value.endswith(arg) if kind == "ends" else arg in value
 
 
-def read_records(raw: io.RawIOBase, name: str, tests: list[tuple[str, tuple]], payload: bool = True) -> Iterator[tuple]:
-    """Rows of SCHEMA of one archive."""
+def read_records(raw: io.RawIOBase, name: str, tests: list[tuple[str, tuple]], payload: str = "true") -> Iterator[tuple]:
+    """Rows of SCHEMA of one archive. payload: true, false or digest."""
     stream = _Members(raw)
     while True:
         while stream.fill(2) and stream.data[stream.at : stream.at + 2] == b"\r\n":
@@ -263,23 +279,24 @@ def read_records(raw: io.RawIOBase, name: str, tests: list[tuple[str, tuple]], p
         if not all(_holds(shown.get(h), t) for h, t in tests):
             stream.skip(length)
             continue
-        http, body = None, None
+        http, body, many, hashed = None, None, None, None
         if head.get("content-type", "").startswith("application/http"):
             before = stream.place
             http_block = stream.upto(b"\r\n\r\n") or b""
             http = _headers(http_block)[1]
             length -= stream.place - before
-        if payload and head.get("warc-type") != "revisit":
-            body = stream.take(length)
-        else:
+        if payload == "false" or head.get("warc-type") == "revisit":
             stream.skip(length)
-        yield (*[shown.get(h) for h in COLUMNS.values()][:5], int(head.get("content-length", 0)), *[shown.get(h) for h in COLUMNS.values()][5:], head, http, body, name, place)
+        else:
+            body = stream.take(length)
+            many, hashed = len(body), digest(body)
+            body = None if payload == "digest" else body
+        yield (*[shown.get(h) for h in COLUMNS.values()][:5], int(head.get("content-length", 0)), *[shown.get(h) for h in COLUMNS.values()][5:], head, http, body, name, place, many, hashed)
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.paths, self.payload = options["path"], str(options.get("payload", "true")).lower() != "false"
-        self.files = options.get("files")
+        self.paths, self.payload = options["path"], str(options.get("payload", "true")).lower()
         self.tests: list[tuple[str, tuple]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -295,13 +312,13 @@ class WarcReader(DataSourceReader):
         prefix = self.paths[: len(self.paths) - len(at)] if self.paths.endswith(at) else ""
         infos = store.get_file_info(arrow_fs.FileSelector(at, recursive=True, allow_not_found=True)) if store.get_file_info(at).type != arrow_fs.FileType.File else [store.get_file_info(at)]
         out, run, held = [], [], 0
-        for info in sorted((i for i in infos if i.type == arrow_fs.FileType.File and i.path.endswith((".warc", ".warc.gz"))), key=lambda i: i.path):
+        for info in sorted((i for i in infos if i.type == arrow_fs.FileType.File and i.path.endswith(SUFFIXES)), key=lambda i: i.path):
             if run and held + info.size > PARTITION_BYTES:
                 out.append(Files(tuple(run)))
                 run, held = [], 0
             run.append(prefix + info.path)
             held += info.size
-        return [*out, Files(tuple(run))] if run else out
+        return [*out, Files(tuple(run))] if run or not out else out
 
     def read(self, partition: Files) -> Iterator[tuple]:
         for path in partition.paths:
@@ -324,7 +341,8 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
 
-def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read(spark: SparkSession, path: str, payload: bool | str = True) -> DataFrame:
+    """Records of the archives in a folder, none of an empty one; payload: true, false, or "digest"."""
     ready(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
@@ -334,7 +352,8 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
 def round_trip(pages: DataFrame, least: int = 0, path: str | None = None) -> DataFrame:
     """Write pages and read them back: (page_id, payload_bytes, payload_digest, record_type, refers_to).
 
-    Responses are read with their payloads, from which length and digest are computed; revisits by their headers alone.
+    Responses' payloads are read back, for length and digest; of revisits the headers alone. Without pages there are no
+    rows; null keys stay null, and a null payload is an empty one.
     """
     spark = pages.sparkSession
     path = path or folder(spark, "warc")
@@ -345,8 +364,7 @@ def round_trip(pages: DataFrame, least: int = 0, path: str | None = None) -> Dat
 
     kind = dict(pages.dtypes)["page_id"]
     number = lambda column: F.when(page(column) != "None", page(column)).cast(kind)
-    hashed = F.udf(lambda x: digest(bytes(x)), "string")
-    responses = read(spark, path).where("record_type = 'response'").select("record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), hashed("payload").alias("payload_digest"), "record_type", "refers_to")
+    responses = read(spark, path, payload="digest").where("record_type = 'response'").select("record_id", F.col("read_bytes").alias("payload_bytes"), F.col("read_digest").alias("payload_digest"), "record_type", "refers_to")
     revisits = read(spark, path, payload=False).where("record_type = 'revisit'").select("record_id", F.col("http_headers")["content-length"].cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     both = responses.unionAll(revisits)
     return both.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

@@ -69,5 +69,19 @@ def test_uncompressed_and_broken():
         list(warc.read_records(io.BytesIO(b"junk\r\n\r\n"), "f", []))
 
 
+def test_archives_roll_and_are_not_mixed(spark, tmp_path, monkeypatch):
+    """Archives of bounded size; digests without payloads; a folder in use is refused."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    path = str(tmp_path / "archive")
+    pages = spark.createDataFrame(rows(), "page_id long, url string, html string").repartition(2)
+    files = warc.write(pages, path).collect()
+    assert len(files) > 4 and sum(f["records"] for f in files) == len(rows())
+    found = warc.read(spark, path, payload="digest").where("record_type = 'response'").collect()
+    assert len(found) == sum(r[3] == "response" for r in brute(rows()))
+    assert all(r["payload"] is None and r["read_digest"] == r["payload_digest"] and r["read_bytes"] == int(r["http_headers"]["content-length"]) for r in found)
+    with pytest.raises(FileExistsError):
+        warc.write(pages, path)
+
+
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
