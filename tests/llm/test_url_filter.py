@@ -40,6 +40,15 @@ def test_against_brute_force(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(((i, *brute(u, entries)) for i, u in rows), key=repr), key
 
 
+def test_long_hosts_and_longest_entries(spark):
+    """A host of very many labels, entries of several labels, and path lengths that only some hosts have."""
+    entries = [("a.b.c.d.net", "", "block", "a.b.c.d.net"), ("net", "/x/yy", "allow", "net/x/yy"), ("d.net", "/x", "block", None), ("NET", "/é", "block", "net/é")]
+    rows = [(0, "http://" + "l." * 50_000 + "a.b.c.d.net/x"), (1, "http://d.net/x/yyy"), (2, "http://zd.net/x/y"), (3, "http://z.d.net/xx"), (4, "http://c.d.net"), (5, "http://q.net/é?"), (6, "http://..net/x/yy"), (7, "http://net./x/yy")]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(entries, KIND)).collect()
+    entries[3] = ("net", *entries[3][1:])
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got} == {i: brute(u, entries) for i, u in rows}
+
+
 def test_many_entries_and_false_hits(spark, monkeypatch):
     """A filter of one block passes nearly all, and the join still gives exact verdicts."""
     monkeypatch.setattr(url_filter, "MAX_BLOCKS", 1)
