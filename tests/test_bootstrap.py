@@ -1,4 +1,5 @@
 import hashlib
+import math
 import os
 import random
 
@@ -23,9 +24,20 @@ def test_hashed_bootstrap_against_brute_force(spark):
     frame = spark.createDataFrame(rows, "condition string, example_id string, metric string, scope string, delta double")
     got = {r["metric"]: (r["low"], r["high"]) for r in P.hashed_bootstrap(frame, 130, 3).collect()}
     for m, n in sizes.items():
-        values = [r[4] for r in sorted(rows) if r[2] == m]
-        draw = lambda r, j: int(hashlib.md5(f"3|{r}|{j}".encode()).hexdigest()[:15], 16) % n  # noqa: B023, E731
-        means = [sum(values[draw(r, j)] for j in range(1, n + 1)) / n for r in range(1, 131)]
+        means = []
+        for rep in range(130):
+            weights = []
+            for i in range(n):
+                digest = hashlib.md5(f"3|{rep // 4}|e{i}".encode()).hexdigest()
+                u = int(digest[rep % 4 * 8 : rep % 4 * 8 + 8], 16) / 2**32
+                # A Poisson number of mean 1 by its distribution function.
+                k, below = 0, math.exp(-1)
+                while u >= below and k < 9:
+                    k += 1
+                    below += math.exp(-1) / math.factorial(k)
+                weights.append(k)
+            if sum(weights):
+                means.append(sum(w * r[4] for w, r in zip(weights, [r for r in rows if r[2] == m], strict=True)) / sum(weights))
         assert got[m] == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
 
 

@@ -59,7 +59,7 @@ def test_manifests(spark, tmp_path):
     with pytest.raises(V.ContractError):
         M.numbered(spark, path, 2, "0" * 64)
     rows = M.training_rows(M.fixture(spark), "/data/m").orderBy("id").collect()
-    assert rows[0]["image"] == "/data/m/b.png" and json.loads(rows[0]["example_payload"])["id"] == "dev-1" and "three" not in json.dumps(rows[0]["prompt"])
+    assert rows[0]["image"] == "/data/m/b.png" and json.loads(rows[0]["example_payload"])["id"] == "dev-1" and "three" not in rows[0]["prompt"][1]["content"][1]["text"]
     assert M.id_list('["b", "a"]') == M.id_list('{"subset_ids": ["b", "a"]}') == M.id_list('{"id": "b"}\n{"id": "a"}') == ["b", "a"]
     for bad in ('["a", "a"]', "[]", "[1]"):
         with pytest.raises(V.ContractError):
