@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import as_bytes, ready
+from .shared import as_bytes, ready, tidy
 
 Span = int | None
 
@@ -34,11 +34,12 @@ MIME = {"wav": "audio/wav", "webp": "image/webp", "avi": "video/avi", "bmp": "im
 
 @dataclass(frozen=True)
 class Found:
-    """A valid file in some bytes."""
+    """A valid file in some bytes, and the number of valid files around it."""
 
     kind: str
     start: int
     length: int
+    depth: int = 0
 
 
 def _riff(b: memoryview, at: int) -> tuple[str, int] | None:
@@ -96,11 +97,16 @@ def _au(b: memoryview, at: int) -> tuple[str, int] | None:
     return "au", offset + size
 
 
-def _pgm(b: memoryview, at: int) -> tuple[str, int] | None:
+def _pgm_head(b: memoryview, at: int) -> tuple[int, int, int, int] | None:
+    """Width, height, largest value, and place of the samples."""
     head, p = [], at + 2
     for _ in range(3):
-        while p < len(b) and b[p] in b" \t\r\n":
-            p += 1
+        while p < len(b) and b[p] in b" \t\r\n#":
+            if b[p] == 35:  # a comment runs to the end of its line
+                while p < len(b) and b[p] not in b"\r\n":
+                    p += 1
+            else:
+                p += 1
         q = p
         while q < len(b) and 48 <= b[q] <= 57 and q - p < 10:
             q += 1
@@ -108,7 +114,15 @@ def _pgm(b: memoryview, at: int) -> tuple[str, int] | None:
             return None
         head.append(int(bytes(b[p:q])))
         p = q
-    width, height, top = head
+    return (*head, p + 1)
+
+
+def _pgm(b: memoryview, at: int) -> tuple[str, int] | None:
+    found = _pgm_head(b, at)
+    if found is None:
+        return None
+    width, height, top, p = found
+    p -= 1
     size = width * height * (1 if top < 256 else 2)
     if not width or not height or not 0 < top < 65536 or p + 1 + size > len(b):
         return None
@@ -209,13 +223,21 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def sniff(blob: bytes, magic: ahocorasick.Automaton) -> list[Found]:
-    """Valid files that don't overlap, in order: at each place the first that holds, then from its end on."""
-    out, view, free = [], memoryview(blob), 0
+    """Valid files in order of their starts; any two are apart or one is wholly inside the other.
+
+    At each place the first that holds counts, and one that begins inside another must end in it.
+    """
+    out, view, around = [], memoryview(blob), []
     for end, (kind, back) in magic.iter(blob.decode("latin-1")):
         start = end - back
-        if start >= free and (valid := VALIDATORS[kind](view, start)):
-            out.append(Found(valid[0], start, valid[1]))
-            free = start + valid[1]
+        if start < 0 or out and start <= out[-1].start:
+            continue
+        while around and around[-1] <= start:
+            around.pop()
+        valid = VALIDATORS[kind](view, start)
+        if valid and (not around or start + valid[1] <= around[-1]):
+            out.append(Found(valid[0], start, valid[1], len(around)))
+            around.append(start + valid[1])
     return out
 
 
@@ -251,6 +273,11 @@ def encode(samples: bytes, kind: str) -> bytes:
     raise ValueError(f"no writer for {kind}")
 
 
+def cut(blob: bytes, found: Found) -> memoryview:
+    """The bytes of a valid file."""
+    return memoryview(blob)[found.start : found.start + found.length]
+
+
 def decode(blob: bytes, found: Found) -> bytes | None:
     """The 8-bit samples of a valid file; None for kinds and forms without a reader."""
     b = memoryview(blob)[found.start : found.start + found.length]
@@ -267,9 +294,8 @@ def decode(blob: bytes, found: Found) -> bytes | None:
         offset, n, code = struct.unpack_from(">III", b, 4)
         return bytes(b[offset : offset + n]) if code == 2 else None
     if found.kind == "pgm":
-        head = bytes(b[:64]).split(None, 4)
-        n = int(head[1]) * int(head[2])
-        return bytes(b[len(b) - n :]) if int(head[3]) < 256 else None
+        width, height, top, head = _pgm_head(b, 0)
+        return bytes(b[head : head + width * height]) if top < 256 else None
     if found.kind == "bmp":
         offset, _, width, height, _, depth, packed = struct.unpack_from("<IIiiHHI", b, 10)
         if depth != 8 or packed:
@@ -305,7 +331,8 @@ def stored_kind(samples: bytes) -> str:
 def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, declared, media): each text as a media file of 8-bit samples.
 
-    Null is an empty text. The kind follows from the bytes; the declared type is that of the kind before, wrong on
+    Null is an empty text. Repeated rows stay, texts may be of any length, and an empty table gives no rows; a key may
+    be null, and other columns play no part. The kind follows from the bytes; the declared type is that of the kind before, wrong on
     purpose, as crawled types often are.
     """
     ready(docs.sparkSession)
@@ -322,7 +349,25 @@ def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 media.append(encode(samples, kind))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(declared, pa.string()), pa.array(media, pa.binary())], ["id", "n_bytes", "declared", "media"])
 
-    return docs.mapInArrow(work, f"id {dict(docs.dtypes)['id']}, n_bytes long, declared string, media binary").withColumnRenamed("id", key)
+    return docs.mapInArrow(_bounded(work), f"id {dict(docs.dtypes)['id']}, n_bytes long, declared string, media binary").withColumnRenamed("id", key)
+
+
+#: Bytes of input that a batch of media is made from: outputs stay far below what an Arrow column can hold.
+MADE_FROM = 64 << 20
+
+
+def _bounded(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work on slices of batches, each of about MADE_FROM bytes or one row."""
+    most = MADE_FROM
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            step = max(1, b.num_rows * most // max(most, b.nbytes))
+            for at in range(0, b.num_rows, step):
+                yield from work(iter([b.slice(at, step)]))
+        tidy()
+
+    return sliced
 
 
 def _feature(kind: str | None, samples: bytes | None, embedded: int) -> str:
@@ -340,7 +385,8 @@ def inspect(table: DataFrame, key: str, media: str = "media", declared: str | No
     """What a column of bytes holds, one row for each of its rows.
 
     key and extra columns, then media_type (null where nothing valid starts the bytes), corrected (the declared type
-    was another), files: the valid files' kind, start and length, in order; payload facts of the first one's samples
+    was another), files: the valid files' kind, start, length, depth and
+    digest, in order, those inside others too; payload facts of the first one's samples
     (payload_bytes, payload_sha256, tail_crc32, null where it has no reader), media_bytes, media_sha256 and a feature.
     Null media is like empty bytes; repeated rows are all kept.
     """
@@ -348,10 +394,10 @@ def inspect(table: DataFrame, key: str, media: str = "media", declared: str | No
     passed = [key, *(extra or [])]
     told = F.col(declared) if declared else F.lit(None).cast("string")
     schema = table.select(*passed).schema
-    made_here = StructType.fromDDL("media_type string, corrected boolean, files array<struct<kind:string,start:long,length:long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    made_here = StructType.fromDDL("media_type string, corrected boolean, files array<struct<kind:string,start:long,length:long,depth:int,sha256:string>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     for field in made_here:
         schema = schema.add(field)
-    files_kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
+    files_kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("depth", pa.int32()), ("sha256", pa.string())]))
     kinds = [pa.string(), pa.bool_(), files_kind, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +411,7 @@ def inspect(table: DataFrame, key: str, media: str = "media", declared: str | No
                 samples = decode(blob, first) if first else None
                 kind = MIME[first.kind] if first else None
                 rows.append((
-                    kind, kind is not None and said.as_py() != kind, [{"kind": f.kind, "start": f.start, "length": f.length} for f in found],
+                    kind, kind is not None and said.as_py() != kind, [{"kind": f.kind, "start": f.start, "length": f.length, "depth": f.depth, "sha256": hashlib.sha256(cut(blob, f)).hexdigest()} for f in found],
                     None if samples is None else len(samples), None if samples is None else hashlib.sha256(samples).hexdigest(), None if samples is None else zlib.crc32(samples[-32:]),
                     len(blob), hashlib.sha256(blob).hexdigest(), _feature(first and first.kind, samples, len(found) - (first is not None)),
                 ))
@@ -377,7 +423,11 @@ def inspect(table: DataFrame, key: str, media: str = "media", declared: str | No
 
 
 def carve(table: DataFrame, key: str, media: str = "media") -> DataFrame:
-    """(key, place, media_type, media): every valid file in the bytes, cut out; the first may be the whole."""
+    """(key, place, media_type, media): every valid file in the bytes, cut out, those inside others too.
+
+    The first may be the whole. Null and empty bytes, and those without a valid file, give no row; repeated rows give
+    theirs each. Pieces go out in batches of bounded size.
+    """
     ready(table.sparkSession)
     rows = table.select(F.col(key).alias("id"), F.col(media).alias("media"))
 
@@ -390,7 +440,7 @@ def carve(table: DataFrame, key: str, media: str = "media") -> DataFrame:
                     at.append(i)
                     place.append(f.start)
                     kind.append(MIME[f.kind])
-                    out.append(raw[f.start : f.start + f.length])
+                    out.append(cut(raw, f))
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), pa.array(place, pa.int64()), pa.array(kind, pa.string()), pa.array(out, pa.binary())], ["id", "place", "media_type", "media"])
 
-    return rows.mapInArrow(work, f"id {dict(rows.dtypes)['id']}, place long, media_type string, media binary").withColumnRenamed("id", key)
+    return rows.mapInArrow(_bounded(work), f"id {dict(rows.dtypes)['id']}, place long, media_type string, media binary").withColumnRenamed("id", key)

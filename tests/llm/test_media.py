@@ -40,6 +40,44 @@ def test_broken_files_are_refused(kind):
         assert media.sniff(blob[:40] + bytes([blob[40] ^ 1]) + blob[41:], MAGIC) == []
 
 
+def test_files_inside_files():
+    """A PNG in a WAV's samples, a GIF in that WAV too, and one that runs beyond its end."""
+    png = media.encode(media.padded(b"inner"), "png")
+    wav = media.encode(media.padded(b"ab" + png + b"cd" + GIF), "wav")
+    found = media.sniff(b"x" + wav + MIDI, MAGIC)
+    assert [(f.kind, f.start, f.length, f.depth) for f in found] == [("wav", 1, len(wav), 0), ("png", 1 + 44 + 2, len(png), 1), ("gif", 1 + 44 + 2 + len(png) + 2, len(GIF), 1), ("midi", 1 + len(wav), len(MIDI), 0)]
+    twice = media.encode(media.padded(wav), "au")
+    assert [f.depth for f in media.sniff(twice, MAGIC)] == [0, 1, 2, 2]
+    short = bytearray(media.encode(media.padded(b""), "wav"))
+    short[-10:] = GIF[:10]
+    assert [f.kind for f in media.sniff(bytes(short) + GIF[10:], MAGIC)] == ["wav"]
+
+
+def test_comments_in_a_head():
+    blob = b"P5\n# made by hand\n3 2 # size\n255\n" + bytes(range(6))
+    found = media.sniff(blob, MAGIC)
+    assert [(f.kind, f.length) for f in found] == [("pgm", len(blob))] and media.decode(blob, found[0]) == bytes(range(6))
+
+
+def test_every_document_is_read_back(spark):
+    """Over the whole table, against plain code."""
+    import os
+
+    from gradus.llm.queries import op2_media_columns
+    from tests.oracle import FOLDER
+
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    got = op2_media_columns(spark, FOLDER).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        padded = texts[r["doc_id"]] + b"\xff" * (-len(texts[r["doc_id"]]) % 576 or (0 if texts[r["doc_id"]] else 576))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(texts[r["doc_id"]]), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
+        media_of = media.encode(padded, media.stored_kind(padded))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media_of), hashlib.sha256(media_of).hexdigest())
+
+
 def test_store_inspect_and_carve(spark):
     rows = [(1, "one"), (2, None), (3, ""), (1, "one"), (None, "z" * 200_000)]
     stored = media.store(spark.createDataFrame(rows, "doc_id long, text string"))
