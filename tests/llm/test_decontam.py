@@ -27,19 +27,37 @@ def brute_tiles(item, text, k):
 
 
 @pytest.mark.parametrize("seed", range(40))
-def test_coverage_against_brute_force(seed):
+def test_coverage_against_brute_force(seed, monkeypatch):
     rng = random.Random(seed)
     item = [f"w{rng.randrange(6 if seed % 2 else 40)}" for _ in range(rng.randrange(1, 40))]
     pieces = [item[a : a + rng.randrange(1, 14)] for a in (rng.randrange(len(item)) for _ in range(5))]
     text = [w for p in pieces for w in [*p, f"x{rng.randrange(9)}"]]
-    seeds = decontam.Seeds([("q", " ".join(item))], 5)
     from gradus.llm.shared import Numbers
 
-    found = decontam._leaks(seeds, Numbers(seeds.vocabulary), " ".join(text).encode(), 0.0)
-    want = brute_tiles(item, text, min(5, len(item)))
-    assert sorted((n for _, _, n in want), reverse=True)[:1] == ([found[0][4]] if found else [])
-    # Ties may mark other runs of the same lengths; the words covered differ by less than a tile then.
-    assert abs((found[0][2] if found else 0) - sum(n for _, _, n in want)) < 5
+    want, k = brute_tiles(item, text, min(5, len(item))), min(5, len(item))
+    for most in (decontam.MOST_PAIRS, 3, 0):  # all places listed at once, item by item, or none
+        monkeypatch.setattr(decontam, "MOST_PAIRS", most)
+        seeds = decontam.Seeds([(["q", "again"], " ".join(item)), (["other"], "not in any text of these")], 5)
+        found = decontam._leaks(seeds, Numbers(seeds.vocabulary), " ".join(text).encode(), 0.0)
+        counts = (len(item), sum(n for _, _, n in want), len(want), max((n for _, _, n in want), default=0))
+        assert found == ([("q", *counts), ("again", *counts)] if want else [])
+    seeds = decontam.Seeds([(["q"], " ".join(item))], 5)
+    own = Numbers(seeds.vocabulary).of([w.encode() for w in text])
+    assert decontam.repeating_tiles(seeds.items[0], own, k) == want
+
+
+def test_a_periodic_text_takes_no_product_of_memory():
+    import tracemalloc
+
+    from gradus.llm.shared import Numbers
+
+    period = [f"p{i}" for i in range(6)]
+    seeds = decontam.Seeds([([n], " ".join(period * 160 + [f"end{n}"])) for n in range(5)], 5)
+    tracemalloc.start()
+    found = decontam._leaks(seeds, Numbers(seeds.vocabulary), " ".join(period * 5000).encode(), 0.5)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert [(f[0], f[2]) for f in found] == [(n, 960) for n in range(5)]
 
 
 def rows(spark):
