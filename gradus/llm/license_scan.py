@@ -4,8 +4,10 @@ A template and a stretch of text are aligned on the words that are unique to eac
 increasing subsequence of those anchors splits both into gaps, which are aligned the same way in turn, after common
 words at their ends are matched. The share of a template's words that are aligned is its coverage.
 
-Every stretch of two template lengths is held against a template, one length apart, unless its words can't reach the
-coverage even if all were in order. That bound is a sum over word counts, so it discards nothing that could pass.
+A text is held against a template in stretches of two, four and eight template lengths, each half of itself apart, so
+an occurrence that foreign words widen up to SPREAD times lies whole in one of them wherever it begins. A stretch is left
+out if its words can't reach the coverage even if all were in order; that bound is a sum over word counts, so it discards
+nothing that could pass. Notices of under SHORT words are found word by word, without foreign words between.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .shared import Numbers, as_bytes, plain_words, ready, words
 
 #: The least coverage of a text; a notice of under SHORT words has to be there in full.
 COVERAGE, SHORT = 0.8, 12
+#: Template lengths that an occurrence may span with foreign words between.
+SPREAD = 4
 
 # License texts, headers and notices. Long texts stand whole in the folder license_texts.
 LONG = ("Apache-2.0", "BSL-1.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "Zlib")
@@ -118,32 +122,59 @@ class Templates:
         self.sizes = np.array([len(x) for x in self.numbers])
 
 
+def _stretches(size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all stretches in which a template of a size is sought."""
+    starts, ends, step = [], [], size
+    while step <= SPREAD * size:
+        at = np.arange(0, max(1, length - step), step)
+        starts.append(at)
+        ends.append(np.minimum(at + 2 * step, length))
+        if 2 * step >= length:
+            break
+        step *= 2
+    return np.concatenate(starts), np.concatenate(ends)
+
+
+def _runs(numbers: np.ndarray, own: np.ndarray) -> list[int]:
+    """Where a short template stands word by word."""
+    found = np.flatnonzero(own[: max(0, len(own) - len(numbers) + 1)] == numbers[0])
+    for i, w in enumerate(numbers[1:], 1):
+        found = found[own[found + i] == w]
+    return found.tolist()
+
+
 def scan(own: np.ndarray, t: Templates, least: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
     """(template, coverage, first word, word after the last, words aligned) of the best stretch for each template found.
 
     A word of the text speaks for one template: stretches are taken by the words that they align, most first, then by
-    coverage, and one with half of its words taken before it tells of no license of its own.
+    coverage, and one with half of its words taken before it tells of no license of its own. Foreign words between count
+    against a stretch, so that a stray word far off doesn't widen it.
     """
     present = np.unique(own)
     needed = np.ceil(np.where(t.sizes < SHORT, 1.0, least) * t.sizes - 1e-9).astype(int)
     passed = []
     for i in np.flatnonzero(t.counts[present[present > 0]].sum(0) >= needed):
         size, numbers, most = int(t.sizes[i]), t.numbers[i], t.counts[:, i]
+        if size < SHORT:
+            for start in _runs(numbers, own):
+                passed.append((-size, -1.0, int(i), start, np.arange(start, start + size)))
+            continue
         inside = np.concatenate(([0], np.cumsum(most[own] > 0)))
-        starts = np.arange(0, max(1, len(own) - size), size)
-        ends = np.minimum(starts + 2 * size, len(own))
+        starts, ends = _stretches(size, len(own))
         for start, end in zip(starts[(maybe := inside[ends] - inside[starts] >= needed[i])].tolist(), ends[maybe].tolist(), strict=True):
             stretch = own[start:end]
             if np.minimum(np.bincount(stretch, minlength=len(most)), most)[1:].sum() < needed[i]:
                 continue
             found = align(numbers, stretch)
             if len(found) >= needed[i]:
-                passed.append((-len(found), -len(found) / size, int(i), start, np.array([j for _, j in found]) + start))
+                places = np.array([j for _, j in found]) + start
+                foreign = max(0, int(places[-1] - places[0]) + 1 - size)
+                passed.append((foreign / (2 * SPREAD) - len(found), -len(found) / size, int(i), int(places[0]), places))
     taken, best = np.zeros(len(own), bool), {}
-    for count, coverage, i, _, places in sorted(passed, key=lambda x: x[:4]):
+    for _, coverage, i, _, places in sorted(passed, key=lambda x: x[:4]):
         if 2 * np.count_nonzero(taken[places]) < len(places):
             taken[places] = True
-            best.setdefault(i, (t.names[i], -coverage, int(places[0]), int(places[-1]) + 1, -count))
+            best.setdefault(i, (t.names[i], -coverage, int(places[0]), int(places[-1]) + 1, len(places)))
     return [best[i] for i in sorted(best)]
 
 
@@ -151,8 +182,8 @@ def licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", templates
     """(key, license, coverage, first_word, end_word, aligned_words): the best stretch of each document and template.
 
     Words are compared in lower case (A-Z) without ASCII punctuation at their ends; places count those words. Between
-    equal stretches the first is told. Null and empty texts hold none; repeated rows are each reported; extra columns
-    play no part.
+    equal stretches the first is told. Null and empty texts hold none; texts may be of any length; repeated rows are
+    each reported; extra columns play no part; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ready(spark)
