@@ -17,9 +17,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, fresh, ready
+from .shared import REMEMBERED, as_bytes, fresh, ready, stored, tidy
 
-#: Hashed features; the largest number of rated rows that a fit takes, those of the smallest hash; and of features.
+#: Hashed features. The sample that a fit takes is bounded twice: rated rows of the smallest hashes of their keys, as long
+#: as there are no more than so many, and no more than so many features on them (64 MB).
 BUCKETS, MAX_RATED, MAX_FEATURES = 1 << 20, 12_000, 16_000_000
 #: A feature is used if it is in FEWEST rated documents and off by so many deviations for one of the cuts.
 FEWEST, DEVIATIONS = 3, 4.0
@@ -39,7 +40,7 @@ class Tokens(dict):
     """Features of words, remembered: the word's own, its start's, and whether a sign ends it, in one number."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         bare = word.strip(_EDGES)
         own = start = 4096 + xxhash.xxh3_64_intdigest(bare) % (BUCKETS - 4096)
@@ -130,7 +131,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, rounds: int = 250,
 
 
 def rated_sample(docs: DataFrame, ratings: DataFrame, key: str, text: str, grade: str, most: int = MAX_RATED) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and grades of at most ``most`` rated documents, those whose keys have the smallest hashes."""
+    """Features and grades of rated documents in order of a hash of their keys, up to both bounds of the sample.
+
+    Ratings without a grade or key are left out; of several grades of one key the lowest counts; documents that repeat a
+    key are each taken. The order has nothing to do with grades or lengths, so neither bound favours any.
+    """
     ready(docs.sparkSession)
     chosen = ratings.where(F.col(grade).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(grade).alias("_grade")).orderBy(F.xxhash64("_key"), "_key").limit(most)
     rated = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")
@@ -140,17 +145,15 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, key: str, text: str, grade
         for b in batches:
             found = [features(t, tokens).tobytes() for t in as_bytes(b.column("_text"))]
             yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("_grade"), pa.array(found, pa.binary())], ["_key", "_grade", "at"])
+        tidy()
 
     kind = dict(rated.dtypes)
-    rows = rated.mapInArrow(work, f"_key {kind['_key']}, _grade int, at binary").orderBy("_key", "at").limit(most).collect()
-    taken, total = [], 0
-    for r in rows:
-        at = np.frombuffer(r["at"], np.int32)
-        total += len(at)
-        if total > MAX_FEATURES:
-            break
-        taken.append((at, r["_grade"]))
-    return [a for a, _ in taken], np.array([g for _, g in taken], np.int64)
+    rows = stored(rated.mapInArrow(work, f"_key {kind['_key']}, _grade int, at binary"), "rated").withColumn("order", F.xxhash64("_key"))
+    order = ["order", "_key", "_grade", F.xxhash64("at")]
+    # Only lengths come to the driver, until it is known how many rows fit.
+    sizes = np.cumsum([r["n"] for r in rows.select(*order, (F.octet_length("at") / 4).cast("long").alias("n")).orderBy(*order).limit(most).select("n").collect()])
+    taken = rows.orderBy(*order).limit(max(1, int(np.searchsorted(sizes, MAX_FEATURES, "right")))).select("at", "_grade").collect()
+    return [np.frombuffer(r["at"], np.int32) for r in taken], np.array([r["_grade"] for r in taken], np.int64)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", beyond: int | None = None, columns: list[str] | None = None) -> DataFrame:
@@ -173,6 +176,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", beyond: int | None
             tails = [m.tails(features(t, tokens)) for t in as_bytes(b.column(b.num_columns - 1))]
             graded = [pa.array([float(t.sum()) for t in tails], pa.float64()), pa.array([float(t[k]) for t in tails], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *graded], [*b.schema.names[:-1], "expected_grade", "tail_probability"])
+        tidy()
 
     return docs.mapInArrow(work, schema)
 
@@ -183,7 +187,12 @@ def grade_of(quality: str = "quality", toxic: str = "toxic") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """Fit the three grades of ``grade_of`` on the labelled documents."""
+    """Fit the three grades of ``grade_of`` on the labelled documents.
+
+    Labels that are both null, or of no document, count for nothing; of a key's different labels the lowest grade counts.
+    Without labels all weights are 0, and every document has the same probabilities. Null and empty texts are rated like
+    any, and long ones are read whole.
+    """
     rated = labels.select(key, grade_of().alias("_grade"))
     rows, grades = rated_sample(docs, rated, key, text, "_grade")
     return fit(rows, grades, 2)

@@ -46,6 +46,62 @@ def test_gradient_is_that_of_the_likelihood(monkeypatch):
     assert loss(model.weights, model.cuts) < 0.2 < loss(np.zeros(quality.BUCKETS), np.array([-0.5, 0.5]))
 
 
+def plain_features(text):
+    """What a text is graded by, in plain words: each distinct word, its start, and eight statistics."""
+    import xxhash
+
+    raw = (text or "").encode()
+    lower = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+    words = [w for w in __import__("re").split(rb"[\t-\r ]+", lower) if w]
+    number = lambda w: 4096 + xxhash.xxh3_64(w).intdigest() % (2**20 - 4096)
+    inside = lambda b: 97 <= b <= 122 or 65 <= b <= 90 or 48 <= b <= 57 or b >= 128
+    out, signed = set(), 0
+    for w in set(words):
+        at = [i for i, b in enumerate(w) if inside(b)]
+        bare = w[at[0] : at[-1] + 1] if at else b""
+        out.add(number(bare))
+        out.add(number(bare[:5] + b"\0") if len(bare) > 5 else number(bare))
+        signed += w[-1:] in (b"!", b"*", b"$", b"%", b"&", b"#", b"|", b"@")
+    n, size = len(words), len(raw)
+
+    def step(part, whole):
+        return sum(part / whole >= edge if part / whole != edge else part / whole > edge for edge in (0.01, 0.03, 0.08, 0.15, 0.3, 0.5, 0.75)) if whole else 0
+
+    other = sum(not inside(b) for b in raw)
+    stats = [step(sum(65 <= b <= 90 for b in raw), size), step(sum(48 <= b <= 57 for b in raw), size), step(other - n, size), step(len(set(words)), n), step(signed, len(set(words))), step(raw.count(b"|"), n), min(15, n.bit_length()), min(15, size // max(1, n) // 2)]
+    return out | {256 * i + v for i, v in enumerate(stats)}
+
+
+def test_scores_against_plain_code(spark):
+    """Every document of the test tables, scored by a sum over a set of features."""
+    import math
+    import os
+
+    from tests.oracle import FOLDER
+
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    frame = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = quality.train(frame, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    for r in quality.score(frame, model).collect():
+        total = math.fsum(model.weights[i] for i in plain_features(r["text"]))
+        tails = [1 / (1 + math.exp(cut - total)) for cut in model.cuts]
+        assert abs(r["tail_probability"] - tails[-1]) < 1e-9 and abs(r["expected_grade"] - sum(tails)) < 1e-9
+
+
+def test_both_bounds_of_the_sample(spark, monkeypatch):
+    """The sample is the rows of the smallest hashes, whatever their keys, grades or lengths."""
+    frame, labels = docs(spark, 60)
+    rated = labels.select("doc_id", F.col("quality").alias("grade"))
+    order = [r["doc_id"] for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    texts = {r["doc_id"]: r["text"] for r in frame.collect()}
+    sizes = np.cumsum([len(quality.features(texts[i].encode(), quality.Tokens())) for i in order])
+    monkeypatch.setattr(quality, "MAX_FEATURES", int(sizes[20]))
+    rows, grades = quality.rated_sample(frame, rated, "doc_id", "text", "grade", most=50)
+    assert len(rows) == 21 and grades.tolist() == [int(i % 3 > 0) for i in order[:21]]
+    assert len(quality.rated_sample(frame, rated, "doc_id", "text", "grade", most=10)[0]) == 10
+
+
 def test_odd_rows(spark):
     frame, labels = docs(spark, 60)
     model = quality.train(frame, labels.unionAll(labels).withColumn("other", F.lit(1)))
