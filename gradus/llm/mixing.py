@@ -114,7 +114,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     """The mixed documents: each row as often as the mix takes it, with the columns that it came with.
 
     Copies depend on a row's source and key alone, so the budgets are joined to the documents in place; documents are
-    neither sorted nor shuffled.
+    neither sorted nor shuffled. A null source is a source, a null text has no words; rows without words, and rows that
+    repeat a key, are taken as often as their hash is. Texts may be of any length; an empty table stays empty.
     """
     budgets = budget_table(_sized(docs, key, source, text, seed), weights, cap)
     own_source, passes, threshold, copy = (fresh(docs, name) for name in ("_source", "_passes", "_threshold", "_copy"))

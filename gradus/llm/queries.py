@@ -17,6 +17,8 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 #: Listed hosts, blocked where no rule fits.
 LISTED_NAMES = ("ads-track", "spam-farm", "casino-win", "cheap-pills", "adult-x", "free-bets")
 LISTED_HOSTS = tuple(f"{name}.{domain}" for name in LISTED_NAMES for domain in ("example.com", "example.org"))
+#: Listed URLs: on these hosts every page of a language whose number is a multiple of STEP.
+LISTED_DOMAINS, LISTED_LANGUAGES, LISTED_NUMBERS, STEP = ("example.com", "example.org"), ("de", "en", "es", "fr"), 10_000, 7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,26 +26,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's verdict by the rules, and by the listed hosts where no rule fits."""
+    """Every page's verdict by the rules, and by the listed hosts and URLs where no rule fits.
+
+    A null url, or one without ``://``, has an empty host and path, and the default verdict. Repeated rows stay; URLs
+    may be of any length; an empty table gives no rows.
+    """
     entries = [(h, p, v, f"{h}{p}") for h, p, v in RULES] + [(h, "", "block", None) for h in LISTED_HOSTS]
+    entries += [(h, f"/{lang}/{n}.html", "block", None) for h in LISTED_DOMAINS for lang in LISTED_LANGUAGES for n in range(0, LISTED_NUMBERS, STEP)]
     listed = spark.createDataFrame(entries, "host string, path string, verdict string, rule string")
     return url_filter.judge(table(spark, sf_dir, "pages"), listed)
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as a media file under a wrong type, sniffed, validated and read back."""
+    """Every text stored as a media file under a wrong type, sniffed, carved and read back.
+
+    A null text is an empty one, of 576 bytes 255. Repeated rows stay, equal texts have equal values, texts are read
+    whole, and an empty table gives no rows.
+    """
     stored = media.store(table(spark, sf_dir, "documents"))
     found = media.inspect(stored, "doc_id", extra=["n_bytes"])
-    files = F.array_join(F.transform("files", lambda f: F.concat_ws(":", f["kind"], f["start"], f["length"])), ",")
+    files = F.array_join(F.transform("files", lambda f: F.concat_ws(":", f["kind"], f["start"], f["length"], f["depth"], f["sha256"])), ",")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected", files.alias("files"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its size, its source's target, and the words that the mix takes of it.
+
+    A null text has no words; a null source is a source, the last. Documents of one hash are taken or left together;
+    rows that repeat a key have one hash. Texts may be of any length; an empty table gives no rows.
+    """
     return mixing.plan_mix(table(spark, sf_dir, "documents"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its expected grade, the probability of the top grade, and whether the classifier keeps it."""
+    """Every document with its expected grade, the probability of the top grade, and whether the classifier keeps it.
+
+    A null text is graded as an empty one. Repeated rows stay, texts are read whole, and an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model, columns=["doc_id"])
@@ -51,33 +70,60 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses of every document: template, coverage, words.
+
+    Null and empty texts hold none; repeated rows are each told; texts are read whole; an empty table gives no rows.
+    """
     return license_scan.licenses(table(spark, sf_dir, "documents"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that leak benchmark items, with each item and its coverage."""
+    """The documents that leak benchmark items, with each item and its coverage.
+
+    Null and empty texts leak nothing; repeated rows and items are each told; texts are read whole; without documents or
+    items there are no rows.
+    """
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words and word pieces.
+
+    Null and empty texts have none; repeated rows stay; texts are read whole; an empty table gives no rows.
+    """
     return wordpiece.count_pieces(table(spark, sf_dir, "documents"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from the archives.
+
+    A null html is an empty one. Rows that repeat a key and payload are all responses; pages may be of any length; an
+    empty table gives no rows.
+    """
     return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set and its component.
+
+    Null and empty texts have empty sets and are linked with nothing. Repeated rows share a component; texts are read
+    whole; an empty table gives no rows.
+    """
     return parity_join.join(table(spark, sf_dir, "documents"), k=3, t=Fraction(9, 10))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as it is read from the shards of the last manifest version, with a digest of its text."""
+    """Every document as it is read from the shards of the last manifest version, with a digest of its text.
+
+    The table comes in four arrivals. Nulls, repeated rows and texts of any length are kept as they are; an empty table
+    gives no rows.
+    """
     rows = sharding.shard(table(spark, sf_dir, "documents")).read(shard="shard")
     return rows.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"), "shard")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``corpus_pipeline.run``."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
@@ -97,7 +143,9 @@ r AS (SELECT *, CASE
     WHEN dotted LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN dotted LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM f)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN """ + " OR ".join(f"dotted LIKE '%.{h}'" for h in LISTED_HOSTS) + """ THEN 'block' ELSE 'allow' END AS verdict FROM r"""
+  WHEN """ + " OR ".join(f"dotted LIKE '%.{h}'" for h in LISTED_HOSTS) + rf"""
+    OR ({" OR ".join(f"dotted LIKE '%.{h}'" for h in LISTED_DOMAINS)}) AND CAST(nullif(regexp_extract(path, '^/({"|".join(LISTED_LANGUAGES)})/(0|[1-9][0-9]{{0,3}})\.html', 2), '') AS INT) % {STEP} = 0
+    THEN 'block' ELSE 'allow' END AS verdict FROM r"""
 
 _WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
