@@ -22,6 +22,12 @@ def canonical(text: str | None, compact: bool = False) -> str | None:
     return json.dumps(json.loads(text), sort_keys=True, ensure_ascii=False, separators=(",", ":") if compact else None)
 
 
+@F.pandas_udf(StringType())
+def canonical_json(texts: pd.Series) -> pd.Series:
+    """The canonical form of JSON texts: sorted keys, a space after each comma and colon."""
+    return texts.map(canonical, na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def canonical_sha256(texts: pd.Series) -> pd.Series:
     """SHA-256 of the canonical form. Spark's own JSON is compact and in column order, so its bytes differ."""

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A report is collected; more rows than this are data, not a report.
@@ -49,23 +51,56 @@ def range_svg(report: DataFrame, label: str, low: str, middle: str, high: str) -
     out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="640" height="{30 * len(rows) + 20}">']
     for i, r in enumerate(rows):
         y, x = 30 * i + 25, [200 + 400 * min(1.0, max(0.0, r[c])) for c in (low, middle, high)]
-        name = str(r[label]).replace("&", "&amp;").replace("<", "&lt;")
+        name = _escaped(r[label])
         out.append(f'<text x="5" y="{y + 4}">{name}</text><line x1="{x[0]:.1f}" y1="{y}" x2="{x[2]:.1f}" y2="{y}" stroke="black"/><circle cx="{x[1]:.1f}" cy="{y}" r="4"/>')
     return "\n".join([*out, "</svg>"]) + "\n"
 
 
-def frequency_svg(report: DataFrame, series: str, at: str, n: str) -> str:
-    """A polyline of each series' share of its counts by bin."""
+#: Colours of a chart's series, in order of their names; more series take them again.
+COLOURS = ("#4477aa", "#ee6677", "#228833", "#ccbb44", "#66ccee", "#aa3377")
+
+
+def _escaped(text: object) -> str:
+    return str(text).replace("&", "&amp;").replace("<", "&lt;")
+
+
+def frequency_svg(report: DataFrame, series: str, at: str, n: str, title: str = "") -> str:
+    """A panel with axes for each series: a polyline of the share of its counts by bin, and a legend of the series' totals."""
     groups: dict[str, list[tuple[int, int]]] = {}
     for r in rows_of(report):
         groups.setdefault(str(r[series]), []).append((r[at], r[n]))
-    out = ['<svg xmlns="http://www.w3.org/2000/svg" width="640" height="320">']
-    for points in (groups[name] for name in sorted(groups)):
+    names, height = sorted(groups), 180
+    out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="640" height="{40 + height * len(names) + 20 * len(names)}">', f'<text x="20" y="20">{_escaped(title)}</text>']
+    most = max((v / (sum(w for _, w in points) or 1) for points in groups.values() for _, v in points), default=1) or 1
+    for i, name in enumerate(names):
+        points, top, colour = sorted(groups[name]), 30 + height * i, COLOURS[i % len(COLOURS)]
         whole, last = sum(v for _, v in points) or 1, max(b for b, _ in points) or 1
-        out.append('<polyline fill="none" stroke="black" points="' + " ".join(f"{20 + 600 * b / last:.1f},{300 - 280 * v / whole:.1f}" for b, v in sorted(points)) + '"/>')
+        out.append(f'<g><path d="M40 {top} V{top + 140} H620" fill="none" stroke="black"/><text x="5" y="{top + 8}">{most:.2f}</text><text x="5" y="{top + 140}">0</text><text x="40" y="{top + 155}">{points[0][0]}</text><text x="600" y="{top + 155}">{last}</text>')
+        out.append(f'<polyline fill="none" stroke="{colour}" points="' + " ".join(f"{40 + 580 * b / last:.1f},{top + 140 - 140 * v / whole / most:.1f}" for b, v in points) + '"/></g>')
+        low = 50 + height * len(names) + 20 * i
+        out.append(f'<rect x="40" y="{low - 10}" width="10" height="10" fill="{colour}"/><text x="60" y="{low}">{_escaped(name)} ({sum(v for _, v in groups[name])})</text>')
     return "\n".join([*out, "</svg>"]) + "\n"
 
 
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """Write a text file that isn't there yet: aside first, then renamed without overwriting. FileExistsError if it is."""
+    jvm = spark._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(aside, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(aside, to, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as e:
+        fs.delete(aside, False)
+        if "AlreadyExists" in str(e.java_exception):
+            raise FileExistsError(path) from None
+        raise
+
+
 def split_counts(rows: DataFrame, split: str) -> DataFrame:
     """(split, n)."""
     return rows.groupBy(split).agg(F.count("*").alias("n"))

@@ -1191,3 +1191,82 @@ def stm02_tracked_windows(spark, sf_dir):
     tracker.finish()
     found = [(x["trainer/state_global_step"], x["train/good"], x["train/attempts"], x.get("train/confidence")) for x in sent if x.get("train/attempts")]
     return spark.createDataFrame(found, "step int, good long, attempts long, confidence double")
+
+
+# Manifests.
+
+_PAYLOAD = "concat(chr(123), '\"accepted_answers\": [\"yes\", \"', lang, '\"], \"id\": \"#', doc_id, '#\", \"question\": \"#', doc_id, '# which?\", \"required_visual_facts\": ', facts, ', \"split\": \"dev\", \"student_image\": \"/data/s/', source, '.png\", \"teacher_image\": \"/data/t/', source, '.png\"', chr(125))"
+_FACTS_JSON = "concat(chr(123), '\"color\": ', chr(123), '\"aliases\": [], \"canonical\": \"red\"', chr(125), ', \"shape\": ', chr(123), '\"aliases\": [\"any\"], \"canonical\": \"', lang, '\"', chr(125), chr(125))"
+
+
+@query(f"WITH f AS (SELECT *, {_FACTS_JSON} AS facts FROM documents WHERE doc_id % {_KINDS} = 0) SELECT concat('#', doc_id, '#') AS example_id, concat('/data/s/', source, '.png') AS image, facts AS required_visual_facts_json, {_PAYLOAD} AS example_payload, sha256(concat('#', doc_id, '# which?', {_quoted(N.EARLIER_ASK)}, chr(123), '\"color\": \"visible value\", \"shape\": \"visible value\"', chr(125), {_quoted(N.EARLIER_REST)})) AS prompt FROM f")
+def src18_training_rows(spark, sf_dir):
+    """Training rows of a manifest's examples, with the record and its facts as canonical JSON."""
+    from .sources.manifests import gold_rows
+
+    rows = V.parsed(V.lines(spark, D.written_lines(spark, sf_dir, D.EXAMPLE_LINES, f"doc_id % {_KINDS} = 0")))
+    found = gold_rows(V.examples(rows), "/data/")
+    return found.select("example_id", "image", "required_visual_facts_json", "example_payload", F.sha2(F.col("prompt")[0]["content"][1]["text"], 256).alias("prompt"))
+
+
+@query("SELECT concat('i', page_id % 9, '.png') AS image, count(*) AS rows, CASE WHEN page_id % 9 < 6 THEN 'pixels of ' || (page_id % 9) END AS content FROM pages GROUP BY page_id % 9")
+def src20_image_contents(spark, sf_dir):
+    """Rows joined to the bytes of their images' files; some images have none."""
+    from .sources.manifests import with_content
+
+    rows = D.table(spark, sf_dir, "pages").select(F.concat(F.lit("i"), F.col("page_id") % 9, F.lit(".png")).alias("image"))
+    files = spark.range(6).select(F.concat(F.lit("i"), "id", F.lit(".png")).alias("path"), F.concat(F.lit("pixels of "), F.col("id").cast("string")).cast("binary").alias("content"))
+    return with_content(rows, "image", files).groupBy("image").agg(F.count("*").alias("rows"), F.first(F.col("image_bytes").cast("string")).alias("content"))
+
+
+@query("SELECT 2 * count(*) AS lines, count(*) AS rows, CAST(sum(r_regionkey) AS BIGINT) AS keys FROM region")
+def src07_scanned_rows(spark, sf_dir):
+    """A scan that passes over blank lines."""
+    from .sources.manifests import scanned
+    from .sources.scratch import folder
+
+    path = folder(spark, "scan")
+    both = D.table(spark, sf_dir, "region").select(F.explode(F.array(F.to_json(F.struct("r_regionkey")), F.lit("  "))).alias("value"))
+    both.write.text(path)
+    counted = V.lines(spark, path).agg(F.count("*").alias("lines"))
+    return counted.crossJoin(F.broadcast(scanned(spark, path).agg(F.count("*").alias("rows"), F.sum(F.try_variant_get("doc", "$.r_regionkey", "bigint")).alias("keys"))))
+
+
+@query("WITH p AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS index, n_nationkey AS k FROM nation) SELECT CAST(k AS VARCHAR) AS example_id, unnest(list_filter([CASE WHEN k % 5 = 0 THEN 'is in the pack' END, CASE WHEN k % 5 = 0 OR k % 5 = 1 THEN 'has its place' END, CASE WHEN k % 5 = 0 OR k % 7 = 2 THEN 'has the version' END], lambda x: x IS NOT NULL)) AS rule FROM p")
+def src11_pack_mismatches(spark, sf_dir):
+    """A token pack against its manifest: ids that are missing, out of place, or of another version."""
+    from .sources.manifests import pack_mismatches
+
+    names = [str(r["n_nationkey"]) for r in D.table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    k = F.col("example_id").cast("int")
+    pack = spark.createDataFrame(list(enumerate(names)), "index int, example_id string").where(k % 5 != 0)
+    pack = pack.select("example_id", (F.col("index") + F.when(k % 5 == 1, 100).otherwise(0)).alias("index"), F.when(k % 7 == 2, "old").otherwise("new").alias("proxy_output_protocol"))
+    return pack_mismatches(pack, {"selected_ids": names}, "new")
+
+
+@query("SELECT CAST(24 - n_nationkey AS INT) AS pos, CAST(n_nationkey AS VARCHAR) AS id, n_name FROM nation WHERE 24 - n_nationkey < 20")
+def src12_listed_rows(spark, sf_dir):
+    """The rows of a frozen list in its order, of which the first twenty are taken."""
+    import json
+
+    from .sources.manifests import rows_listed
+
+    rows = D.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), "n_name")
+    return rows_listed(rows, json.dumps({"subset_ids": [str(i) for i in range(24, -1, -1)]}), "id", 25, 20).select("pos", "id", "n_name")
+
+
+@query("SELECT 'first' AS attempt, true AS written UNION ALL SELECT 'second', false")
+def snk05_refused_overwrite(spark, sf_dir):
+    """A file is written whole and once: the second attempt is refused, and the first's text stays."""
+    from .plans.reports import write_new
+    from .sources.scratch import folder
+
+    path, out = f"{folder(spark, 'new')}/report.txt", []
+    for attempt in ("first", "second"):
+        try:
+            write_new(spark, path, attempt)
+            out.append((attempt, True))
+        except FileExistsError:
+            out.append((attempt, False))
+    same = spark.read.text(path).select(F.col("value").alias("kept"))
+    return spark.createDataFrame(out, "attempt string, written boolean").crossJoin(F.broadcast(same)).where("kept = 'first'").select("attempt", "written")

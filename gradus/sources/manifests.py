@@ -7,7 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.prompts import student
+from ..functions.digests import canonical_json
+from ..functions.prompts import earlier, student
 from .contracts import ContractError, box_holds, evidence_holds, lines, parsed, rules_table
 
 
@@ -51,6 +52,56 @@ def training_rows(manifest: DataFrame, folder: str, hint: str | None = None) ->
     return manifest.select("id", "split", student(F.col("question"), focus).alias("prompt"), resolved(F.col("student_image"), folder).alias("image"), resolved(F.col("teacher_image"), folder).alias("teacher_image"), payload.alias("example_payload"))
 
 
+def gold_rows(examples: DataFrame, folder: str) -> DataFrame:
+    """Training rows of ``contracts.examples``: a chat of one user turn, image paths, and the record as canonical JSON.
+
+    Images stay paths, to be read where they are used; see ``with_content``.
+    """
+    image, teacher = (resolved(F.col(c), folder) for c in ("student_image", "teacher_image"))
+    facts = F.transform_values("facts", lambda k, v: F.struct(v[0].alias("canonical"), F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))).alias("aliases")))
+    record = F.struct("id", "split", image.alias("student_image"), teacher.alias("teacher_image"), "question", facts.alias("required_visual_facts"), F.col("answers").alias("accepted_answers"))
+    item = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    turn = lambda role, *items: F.array(F.struct(F.lit(role).alias("role"), F.array(*items).alias("content")))
+    return examples.select(
+        turn("user", item("image", F.lit(None).cast("string")), item("text", earlier(F.col("question"), F.map_keys("facts")))).alias("prompt"), turn("assistant", item("text", F.lit(""))).alias("completion"),
+        image.alias("image"), teacher.alias("teacher_image"), F.col("id").alias("example_id"), "split", canonical_json(F.to_json(record)).alias("example_payload"), canonical_json(F.to_json(facts)).alias("required_visual_facts_json"), F.col("answers").alias("accepted_answers"),
+    )
+
+
+def manifest_problems(rows: DataFrame) -> DataFrame:
+    """(example_id, rule): student and teacher have one image, or the manifest has more than one split."""
+    first = rows.agg(F.min("split").alias("_first"))
+    both = rows.crossJoin(F.broadcast(first))
+    return rules_table(both, "example_id", {"images differ": F.col("image") != F.col("teacher_image"), "there is one split": F.col("split") == F.col("_first")})
+
+
+def with_content(rows: DataFrame, column: str, files: DataFrame) -> DataFrame:
+    """Rows with the bytes of the file that a column names, read on the executors; null where there is none.
+
+    files: (path, content), as of Spark's binaryFile.
+    """
+    return rows.join(files.select(F.col("path").alias(column), F.col("content").alias(f"{column}_bytes")), column, "left")
+
+
+def scanned(spark: SparkSession, path: str, allow_empty: bool = False) -> DataFrame:
+    """(file, line, raw, doc) of JSON lines that aren't blank; ContractError for a line that is no object, or none at all."""
+    rows = parsed(lines(spark, path)).where(F.trim("raw") != "")
+    if bad := rows.where(F.col("doc").isNull() | ~F.schema_of_variant("doc").rlike("^OBJECT<")).orderBy("file", "line").limit(1).collect():
+        raise ContractError(f"{bad[0]['file']}:{bad[0]['line']} must be a JSON object")
+    if not allow_empty and rows.isEmpty():
+        raise ContractError(f"{path} has no records")
+    return rows
+
+
+def rows_listed(rows: DataFrame, text: str, key: str, count: int | None = None, most: int | None = None) -> DataFrame:
+    """(pos, columns of rows) of the ids that a text lists, in its order; ContractError for an id that no row has."""
+    ids = id_list(text, count)
+    told = listed(rows.sparkSession, ids, key)
+    if absent := told.join(rows, key, "left_anti").orderBy("pos").limit(5).collect():
+        raise ContractError(f"no such ids: {', '.join(r[key] for r in absent)}")
+    return rows.join(told, key).where(F.lit(most is None) | (F.col("pos") < (most or 0)))
+
+
 def source_problems(rows: DataFrame, images: DataFrame, need_box: bool = True) -> DataFrame:
     """(id, rule) of source rows against their images.
 
