@@ -9,6 +9,7 @@ goes back, and counts without building a piece.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, ready
+from .shared import REMEMBERED, as_bytes, ready
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -89,27 +90,40 @@ class Counts(dict):
         self.automaton = automaton
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         value = self[word] = self.automaton.count(word)
         return value
 
 
-def count_pieces(docs: DataFrame, vocabulary: list[bytes] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+#: A worker's automaton of the vocabulary that it counted with last: building one takes longer than many a task.
+_kept: dict[bytes, Counts] = {}
+
+
+def _counter(digest: bytes, vocabulary: list[bytes]) -> Counts:
+    if digest not in _kept:
+        _kept.clear()
+        _kept[digest] = Counts(Automaton(vocabulary))
+    return _kept[digest]
+
+
+def count_pieces(docs: DataFrame, vocabulary: list[bytes] | None = None, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """(key, n_words, n_pieces) for each row: words between ASCII white space, and their greedy longest pieces.
 
-    Null and empty texts have none; repeated rows are all kept; extra columns play no part. The vocabulary (that of a
-    public byte-level tokenizer by default) is bounded by its file and broadcast.
+    Null and empty texts have none; texts and words may be of any length; repeated rows are all kept; extra columns play
+    no part; an empty table gives no rows. The vocabulary, by default that of the file at ``path``, is bounded by its
+    file and broadcast.
     """
     spark = docs.sparkSession
     ready(spark)
-    sent = spark.sparkContext.broadcast(pieces() if vocabulary is None else vocabulary)
+    vocabulary = pieces(path) if vocabulary is None else vocabulary
+    digest = hashlib.sha256(b"".join(b"%d:%s" % (len(p), p) for p in vocabulary)).digest()
+    sent = spark.sparkContext.broadcast(vocabulary)
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = None
+        counts = _counter(digest, sent.value)
         for b in batches:
-            counts = counts or Counts(Automaton(sent.value))
             n, total = [], []
             for raw in as_bytes(b.column("text")):
                 found = raw.split() if raw else []

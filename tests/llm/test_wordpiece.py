@@ -8,10 +8,11 @@ from gradus.llm import wordpiece as W
 
 
 def greedy(word, vocabulary, prefix=b" "):
-    """Longest pieces by trying all lengths."""
+    """Longest pieces by trying all lengths that a piece has."""
     rest, start, count = prefix + word, True, 0
+    longest = max(map(len, vocabulary), default=0)
     while rest:
-        for n in range(len(rest), 0, -1):
+        for n in range(min(len(rest), longest), 0, -1):
             piece = rest[:n]
             if piece in vocabulary and piece.startswith(prefix) == start:
                 break
