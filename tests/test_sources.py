@@ -76,13 +76,36 @@ def test_reports(spark, tmp_path):
     assert "| z | NA | NA | NA |" in reports.as_markdown(rows, "T")
     assert reports.range_svg(rows, "name", "low", "mid", "high").count("<circle") == 1
     counts = spark.createDataFrame([("s", 0, 3), ("s", 1, 1)], "s string, bin int, n int")
-    assert "20.0,90.0 620.0,230.0" in reports.frequency_svg(counts, "s", "bin", "n")
+    # Shares 3/4 and 1/4 in a panel whose top is the largest share.
+    chart = reports.frequency_svg(counts, "s", "bin", "n", "a & b")
+    assert "40.0,30.0 620.0,123.3" in chart and ">s (4)<" in chart and "a &amp; b" in chart and ">0.75<" in chart
+    path = f"{tmp_path}/once.txt"
+    reports.write_new(spark, path, "one é\n")
+    with pytest.raises(FileExistsError):
+        reports.write_new(spark, path, "two")
+    assert (tmp_path / "once.txt").read_text() == "one é\n" and not list(tmp_path.glob("*.tmp"))
     reports.write_manifest(M.fixture(spark), str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).count() == 2
     with pytest.raises(Exception, match="(?i)exists"):
         reports.write_manifest(M.fixture(spark), str(tmp_path / "m"))
 
 
+def test_manifest_rows(spark, tmp_path):
+    path = written(tmp_path, '{"id": "a", "split": "dev", "student_image": "s.png", "teacher_image": "/t.png", "question": "Q?", "required_visual_facts": {"c": "red"}, "accepted_answers": ["é"]}', "  ", '{"id": "b", "split": "train", "student_image": "x.png", "teacher_image": "x.png", "question": "Q?", "required_visual_facts": {"c": {"canonical": "red", "aliases": ["r"]}}, "accepted_answers": ["1"]}')
+    rows = M.scanned(spark, path)
+    made = M.gold_rows(V.examples(rows), "/d").orderBy("example_id")
+    first = made.first()
+    assert json.loads(first["example_payload"]) == {"id": "a", "split": "dev", "student_image": "/d/s.png", "teacher_image": "/t.png", "question": "Q?", "required_visual_facts": {"c": {"canonical": "red", "aliases": []}}, "accepted_answers": ["é"]}
+    assert first["example_payload"] == json.dumps(json.loads(first["example_payload"]), sort_keys=True, ensure_ascii=False)
+    assert sorted(map(tuple, M.manifest_problems(made).collect())) == [("b", "images differ"), ("b", "there is one split")]
+    with pytest.raises(V.ContractError, match="no such ids: z"):
+        M.rows_listed(made, '["z"]', "example_id")
+    with pytest.raises(V.ContractError, match="no records"):
+        M.scanned(spark, written(tmp_path, " "))
+    with pytest.raises(V.ContractError, match="must be a JSON object"):
+        M.scanned(spark, written(tmp_path, "[1]"))
+
+
 def test_configs():
     good = {"answer_utility": 1.0, "rho_answer": 1, "rho_visual": 0.5, "format_penalty": 0}
     config.check_reward(good)
