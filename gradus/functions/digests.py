@@ -44,6 +44,22 @@ def pixel_sha256(width: Column, height: Column, pixels: Column) -> Column:
     return F.sha2(F.concat(F.concat(F.lit("RGB:"), width.cast("string"), F.lit("x"), height.cast("string"), F.lit(":")).cast("binary"), pixels), 256)
 
 
+def tensor_sha256(tensors: Column) -> Column:
+    """SHA-256 of named tensors, an array of (key, dtype, shape, bytes), in order of their keys.
+
+    Each has a header of JSON with its key, kind and shape, and its bytes; both come after their length in eight bytes.
+    """
+    def sized(part: Column) -> Column:
+        return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(part)), 16, "0")), part)
+
+    def one(t: Column) -> Column:
+        shape = F.concat(F.lit("["), F.array_join(F.transform(t["shape"], lambda n: n.cast("string")), ","), F.lit("]"))
+        header = F.concat(F.lit('{"dtype":"'), t["dtype"], F.lit('","key":"'), t["key"], F.lit('","shape":'), shape, F.lit("}"))
+        return F.concat(sized(header.cast("binary")), sized(t["bytes"]))
+
+    return F.sha2(F.aggregate(F.array_sort(tensors), F.lit(b""), lambda out, t: F.concat(out, one(t))), 256)
+
+
 def listed_sha256(rows: DataFrame, order: str, value: str) -> DataFrame:
     """One row: SHA-256 of the values in order, one a line, of a frozen subset's ids: over MOST_LISTED are refused."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("string").alias("v")))), lambda x: x["v"])

@@ -1270,3 +1270,43 @@ def snk05_refused_overwrite(spark, sf_dir):
             out.append((attempt, False))
     same = spark.read.text(path).select(F.col("value").alias("kept"))
     return spark.createDataFrame(out, "attempt string, written boolean").crossJoin(F.broadcast(same)).where("kept = 'first'").select("attempt", "written")
+
+
+@query("SELECT concat(n_name, '.png') AS name, n_nationkey + 1 AS width, 2 AS height FROM nation WHERE n_regionkey <> 1")
+def src16_archived_images(spark, sf_dir):
+    """Images of a gzipped tar in three parts; those of one region aren't allowed."""
+    from .sources.archives import extracted, gray_png, packed
+    from .sources.scratch import folder
+
+    nations = D.table(spark, sf_dir, "nation").collect()
+    data, path = packed({f"{r['n_name']}.png": gray_png(r["n_nationkey"] + 1, 2) for r in nations}), folder(spark, "archive")
+    cuts = [data[i * len(data) // 3 : (i + 1) * len(data) // 3] for i in range(3)]
+    jvm = spark._jvm
+    for i, part in enumerate(cuts):
+        to = jvm.org.apache.hadoop.fs.Path(f"{path}/part{i}")
+        out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to)
+        out.write(bytearray(part))
+        out.close()
+    allowed = [f"{r['n_name']}.png" for r in nations if r["n_regionkey"] != 1]
+    rows = spark.createDataFrame([("a", [f"{path}/part{i}" for i in range(3)], allowed, True)], "label string, paths array<string>, allowed array<string>, complete boolean")
+    return extracted(rows).where("name IS NOT NULL AND problem IS NULL").select("name", "width", "height")
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS page_id, unnest(['normal', 'blank', 'occluded', 'noise']) AS variant, unnest([true, false, page_id % 2 = 1, NULL]) AS same FROM pages")
+def arr16_image_variants(spark, sf_dir):
+    """Variants of images of one gray: that of half of them is the gray that covers."""
+    from .functions.images import variants
+
+    gray = F.when(F.col("page_id") % 2 == 1, F.unhex(F.lit("7F"))).otherwise(F.unhex(F.lit("10")))
+    rows = D.table(spark, sf_dir, "pages").select("page_id", F.lit(4).alias("width"), F.lit(2).alias("height"), F.unhex(F.repeat(F.hex(gray), F.lit(24))).alias("pixels"))
+    made = variants(rows, "page_id").join(rows.select(F.col("page_id").cast("string").alias("page_id"), F.col("pixels").alias("own")), "page_id")
+    same = F.when(F.col("variant") == "blank", F.lit(False)).when(F.col("variant") != "noise", F.col("pixels") == F.col("own"))
+    return made.select("page_id", "variant", same.alias("same"))
+
+
+@query("SELECT page_id, sha256(unhex('0000000000000031') || encode('{\"dtype\":\"torch.uint8\",\"key\":\"url\",\"shape\":[1,6]}') || unhex('0000000000000006') || encode(substr(url, 1, 6))) AS digest FROM pages")
+def hsh06_tensor_digests(spark, sf_dir):
+    from .functions.digests import tensor_sha256
+
+    part = F.struct(F.lit("url").alias("key"), F.lit("torch.uint8").alias("dtype"), F.array(F.lit(1), F.lit(6)).alias("shape"), F.substring("url", 1, 6).cast("binary").alias("bytes"))
+    return D.table(spark, sf_dir, "pages").select("page_id", tensor_sha256(F.array(part)).alias("digest"))
