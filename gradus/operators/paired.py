@@ -170,9 +170,14 @@ def twister_means(values: np.ndarray, reps: int, seed: int) -> np.ndarray:
     return np.concatenate(means)
 
 
+def metric_seed(seed: int, condition: str = "condition", metric: str = "metric", scope: str = "scope") -> Column:
+    """The seed of a group's resamples, told by the group alone."""
+    return seed_of(F.concat_ws("|", F.lit(str(seed)), condition, metric, scope))
+
+
 def exact_bootstrap(rows: DataFrame, reps: int, seed: int) -> DataFrame:
     """The same with Mersenne Twister draws in order of ids: one group of deltas a task, as that order is the result."""
-    keyed = rows.withColumn("seed", seed_of(F.concat_ws("|", F.lit(str(seed)), "condition", "metric", "scope")).cast("string"))
+    keyed = rows.withColumn("seed", metric_seed(seed).cast("string"))
 
     def interval(pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf.sort_values("example_id")["delta"].to_numpy(float)

@@ -1310,3 +1310,63 @@ def hsh06_tensor_digests(spark, sf_dir):
 
     part = F.struct(F.lit("url").alias("key"), F.lit("torch.uint8").alias("dtype"), F.array(F.lit(1), F.lit(6)).alias("shape"), F.substring("url", 1, 6).cast("binary").alias("bytes"))
     return D.table(spark, sf_dir, "pages").select("page_id", tensor_sha256(F.array(part)).alias("digest"))
+
+
+# Round trips, seeds and small records.
+
+
+@query(f"SELECT concat('#', doc_id, '#') AS id, 'dev' AS split, concat('s/', source, '.png') AS student_image, concat('#', doc_id, '# which?') AS question, lang AS shape, 2 AS slots, 2 AS answers FROM documents WHERE doc_id % {_KINDS} = 0")
+def jsn01_round_trip(spark, sf_dir):
+    """Examples written as JSON lines and loaded again are what they were."""
+    from .sources.scratch import folder
+
+    first = V.parsed(V.lines(spark, D.written_lines(spark, sf_dir, D.EXAMPLE_LINES, f"doc_id % {_KINDS} = 0")))
+    path = folder(spark, "again")
+    V.example_lines(V.examples(first)).write.text(path)
+    rows = V.parsed(V.lines(spark, path))
+    V.raise_on(V.violations(rows, V.EXAMPLE), "examples")
+    return V.examples(rows).select("id", "split", "student_image", "question", F.col("facts")["shape"][0].alias("shape"), F.size("facts").alias("slots"), F.size("answers").alias("answers"))
+
+
+@query("SELECT r_name AS condition, n_name AS metric, CAST(CAST('0x' || substr(sha256(concat('7|', r_name, '|', n_name, '|all')), 1, 16) AS UBIGINT) AS DECIMAL(20,0)) AS seed FROM nation JOIN region ON n_regionkey = r_regionkey")
+def agg30_metric_seeds(spark, sf_dir):
+    rows = D.table(spark, sf_dir, "nation").join(D.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("condition"), F.col("n_name").alias("metric"), F.lit("all").alias("scope"))
+    return rows.select("condition", "metric", P.metric_seed(7).alias("seed"))
+
+
+@query("SELECT n_nationkey * 40 AS candidates, CASE WHEN n_nationkey * 40 >= 640 THEN 512 WHEN n_nationkey * 40 >= 320 THEN 256 END AS train, CASE WHEN n_nationkey * 40 >= 640 THEN 128 WHEN n_nationkey * 40 >= 320 THEN 64 END AS validation FROM nation")
+def srt06_split_sizes(spark, sf_dir):
+    """Sizes of the splits that so many candidates suffice for; none for too few."""
+    out = []
+    for r in D.table(spark, sf_dir, "nation").collect():
+        try:
+            out.append((r["n_nationkey"] * 40, *S.split_sizes(r["n_nationkey"] * 40)))
+        except ValueError:
+            out.append((r["n_nationkey"] * 40, None, None))
+    return spark.createDataFrame(out, "candidates int, train int, validation int")
+
+
+@query("SELECT unnest(['waiting', 'failed run', 'flushed']) AS ending, unnest([true, false, false]) AS refused")
+def stm04_refused_endings(spark, sf_dir):
+    """A good end is refused while rollouts wait; a bad one isn't, nor a good one after a flush."""
+    from .streaming.telemetry import Tracker
+
+    rows, out = D.rollouts(spark, sf_dir), []
+    for ending in ("waiting", "failed run", "flushed"):
+        tracker = Tracker(lambda sent: None, lambda window: window.agg(F.count("*").alias("attempts")))
+        tracker.record(rows)
+        if ending == "flushed":
+            tracker.log_training({"optimizer_successful_updates": 1}, 1)
+        try:
+            tracker.finish(good=ending != "failed run")
+            out.append((ending, False))
+        except RuntimeError:
+            out.append((ending, True))
+    return spark.createDataFrame(out, "ending string, refused boolean")
+
+
+@query("SELECT unnest(['train-1', 'dev-1']) AS id, unnest(['train', 'dev']) AS split, unnest([1, 2]) AS answers")
+def src21_fixture(spark, sf_dir):
+    from .sources.manifests import fixture
+
+    return fixture(spark).select("id", "split", F.size("accepted_answers").alias("answers"))

@@ -119,6 +119,13 @@ def examples(rows: DataFrame) -> DataFrame:
     return rows.select("file", "line", *fields, F.transform_values(facts, accepted).alias("facts"), F.try_variant_get("doc", "$.accepted_answers", "array<string>").alias("answers"))
 
 
+def example_lines(rows: DataFrame) -> DataFrame:
+    """``examples`` as JSON lines again, in a column value; facts are objects, whatever they were."""
+    facts = F.transform_values("facts", lambda k, v: F.struct(v[0].alias("canonical"), F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))).alias("aliases")))
+    fields = [F.col(f) for f, kind in EXAMPLE.items() if kind == "string"]
+    return rows.select(F.to_json(F.struct(*fields, facts.alias("required_visual_facts"), F.col("answers").alias("accepted_answers"))).alias("value"))
+
+
 def example_rules(rows: DataFrame) -> DataFrame:
     """(id, rule) of ``examples``: facts and answers are there, and none has the same value twice when folded."""
     own = rows.withColumns({"_values": folded(F.flatten(F.map_values("facts"))), "_answers": folded("answers")})
