@@ -341,18 +341,13 @@ def _blocks(members: DataFrame, t: Fraction) -> DataFrame:
     return dealt.groupBy("family", "one", "two").applyInArrow(work, "u long, v long")
 
 
-def _slice(whole: DataFrame, s: int, keys: Keys) -> tuple[DataFrame, DataFrame]:
-    """Of one slice of the keys: (band, u, v, common) of pairs and, for band -1, of families; (node, bucket, hub) of buckets of over GATHERED sets."""
+def _slice(whole: DataFrame, s: int, keys: Keys) -> tuple[DataFrame, DataFrame | None]:
+    """Of one slice of the keys: (band, u, v, common) of pairs and, for band -1, of families; (node, bucket, hub) of buckets of over GATHERED sets, if there are any."""
     plain = whole.select("node", F.explode(f"keys{s}").alias("bucket"))
     keyed = whole.select("node", F.explode(F.arrays_zip(F.col(f"keys{s}").alias("bucket"), F.col(f"marks{s}").alias("mark"))).alias("k")).select("node", "k.bucket", "k.mark")
     # Buckets with two sets at least, found with fixed-width aggregates that combine before the shuffle.
     shared = plain.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("rows")).where("low < high")
     shared = stored(shared.select("bucket", F.least("rows", F.lit(GATHERED + 1)).cast("int").alias("rows")), "shared")
-    # Rows may be copies of fewer sets: a bucket of many rows is gathered yet if its sets are few.
-    many = shared.where(F.col("rows") > GATHERED).select("bucket")
-    members = stored(keyed.join(small(many), "bucket", "left_semi").distinct(), "members")
-    sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")), "sizes")
-    copied = members.join(small(sizes.where(F.col("size") <= GATHERED).select("bucket")), "bucket", "left_semi")
     # Shuffled and sorted at any size, and so gathered: both sides are in the billions where it matters.
     rare = keyed.join(shared.where(F.col("rows") <= GATHERED).select("bucket").hint("merge"), "bucket", "left_semi")
 
@@ -360,7 +355,19 @@ def _slice(whole: DataFrame, s: int, keys: Keys) -> tuple[DataFrame, DataFrame]:
         """Joined by bucket, rows are where they are gathered."""
         return _met(rows.groupBy("bucket").agg(F.collect_list(F.struct("node", "mark")).alias("m")), keys)
 
-    met = stored(gathered(rare).unionAll(gathered(copied)).groupBy("band", "u", "v").agg(F.count("*").alias("common")), "met")
+    def counted(met: DataFrame) -> DataFrame:
+        return stored(met.groupBy("band", "u", "v").agg(F.count("*").alias("common")), "met")
+
+    many = shared.where(F.col("rows") > GATHERED).select("bucket")
+    if many.isEmpty():
+        met = counted(gathered(rare))
+        drop(whole.sparkSession, place(shared))
+        return met, None
+    # Rows may be copies of fewer sets: a bucket of many rows is gathered yet if its sets are few.
+    members = stored(keyed.join(small(many), "bucket", "left_semi").distinct(), "members")
+    sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("hub")), "sizes")
+    copied = members.join(small(sizes.where(F.col("size") <= GATHERED).select("bucket")), "bucket", "left_semi")
+    met = counted(gathered(rare).unionAll(gathered(copied)))
     hot = stored(members.join(small(sizes.where(F.col("size") > GATHERED).select("bucket", "hub")), "bucket").select("node", "bucket", "hub"), "hot")
     for gone in (shared, members, sizes):
         drop(whole.sparkSession, place(gone))
@@ -380,26 +387,32 @@ def _named(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
     profiles, sketches = stored(profiles, "profiles"), stored(whole.where("node is not null").select("node", "n", "sketch"), "sketches")
     drop(spark, place(whole))
     met = slices[0][0]
-    hot = slices[0][1]
-    for m, h in slices[1:]:
-        met, hot = met.unionAll(m), hot.unionAll(h)
-    band = F.col("bucket").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
+    for m, _ in slices[1:]:
+        met = met.unionAll(m)
     spare = F.array(*[F.lit(more) for _, _, more in keys.layout])
-    # A set leaves out its large buckets of a band if they are R at most; those of the others make families.
-    large = stored(hot.groupBy("node", band.alias("band")).agg(F.count("*").alias("lost")), "large")
-    left_out = large.where(F.col("lost") <= F.element_at(spare, F.col("band") + 1))
-    staying = hot.withColumn("band", band).join(small(left_out.select("node", "band")), ["node", "band"], "left_anti")
     pairs = met.where("band >= 0").groupBy("u", "v", "band").agg(F.sum("common").alias("common"))
-    if not left_out.isEmpty():
+    near = met.where("band < 0").select("u", "v")
+    hots = [h for _, h in slices if h is not None]
+    if hots:
+        hot = hots[0]
+        for h in hots[1:]:
+            hot = hot.unionAll(h)
+        hot = hot.withColumn("band", F.col("bucket").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int"))
+        # A set leaves out its large buckets of a band if they are R at most; those of the others make families.
+        large = stored(hot.groupBy("node", "band").agg(F.count("*").alias("lost")), "large")
+        left_out = large.where(F.col("lost") <= F.element_at(spare, F.col("band") + 1))
+        staying = hot.join(small(left_out.select("node", "band")), ["node", "band"], "left_anti")
+        near = near.unionAll(staying.select(F.col("node").alias("u"), F.col("hub").alias("v")))
         lost = small(left_out.select(F.col("node").alias("u"), "band", F.col("lost").alias("lost_u")))
         pairs = pairs.join(lost, ["u", "band"], "left").join(lost.withColumnsRenamed({"u": "v", "lost_u": "lost_v"}), ["v", "band"], "left")
         pairs = pairs.withColumn("common", F.col("common") + F.greatest(F.coalesce("lost_u", F.lit(0)), F.coalesce("lost_v", F.lit(0))))
     pairs = stored(pairs.where(F.col("common") > F.element_at(spare, F.col("band") + 1)).select("u", "v").distinct(), "pairs")
     wanted = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
-    seen = stored(sketches.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "seen")
+    # Copies of a set are combined before the shuffle, and then joined where they are.
+    seen = stored(sketches.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")).join(wanted, "node", "left_semi"), "seen")
     sides = pairs.join(seen.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("a")), "u").join(seen.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("b")), "v")
     fits = F.least("nu", "nv") * F.lit(t.denominator) >= F.greatest("nu", "nv") * F.lit(t.numerator)
-    near = _near(sides.where(fits), t).unionAll(met.where("band < 0").select("u", "v")).unionAll(staying.select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    near = _near(sides.where(fits), t).unionAll(near)
     families = stored(components(stored(near, "near")).select(F.col("node").alias("u"), F.col("component").alias("family")), "families")
     # The texts of families' sets are read again, by id: those of others are never shuffled.
     nameless = F.lit(-(1 << 63))
@@ -421,7 +434,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, t
     A row's set is that of its distinct k-word shingles; with fewer words the whole sequence is one; without words or
     with a null text it is empty, and linked with nothing. Rows link when |A and B| >= t |A or B|; a component is named
     by the smallest key reachable by links. Equal sets link, so repeated rows share a component. Keys are integers; one
-    may repeat, or be null and then names nothing but a row without others. An empty table gives no rows.
+    may repeat, or be null and then names nothing but a row without others. Texts may be of any length and are read
+    whole; other columns play no part, whatever they are called. An empty table gives no rows.
     """
     ready(docs.sparkSession)
     profiles, named = _named(docs.select(F.col(key).alias("id"), F.lit(0).cast("long").alias("mark"), F.col(text).alias("text")), k, t)
@@ -432,7 +446,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, t
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, t: Fraction = Fraction(8, 10)) -> DataFrame:
     """One row of each component of ``join``, with all its columns: that of the smallest key, then of a hash of the text.
 
-    Rows with empty sets all stay. Of rows that repeat a key and a text one stays.
+    Rows with empty sets, as of null texts, all stay. Of rows that repeat a key and a text one stays. Without rows there
+    are none.
     """
     ready(docs.sparkSession)
     mark = F.coalesce(F.xxhash64(docs[text]), F.lit(0))
