@@ -80,14 +80,13 @@ class Model:
 
 def telling(rows: list[np.ndarray], grades: np.ndarray, top: int) -> np.ndarray:
     """Features whose documents' grades are above or below a cut more often than chance has it, and statistics' features."""
-    flat, n = np.concatenate(rows), len(rows)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    have = np.bincount(flat, minlength=BUCKETS)
-    most = np.zeros(BUCKETS)
+    n = len(rows)
+    # Documents that have a feature, by grade; nothing is made for each single feature of a document.
+    by_grade = [np.bincount(np.concatenate(own), minlength=BUCKETS) if (own := [r for r, g in zip(rows, grades, strict=True) if g == k]) else np.zeros(BUCKETS, np.int64) for k in range(top + 1)]
+    have, most = sum(by_grade), np.zeros(BUCKETS)
     for k in range(top):
-        above = (grades > k).astype(float)
-        p = above.mean()
-        off = np.bincount(flat, (above - p)[owner], BUCKETS)
+        p = float((grades > k).mean())
+        off = sum(by_grade[k + 1 :]) - p * have
         spread = np.sqrt(np.maximum(have * (1 - have / n) * p * (1 - p), 1e-9))
         most = np.maximum(most, np.abs(off) / spread)
     return np.flatnonzero((have >= FEWEST) & ((most >= DEVIATIONS) | (np.arange(BUCKETS) < 4096)))
