@@ -235,6 +235,7 @@ def _finder(sent, least: float, id_kind, item_kind):
                 rows += [(key.as_py(), i, n, covered, covered / n, count, longest) for i, n, covered, count, longest in _leaks(seeds, numbers, text, least)]
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], ["id", "item", "item_words", "covered_words", "coverage", "tiles", "longest_tile"])
+        tidy()
 
     return work
 
@@ -257,6 +258,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
             for b in batches:
                 stays = [not _leaks(seeds, numbers, t, least) for t in as_bytes(b.column(b.num_columns - 1))]
                 yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(stays, pa.bool_()))
+            tidy()
 
         docs = docs.withColumn(own, F.col(text)).mapInArrow(work, schema)
     return docs

@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows, and bytes, that may be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 #: Bytes of an Arrow batch, and words whose hashes a worker remembers: they bound a worker's memory.
-BATCH_BYTES, REMEMBERED = 8 << 20, 200_000
+BATCH_BYTES, REMEMBERED = 4 << 20, 200_000
 ROOT = str(Path(__file__).resolve().parents[2])
 _made: list[tuple[SparkSession, str]] = []
 
