@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, license_scan, media, mixing, parity_join, quality, sharding, url_filter, warc, wordpiece
+from . import decontam, divergence, fim, license_scan, media, mixing, parity_join, quality, sharding, url_filter, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,6 +122,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"), "shard")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of every language: how far the others are, and its ten most telling terms.
+
+    Null texts, languages and sources are empty ones; repeated rows count; texts are read whole; an empty table gives no
+    rows.
+    """
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's form and cut, with digests of its rearranged text and of the text rebuilt from that.
+
+    A null text is an empty one, and plain. Repeated rows stay; texts are read whole; an empty table gives no rows.
+    """
+    found = fim.invert(fim.transform(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of ``corpus_pipeline.run``."""
     import corpus_pipeline
@@ -129,7 +147,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = (op1_url_filter, op2_media_columns, op3_mixing, op4_quality_classifier, op5_license_scan, op6_decontamination, op7_token_counts, op8_warc, op9_ngram_jaccard_join, op10_sharding, pipeline)
+_ALL = (op1_url_filter, op2_media_columns, op3_mixing, op4_quality_classifier, op5_license_scan, op6_decontamination, op7_token_counts, op8_warc, op9_ngram_jaccard_join, op10_sharding, op11_source_divergence, op13_fill_in_middle, pipeline)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 _URL_SQL = """
@@ -188,4 +206,29 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
 SELECT doc_id, any_value(n) AS n_shingles, min(reached) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id"""
 
-SQL: dict[str, str] = {"op1_url_filter": _URL_SQL, "op3_mixing": _MIX_SQL, "op8_warc": _WARC_SQL, "op9_ngram_jaccard_join": _JACCARD_SQL}
+_DIVERGENCE_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+k AS (SELECT lang, t FROM (SELECT lang, unnest(list_distinct(w)) AS t FROM d) GROUP BY lang, t HAVING count(*) >= 10),
+c AS (SELECT lang, source, t, CAST(count(*) AS HUGEINT) AS n FROM (SELECT lang, source, unnest(w) AS t FROM d) JOIN k USING (lang, t) GROUP BY ALL),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM k GROUP BY lang),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0)::HUGEINT AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.t, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (s.total + 2 * v.v) AS p FROM s JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, t)),
+l AS (SELECT lang, sum(total)::HUGEINT AS total FROM s GROUP BY lang),
+q AS (SELECT c.lang, c.t, 1 + (1000000000 * (sum(c.n)::HUGEINT + 2)) // (any_value(l.total) + 2 * any_value(v.v)) AS q FROM c JOIN l USING (lang) JOIN v USING (lang) GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.t = x.t GROUP BY ALL
+  UNION ALL SELECT lang, source, 'term', t, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r) WHERE part = 'pair' OR rank <= 10"""
+
+_MIDDLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS x FROM documents),
+h AS (SELECT *, CAST(len(u) AS BIGINT) AS n, [CAST('0x' || x[8 * i - 7 : 8 * i] AS BIGINT) FOR i IN [1, 2, 3, 4]] AS h FROM d),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+  least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b FROM h),
+c AS (SELECT *, coalesce(array_to_string(u[: a], ''), '') AS p, coalesce(array_to_string(u[a + 1 : b], ''), '') AS m, coalesce(array_to_string(u[b + 1 :], ''), '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c"""
+
+SQL: dict[str, str] = {"op1_url_filter": _URL_SQL, "op3_mixing": _MIX_SQL, "op8_warc": _WARC_SQL, "op9_ngram_jaccard_join": _JACCARD_SQL, "op11_source_divergence": _DIVERGENCE_SQL, "op13_fill_in_middle": _MIDDLE_SQL}
