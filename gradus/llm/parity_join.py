@@ -16,8 +16,7 @@ linked pair still has 1 + R such keys. Passages that many documents share thus m
 group differs.
 
 Candidates with 1 + R common keys go on to a comparison of whole sketches, four bits or more for each shingle. What is
-near there belongs to one family, in which the sets of shingles themselves are compared, in square blocks of bounded
-size; only links that join two groups of a block go out. Two kinds of buckets make families by themselves: those whose
+near there belongs to one family, in which the sets of shingles themselves are compared (see ``families``). Two kinds of buckets make families by themselves: those whose
 members are mostly near each other, as of many near copies, and those of over GATHERED members. Of the latter a set may
 leave out R by band, as it then still has a common key with each that it links to.
 
@@ -33,19 +32,16 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .families import digest, far, named, sketch, sketch_bits
 from .shared import Hashes, as_bytes, drop, fresh, mix, place, ready, shingles, small, stored, tidy, words
 
 #: Bits of a part; parts of a group.
 PART_BITS, GROUP = 128, 6
 #: Members of a bucket that are gathered; pairs a member by which a bucket goes out as pairs, else as a family.
 GATHERED, DENSE = 2048, 16
-#: Members of a block, and bytes of their sets.
-BLOCK, BLOCK_BYTES = 256, 8 << 20
 #: Low bits of a join key that tell its band; the next ones tell its slice.
 BAND_BITS, SLICES = 9, 4
 #: Seeds tried at most; a set that still has too many empty parts then also joins on them.
@@ -123,37 +119,28 @@ class Keys:
         return out
 
 
-def _digest(own: np.ndarray) -> tuple[int, int]:
-    h = xxhash.xxh3_128_intdigest(own.tobytes())
-    return h >> 64, h & (1 << 64) - 1
-
-
-def _signed(values: np.ndarray) -> np.ndarray:
-    return values.astype(np.uint64).view(np.int64)
-
-
 def _profiles(docs: DataFrame, k: int, keys: Keys) -> DataFrame:
     """(id, mark, n, node, rest, sketch, and keys and marks by slice): node and rest tell equal sets. Empty sets have nulls."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for b in batches:
-            n, node, rest, sketch, found = [], [], [], [], []
+            n, node, rest, sketches, found = [], [], [], [], []
             for text in as_bytes(b.column("text")):
                 own = shingles(hashes.of(words(text)), k)
                 n.append(len(own))
                 if len(own):
-                    hi, lo = _digest(own)
+                    hi, lo = digest(own)
                     node.append(hi - (1 << 64) if hi >> 63 else hi)
                     rest.append(lo - (1 << 64) if lo >> 63 else lo)
-                    sketch.append(_sketch(own, _bits(len(own))).tobytes())
+                    sketches.append(sketch(own, sketch_bits(len(own))).tobytes())
                     found.append(keys.of(own))
                 else:
                     node.append(None)
                     rest.append(None)
-                    sketch.append(None)
+                    sketches.append(None)
                     found.append((np.zeros(0, np.uint64), np.zeros(0, np.uint32)))
-            columns = [b.column("id"), b.column("mark"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(rest, pa.int64()), pa.array(sketch, pa.binary())]
+            columns = [b.column("id"), b.column("mark"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(rest, pa.int64()), pa.array(sketches, pa.binary())]
             owner = np.repeat(np.arange(len(found)), [len(x) for x, _ in found])
             every, marks = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, kind) for i, kind in enumerate((np.uint64, np.uint32)))
             of = every >> np.uint64(BAND_BITS) & np.uint64(SLICES - 1)
@@ -170,66 +157,13 @@ def _profiles(docs: DataFrame, k: int, keys: Keys) -> DataFrame:
     return docs.mapInArrow(work, f"id {dict(docs.dtypes)['id']}, mark long, n long, node long, rest long, sketch binary, {kinds}")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(node, rest, shingles): the sets' hashes as bytes."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for b in batches:
-            node, rest, found = [], [], []
-            for text in as_bytes(b.column("text")):
-                own = shingles(hashes.of(words(text)), k)
-                if len(own):
-                    hi, lo = _digest(own)
-                    node.append(hi - (1 << 64) if hi >> 63 else hi)
-                    rest.append(lo - (1 << 64) if lo >> 63 else lo)
-                    found.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(rest, pa.int64()), pa.array(found, pa.binary())], ["node", "rest", "shingles"])
-        tidy()
-
-    return docs.mapInArrow(work, "node long, rest long, shingles binary")
-
-
-def linked(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
-    """Whether two sets of sorted hashes have a similarity of at least t."""
-    x, y = sorted((len(a), len(b)))
-    if not x or x * t.denominator < y * t.numerator:
-        return False
-    if x > 4000:
-        at = np.searchsorted(b, a)
-        both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-    else:
-        both = x + y - len(np.unique(np.concatenate((a, b))))
-    return both * t.denominator >= (x + y - both) * t.numerator
-
-
-def _bits(n: int) -> int:
-    """Bits of the whole sketch of n shingles: a power of two of at least four for each."""
-    return max(256, 1 << (4 * n - 1).bit_length())
-
-
-def _sketch(own: np.ndarray, bits: int) -> np.ndarray:
-    """A parity sketch of a whole set: bit i is the number, modulo 2, of shingles dealt to it."""
-    odd = np.bincount((own >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
-
-
-def _far(a: np.ndarray, b: np.ndarray) -> int:
-    """The Hamming distance of two sketches; the longer is folded, as the XOR of its halves is the shorter sketch."""
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
-
-
 def _near(pairs: DataFrame, t: Fraction) -> DataFrame:
     """(u, v) of those (u, v, nu, nv, a, b) whose sketches a and b aren't farther apart than linked sets can be."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             most = (b.column("nu").to_numpy() + b.column("nv").to_numpy()) * (t.denominator - t.numerator) // (t.denominator + t.numerator)
-            ok = [_far(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) <= m for x, y, m in zip(b.column("a"), b.column("b"), most, strict=True)]
+            ok = [far(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) <= m for x, y, m in zip(b.column("a"), b.column("b"), most, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.mapInArrow(work, "u long, v long")
@@ -288,9 +222,9 @@ def _large(band: int, node: np.ndarray, mark: np.ndarray, apart: np.ndarray, den
             first.append(np.full(len(near), i))
             second.append(near)
         # A group is named by its first member.
-        named = np.unique(np.append(group[near], group[i]))
-        if len(named) > 1:
-            group[np.isin(group, named)] = named[0]
+        joined = np.unique(np.append(group[near], group[i]))
+        if len(joined) > 1:
+            group[np.isin(group, joined)] = joined[0]
     if found <= dense * m:
         i, j = np.concatenate(first), np.concatenate(second)
         return np.full(len(i), band), node[i], node[j]
@@ -298,49 +232,6 @@ def _large(band: int, node: np.ndarray, mark: np.ndarray, apart: np.ndarray, den
     return np.full(len(other), -1), node[other], node[group[other]]
 
 
-def _compare(vertex: np.ndarray, side: np.ndarray, same: bool, sets: list[np.ndarray], t: Fraction) -> list[tuple[int, int]]:
-    """Links that join what was apart, among the members of one block (same) or between those of two."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    vertex, side, sets = vertex[order], side[order], [sets[i] for i in order]
-    size = np.array([len(s) for s in sets])
-    bits = min(_bits(int(size.max())), 1 << 16)
-    sketches = np.stack([_sketch(s, bits) for s in sets])
-    group, out = np.arange(len(sets)), []
-    for i in range(len(sets)):
-        # Sizes rise: later members link up to size / t.
-        end = int(np.searchsorted(size, size[i] * t.denominator // t.numerator, "right"))
-        rest = np.arange(i + 1, end)
-        rest = rest[group[rest] != group[i]]
-        if not same:
-            rest = rest[side[rest] != side[i]]
-        if not len(rest):
-            continue
-        far = np.bitwise_count(sketches[rest] ^ sketches[i]).sum(1)
-        most = ((size[rest] + size[i]) * (t.denominator - t.numerator)) // (t.denominator + t.numerator)
-        for j in rest[far <= most]:
-            if group[j] != group[i] and linked(sets[i], sets[j], t):
-                out.append((int(vertex[i]), int(vertex[j])))
-                group[group == group[j]] = group[i]
-    return out
-
-
-def _blocks(members: DataFrame, t: Fraction) -> DataFrame:
-    """Links within families: (family, u, shingles) to (u, v)."""
-    counts = stored(members.groupBy("family").agg(F.count("*").alias("members"), F.sum(F.octet_length("shingles")).alias("bytes")), "counts")
-    dealt = members.join(small(counts), "family").withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("u", F.lit("block")), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "u", "shingles")
-
-    def work(table: pa.Table) -> pa.Table:
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
-        vertex, side = table.column("u").to_numpy(), table.column("own").to_numpy()
-        found = _compare(vertex, side, table.column("one")[0] == table.column("two")[0], sets, t)
-        return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([y for _, y in found], pa.int64())})
-
-    return dealt.groupBy("family", "one", "two").applyInArrow(work, "u long, v long")
-
-
 def _slice(whole: DataFrame, s: int, keys: Keys) -> tuple[DataFrame, DataFrame | None]:
     """Of one slice of the keys: (band, u, v, common) of pairs and, for band -1, of families; (node, bucket, hub) of buckets of over GATHERED sets, if there are any."""
     plain = whole.select("node", F.explode(f"keys{s}").alias("bucket"))
@@ -413,19 +304,7 @@ def _named(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
     sides = pairs.join(seen.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("a")), "u").join(seen.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("b")), "v")
     fits = F.least("nu", "nv") * F.lit(t.denominator) >= F.greatest("nu", "nv") * F.lit(t.numerator)
     near = _near(sides.where(fits), t).unionAll(near)
-    families = stored(components(stored(near, "near")).select(F.col("node").alias("u"), F.col("component").alias("family")), "families")
-    # The texts of families' sets are read again, by id: those of others are never shuffled.
-    nameless = F.lit(-(1 << 63))
-    ids = vertices.join(families.select(F.col("u").alias("node")), "node", "left_semi").select(F.coalesce(F.col("keeper.id").cast("long"), nameless).alias("_first"))
-    ids = stored(ids.distinct(), "wanted")
-    texts = docs.withColumn("_first", F.coalesce(F.col("id").cast("long"), nameless)).join(small(ids), "_first", "left_semi")
-    sets = stored(_sets(texts.select("text"), k).groupBy("node", "rest").agg(F.first("shingles").alias("shingles")), "sets")
-    links = _blocks(families.join(sets.select(F.col("node").alias("u"), "shingles"), "u"), t)
-    found = components(stored(links, "found"))
-    labelled = vertices.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = labelled.groupBy("component").agg(F.min("keeper.id").alias("component_id"), F.min("keeper").alias("kept"))
-    named = labelled.join(names, "component").select("node", "rest", "component_id", F.col("kept.id").alias("keeper_id"), F.col("kept.mark").alias("keeper_mark"))
-    return profiles, stored(named, "names")
+    return profiles, named(docs, vertices, near, k, t)
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, t: Fraction = Fraction(8, 10)) -> DataFrame:
@@ -438,8 +317,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, t
     whole; other columns play no part, whatever they are called. An empty table gives no rows.
     """
     ready(docs.sparkSession)
-    profiles, named = _named(docs.select(F.col(key).alias("id"), F.lit(0).cast("long").alias("mark"), F.col(text).alias("text")), k, t)
-    out = profiles.select("id", "n", "node", "rest").join(named, ["node", "rest"], "left")
+    profiles, names = _named(docs.select(F.col(key).alias("id"), F.lit(0).cast("long").alias("mark"), F.col(text).alias("text")), k, t)
+    out = profiles.select("id", "n", "node", "rest").join(names, ["node", "rest"], "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
@@ -451,8 +330,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     """
     ready(docs.sparkSession)
     mark = F.coalesce(F.xxhash64(docs[text]), F.lit(0))
-    profiles, named = _named(docs.select(F.col(key).alias("id"), mark.alias("mark"), F.col(text).alias("text")), k, t)
-    found = profiles.where("node is not null").select("id", "mark", "node", "rest").join(named, ["node", "rest"])
+    profiles, names = _named(docs.select(F.col(key).alias("id"), mark.alias("mark"), F.col(text).alias("text")), k, t)
+    found = profiles.where("node is not null").select("id", "mark", "node", "rest").join(names, ["node", "rest"])
     stays = F.col("id").eqNullSafe(F.col("keeper_id")) & (F.col("mark") == F.col("keeper_mark"))
     own_id, own_mark = fresh(docs, "_id"), fresh(docs, "_mark")
     pair = F.col("id").alias(own_id), F.col("mark").alias(own_mark)

@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, divergence, fim, license_scan, media, mixing, parity_join, quality, sharding, url_filter, warc, wordpiece
+from . import decontam, divergence, fim, license_scan, media, minhash, mixing, parity_join, quality, sharding, url_filter, warc, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -131,6 +131,15 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set, its component, and whether it is the one that stays of it.
+
+    Null and empty texts have empty sets, are linked with nothing and stay. Repeated rows share a component and fate;
+    texts are read whole; an empty table gives no rows.
+    """
+    return minhash.near_copies(table(spark, sf_dir, "documents"), k=5, t=Fraction(85, 100))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's form and cut, with digests of its rearranged text and of the text rebuilt from that.
 
@@ -147,7 +156,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = (op1_url_filter, op2_media_columns, op3_mixing, op4_quality_classifier, op5_license_scan, op6_decontamination, op7_token_counts, op8_warc, op9_ngram_jaccard_join, op10_sharding, op11_source_divergence, op13_fill_in_middle, pipeline)
+_ALL = (op1_url_filter, op2_media_columns, op3_mixing, op4_quality_classifier, op5_license_scan, op6_decontamination, op7_token_counts, op8_warc, op9_ngram_jaccard_join, op10_sharding, op11_source_divergence, op12_minhash_near_dedup, op13_fill_in_middle, pipeline)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 _URL_SQL = """
@@ -206,6 +215,16 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
 SELECT doc_id, any_value(n) AS n_shingles, min(reached) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id"""
 
+_NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) END AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s), u AS (SELECT doc_id, unnest(sh) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 85 * (p.n + q.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT doc_id, any_value(n) AS n_shingles, min(reached) AS component_id, doc_id = min(reached) AS kept FROM r JOIN n USING (doc_id) GROUP BY doc_id"""
+
 _DIVERGENCE_SQL = r"""
 WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
 g AS (SELECT DISTINCT lang, source FROM d),
@@ -231,4 +250,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
 FROM c"""
 
-SQL: dict[str, str] = {"op1_url_filter": _URL_SQL, "op3_mixing": _MIX_SQL, "op8_warc": _WARC_SQL, "op9_ngram_jaccard_join": _JACCARD_SQL, "op11_source_divergence": _DIVERGENCE_SQL, "op13_fill_in_middle": _MIDDLE_SQL}
+SQL: dict[str, str] = {"op1_url_filter": _URL_SQL, "op3_mixing": _MIX_SQL, "op8_warc": _WARC_SQL, "op9_ngram_jaccard_join": _JACCARD_SQL, "op11_source_divergence": _DIVERGENCE_SQL, "op12_minhash_near_dedup": _NEAR_SQL, "op13_fill_in_middle": _MIDDLE_SQL}

@@ -4,7 +4,7 @@ from itertools import combinations
 
 import pytest
 
-from gradus.llm import parity_join
+from gradus.llm import families, parity_join
 
 
 def brute(rows, k, t):
@@ -74,13 +74,13 @@ def test_linked_sets_have_common_keys_with_near_marks(t):
             a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
             gone = int(rng.integers(0, int(n * (1 - t)) + 1))
             b = np.unique(np.concatenate((a[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, gone + 1)) // 2).astype(np.uint64))))
-            if not len(b) or not parity_join.linked(a, b, t):
+            if not len(b) or not families.linked(a, b, t):
                 continue
             band = int(np.searchsorted(keys.starts, min(len(a), len(b)), "right")) - 1
             one, two = (dict(zip(*(x.tolist() for x in keys.of(own)), strict=True)) for own in (a, b))
             common = [x for x in one.keys() & two.keys() if x & 511 == band and (one[x] ^ two[x]).bit_count() <= keys.apart[band]]
             assert len(common) >= 1 + keys.layout[band][2], (n, gone)
-            far = parity_join._far(*(parity_join._sketch(x, parity_join._bits(len(x))) for x in (a, b)))
+            far = families.far(*(families.sketch(x, families.sketch_bits(len(x))) for x in (a, b)))
             assert far <= len(np.setxor1d(a, b)) <= parity_join.differ(len(a), len(b), t)
 
 
@@ -88,7 +88,7 @@ def test_linked_sets_have_common_keys_with_near_marks(t):
 def test_families_in_several_blocks(spark, monkeypatch, limits):
     """Small limits, so buckets are left out, make families by size or by density, and families take several blocks."""
     for name, value in limits.items():
-        monkeypatch.setattr(parity_join, name, value)
+        monkeypatch.setattr(families if name.startswith("BLOCK") else parity_join, name, value)
     rng = random.Random(9)
     words, shared = [f"v{rng.randrange(400)}" for _ in range(120)], [f"s{i}" for i in range(70)]
     rows = [(i, " ".join(edited(rng, words, rng.randrange(1, 9)))) for i in range(60)]
