@@ -23,6 +23,27 @@ from pyspark.sql.types import StructType
 from .shared import as_bytes, ready, tidy
 
 Span = int | None
+#: Of one blob, what a walk found from a place on, by (format, place): starts of one format that come to the same place
+#: share the rest of the walk, so a blob of nothing but signatures takes no more steps than it has bytes.
+Seen = dict[tuple[str, int], object]
+
+
+def _chain(p: Span, step: Callable[[int], Span], is_end: Callable[[int], bool], kind: str, seen: Seen) -> Span:
+    """Where a chain of parts that begins at p ends: after the first part that is an end, or None where a part can't be."""
+    walked, out = [], None
+    while p is not None:
+        if (kind, p) in seen:
+            out = seen[kind, p]
+            break
+        walked.append(p)
+        following = step(p)
+        if following is not None and is_end(p):
+            out = following
+            break
+        p = following
+    for q in walked:
+        seen[kind, q] = out
+    return out
 
 # Fixed values of the formats: signatures, and where in a file they stand.
 SIGNATURES = {
@@ -42,7 +63,7 @@ class Found:
     depth: int = 0
 
 
-def _riff(b: memoryview, at: int) -> tuple[str, int] | None:
+def _riff(b: memoryview, at: int, seen: Seen) -> tuple[str, int] | None:
     if at + 12 > len(b):
         return None
     size, form = struct.unpack_from("<I", b, at + 4)[0], bytes(b[at + 8 : at + 12])
@@ -62,7 +83,7 @@ def _riff(b: memoryview, at: int) -> tuple[str, int] | None:
     return kind, 8 + size
 
 
-def _bmp(b: memoryview, at: int) -> tuple[str, int] | None:
+def _bmp(b: memoryview, at: int, seen: Seen) -> tuple[str, int] | None:
     if at + 54 > len(b):
         return None
     size, _, offset, header, width, height, planes, depth, packed = struct.unpack_from("<IIIIiiHHI", b, at + 2)
@@ -74,21 +95,26 @@ def _bmp(b: memoryview, at: int) -> tuple[str, int] | None:
     return "bmp", size
 
 
-def _png(b: memoryview, at: int) -> tuple[str, int] | None:
-    p, first = at + 8, True
-    while p + 12 <= len(b):
-        n, name = struct.unpack_from(">I", b, p)[0], bytes(b[p + 4 : p + 8])
-        if p + 12 + n > len(b) or first and (name != b"IHDR" or n != 13):
-            return None
-        if zlib.crc32(b[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
-            return None
-        p, first = p + 12 + n, False
-        if name == b"IEND":
-            return "png", p - at
-    return None
+def _png(b: memoryview, at: int, seen: Seen) -> tuple[str, int] | None:
+    def chunk(p: int) -> Span:
+        n = struct.unpack_from(">I", b, p)[0] if p + 12 <= len(b) else len(b)
+        return p + 12 + n if p + 12 + n <= len(b) else None
+
+    def last(p: int) -> bool:
+        return b[p + 4 : p + 8] == b"IEND"
 
+    first = at + 8
+    if b[first : first + 8] != b"\0\0\0\x0dIHDR":
+        return None
+    end = _chain(first, chunk, last, "png", seen)
+    # Checksums are made where there is an end to come to, and once for each place of a chunk.
+    whole = lambda p: p + 4 if zlib.crc32(b[p + 4 : chunk(p) - 4]) == struct.unpack_from(">I", b, chunk(p) - 4)[0] else None
+    if end is None or _chain(first, lambda p: chunk(p) if whole(p) else None, last, "png, summed", seen) is None:
+        return None
+    return "png", end - at
 
-def _au(b: memoryview, at: int) -> tuple[str, int] | None:
+
+def _au(b: memoryview, at: int, seen: Seen) -> tuple[str, int] | None:
     if at + 24 > len(b):
         return None
     offset, size, code, rate, channels = struct.unpack_from(">IIIII", b, at + 4)
@@ -117,7 +143,7 @@ def _pgm_head(b: memoryview, at: int) -> tuple[int, int, int, int] | None:
     return (*head, p + 1)
 
 
-def _pgm(b: memoryview, at: int) -> tuple[str, int] | None:
+def _pgm(b: memoryview, at: int, seen: Seen) -> tuple[str, int] | None:
     found = _pgm_head(b, at)
     if found is None:
         return None
@@ -129,29 +155,30 @@ def _pgm(b: memoryview, at: int) -> tuple[str, int] | None:
     return "pgm", p + 1 + size - at
 
 
-def _gif(b: memoryview, at: int) -> tuple[str, int] | None:
+def _gif(b: memoryview, at: int, seen: Seen) -> tuple[str, int] | None:
     if at + 13 > len(b):
         return None
-    p = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 128 else 0)
+
+    def colours(p: int) -> int:
+        return 3 << (b[p] & 7) + 1 if b[p] & 128 else 0
 
     def blocks(p: int) -> Span:
-        while p < len(b) and b[p]:
-            p += 1 + b[p]
-        return p + 1 if p < len(b) else None
+        return _chain(p, lambda q: q + 1 + b[q] if q < len(b) else None, lambda q: b[q] == 0, "gif, blocks", seen)
 
-    while p is not None and p < len(b):
+    def part(p: int) -> Span:
+        if p >= len(b):
+            return None
         if b[p] == 0x3B:
-            return "gif", p + 1 - at
+            return p + 1
         if b[p] == 0x21:
-            p = blocks(p + 2)
-        elif b[p] == 0x2C and p + 10 < len(b):
-            p = blocks(p + 10 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 128 else 0) + 1)
-        else:
-            return None
-    return None
+            return blocks(p + 2)
+        return blocks(p + 10 + colours(p + 9) + 1) if b[p] == 0x2C and p + 10 < len(b) else None
 
+    end = _chain(at + 13 + colours(at + 10), part, lambda p: b[p] == 0x3B, "gif", seen)
+    return None if end is None else ("gif", end - at)
 
-def _jpeg(b: memoryview, at: int) -> tuple[str, int] | None:
+
+def _jpeg(b: memoryview, at: int, seen: Seen) -> tuple[str, int] | None:
     p, frame = at + 2, False
     while p + 4 <= len(b) and b[p] == 0xFF:
         mark, n = b[p + 1], struct.unpack_from(">H", b, p + 2)[0]
@@ -162,19 +189,27 @@ def _jpeg(b: memoryview, at: int) -> tuple[str, int] | None:
         frame |= 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)
         p += 2 + n
         if mark == 0xDA:
-            raw = bytes(b[p:])
-            q = 0
-            while (q := raw.find(b"\xff", q)) >= 0 and q + 1 < len(raw) and (raw[q + 1] == 0 or 0xD0 <= raw[q + 1] <= 0xD7):
+            # Samples run to the first marker: from any place before it, to the same one.
+            raw, q, runs = b.obj, p, []
+            while ("jpeg", q) not in seen:
+                runs.append(q)
+                q = raw.find(b"\xff", q)
+                if q < 0 or q + 1 >= len(raw) or not (raw[q + 1] == 0 or 0xD0 <= raw[q + 1] <= 0xD7):
+                    break
                 q += 2
+            else:
+                q = seen["jpeg", q]
+            for r in runs:
+                seen["jpeg", r] = q
             if q < 0 or q + 1 >= len(raw):
                 return None
-            p += q
+            p = q
             if raw[q + 1] == 0xD9:
                 return ("jpeg", p + 2 - at) if frame else None
     return None
 
 
-def _midi(b: memoryview, at: int) -> tuple[str, int] | None:
+def _midi(b: memoryview, at: int, seen: Seen) -> tuple[str, int] | None:
     if at + 14 > len(b) or struct.unpack_from(">I", b, at + 4)[0] != 6:
         return None
     form, tracks, _ = struct.unpack_from(">HHH", b, at + 8)
@@ -186,31 +221,36 @@ def _midi(b: memoryview, at: int) -> tuple[str, int] | None:
     return ("midi", p - at) if form < 3 and tracks and p <= len(b) else None
 
 
-def _ogg(b: memoryview, at: int) -> tuple[str, int] | None:
-    p, last = at, None
-    while p + 27 <= len(b) and bytes(b[p : p + 4]) == b"OggS" and b[p + 4] == 0 and p + 27 + b[p + 26] <= len(b):
-        n = 27 + b[p + 26] + sum(b[p + 27 : p + 27 + b[p + 26]])
-        if p + n > len(b):
+def _ogg(b: memoryview, at: int, seen: Seen) -> tuple[str, int] | None:
+    def page(p: int) -> Span:
+        if p + 27 > len(b) or b[p : p + 4] != b"OggS" or b[p + 4] != 0 or p + 27 + b[p + 26] > len(b):
             return None
-        p, end = p + n, b[p + 5] & 4
-        if end:
-            last = p
-            break
-    return ("ogg", last - at) if last else None
+        end = p + 27 + b[p + 26] + sum(b[p + 27 : p + 27 + b[p + 26]])
+        return end if end <= len(b) else None
 
+    end = _chain(at, page, lambda p: bool(b[p + 5] & 4), "ogg", seen)
+    return None if end is None else ("ogg", end - at)
 
-def _mp4(b: memoryview, at: int) -> tuple[str, int] | None:
-    p, names = at, []
-    while p + 8 <= len(b):
-        n, name = struct.unpack_from(">I", b, p)[0], bytes(b[p + 4 : p + 8])
+
+def _mp4(b: memoryview, at: int, seen: Seen) -> tuple[str, int] | None:
+    """A run of boxes as far as they go on; what it holds from each of them on is remembered."""
+    walked, p, found = [], at, (at, False)
+    while True:
+        if ("mp4", p) in seen:
+            found = seen["mp4", p]
+            break
+        n, name = struct.unpack_from(">I4s", b, p) if p + 8 <= len(b) else (0, b"")
         if n < 8 or p + n > len(b) or not name.isalnum():
+            found = seen["mp4", p] = p, False
             break
-        names.append(name)
+        walked.append((p, name == b"moov"))
         p += n
-    return ("mp4", p - at) if names[:1] == [b"ftyp"] and b"moov" in names else None
+    for p, moov in reversed(walked):
+        found = seen["mp4", p] = found[0], found[1] or moov
+    return ("mp4", found[0] - at) if found[0] > at and found[1] else None
 
 
-VALIDATORS: dict[str, Callable[[memoryview, int], tuple[str, int] | None]] = {"riff": _riff, "bmp": _bmp, "png": _png, "au": _au, "pgm": _pgm, "gif": _gif, "jpeg": _jpeg, "midi": _midi, "ogg": _ogg, "mp4": _mp4}
+VALIDATORS: dict[str, Callable[[memoryview, int, Seen], tuple[str, int] | None]] = {"riff": _riff, "bmp": _bmp, "png": _png, "au": _au, "pgm": _pgm, "gif": _gif, "jpeg": _jpeg, "midi": _midi, "ogg": _ogg, "mp4": _mp4}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -227,14 +267,14 @@ def sniff(blob: bytes, magic: ahocorasick.Automaton) -> list[Found]:
 
     At each place the first that holds counts, and one that begins inside another must end in it.
     """
-    out, view, around = [], memoryview(blob), []
+    out, view, around, seen = [], memoryview(blob), [], {}
     for end, (kind, back) in magic.iter(blob.decode("latin-1")):
         start = end - back
         if start < 0 or out and start <= out[-1].start:
             continue
         while around and around[-1] <= start:
             around.pop()
-        valid = VALIDATORS[kind](view, start)
+        valid = VALIDATORS[kind](view, start, seen)
         if valid and (not around or start + valid[1] <= around[-1]):
             out.append(Found(valid[0], start, valid[1], len(around)))
             around.append(start + valid[1])

@@ -29,6 +29,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe,
 from .shared import folder, ready, small, stored
 
 PARTITION_BYTES, READ_BYTES = 64 << 20, 1 << 20
+#: Bytes that are inflated in one step: what a step leaves over is copied.
+FED_BYTES = 1 << 16
 #: Compressed bytes after which a task begins another archive: archives are read whole by a task.
 ARCHIVE_BYTES = 256 << 20
 SUFFIXES = (".warc", ".warc.gz")
@@ -134,49 +136,49 @@ class _Members:
     """The plain bytes of a stream of gzip members, or of a stream that isn't compressed."""
 
     def __init__(self, raw: io.RawIOBase):
-        self.raw, self.data, self.at, self.gone, self.end = raw, b"", 0, 0, False
-        first = raw.read(READ_BYTES)
-        self.inflate = zlib.decompressobj(31) if first[:2] == b"\x1f\x8b" else None
-        self._feed(first)
-
-    def _feed(self, raw: bytes) -> None:
-        if not raw:
-            self.end = True
-            return
-        if self.inflate is None:
-            plain = raw
-        else:
-            out = []
-            while raw:
-                out.append(self.inflate.decompress(raw))
-                raw = self.inflate.unused_data
-                if self.inflate.eof:
-                    self.inflate = zlib.decompressobj(31)
-            plain = b"".join(out)
+        self.raw, self.data, self.at, self.gone, self.end = raw, bytearray(), 0, 0, False
+        self.block, self.used = raw.read(READ_BYTES), 0
+        self.inflate = zlib.decompressobj(31) if self.block[:2] == b"\x1f\x8b" else None
+
+    def _feed(self) -> None:
+        """Take READ_BYTES more at most, however far the next bytes of the file inflate; drop what is passed."""
+        if self.used == len(self.block):
+            self.block, self.used = self.raw.read(READ_BYTES), 0
+        piece = memoryview(self.block)[self.used : self.used + FED_BYTES]
+        plain, left = piece, 0
+        if self.inflate is not None:
+            plain = self.inflate.decompress(piece, READ_BYTES)
+            left = len(self.inflate.unused_data) + len(self.inflate.unconsumed_tail)
+            if self.inflate.eof:
+                self.inflate = zlib.decompressobj(31)
+        self.used += len(piece) - left
+        self.end = not len(piece) and not len(plain)
         self.gone += self.at
-        self.data, self.at = self.data[self.at :] + plain, 0
+        del self.data[: self.at]
+        self.at = 0
+        self.data += plain
 
     def fill(self, n: int) -> bool:
         """Have n bytes at hand, unless the stream ends."""
         while len(self.data) - self.at < n and not self.end:
-            self._feed(self.raw.read(READ_BYTES))
+            self._feed()
         return len(self.data) - self.at >= n
 
-    def upto(self, mark: bytes) -> bytes | None:
-        """What stands before the mark, which is passed; None where the stream ends first."""
+    def upto(self, mark: bytes, most: int | None = None) -> bytes | None:
+        """What stands before the mark, which is passed; None, and nothing passed, where the next ``most`` bytes or the stream lack it."""
         searched = 0
-        while (found := self.data.find(mark, self.at + searched)) < 0:
+        while (found := self.data.find(mark, self.at + searched, None if most is None else self.at + most)) < 0:
             have = len(self.data) - self.at
             searched = max(0, have - len(mark))
-            if not self.fill(have + 1):
+            if most is not None and have >= most or not self.fill(have + 1):
                 return None
-        out, self.at = self.data[self.at : found], found + len(mark)
+        out, self.at = bytes(self.data[self.at : found]), found + len(mark)
         return out
 
     def take(self, n: int) -> bytes:
         if not self.fill(n):
             raise EOFError("a record is shorter than its Content-Length")
-        out, self.at = self.data[self.at : self.at + n], self.at + n
+        out, self.at = bytes(memoryview(self.data)[self.at : self.at + n]), self.at + n
         return out
 
     def skip(self, n: int) -> None:
@@ -282,7 +284,7 @@ def read_records(raw: io.RawIOBase, name: str, tests: list[tuple[str, tuple]], p
         http, body, many, hashed = None, None, None, None
         if head.get("content-type", "").startswith("application/http"):
             before = stream.place
-            http_block = stream.upto(b"\r\n\r\n") or b""
+            http_block = stream.upto(b"\r\n\r\n", length) or b""
             http = _headers(http_block)[1]
             length -= stream.place - before
         if payload == "false" or head.get("warc-type") == "revisit":

@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 import io
+import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +87,46 @@ def test_archives_roll_and_are_not_mixed(spark, tmp_path, monkeypatch):
 
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+class Zeros(io.RawIOBase):
+    """A WARC record of so many zeros, made as it is read."""
+
+    def __init__(self, many):
+        self.head, self.left, self.tail = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % many, many, b"\r\n\r\nWARC/1.1\r\nWARC-Type: last\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+
+    def read(self, n=-1):
+        out, self.head = self.head[:n], self.head[n:]
+        more = min(n - len(out), self.left)
+        self.left -= more
+        out += bytes(more)
+        if not self.left:
+            out, self.tail = out + self.tail[: n - len(out)], self.tail[n - len(out) :]
+        return out
+
+
+def test_skipped_payloads_are_not_kept():
+    """An archive of 200 KB that inflates to 200 MB, read without payloads, takes a few MB; so does a plain one."""
+    packed = gzip.compress(b"".join(iter(lambda z=Zeros(200 << 20): z.read(1 << 20), b"")), 9, mtime=0)
+    assert len(packed) < 300_000
+    for raw in (io.BytesIO(packed), Zeros(200 << 20)):
+        tracemalloc.start()
+        found = [r[0] if isinstance(r[0], str) else r for r in warc.read_records(raw, "x", [], "false")]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) == 2 and peak < 16 << 20
+
+
+def test_a_long_record_takes_time_in_proportion():
+    began = time.process_time()
+    rows_ = list(warc.read_records(Zeros(200 << 20), "x", [], "digest"))
+    assert len(rows_) == 2 and (200 << 20) in rows_[0] and time.process_time() - began < 8
+
+
+def test_a_block_without_http_headers_stays_in_its_record():
+    """The blank line is sought within the record alone."""
+    block = b"no headers here"
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n"
+    raw = head % len(block) + block + b"\r\n\r\n" + head % 9 + b"A: b\r\n\r\nx" + b"\r\n\r\n"
+    found = list(warc.read_records(io.BytesIO(raw), "x", []))
+    assert len(found) == 2 and block in found[0] and b"x" in found[1]
