@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from . import text as T
 
+SPANS = ArrayType(StructType().add("start", IntegerType()).add("end", IntegerType()))
+
 
 def spans_hold(spans: Column, tokens: Column, text: Column) -> Column:
     """Whether spans of (start, end) are one a token, inside the text, and never fall."""
@@ -15,11 +21,28 @@ def spans_hold(spans: Column, tokens: Column, text: Column) -> Column:
     return F.coalesce((F.size(spans) == F.size(tokens)) & inside & ((F.size(spans) < 2) | rising), F.lit(False))
 
 
+@F.arrow_udf(SPANS)
+def _running(pieces: pa.Array) -> pa.Array:
+    """Spans of each list's strings, one after another, in characters; of a null list, or one with a null string, null."""
+    starts, many = pieces.offsets.to_numpy(), np.diff(pieces.offsets.to_numpy())
+    flat = pieces.values.slice(starts[0], starts[-1] - starts[0])
+    sizes = pc.fill_null(pc.utf8_length(flat), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    before = np.concatenate(([0], ends))[starts[:-1] - starts[0]]
+    ends = (ends - np.repeat(before, many)).astype(np.int32)
+    spans = pa.StructArray.from_arrays([pa.array(ends - sizes.astype(np.int32)), pa.array(ends)], ["start", "end"])
+    lost = np.zeros(len(flat) + 1, np.int64)
+    lost[1:] = np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))
+    gone = (lost[starts[1:] - starts[0]] > lost[starts[:-1] - starts[0]]) | pieces.is_null().to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(starts - starts[0], pa.int32()), spans, mask=pa.array(gone))
+
+
 def spans_of(pieces: Column, text: Column) -> Column:
-    """Spans of the pieces that tokens decode to, if together they are the text; else null."""
-    ends = F.transform(pieces, lambda p, i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda n, x: n + F.length(x)))
-    spans = F.transform(pieces, lambda p, i: F.struct((F.get(ends, i) - F.length(p)).alias("start"), F.get(ends, i).alias("end")))
-    return F.when(F.array_join(pieces, "") == text, spans)
+    """Spans of the pieces that tokens decode to, if together they are the text; else null, as where one of them is.
+
+    One pass over the pieces of a batch: a running sum has no form in expressions that isn't quadratic in them.
+    """
+    return F.when(F.array_join(pieces, "") == text, _running(pieces))
 
 
 def prepared(rows: DataFrame, ids: str, pieces: str, terminals: Column, offsets: str | None = None) -> DataFrame:

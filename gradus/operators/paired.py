@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import importable
 from .calibration import described, pearson
 from .quantiles import beside, quantiles
 from .splits import seed_of
@@ -125,28 +129,60 @@ POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))
 PER_DIGEST = 4
 
 
+#: Conditions whose sums a task holds at once.
+MOST_HELD = 64
+
+
+def _weights(seed: int, examples: list[str | None], reps: int) -> np.ndarray:
+    """Poisson numbers of mean 1 by example and resample: of each four resamples, the words of one digest."""
+    blocks = range(-(-reps // PER_DIGEST))
+    digests = b"".join(hashlib.md5("|".join([str(seed), str(b), *([] if e is None else [e])]).encode()).digest() for e in examples for b in blocks)
+    u = np.frombuffer(digests, ">u4").reshape(len(examples), -1)[:, :reps] / float(1 << 32)
+    return np.searchsorted(np.array(POISSON), u, side="right").astype(float)
+
+
 def hashed_bootstrap(rows: DataFrame, reps: int, seed: int) -> DataFrame:
     """(condition, metric, scope, low, high): percentile intervals of resampled means, by a Poisson bootstrap.
 
     A resample takes each example a Poisson number of times, which a digest of (seed, block of resamples, example) tells,
-    so any engine draws the same. Examples are weighted where they stand: nothing is ordered or numbered, all metrics of
-    an example share its weights, and sums combine before the shuffle.
+    so any engine draws the same. Examples are weighted where they stand: a task multiplies their deltas with a matrix of
+    weights, and hands on a vector of ``reps`` sums for each condition, metric and scope. What is shuffled after that
+    depends on tasks and resamples, not on examples.
     """
+    importable(rows.sparkSession)
     keys = ["condition", "metric", "scope"]
     kinds = [(r["metric"], r["scope"]) for r in rows.select("metric", "scope").distinct().orderBy("metric", "scope").collect()]
-    wide = rows.groupBy("condition", "example_id").agg(*[F.max(F.when((F.col("metric") == m) & (F.col("scope") == s), F.col("delta"))).alias(f"d{i}") for i, (m, s) in enumerate(kinds)])
-    blocks = wide.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // PER_DIGEST))))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("block").cast("string"), F.col("example_id")).cast("binary"))
-    parts = F.array(*[F.struct((F.col("block") * PER_DIGEST + i).alias("rep"), F.substring(F.col("digest"), 8 * i + 1, 8).alias("hex")) for i in range(PER_DIGEST)])
-    dealt = blocks.withColumn("digest", digest).withColumn("part", F.explode(parts)).where(F.col("part.rep") < reps)
-    u = F.conv(F.col("part.hex"), 16, 10).cast("long") / F.lit(float(1 << 32))
-    weight = F.lit(0)
-    for bound in POISSON:
-        weight = weight + (F.col("u") >= F.lit(bound)).cast("int")
-    dealt = dealt.select("condition", F.col("part.rep").alias("rep"), u.alias("u"), *[f"d{i}" for i in range(len(kinds))]).withColumn("w", weight).where("w > 0")
-    sums = dealt.groupBy("condition", "rep").agg(*[x for i in range(len(kinds)) for x in (F.sum(F.col("w") * F.col(f"d{i}")).alias(f"s{i}"), F.sum(F.when(F.col(f"d{i}").isNotNull(), F.col("w"))).alias(f"n{i}"))])
-    means = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(s).alias("scope"), F.try_divide(F.col(f"s{i}"), F.col(f"n{i}").cast("double")).alias("mean")) for i, (m, s) in enumerate(kinds)])
-    long = sums.select("condition", F.explode(means).alias("m")).select("condition", "m.*").where("mean IS NOT NULL")
+    wide = rows.groupBy("condition", "example_id").agg(*[F.max(F.when((F.col("metric") == m) & (F.col("scope") == s), F.col("delta"))).cast("double").alias(f"d{i}") for i, (m, s) in enumerate(kinds)])
+    step = max(1, (1 << 20) // reps)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for condition, sums in held.items():
+                flat = [pa.array(list(x.reshape(len(kinds), reps)), pa.list_(pa.float64())) for x in (sums[0], sums[1])]
+                yield pa.RecordBatch.from_arrays([pa.array([condition] * len(kinds), pa.string()), pa.array(range(len(kinds)), pa.int32()), *flat], ["condition", "kind", "sums", "weights"])
+            held.clear()
+
+        for b in batches:
+            condition, example = b.column("condition").to_pylist(), b.column("example_id").to_pylist()
+            deltas = np.stack([b.column(f"d{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(kinds))], 1)
+            for c in dict.fromkeys(condition):
+                own = [i for i, x in enumerate(condition) if x == c]
+                if c not in held and len(held) >= MOST_HELD:
+                    yield from told()
+                sums = held.setdefault(c, np.zeros((2, len(kinds), reps)))
+                for at in range(0, len(own), step):
+                    some = own[at : at + step]
+                    weights, d = _weights(seed, [example[i] for i in some], reps), deltas[some]
+                    sums[0] += np.nan_to_num(d).T @ weights
+                    sums[1] += (~np.isnan(d)).astype(float).T @ weights
+        yield from told()
+
+    parts = wide.mapInArrow(work, "condition string, kind int, sums array<double>, weights array<double>")
+    by_rep = parts.select("condition", "kind", F.posexplode(F.arrays_zip("sums", "weights")).alias("rep", "x")).groupBy("condition", "kind", "rep").agg(F.sum("x.sums").alias("s"), F.sum("x.weights").alias("n"))
+    named = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(s).alias("scope")) for m, s in kinds])
+    long = by_rep.where("n > 0").select("condition", F.get(named, F.col("kind")).alias("k"), F.try_divide("s", "n").alias("mean")).select("condition", "k.*", "mean")
     # A row a resample.
     return long.groupBy(*keys).agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
 

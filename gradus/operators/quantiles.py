@@ -3,6 +3,9 @@
 Each wanted rank lies in an interval of values, at first from its group's least to its greatest. A round counts the
 values in equal bins of all open intervals, combined before the shuffle, and each rank's interval becomes the range of
 the values in its bin. Intervals of one value are done; when the others hold few values, those are ranked.
+
+The input is read once: groups and values are stored apart, and every round is one pass over those. Open intervals are a
+few for each group, and go to the values by a broadcast where they are no more than MOST_SENT.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from ..sources.scratch import stored
 
 #: Bins of a round; values of an interval that are ranked by themselves.
 BINS, FEW = 4096, 4096
+#: Intervals that are broadcast; beyond, they are joined by a shuffle.
+MOST_SENT = 500_000
 
 
 def _joined(keys: list[str]) -> Column:
@@ -27,6 +32,8 @@ def _joined(keys: list[str]) -> Column:
 def _matched(values: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, low, high, v) of the values in each open interval."""
     open_ones = targets.where("low < high").select(*[F.col(k).alias(f"_{k}") for k in keys], "low", "high").distinct()
+    if open_ones.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        open_ones = F.broadcast(open_ones)
     inside = (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))
     return values.join(open_ones, _joined(keys) & inside).select(*keys, "low", "high", "v")
 
@@ -43,10 +50,17 @@ def _placed(targets: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
     """(keys, a column for each wanted quantile) of the values that aren't null; groups without any have no row."""
-    values = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    rows = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    if not keys:  # one group, under a key of its own, so that intervals are joined by it
+        return _quantiles(stored(rows.withColumn("_all", F.lit(0)), "values"), ["_all"], wanted).drop("_all")
+    return _quantiles(stored(rows, "values"), keys, wanted)
+
+
+def _quantiles(values: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
     totals = values.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).where("n > 0")
     places = {name: F.lit(float(q)) * (F.col("n") - 1) for name, q in wanted.items()}
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in places.values()])))
+    totals = stored(totals, "totals")
     targets = totals.select(*keys, F.explode(ranks).alias("rank"), "low", "high", F.lit(0).cast("long").alias("before"), "n")
     while (targets.where("low < high").agg(F.max("n")).first()[0] or 0) > FEW:
         inside = _matched(values, targets, keys)
@@ -56,7 +70,7 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
     counts = _matched(values, targets, keys).groupBy(*keys, "low", "high", "v").agg(F.count("*").alias("n"))
     done = _placed(targets, counts.withColumns({"least": F.col("v"), "most": F.col("v")}), keys).select(*keys, "rank", F.col("low").alias("v"))
     by_rank = done.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("_at"))
-    both = totals.join(by_rank.select(*[F.col(k).alias(f"_{k}") for k in keys], "_at"), _joined(keys)) if keys else totals.crossJoin(F.broadcast(by_rank))
+    both = totals.join(by_rank.select(*[F.col(k).alias(f"_{k}") for k in keys], "_at"), _joined(keys))
     at = lambda p: F.try_element_at("_at", p)
     return both.select(*keys, *[(at(F.floor(p)) + (p - F.floor(p)) * (at(F.ceil(p)) - at(F.floor(p)))).alias(name) for name, p in places.items()])
 

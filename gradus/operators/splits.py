@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
@@ -77,7 +78,7 @@ def stride(rows: DataFrame, order: str, world: int) -> DataFrame:
     coarse = totals.groupBy("_c").agg(F.sum("_n").alias("_m")).select("_c", earlier("_m", Window.orderBy("_c")).alias("_first"))
     totals = totals.join(coarse, "_c").select("_b", (F.col("_first") + earlier("_n", Window.partitionBy("_c").orderBy("_b"))).alias("_before"))
     place = F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
-    return buckets.join(totals, "_b").withColumn("shard", F.pmod(place, F.lit(world)).cast("int")).drop("_b", "_before")
+    return buckets.join(totals, "_b").withColumn("shard", F.pmod(place, F.lit(world)).cast("int" if world < 1 << 31 else "long")).drop("_b", "_before")
 
 
 def in_listed_order(ids: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -105,6 +106,10 @@ def successors(ids: DataFrame, hashes: tuple[str, ...] = ()) -> DataFrame:
     return a.join(F.broadcast(b), other).groupBy(F.col("pid").alias("id")).agg(F.min_by("qid", jump).alias("next_id"))
 
 
+#: Rows and steps that the driver shuffles: some 100 MB.
+MOST_SHUFFLED = 1_000_000
+
+
 def epoch_order(n: int, steps: int, seed: int) -> Iterator[tuple[int, int, int]]:
     """(step, epoch, place) of rows dealt in shuffled epochs, each taken from its end; one Mersenne Twister runs through all.
 
@@ -119,12 +124,70 @@ def epoch_order(n: int, steps: int, seed: int) -> Iterator[tuple[int, int, int]]
 
 
 def in_epochs(rows: DataFrame, order: str, steps: int, seed: int) -> DataFrame:
-    """(step, epoch, columns of rows) of ``epoch_order`` over the rows in order."""
-    places = rows.sparkSession.createDataFrame(list(epoch_order(rows.count(), steps, seed)), "step long, epoch long, shard long")
+    """(step, epoch, columns of rows) of ``epoch_order`` over the rows in order; for more, see ``in_keyed_epochs``."""
+    n = rows.count()
+    if max(n, steps) > MOST_SHUFFLED:
+        raise ValueError(f"{MOST_SHUFFLED} rows and steps are the most that one stream of draws orders")
+    places = rows.sparkSession.createDataFrame(list(epoch_order(n, steps, seed)), "step long, epoch long, shard long")
     return stride(rows, order, (1 << 31) - 1).withColumn("shard", F.col("shard").cast("long")).join(places, "shard").select("step", "epoch", *rows.columns)
 
 
-def split_sizes(candidates: int, plans: tuple[tuple[int, int], ...] = ((512, 128), (256, 64))) -> tuple[int, int]:
+#: Rounds of a permutation's network, and steps by which a place that isn't one of n is followed. A step misses with a
+#: probability of some one in sqrt(n), and of a quarter for the smallest n, so WALKS never end early.
+ROUNDS, WALKS = 6, 64
+
+
+def permuted(place: Column, n: int, key: Column) -> Column:
+    """The place of a number 0 <= place < n in a permutation of n that a key names.
+
+    A Feistel network over pairs (x, y) of x < a and y < b, where a is the root of n and b is n / a, rounded up: each
+    round adds to one half a digest of the other, which can be undone, so it permutes all pairs. Those that stand for no
+    number below n are followed until they come back.
+    """
+    a = math.isqrt(max(n - 1, 0)) + 1
+    b = -(-n // a) or 1
+
+    def step(pair: Column, i: Column) -> Column:
+        even = i % 2 == 0
+        digest = F.md5(F.concat_ws("|", key.cast("string"), i.cast("string"), F.when(even, pair["y"]).otherwise(pair["x"]).cast("string")).cast("binary"))
+        drawn = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+        return F.struct(F.when(even, F.pmod(pair["x"] + drawn, F.lit(a))).otherwise(pair["x"]).alias("x"), F.when(even, pair["y"]).otherwise(F.pmod(pair["y"] + drawn, F.lit(b))).alias("y"))
+
+    def network(v: Column) -> Column:
+        pair = F.struct(F.floor(v / F.lit(b)).cast("long").alias("x"), F.pmod(v, F.lit(b).cast("long")).alias("y"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), pair, step, lambda p: p["x"] * F.lit(b).cast("long") + p["y"])
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), network(place.cast("long")), lambda v, _: F.when(v < n, v).otherwise(network(v)))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a permutation's walk did not end")).cast("long"))
+
+
+def in_keyed_epochs(rows: DataFrame, order: str, steps: int, seed: int) -> DataFrame:
+    """(step, epoch, columns of rows): rows dealt in epochs, each in a permutation of its own, up to so many steps.
+
+    Every row's place is told by its number in order, the seed and the epoch alone, so nothing is shuffled to be ordered
+    and the driver has a count. An epoch is a permutation of all rows; the last one may be cut. Without rows there are
+    no steps.
+    """
+    n = rows.count()
+    own = [f.name for f in rows.schema]
+    places = stride(rows, order, 1 << 62)
+    epochs = places.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.lit(max(1, -(-steps // max(n, 1)))))))
+    at = permuted(F.col("shard"), n, F.concat_ws(":", F.lit(str(seed)), F.col("_epoch").cast("string")))
+    dealt = epochs.withColumn("_step", (F.col("_epoch") - 1).cast("long") * F.lit(n) + at + 1)
+    return dealt.where(F.col("_step") <= steps).select(F.col("_step").alias("step"), F.col("_epoch").cast("long").alias("epoch"), *own)
+
+
+#: (train, validation), the first that candidates suffice for.
+PLANS = ((512, 128), (256, 64))
+
+
+def sizes_for(candidates: Column, plans: tuple[tuple[int, int], ...] = PLANS) -> Column:
+    """struct(train, validation) of the first plan that the candidates suffice for; both null for too few."""
+    train, validation = (F.coalesce(*[F.when(candidates >= p[0] + p[1], F.lit(p[i])) for p in plans]) for i in (0, 1))
+    return F.struct(train.alias("train"), validation.alias("validation"))
+
+
+def split_sizes(candidates: int, plans: tuple[tuple[int, int], ...] = PLANS) -> tuple[int, int]:
     """The first (train, validation) that the candidates suffice for."""
     for train, validation in plans:
         if candidates >= train + validation:

@@ -17,6 +17,7 @@ from .operators import paired as P
 from .operators import splits as S
 from .sources import adapters as D
 from .sources import contracts as V
+from .sources.scratch import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +37,7 @@ def query(sql: str | None = None, doubles: str = "") -> Callable[[Query], Query]
 
     def wrap(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
             out = f(spark, sf_dir)
             return out.withColumns({n: F.round(n, 9) + F.lit(0.0) for n in names}) if names else out
 
@@ -423,6 +425,23 @@ def win09_epoch_order(spark, sf_dir):
     return S.in_epochs(items, "item_id", 3 * items.count(), 42)
 
 
+_PLACES = """n AS (SELECT count(*) AS n FROM orders), c AS (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a, CAST(ceil(n / ceil(sqrt(n))) AS BIGINT) AS b FROM n),
+o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS place FROM orders), e AS (SELECT o_orderkey, place, epoch FROM o, range(1, 4) r(epoch)),
+w AS (SELECT o_orderkey, epoch, 0 AS i, place // b AS x, place % b AS y FROM e, c
+  UNION ALL SELECT o_orderkey, epoch, (i + 1) % 7,
+    CASE WHEN i = 6 THEN x WHEN i % 2 = 0 THEN (x + CAST('0x' || substr(md5(concat_ws('|', '42:' || epoch, i, y)), 1, 15) AS BIGINT)) % a ELSE x END,
+    CASE WHEN i = 6 OR i % 2 = 0 THEN y ELSE (y + CAST('0x' || substr(md5(concat_ws('|', '42:' || epoch, i, x)), 1, 15) AS BIGINT)) % b END
+  FROM w, c WHERE i < 6 OR x * b + y >= n),
+d AS (SELECT o_orderkey, epoch, (epoch - 1) * n + x * b + y + 1 AS step, n FROM w, c WHERE i = 6 AND x * b + y < n)"""
+
+
+@query(f"WITH RECURSIVE {_PLACES} SELECT o_orderkey, epoch, CAST(step AS BIGINT) AS step FROM d WHERE step <= 5 * n // 2")
+def win09_keyed_epochs(spark, sf_dir):
+    """Two and a half epochs, each in its own permutation, by expressions alone."""
+    rows = D.table(spark, sf_dir, "orders").select("o_orderkey")
+    return S.in_keyed_epochs(rows, "o_orderkey", 5 * rows.count() // 2, 42).select("o_orderkey", "epoch", "step")
+
+
 @query(f"WITH {R}, m AS (SELECT id, {_Y} AS y, answer_confidence AS a, visual_confidence AS v, visual_proxy AS s, e1 OR e2 OR proxy_fallback AS bad FROM r) SELECT id, y AS utility, -coalesce(power(a - y, 2), 1) - coalesce(power(v - s, 2), 1) - CASE WHEN bad THEN 0.5 ELSE 0 END AS report, y - coalesce(power(a - y, 2), 1) - coalesce(power(v - s, 2), 1) - CASE WHEN bad THEN 0.5 ELSE 0 END AS content, y - power(a - y, 2) - power(v - s, 2) AS total FROM m", "utility report content total")
 def mth06_rewards(spark, sf_dir):
     rows = D.rollouts(spark, sf_dir)
@@ -515,10 +534,10 @@ def jn09_pair_states(spark, sf_dir):
     return S.matched(rows, {"lines": (lines, "o_orderkey"), "customer": (customers, "o_custkey")}).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("WITH f AS (SELECT user_id, avg(value) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1), s AS (SELECT user_id, avg(value) AS v FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT f.user_id, f.v, s.v AS v_after FROM f JOIN s USING (user_id) WHERE f.v > 100 AND s.v > 100", "v v_after")
+@query("WITH f AS (SELECT user_id, avg(value) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1), s AS (SELECT user_id, avg(value) AS v FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT f.user_id, f.v, s.v AS v_after FROM f JOIN s USING (user_id) WHERE f.v > 15 AND s.v > 15", "v v_after")
 def jn12_common_cohort(spark, sf_dir):
     mean = lambda side: D.table(spark, sf_dir, "events").where(f"event_id % 2 = {side}").groupBy("user_id").agg(F.avg("value").alias("v"))
-    return P.cohort(mean(0), mean(1), "user_id", F.col("v") > 100)
+    return P.cohort(mean(0), mean(1), "user_id", F.col("v") > 15)
 
 
 # Paired conditions.
@@ -584,9 +603,9 @@ def agg29_exact_bootstrap(spark, sf_dir):
     return P.exact_bootstrap(P.deltas(D.view(spark, sf_dir, D.SAMPLES), "view", METRICS), REPS, 3)
 
 
-@query(f"WITH {TOK}, {SAM} SELECT t.example_id, t.condition, token_index FROM t ANTI JOIN (SELECT * FROM s WHERE NOT proxy_fallback) q ON t.example_id = q.example_id AND t.condition = q.condition")
+@query(f"WITH {TOK}, {SAM} SELECT t.example_id, t.condition, token_index FROM t ANTI JOIN (SELECT * FROM s WHERE answer_correct IS NOT NULL) q ON t.example_id = q.example_id AND t.condition = q.condition")
 def jn06_orphan_tokens(spark, sf_dir):
-    return P.orphans(D.view(spark, sf_dir, D.TOKENS), D.view(spark, sf_dir, D.SAMPLES).where("NOT proxy_fallback").select("example_id", "condition")).select("example_id", "condition", "token_index")
+    return P.orphans(D.view(spark, sf_dir, D.TOKENS), D.view(spark, sf_dir, D.SAMPLES).where("answer_correct IS NOT NULL").select("example_id", "condition")).select("example_id", "condition", "token_index")
 
 
 @query(f"WITH {TOK}, {SAM}, c AS (SELECT example_id, condition, count(*) AS found FROM t WHERE token_id <> 0 GROUP BY ALL) SELECT example_id, condition, vision_tokens AS declared, coalesce(found, 0) AS found FROM s LEFT JOIN c USING (example_id, condition) WHERE vision_tokens <> coalesce(found, 0)")
@@ -758,15 +777,52 @@ def hsh03_subset_digest(spark, sf_dir):
     return listed_sha256(S.subset(D.table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 32, 7), "rank_sha256", "o_orderkey")
 
 
-@query("SELECT CAST(sum(length(r_name) + 1) AS BIGINT) AS bytes, sha256(concat(string_agg(r_name, chr(10) ORDER BY r_name), chr(10))) AS sha256 FROM region")
+def _written_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, source, file, bytes): a file of the texts of each language and source, in order of their numbers."""
+    from .sources.files import listing
+    from .sources.scratch import folder
+
+    path = folder(spark, "texts")
+    docs = D.table(spark, sf_dir, "documents").select("lang", "source", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = docs.repartition("lang", "source").sortWithinPartitions("lang", "source", "doc_id").drop("doc_id")
+    dealt.write.partitionBy("lang", "source").option("lineSep", chr(10)).text(path)
+    part = lambda name: F.regexp_extract("file", f"/{name}=([^/]*)/", 1).alias(name)
+    return listing(spark, path).where(F.col("file").rlike("/part-[^/]*$")).select(part("lang"), part("source"), "file", "bytes")
+
+
+_FILES = "f AS (SELECT lang, source, string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY lang, source)"
+
+
+@query(f"WITH {_FILES} SELECT lang, source, CAST(strlen(content) AS BIGINT) AS bytes, sha256(content) AS sha256 FROM f")
 def hsh01_file_digests(spark, sf_dir):
-    """The digest of a whole file, of a name on each line."""
-    from .sources.manifests import digest
+    """Digests of whole files, read in chunks."""
+    from .sources.files import digests
+
+    return digests(_written_documents(spark, sf_dir)).select("lang", "source", F.col("bytes_read").alias("bytes"), "sha256")
+
+
+@query(f"WITH {_FILES}, p AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS INTEGER) AS part FROM f) SELECT a.lang AS label, a.part, CAST(strlen(any_value(a.content)) AS BIGINT) AS bytes, sha256(any_value(a.content)) AS sha256, sha256(string_agg(b.content, '' ORDER BY b.part)) AS upto_sha256 FROM p a JOIN p b ON a.lang = b.lang AND b.part <= a.part GROUP BY a.lang, a.part")
+def src14_part_digests(spark, sf_dir):
+    """An archive of each language in parts: digests of each part, and of all parts up to it."""
+    from .sources.files import joined_digests
+
+    files = _written_documents(spark, sf_dir).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "file"))).alias("files"))
+    return joined_digests(files.select(F.col("lang").alias("label"), F.col("files.file").alias("paths"))).drop("file")
+
+
+@query(f"WITH {_FILES}, n AS (SELECT *, strlen(content) - strlen(content) // 3 AS n FROM f) SELECT lang, source, CASE WHEN source LIKE '%5' THEN 'short' END AS problem, CAST(CASE WHEN source LIKE '%5' THEN strlen(content) ELSE n END AS BIGINT) AS bytes, CASE WHEN source LIKE '%5' THEN sha256(content) ELSE sha256(encode(content)[1:n]) END AS sha256, CASE WHEN source LIKE '%5' THEN NULL ELSE CAST(n AS BIGINT) END AS kept FROM n")
+def src17_frozen_prefixes(spark, sf_dir):
+    """Two thirds of the bytes of each file frozen under another name; of some, more are asked for than there are."""
+    from .sources.files import listing, snapshot
     from .sources.scratch import folder
 
-    path = folder(spark, "names")
-    D.table(spark, sf_dir, "region").orderBy("r_name").coalesce(1).select(F.col("r_name").alias("value")).write.text(path)
-    return digest(spark, path).where("bytes > 0").select("bytes", "sha256")
+    to = folder(spark, "frozen")
+    files = _written_documents(spark, sf_dir).withColumn("target", F.concat_ws("/", F.lit(to), "lang", "source"))
+    asked = F.when(F.col("source").endswith("5"), F.col("bytes") + 1).otherwise(F.col("bytes") - F.floor(F.col("bytes") / 3))
+    made = snapshot(spark, files.select("file", "target", asked.alias("bytes")))
+    held = listing(spark, to).select(F.element_at(F.split("file", "/"), -2).alias("lang"), F.element_at(F.split("file", "/"), -1).alias("source"), F.col("bytes").alias("kept"))
+    named = made.join(files.select("file", "lang", "source"), "file")
+    return named.join(held, ["lang", "source"], "left").select("lang", "source", "problem", "bytes", "sha256", "kept")
 
 
 _FAULT = f"CASE doc_id % {len(D.LEGACY_CASES)} {' '.join(f'WHEN {i} THEN {chr(39)}{e}{chr(39)}' for i, (_, e) in enumerate(D.LEGACY_CASES) if e)} END"
@@ -1163,11 +1219,11 @@ def str20_prepared_rollouts(spark, sf_dir):
     return made.select("doc_id", F.size("ids").alias("tokens"), total("content_mask").alias("content_tokens"), total("report_mask").alias("report_tokens"), F.array_contains("format_errors", "token_spans_unverified").alias("unverified"), "problem")
 
 
-@query("SELECT page_id, sha256(concat('RGB:', page_id % 7, 'x', 3, ':', substr(url, 1, 6))) AS digest FROM pages")
+@query("SELECT page_id, sha256(concat('RGB:', page_id % 7, 'x', 3, ':', url)) AS digest FROM pages")
 def hsh07_pixel_digests(spark, sf_dir):
     from .functions.digests import pixel_sha256
 
-    return D.table(spark, sf_dir, "pages").select("page_id", pixel_sha256(F.col("page_id") % 7, F.lit(3), F.substring("url", 1, 6).cast("binary")).alias("digest"))
+    return D.table(spark, sf_dir, "pages").select("page_id", pixel_sha256(F.col("page_id") % 7, F.lit(3), F.col("url").cast("binary")).alias("digest"))
 
 
 @query("SELECT user_id, event_id, value, highest FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest FROM events) WHERE value < highest", "value highest")
@@ -1255,21 +1311,22 @@ def src12_listed_rows(spark, sf_dir):
     return rows_listed(rows, json.dumps({"subset_ids": [str(i) for i in range(24, -1, -1)]}), "id", 25, 20).select("pos", "id", "n_name")
 
 
-@query("SELECT 'first' AS attempt, true AS written UNION ALL SELECT 'second', false")
+@query("SELECT r_name, row_number() OVER (PARTITION BY r_regionkey % 3 ORDER BY r_regionkey) = 1 AS written, first_value(r_name) OVER (PARTITION BY r_regionkey % 3 ORDER BY r_regionkey) AS kept FROM region")
 def snk05_refused_overwrite(spark, sf_dir):
-    """A file is written whole and once: the second attempt is refused, and the first's text stays."""
+    """A report for each region, of which some share a file: that is written whole and once, and the first's text stays."""
     from .plans.reports import write_new
     from .sources.scratch import folder
 
-    path, out = f"{folder(spark, 'new')}/report.txt", []
-    for attempt in ("first", "second"):
+    path, out = folder(spark, "new"), []
+    for r in D.table(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        name = f"{path}/report{r['r_regionkey'] % 3}.txt"
         try:
-            write_new(spark, path, attempt)
-            out.append((attempt, True))
+            write_new(spark, name, r["r_name"])
+            out.append((r["r_name"], name.rsplit("/", 1)[1], True))
         except FileExistsError:
-            out.append((attempt, False))
-    same = spark.read.text(path).select(F.col("value").alias("kept"))
-    return spark.createDataFrame(out, "attempt string, written boolean").crossJoin(F.broadcast(same)).where("kept = 'first'").select("attempt", "written")
+            out.append((r["r_name"], name.rsplit("/", 1)[1], False))
+    found = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("kept"))
+    return spark.createDataFrame(out, "r_name string, file string, written boolean").join(found, "file").select("r_name", "written", "kept")
 
 
 @query("SELECT concat(n_name, '.png') AS name, n_nationkey + 1 AS width, 2 AS height FROM nation WHERE n_regionkey <> 1")
@@ -1292,7 +1349,7 @@ def src16_archived_images(spark, sf_dir):
     return extracted(rows).where("name IS NOT NULL AND problem IS NULL").select("name", "width", "height")
 
 
-@query("SELECT CAST(page_id AS VARCHAR) AS page_id, unnest(['normal', 'blank', 'occluded', 'noise']) AS variant, unnest([true, false, page_id % 2 = 1, NULL]) AS same FROM pages")
+@query("SELECT CAST(page_id AS VARCHAR) AS page_id, unnest(['normal', 'blur', 'blank', 'occluded', 'noise']) AS variant, unnest([true, true, false, page_id % 2 = 1, false]) AS same FROM pages")
 def arr16_image_variants(spark, sf_dir):
     """Variants of images of one gray: that of half of them is the gray that covers."""
     from .functions.images import variants
@@ -1300,15 +1357,45 @@ def arr16_image_variants(spark, sf_dir):
     gray = F.when(F.col("page_id") % 2 == 1, F.unhex(F.lit("7F"))).otherwise(F.unhex(F.lit("10")))
     rows = D.table(spark, sf_dir, "pages").select("page_id", F.lit(4).alias("width"), F.lit(2).alias("height"), F.unhex(F.repeat(F.hex(gray), F.lit(24))).alias("pixels"))
     made = variants(rows, "page_id").join(rows.select(F.col("page_id").cast("string").alias("page_id"), F.col("pixels").alias("own")), "page_id")
-    same = F.when(F.col("variant") == "blank", F.lit(False)).when(F.col("variant") != "noise", F.col("pixels") == F.col("own"))
-    return made.select("page_id", "variant", same.alias("same"))
+    return made.select("page_id", "variant", F.when(F.col("variant") == "blank", F.lit(False)).otherwise(F.col("pixels") == F.col("own")).alias("same"))
+
+
+def _html_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, width, height, pixels, box): the bytes of each page as an image of 24 pixels a row, and a box within, beside or around it."""
+    pages = D.table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("b"))
+    rows = F.floor(F.octet_length("b") / 72).cast("int")
+    pages = pages.withColumn("height", rows).withColumn("width", F.lit(24)).withColumn("pixels", F.substring("b", 1, 72 * F.col("height")))
+    k = F.col("page_id")
+    box = F.when(k % 5 == 0, F.lit(None).cast("array<int>")).otherwise(F.array(*[x.cast("int") for x in (k % 7, k % 3, k % 7 + 1 + k % 19, k % 3 + 1 + k % 11)]))
+    return pages.select("page_id", "width", "height", "pixels", box.alias("box"))
+
+
+@query()
+def arr16_variant_digests(spark, sf_dir):
+    """Digests of all variants of every page's bytes as an image; tests hold them against plain loops."""
+    from .functions.digests import pixel_sha256
+    from .functions.images import variants
 
+    rows = _html_images(spark, sf_dir)
+    sizes = rows.select(F.col("page_id").cast("string").alias("page_id"), "width", "height")
+    return variants(rows.where("height > 0"), "page_id").join(sizes, "page_id").select("page_id", "variant", pixel_sha256(F.col("width"), F.col("height"), F.col("pixels")).alias("digest"))
 
-@query("SELECT page_id, sha256(unhex('0000000000000031') || encode('{\"dtype\":\"torch.uint8\",\"key\":\"url\",\"shape\":[1,6]}') || unhex('0000000000000006') || encode(substr(url, 1, 6))) AS digest FROM pages")
+
+@query()
+def snk11_teacher_views(spark, sf_dir):
+    """Digests of student and teacher views of every page's bytes as an image; tests hold them against plain loops."""
+    from .functions.digests import pixel_sha256
+    from .functions.images import teacher_views
+
+    found = teacher_views(_html_images(spark, sf_dir), "page_id")
+    return found.select("page_id", "view", "width", "height", "problem", pixel_sha256(F.col("width"), F.col("height"), F.col("pixels")).alias("digest"))
+
+
+@query("WITH h AS (SELECT *, concat('{\"dtype\":\"torch.uint8\",\"key\":\"url\",\"shape\":[1,', strlen(url), ']}') AS head FROM pages) SELECT page_id, sha256(unhex(printf('%016x', strlen(head))) || encode(head) || unhex(printf('%016x', strlen(url))) || encode(url)) AS digest FROM h")
 def hsh06_tensor_digests(spark, sf_dir):
     from .functions.digests import tensor_sha256
 
-    part = F.struct(F.lit("url").alias("key"), F.lit("torch.uint8").alias("dtype"), F.array(F.lit(1), F.lit(6)).alias("shape"), F.substring("url", 1, 6).cast("binary").alias("bytes"))
+    part = F.struct(F.lit("url").alias("key"), F.lit("torch.uint8").alias("dtype"), F.array(F.lit(1), F.octet_length("url")).alias("shape"), F.col("url").cast("binary").alias("bytes"))
     return D.table(spark, sf_dir, "pages").select("page_id", tensor_sha256(F.array(part)).alias("digest"))
 
 
@@ -1334,39 +1421,111 @@ def agg30_metric_seeds(spark, sf_dir):
     return rows.select("condition", "metric", P.metric_seed(7).alias("seed"))
 
 
-@query("SELECT n_nationkey * 40 AS candidates, CASE WHEN n_nationkey * 40 >= 640 THEN 512 WHEN n_nationkey * 40 >= 320 THEN 256 END AS train, CASE WHEN n_nationkey * 40 >= 640 THEN 128 WHEN n_nationkey * 40 >= 320 THEN 64 END AS validation FROM nation")
+@query("SELECT o_orderpriority, o_orderstatus, candidates, CASE WHEN candidates >= 640 THEN 512 WHEN candidates >= 320 THEN 256 END AS train, CASE WHEN candidates >= 640 THEN 128 WHEN candidates >= 320 THEN 64 END AS validation FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS candidates FROM orders GROUP BY ALL)")
 def srt06_split_sizes(spark, sf_dir):
-    """Sizes of the splits that so many candidates suffice for; none for too few."""
-    out = []
-    for r in D.table(spark, sf_dir, "nation").collect():
-        try:
-            out.append((r["n_nationkey"] * 40, *S.split_sizes(r["n_nationkey"] * 40)))
-        except ValueError:
-            out.append((r["n_nationkey"] * 40, None, None))
-    return spark.createDataFrame(out, "candidates int, train int, validation int")
+    """Sizes of the splits that a group's candidates suffice for; none for too few."""
+    groups = D.table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("candidates"))
+    sizes = S.sizes_for(F.col("candidates"))
+    return groups.select("*", sizes["train"].alias("train"), sizes["validation"].alias("validation"))
 
 
-@query("SELECT unnest(['waiting', 'failed run', 'flushed']) AS ending, unnest([true, false, false]) AS refused")
+# Streams: rows arrive in four files, one a batch, and each stream is stopped after two and started again.
+
+
+def _arrived(spark: SparkSession, rows: DataFrame, start) -> None:
+    """start: a function of a stream of the rows and a checkpoint that gives a running query. rows: with ``batch``, 0 to 3."""
+    from .sources.scratch import folder, stored
+    from .streaming.telemetry import stream
+
+    rows, path, checkpoint = stored(rows, "arrivals"), folder(spark, "stream"), folder(spark, "checkpoint")
+    for batch in range(4):
+        rows.where(F.col("batch") == batch).drop("batch").coalesce(1).write.mode("append").parquet(path)
+        if batch % 2:
+            query = start(stream(spark, path, rows.drop("batch").schema), checkpoint)
+            query.awaitTermination()
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, processed) -> DataFrame:
+    """What a stream of the rows gives in all its batches."""
+    from .sources.scratch import folder
+    from .streaming.guards import only_with_data
+
+    out, kinds = folder(spark, "streamed"), []
+
+    def start(arriving: DataFrame, checkpoint: str):
+        made = processed(arriving)
+        kinds.append(made.schema)
+        with only_with_data(spark):
+            return made.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    _arrived(spark, rows, start)
+    return spark.read.schema(kinds[0]).parquet(out)
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS run, event_id AS step, value, highest, coalesce(value < highest, false) AS refused FROM (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY event_id % 4, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest FROM events)", "value highest")
+def stm03_refused_counters(spark, sf_dir):
+    """A counter of each run, whose highest value outlives batches and a restart: what is accepted, and what is refused."""
+    from .streaming.guards import rising
+
+    rows = D.table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), "value", (F.col("event_id") % 4).alias("batch"))
+    return _streamed(spark, rows, rising)
+
+
+_LAST = 1_000_000_000
+_LOGGED = f"""e AS (SELECT CAST(user_id AS VARCHAR) AS run, event_id AS step, CASE WHEN event_id % 10 = 0 THEN 'log' ELSE 'rollout' END AS event, value, event_id % 4 AS batch FROM events
+  UNION ALL SELECT DISTINCT CAST(user_id AS VARCHAR), {_LAST}, 'end', NULL, 3 FROM events WHERE user_id % 3 = 1 UNION ALL SELECT DISTINCT CAST(user_id AS VARCHAR), {_LAST} + 1, 'finish', NULL, 3 FROM events),
+s AS (SELECT *, coalesce(sum(CASE WHEN event IN ('log', 'end') THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY batch, step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM e),
+w AS (SELECT run, seg, count(*) FILTER (event = 'rollout') AS n, coalesce(sum(value) FILTER (event = 'rollout'), 0) AS total FROM s GROUP BY ALL)"""
+
+
+def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollouts and logs of each run; some runs end, and all ask for a good end."""
+    events = D.table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_id") % 10 == 0, "log").otherwise("rollout")
+    rows = events.select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), kind.alias("event"), "value", (F.col("event_id") % 4).alias("batch"))
+    last = lambda runs, step, name: runs.select("user_id").distinct().select(F.col("user_id").alias("run"), F.lit(step).cast("long").alias("step"), F.lit(name).alias("event"), F.lit(None).cast("double").alias("value"), F.lit(3).cast("long").alias("batch"))
+    return rows.unionByName(last(events.where("user_id % 3 = 1"), _LAST, "end")).unionByName(last(events, _LAST + 1, "finish"))
+
+
+@query(f"WITH {_LOGGED} SELECT run, step, event, n, total FROM s JOIN w USING (run, seg) WHERE event = 'log' OR event = 'end' AND n > 0", "total")
+def stm06_flushed_windows(spark, sf_dir):
+    """Windows that logs flush, and the last, incomplete one of runs that end."""
+    from .streaming.guards import flushed
+
+    return _streamed(spark, _logged(spark, sf_dir), flushed).where("event <> 'finish'").drop("refused")
+
+
+@query(f"WITH {_LOGGED} SELECT run, n AS waiting, n > 0 AS refused FROM s JOIN w USING (run, seg) WHERE event = 'finish'")
 def stm04_refused_endings(spark, sf_dir):
-    """A good end is refused while rollouts wait; a bad one isn't, nor a good one after a flush."""
-    from .streaming.telemetry import Tracker
+    """A good end is refused while rollouts wait that nothing has flushed."""
+    from .streaming.guards import flushed
+
+    return _streamed(spark, _logged(spark, sf_dir), flushed).where("event = 'finish'").select("run", F.col("n").alias("waiting"), "refused")
+
+
+_ROLLED = "CAST(user_id AS {text}) AS nonce, event_id AS step, CASE WHEN event_id % 3 = 0 THEN 'generated' ELSE 'scored' END AS event, CASE WHEN event_id % 7 = 0 THEN 1 ELSE 2 END AS model_version, CAST(user_id % 5 + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS {text}) AS prompt_sha256, CAST(CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END AS {text}) AS example_sha256, CAST(CASE WHEN event_id % 4 = 1 THEN 1 ELSE 0 END AS {text}) AS completion_sha256, event_id % 4 AS batch"
 
-    rows, out = D.rollouts(spark, sf_dir), []
-    for ending in ("waiting", "failed run", "flushed"):
-        tracker = Tracker(lambda sent: None, lambda window: window.agg(F.count("*").alias("attempts")))
-        tracker.record(rows)
-        if ending == "flushed":
-            tracker.log_training({"optimizer_successful_updates": 1}, 1)
-        try:
-            tracker.finish(good=ending != "failed run")
-            out.append((ending, False))
-        except RuntimeError:
-            out.append((ending, True))
-    return spark.createDataFrame(out, "ending string, refused boolean")
 
+@query(f"""WITH e AS (SELECT {_ROLLED.format(text='VARCHAR')} FROM events), s AS (SELECT *, sum(CASE WHEN event = 'generated' THEN 1 ELSE 0 END) OVER (PARTITION BY nonce ORDER BY batch, step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg FROM e),
+g AS (SELECT nonce, seg, model_version AS gv, prompt_sha256 AS gp, example_sha256 AS ge, completion_sha256 AS gc FROM s WHERE event = 'generated'),
+j AS (SELECT s.*, list_filter([CASE WHEN model_version <> gv OR model_version <> 2 THEN 'model_version' END, CASE WHEN prompt_sha256 <> gp THEN 'prompt_sha256' END, CASE WHEN example_sha256 <> ge THEN 'example_sha256' END, CASE WHEN completion_sha256 <> gc THEN 'completion_sha256' END], lambda x: x IS NOT NULL) AS f, gv IS NULL AS none FROM s LEFT JOIN g USING (nonce, seg) WHERE event = 'scored'),
+u AS (SELECT *, coalesce(max(CASE WHEN len(f) = 0 AND NOT none THEN 1 ELSE 0 END) OVER (PARTITION BY nonce, seg ORDER BY batch, step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM j)
+SELECT nonce, step, CASE WHEN none OR used = 1 THEN 'nonce' ELSE array_to_string(f, ',') END AS faults FROM u""")
+def stm08_replay_faults(spark, sf_dir):
+    """Scored rollouts against what was generated under their nonces: which of five equalities fail, if any."""
+    from .streaming.guards import replays
 
-@query("SELECT unnest(['train-1', 'dev-1']) AS id, unnest(['train', 'dev']) AS split, unnest([1, 2]) AS answers")
-def src21_fixture(spark, sf_dir):
-    from .sources.manifests import fixture
+    rows = spark.sql(f"SELECT {_ROLLED.format(text='STRING')} FROM {{events}}", events=D.table(spark, sf_dir, "events"))
+    return _streamed(spark, rows, lambda r: replays(r, 2)).select("nonce", "step", F.array_join("faults", ",").alias("faults"))
+
+
+@query("SELECT event_id % 4 AS batch, count(*) AS records, sum(value) AS total FROM events GROUP BY 1", "total")
+def snk10_published_batches(spark, sf_dir):
+    """Every batch of a stream published once, across a restart."""
+    from .sources.scratch import folder
+    from .streaming.published import publish_once, published
 
-    return fixture(spark).select("id", "split", F.size("accepted_answers").alias("answers"))
+    path = folder(spark, "published")
+    rows = D.table(spark, sf_dir, "events").select("event_id", "value", (F.col("event_id") % 4).alias("batch"))
+    _arrived(spark, rows, lambda arriving, checkpoint: publish_once(arriving, path, checkpoint))
+    return published(spark, path, "event_id long, value double").groupBy("batch").agg(F.count("*").alias("records"), F.sum("value").alias("total"))

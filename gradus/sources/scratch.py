@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[2])
 _made: list[tuple[SparkSession, str]] = []
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers that start from now on import this package, wherever the driver was started."""
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if ROOT not in known.split(":"):
+        env["PYTHONPATH"] = f"{ROOT}:{known}".rstrip(":")
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in spark.checkpoint.dir, dropped when the driver ends. Unset, it is a temporary folder on a local master, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
