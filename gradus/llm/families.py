@@ -84,7 +84,10 @@ def far(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def compare(vertex: np.ndarray, side: np.ndarray, label: np.ndarray, same: bool, sets: list[np.ndarray], t: Fraction) -> list[tuple[int, int]]:
-    """Links that join what was apart, among all members (same) or between those of two sides; equal labels are joined."""
+    """Links that leave the exact groups of all members (same), or join those of two sides; equal labels are joined.
+
+    Groups of all members are told as stars: each member with the smallest of its group.
+    """
     order = np.argsort([len(s) for s in sets], kind="stable")
     vertex, side, sets = vertex[order], side[order], [sets[i] for i in order]
     size = np.array([len(s) for s in sets])
@@ -106,7 +109,12 @@ def compare(vertex: np.ndarray, side: np.ndarray, label: np.ndarray, same: bool,
             if group[j] != group[i] and linked(sets[i], sets[j], t):
                 out.append((int(vertex[i]), int(vertex[j])))
                 group[group == group[j]] = group[i]
-    return out
+    if not same:
+        return out
+    found, which = np.unique(group, return_inverse=True)
+    least = np.full(len(found), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, vertex)
+    return [(int(v), int(m)) for v, m in zip(vertex, least[which], strict=True) if v != m]
 
 
 def _compared(dealt: DataFrame, t: Fraction) -> DataFrame:
@@ -138,8 +146,10 @@ def links(members: DataFrame, t: Fraction) -> DataFrame:
     many = counts.where("blocks > 1").select("family")
     if many.isEmpty():
         return first
-    groups = components(first).select(F.col("node").alias("u"), F.col("component").alias("label"))
-    open_ = members.join(small(many), "family", "left_semi").join(small(stored(groups, "labels")), "u", "left").withColumn("label", F.coalesce("label", "u"))
+    # The hub is the smallest of its family, and in each block: what links to it anywhere has it for a label, and a
+    # member outside of its group is in one block alone.
+    groups = first.select("u", F.col("v").alias("label"))
+    open_ = members.join(small(many), "family", "left_semi").join(small(groups), "u", "left").withColumn("label", F.coalesce("label", "u"))
     labelled = stored(open_.select("family", "u", "label", F.octet_length("shingles").alias("bytes")), "labelled")
     by_label = stored(labelled.groupBy("family", "label").agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes")), "groups")
     largest = by_label.groupBy("family").agg(F.max(F.struct("members", "label")).alias("main"), F.count("*").alias("parts"), F.sum("members").alias("members"), F.sum("bytes").alias("bytes"))
