@@ -6,6 +6,8 @@ the ranks of the risk-coverage curve from bucket totals.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,29 +113,40 @@ def by_outcome(rows: DataFrame, outcome: str, value: str) -> DataFrame:
     return rows.groupBy(outcome).agg(F.count("*").alias("n"), F.avg(value).alias(f"{value}_mean"))
 
 
-def evaluate_rollouts(rows: DataFrame, threshold: float = 0.8, bins: int = 10) -> DataFrame:
-    """One row of all scalar measures of rollout records: one pass for what is plain, one more for each binned error."""
+def kinds() -> tuple[Column, Column, Column, Column]:
+    """Whether an answer is correct, and rows with a proxy, with a scored answer, and with a visual report beside a proxy."""
+    eligible = ~F.col("proxy_fallback")
+    return F.col("answer_correct").cast("int"), eligible, F.col("answer_label_available") & F.col("answer_confidence").isNotNull(), eligible & F.col("visual_confidence").isNotNull()
+
+
+def plain_measures(threshold: float = 0.8) -> dict[str, Column]:
+    """The measures of rollout records that one aggregation gives, over all rows or by a key."""
     answer, visual, proxy = F.col("answer_confidence"), F.col("visual_confidence"), F.col("visual_proxy")
-    label, correct, eligible = F.col("answer_label_available"), F.col("answer_correct").cast("int"), ~F.col("proxy_fallback")
-    scored, paired = label & answer.isNotNull(), eligible & visual.isNotNull()
+    label, (correct, eligible, scored, paired) = F.col("answer_label_available"), kinds()
     clean, both = F.size("format_errors") == 0, visual.isNotNull() & answer.isNotNull()
     confident = scored & (answer >= threshold)
     reason = (strip(F.col("reason_text")) != "") & ~F.arrays_overlap("format_errors", F.array(F.lit("missing_or_invalid_reason"), F.lit("empty_reason"), F.lit("misordered_reason")))
     count = lambda condition: F.count_if(F.coalesce(condition, F.lit(False)))
     n = F.count("*")
-    measures = {
+    return {
         "sample_count": n, "answer_correct_count": F.sum(correct).cast("long"), "answer_accuracy": F.avg(correct), "answer_label_available_count": count(label),
         "answer_confidence_count": count(scored), "answer_confidence_coverage": F.try_divide(count(scored), count(label)), "answer_brier": F.avg(F.when(scored, F.pow(answer - correct, 2))),
         "high_confidence_count": count(confident), "high_confidence_error_count": count(confident & (correct == 0)), "high_confidence_error_rate": F.try_divide(count(confident & (correct == 0)), count(confident)),
         "visual_proxy_eligible_count": count(eligible), "visual_proxy_pair_count": count(paired), "visual_proxy_report_coverage": F.try_divide(count(paired), count(eligible)), "visual_proxy_mse": F.avg(F.when(paired, F.pow(visual - proxy, 2))),
         "visual_proxy_report_correlation": pearson(F.when(paired, visual), F.when(paired, proxy)),
         "answer_relation_correlation": pearson(F.when(eligible & label, proxy), F.when(eligible & label, correct)), "proxy_mean_correct": F.avg(F.when(eligible & label & (correct == 1), proxy)), "proxy_mean_incorrect": F.avg(F.when(eligible & label & (correct == 0), proxy)),
-        "reason_present_count": count(reason), "format_clean_count": count(clean), "format_clean_rate": count(clean) / n, "visual_report_count": count(visual.isNotNull()), "answer_report_count": count(answer.isNotNull()),
-        "both_reports_count": count(both), "both_reports_rate": count(both) / n, "proxy_nonfallback_rate": count(eligible) / n,
+        "reason_present_count": count(reason), "format_clean_count": count(clean), "format_clean_rate": F.try_divide(count(clean), n), "visual_report_count": count(visual.isNotNull()), "answer_report_count": count(answer.isNotNull()),
+        "both_reports_count": count(both), "both_reports_rate": F.try_divide(count(both), n), "proxy_nonfallback_rate": F.try_divide(count(eligible), n),
     }
+
+
+def evaluate_rollouts(rows: DataFrame, threshold: float = 0.8, bins: int = 10) -> DataFrame:
+    """One row of all scalar measures of rollout records: one pass for what is plain, one more for each binned error."""
+    correct, eligible, scored, paired = kinds()
+    measures = plain_measures(threshold)
     out = rows.agg(*[c.alias(name) for name, c in measures.items()])
     # Single rows of aggregates are put side by side.
-    for frame in (described(rows, [], F.when(eligible, proxy), "proxy_", False), described(rows, [], F.col("vision_tokens"), "vision_tokens_", False)):
+    for frame in (described(rows, [], F.when(eligible, F.col("visual_proxy")), "proxy_", False), described(rows, [], F.col("vision_tokens"), "vision_tokens_", False)):
         out = out.crossJoin(F.broadcast(frame))
     out = out.withColumn("proxy_mean_difference", F.col("proxy_mean_correct") - F.col("proxy_mean_incorrect"))
     scored_rows, paired_rows = rows.where(scored).withColumn("y", correct), rows.where(paired)
@@ -142,6 +155,36 @@ def evaluate_rollouts(rows: DataFrame, threshold: float = 0.8, bins: int = 10) -
     return out
 
 
+def paths(frame: DataFrame, keys: list[str], at: Column, names: list[str]) -> DataFrame:
+    """(keys, measure, value) of a frame's numeric columns, each told by a path: where it is, and its name."""
+    rows = frame.select(*keys, at.alias("_at"), *[F.col(n).cast("double").alias(n) for n in names])
+    return rows.unpivot([*keys, "_at"], names, "_name", "value").select(*keys, F.concat("_at", "_name").alias("measure"), "value")
+
+
+def full_report(rows: DataFrame, threshold: float = 0.8, bins: int = 10) -> DataFrame:
+    """(measure, value): ``evaluate_rollouts`` with its bins, components and coverage, under paths as answer_ece_bins/3/report_mean.
+
+    Errors of ten bins are told beside those of the bins asked for. Maps of components that the rows don't have are left
+    out. A measure of nothing is null. The risk-coverage curve has a row for each rollout, so it stays its own table.
+    """
+    correct, eligible, scored, paired = kinds()
+    whole = evaluate_rollouts(rows, threshold, bins)
+    more = rows.agg(F.count_if(~F.col("answer_label_available")).alias("answer_label_unavailable_count"), F.count_if(~eligible).alias("visual_proxy_fallback_count"), F.lit(threshold).alias("high_confidence_threshold"))
+    top = F.lit("")
+    out = [paths(whole, [], top, whole.columns), paths(more, [], top, more.columns)]
+    for error, table, frame, report, target in (
+        ("answer_ece10", "answer_ece_bins", rows.where(scored).withColumn("y", correct), "answer_confidence", "y"),
+        ("visual_proxy_binned_mean_error10", "visual_proxy_bins", rows.where(paired), "visual_confidence", "visual_proxy"),
+    ):
+        each = reliability(frame, report, target, bins)
+        out += [paths(calibration_error(frame, report, target, 10, error), [], top, [error]), paths(each, [], F.concat(F.lit(f"{table}/"), F.col("bin"), F.lit("/")), each.columns[1:])]
+    for name, frame, column in (("proxy_components", rows.where(eligible), "proxy_components"), ("reward_components", rows, "reward"), ("opsd_components", rows, "opsd")):
+        if column in rows.columns:
+            out.append(paths(map_means(frame, column), [], F.concat(F.lit(f"{name}/"), F.col("name"), F.lit("/")), ["sample_count", "mean"]))
+    out.append(paths(output_coverage(rows), [], F.concat(F.lit("output_coverage/"), F.col("measure"), F.lit("/")), ["n", "rate"]))
+    return reduce(DataFrame.unionAll, out)
+
+
 def output_coverage(rows: DataFrame) -> DataFrame:
     """(measure, n, rate) over all rows."""
     answer, visual = F.col("answer_confidence").isNotNull(), F.col("visual_confidence").isNotNull()

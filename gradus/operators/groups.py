@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kernels import l2
+
 #: Keeps a scale above 0.
 EPSILON = 1e-4
 
@@ -97,3 +99,15 @@ def rank_slice(rows: DataFrame, place: str, ranks: int, rank: int, total: int) -
         raise ValueError("ranks must have equal shares")
     share = total // ranks
     return rows.where((F.col(place) >= rank * share) & (F.col(place) < (rank + 1) * share))
+
+
+def finite_updates(rows: DataFrame, step: str, gradient: str) -> DataFrame:
+    """(step, parts, norm, applied): the norm over the gradients of a step's parts, each an array; a step with a value that isn't finite is skipped, and has no norm.
+
+    A part without values, or null, adds nothing. A step is applied if all its norms are finite.
+    """
+    part = F.coalesce(l2(F.col(gradient)), F.lit(0.0))
+    good = F.bool_and(~F.isnan(part) & (part < float("inf")))
+    # Only finite parts enter the sum, as one that isn't refuses the step by itself.
+    square = F.sum(F.when(~F.isnan(part) & (part < float("inf")), part * part))
+    return rows.groupBy(step).agg(F.count("*").alias("parts"), F.when(good, F.sqrt(square)).alias("norm"), good.alias("applied"))

@@ -45,6 +45,16 @@ def as_markdown(report: DataFrame, title: str) -> str:
     return "\n".join([*lines, *["| " + " | ".join(number(r[n]) for n in names) + " |" for r in rows]]) + "\n"
 
 
+def as_sections(title: str, sections: list[tuple[str, str, DataFrame]]) -> str:
+    """A report of sections: a title, and for each a heading, a text (left out if empty) and a table of a small frame."""
+    out = [f"# {title}"]
+    for heading, text, report in sections:
+        table = as_markdown(report, heading).rstrip("\n")
+        head, rest = table.split("\n", 1)
+        out.append("\n".join([head, *(["", text] if text else []), rest]))
+    return "\n\n".join(out) + "\n"
+
+
 def range_svg(report: DataFrame, label: str, low: str, middle: str, high: str) -> str:
     """A line from low to high and a dot at the middle for each row, over [0, 1]."""
     rows = [r for r in rows_of(report) if r[low] is not None]

@@ -100,9 +100,8 @@ def _count(condition: str) -> str:
     return f"count(*) FILTER ({condition})"
 
 
-@query(
-    f"""WITH {R}, p AS ({SCORED}), v AS (SELECT * FROM r WHERE {_PAIRED_IF}), pb AS ({bins_sql('p', 'answer_confidence', 'y')}), vb AS ({bins_sql('v', 'visual_confidence', 'visual_proxy')}),
-m AS (SELECT count(*) AS sample_count, CAST(sum(CAST(answer_correct AS INT)) AS BIGINT) AS answer_correct_count, avg({_Y}) AS answer_accuracy, {_count('answer_label_available')} AS answer_label_available_count, {_count(_SCORED_IF)} AS answer_confidence_count,
+#: The measures of one aggregation over rollouts.
+_MEASURES_SQL = f"""count(*) AS sample_count, CAST(sum(CAST(answer_correct AS INT)) AS BIGINT) AS answer_correct_count, avg({_Y}) AS answer_accuracy, {_count('answer_label_available')} AS answer_label_available_count, {_count(_SCORED_IF)} AS answer_confidence_count,
  {_count(_SCORED_IF)} / {_count('answer_label_available')} AS answer_confidence_coverage, avg(CASE WHEN {_SCORED_IF} THEN power(answer_confidence - {_Y}, 2) END) AS answer_brier,
  {_count(_SCORED_IF + ' AND answer_confidence >= 0.8')} AS high_confidence_count, {_count(_SCORED_IF + ' AND answer_confidence >= 0.8 AND NOT answer_correct')} AS high_confidence_error_count, {_count(_SCORED_IF + ' AND answer_confidence >= 0.8 AND NOT answer_correct')} / nullif({_count(_SCORED_IF + ' AND answer_confidence >= 0.8')}, 0) AS high_confidence_error_rate,
  {_count('NOT proxy_fallback')} AS visual_proxy_eligible_count, {_count(_PAIRED_IF)} AS visual_proxy_pair_count, {_count(_PAIRED_IF)} / nullif({_count('NOT proxy_fallback')}, 0) AS visual_proxy_report_coverage, avg(CASE WHEN {_PAIRED_IF} THEN power(visual_confidence - visual_proxy, 2) END) AS visual_proxy_mse,
@@ -110,7 +109,12 @@ m AS (SELECT count(*) AS sample_count, CAST(sum(CAST(answer_correct AS INT)) AS
  {pearson_sql('CASE WHEN NOT proxy_fallback AND answer_label_available THEN visual_proxy END', f'CASE WHEN NOT proxy_fallback AND answer_label_available THEN {_Y} END')} AS answer_relation_correlation,
  avg(CASE WHEN NOT proxy_fallback AND answer_label_available AND answer_correct THEN visual_proxy END) AS proxy_mean_correct, avg(CASE WHEN NOT proxy_fallback AND answer_label_available AND NOT answer_correct THEN visual_proxy END) AS proxy_mean_incorrect,
  {_count("trim(reason_text) <> '' AND NOT e1")} AS reason_present_count, {_count('NOT e1 AND NOT e2')} AS format_clean_count, {_count('NOT e1 AND NOT e2')} / count(*) AS format_clean_rate, count(visual_confidence) AS visual_report_count, count(answer_confidence) AS answer_report_count,
- {_count('visual_confidence IS NOT NULL AND answer_confidence IS NOT NULL')} AS both_reports_count, {_count('visual_confidence IS NOT NULL AND answer_confidence IS NOT NULL')} / count(*) AS both_reports_rate, {_count('NOT proxy_fallback')} / count(*) AS proxy_nonfallback_rate,
+ {_count('visual_confidence IS NOT NULL AND answer_confidence IS NOT NULL')} AS both_reports_count, {_count('visual_confidence IS NOT NULL AND answer_confidence IS NOT NULL')} / count(*) AS both_reports_rate, {_count('NOT proxy_fallback')} / count(*) AS proxy_nonfallback_rate"""
+
+
+@query(
+    f"""WITH {R}, p AS ({SCORED}), v AS (SELECT * FROM r WHERE {_PAIRED_IF}), pb AS ({bins_sql('p', 'answer_confidence', 'y')}), vb AS ({bins_sql('v', 'visual_confidence', 'visual_proxy')}),
+m AS (SELECT {_MEASURES_SQL},
  {distribution_sql('CASE WHEN NOT proxy_fallback THEN visual_proxy END', 'proxy_')}, {distribution_sql('CAST(vision_tokens AS DOUBLE)', 'vision_tokens_')} FROM r)
 SELECT m.*, proxy_mean_correct - proxy_mean_incorrect AS proxy_mean_difference, (SELECT sum(n * abs(rm - tm)) / sum(n) FROM pb) AS answer_ece, (SELECT sum(n * abs(rm - tm)) / sum(n) FROM vb) AS visual_proxy_binned_mean_error FROM m""",
     "answer_accuracy answer_confidence_coverage answer_brier high_confidence_error_rate visual_proxy_report_coverage visual_proxy_mse visual_proxy_report_correlation answer_relation_correlation proxy_mean_correct proxy_mean_incorrect format_clean_rate both_reports_rate proxy_nonfallback_rate proxy_mean_difference answer_ece visual_proxy_binned_mean_error "
@@ -120,6 +124,40 @@ def agg11_evaluate_rollouts(spark, sf_dir):
     return C.evaluate_rollouts(D.rollouts(spark, sf_dir))
 
 
+def _error_sql(source: str, report: str, target: str, bins: int) -> str:
+    return f"(SELECT sum(n * abs(rm - tm)) / sum(n) FROM ({bins_sql(source, report, target, bins)}) b)"
+
+
+def _long_sql(source: str, at: str = "''", keys: str = "") -> str:
+    """A statement of all columns of a source as (measure, value), nulls included."""
+    return f"SELECT {keys}{at} || name AS measure, value FROM {source} UNPIVOT INCLUDE NULLS (value FOR name IN (COLUMNS(* EXCLUDE (at_{', step' if keys else ''})))) u"
+
+
+def _bins_report_sql(name: str, source: str, report: str, target: str) -> str:
+    return f"(SELECT '{name}/' || i || '/' AS at_, i / 20.0::DOUBLE AS lower, (i + 1) / 20.0::DOUBLE AS upper, coalesce(n, 0)::DOUBLE AS sample_count, rm AS report_mean, tm AS target_mean, abs(rm - tm) AS absolute_mean_error FROM range(20) x(i) LEFT JOIN ({bins_sql(source, report, target, 20)}) b ON b.bin = i)"
+
+
+def _means_report_sql(name: str, item: str, value: str, where: str = "true") -> str:
+    return f"SELECT '{name}/{item}/' AS at_, count({value})::DOUBLE AS sample_count, avg({value}) AS mean FROM r WHERE {where}"
+
+
+_COVERED = {"answer_label_available": "answer_label_available", "answer_report": "answer_confidence IS NOT NULL", "both_reports": "answer_confidence IS NOT NULL AND visual_confidence IS NOT NULL", "format_clean": "NOT e1 AND NOT e2", "proxy_nonfallback": "NOT proxy_fallback", "visual_report": "visual_confidence IS NOT NULL"}
+
+
+@query(
+    f"""WITH {R}, p AS ({SCORED}), v AS (SELECT * FROM r WHERE {_PAIRED_IF}), m AS (SELECT '' AS at_, {_MEASURES_SQL}, {distribution_sql('CASE WHEN NOT proxy_fallback THEN visual_proxy END', 'proxy_')}, {distribution_sql('CAST(vision_tokens AS DOUBLE)', 'vision_tokens_')},
+ {_count('NOT answer_label_available')} AS answer_label_unavailable_count, {_count('proxy_fallback')} AS visual_proxy_fallback_count, 0.8::DOUBLE AS high_confidence_threshold, {_error_sql('p', 'answer_confidence', 'y', 20)} AS answer_ece, {_error_sql('p', 'answer_confidence', 'y', 10)} AS answer_ece10, {_error_sql('v', 'visual_confidence', 'visual_proxy', 20)} AS visual_proxy_binned_mean_error, {_error_sql('v', 'visual_confidence', 'visual_proxy', 10)} AS visual_proxy_binned_mean_error10 FROM r),
+w AS (SELECT at_, COLUMNS(* EXCLUDE (at_))::DOUBLE FROM (SELECT *, proxy_mean_correct - proxy_mean_incorrect AS proxy_mean_difference FROM m) d),
+k AS ({_means_report_sql('proxy_components', 'gap', 'u', 'NOT proxy_fallback')} UNION ALL {_means_report_sql('proxy_components', 'entropy', 'CASE WHEN doc % 3 <> 0 THEN 1 - u END', 'NOT proxy_fallback')} UNION ALL {_means_report_sql('reward_components', 'utility', _Y)} UNION ALL {_means_report_sql('reward_components', 'report', '-u')}),
+c AS ({' UNION ALL '.join(f"SELECT 'output_coverage/{n}/' AS at_, ({_count(x)})::DOUBLE AS n, {_count(x)} / count(*) AS rate FROM r" for n, x in _COVERED.items())}), b1 AS {_bins_report_sql('answer_ece_bins', 'p', 'answer_confidence', 'y')}, b2 AS {_bins_report_sql('visual_proxy_bins', 'v', 'visual_confidence', 'visual_proxy')}
+{' UNION ALL '.join(_long_sql(x, 'at_') for x in ('w', 'k', 'c', 'b1', 'b2'))}""",
+    "value",
+)
+def agg11_full_report(spark, sf_dir):
+    """Every measure of rollouts in one report, with bins, components and coverage, at twenty bins."""
+    return C.full_report(D.rollouts(spark, sf_dir), bins=20)
+
+
 @query(f"WITH {R} SELECT {_count(_SCORED_IF + ' AND answer_confidence >= 0.7')} AS confident, {_count(_SCORED_IF + ' AND answer_confidence >= 0.7 AND NOT answer_correct')} AS errors FROM r")
 def agg10_high_confidence_errors(spark, sf_dir):
     return C.confident_errors(_scored(spark, sf_dir), "answer_confidence", "y", 0.7)
@@ -367,6 +405,14 @@ def arr14_ema_and_norms(spark, sf_dir):
     return l.select("vec_id", K.ema(F.col("student"), F.lit(0.0), 0.9).alias("ema"), K.l2(F.col("student")).alias("norm"), delta.alias("max_delta"))
 
 
+@query("WITH e AS (SELECT vec_id, vec_id % 16 AS step, list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS s, vec_id % 16 = 5 OR vec_id % 48 = 7 AS odd FROM embeddings) SELECT step, count(*) AS parts, CASE WHEN bool_or(odd) THEN NULL ELSE sqrt(sum(s)) END AS norm, NOT bool_or(odd) AS applied FROM e GROUP BY step", "norm")
+def arr15_finite_updates(spark, sf_dir):
+    """Norms over sixteen steps' gradients; those with a value that isn't finite are skipped."""
+    odd = F.when(F.col("vec_id") % 16 == 5, float("nan")).when(F.col("vec_id") % 48 == 7, float("-inf"))
+    values = F.when(odd.isNotNull(), F.array_append(F.col("embedding").cast("array<double>"), odd)).otherwise(F.col("embedding").cast("array<double>"))
+    return G.finite_updates(D.table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 16).alias("step"), values.alias("gradient")), "step", "gradient")
+
+
 @query("SELECT doc_id, k, CAST(floor(k * (n_chars - 1) / 4) AS INT) AS place FROM documents, range(5) x(k)")
 def win10_even_places(spark, sf_dir):
     rows = D.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(K.even_places(F.col("n_chars"), 5)).alias("k", "place"))
@@ -746,6 +792,54 @@ def stm01_flush_windows(spark, sf_dir):
     return windows(D.rollouts(spark, sf_dir), "step", {"attempts": F.count("*"), "accuracy": F.avg(F.col("answer_correct").cast("int")), "reports": F.count("answer_confidence")})
 
 
+#: Logs of a trainer: what an event tells of its user's step, some under keys that aren't published, some not finite.
+_LOGS = """
+SELECT event_id, CAST(user_id % 20 AS INT) AS step, CASE event_id % 9 WHEN 0 THEN 'rank_local/policy_loss' WHEN 1 THEN concat('rank_local/', event_type) WHEN 2 THEN 'optimizer_steps' WHEN 3 THEN 'optimizer_state_max_step' WHEN 4 THEN 'teacher_ema'
+  WHEN 5 THEN concat('loss/', event_type) WHEN 6 THEN concat('loss_', event_type) WHEN 7 THEN NULL ELSE event_type END AS key, value FROM {events}"""
+_LOGS_SQL = f"""SELECT step, 'trainer/' || name AS key, arg_max(value, (key, value)) AS value FROM (SELECT *, CASE WHEN key = 'rank_local/policy_loss' THEN 'rank_local_policy_loss' WHEN key LIKE 'rank_local/%' OR key IN ('optimizer_steps', 'teacher_ema') THEN NULL ELSE replace(key, '/', '_') END AS name FROM ({D.duck(_LOGS)}) l)
+WHERE name IS NOT NULL AND value IS NOT NULL AND event_id % 13 <> 0 AND event_id % 17 <> 0 GROUP BY 1, 2"""
+
+
+def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.when(F.col("event_id") % 13 == 0, float("inf")).when(F.col("event_id") % 17 == 0, float("nan")).otherwise(F.col("value"))
+    return D.view(spark, sf_dir, _LOGS).withColumn("value", odd)
+
+
+@query(_LOGS_SQL, "value")
+def prd19_trainer_logs(spark, sf_dir):
+    """Logs under their published names: measures of one rank, slashes, counters that the evidence has, odd values."""
+    from .streaming.telemetry import trainer_logs
+
+    return trainer_logs(_logs(spark, sf_dir), "step")
+
+
+def _scores_sql(c: str) -> str:
+    counts = ", ".join(f'{_count(f"{c} = {i}")} AS "{c}/{i}_count"' for i in range(11))
+    return f'count({c}) AS "{c}/valid_count", count({c}) / count(*) AS "{c}/coverage", avg({c}) AS "{c}/mean", {counts}'
+
+
+def _step_error_sql(name: str, where: str, report: str, target: str) -> str:
+    return f"SELECT step, 'train/{name}' AS measure, sum(n * e) / sum(n) AS value FROM (SELECT step, count(*) AS n, abs(avg({report}) - avg({target})) AS e FROM r WHERE {where} GROUP BY step, least(floor({report} * 10), 9)) b GROUP BY step"
+
+
+_MEASURES_BY_STEP = _MEASURES_SQL.replace(f"/ {_count('answer_label_available')} AS", f"/ nullif({_count('answer_label_available')}, 0) AS")
+
+
+@query(
+    f"""WITH {R}, l AS ({_LOGS_SQL}), m AS (SELECT step, 'train/' AS at_, COLUMNS(* EXCLUDE (step))::DOUBLE FROM (SELECT step, {_MEASURES_BY_STEP}, {_count('NOT answer_label_available')} AS answer_label_unavailable_count, {_count('proxy_fallback')} AS visual_proxy_fallback_count, count(*) AS attempt_count, {_scores_sql('answer_score')}, {_scores_sql('visual_score')},
+ {_count('vision_tokens > 0')} AS opsd_diagnostic_rows, sum(vision_tokens) AS opsd_diagnostic_positions, avg(CAST(vision_tokens > 0 AS INT)) AS opsd_diagnostic_coverage, {_count('e1')} AS format_error_empty_reason_count, {_count('e2')} AS format_error_missing_confidence_count FROM r GROUP BY step) x),
+d AS (SELECT step, 'train/visual_proxy_stats/' AS at_, COLUMNS(* EXCLUDE (step))::DOUBLE FROM (SELECT step, {distribution_sql('CASE WHEN NOT proxy_fallback THEN visual_proxy END')} FROM r GROUP BY step) x),
+t AS (SELECT step, 'train/vision_tokens/' AS at_, COLUMNS(* EXCLUDE (step))::DOUBLE FROM (SELECT step, {distribution_sql('CAST(vision_tokens AS DOUBLE)')} FROM r GROUP BY step) x)
+SELECT step, measure AS key, value FROM ({' UNION ALL '.join(_long_sql(x, 'at_', 'step, ') for x in 'mdt')} UNION ALL {_step_error_sql('answer_ece10', _SCORED_IF, 'answer_confidence', _Y)} UNION ALL {_step_error_sql('visual_proxy_binned_mean_error10', _PAIRED_IF, 'visual_confidence', 'visual_proxy')} UNION ALL SELECT step, key, value FROM l) a WHERE value IS NOT NULL AND NOT (value = 0 AND starts_with(measure, 'train/format_error_'))""",
+    "value",
+)
+def stm01_step_payloads(spark, sf_dir):
+    """What the log event of each step publishes: the measures of its window of rollouts, and the trainer's logs."""
+    from .streaming.telemetry import step_payloads
+
+    return step_payloads(D.rollouts(spark, sf_dir), _logs(spark, sf_dir), "step", ("answer_score", "visual_score"), "vision_tokens")
+
+
 @query("SELECT source AS split, count(*) AS rows, count(DISTINCT sha256(text)) AS contents, CAST(sum(CAST(CAST('0x' || substr(sha256(text), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS digest FROM documents GROUP BY 1")
 def snk03_provenance(spark, sf_dir):
     from .plans.reports import provenance
@@ -1102,6 +1196,28 @@ def src05_numbered_rows(spark, sf_dir):
     return found.select("index", F.try_variant_get("doc", "$.r_regionkey", "int").alias("k"))
 
 
+#: Rows of source pairs: each kind breaks one rule, kind 0 none.
+_PAIR_RULES = {
+    1: "fields are the told ones", 2: "images has one name in its folder", 3: "original_images has one name in its folder", 4: "box is of whole numbers with an area",
+    5: "box is of whole numbers with an area", 6: "extra fields are the told ones", 7: "question is the cleaned one with a hint", 8: "answer is a letter of the options", 9: "teacher_images is new",
+}
+_PAIR_LINES = """
+SELECT doc_id, concat(chr(123), '"images": ["', CASE WHEN k = 2 THEN '../' ELSE 'images/' END, doc_id, '.png"], "teacher_images": ["teacher_images/', CASE WHEN k = 9 THEN doc_id - 1 ELSE doc_id END, '.png"], "original_images": ["original_images/', source, '.png"', CASE WHEN k = 3 THEN ', "original_images/b.png"' ELSE '' END, '], "bbox": ', CASE k WHEN 4 THEN '[0, 0, 5, 0]' WHEN 5 THEN '[0, 0, 5, 1.5]' ELSE '[0, 0, 5, 1]' END,
+  ', "problem": "', CASE WHEN k = 7 THEN '' ELSE '<image>' END, asked, ' Answer with the option''s letter", "answer": "', CASE WHEN k = 8 THEN 'E' ELSE 'B' END, '", "extra_info": ', chr(123), '"answer": "', CASE WHEN k = 8 THEN 'E' ELSE 'B' END, '", "question": "', asked, '"', CASE WHEN k = 6 THEN ', "z": 1' ELSE '' END, chr(125), CASE WHEN k = 1 THEN ', "z": 1' ELSE '' END, chr(125)) AS value
+FROM (SELECT doc_id, source, CAST(doc_id % 10 AS INT) AS k, concat('Which ', lang, '?', chr(92), 'nA. w', chr(92), 'nB. x', chr(92), 'nC. y', chr(92), 'nD. z') AS asked FROM {documents}) d"""
+
+
+@query(f"SELECT index, rule FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS index, CASE doc_id % 10 {' '.join(f'WHEN {k} THEN {_quoted(rule)}' for k, rule in _PAIR_RULES.items())} END AS rule, doc_id % 10 = 9 AND NOT coalesce(lag(doc_id) OVER (ORDER BY doc_id) = doc_id - 1, false) AS alone FROM documents) x WHERE rule IS NOT NULL AND NOT alone")
+def src05_source_pairs(spark, sf_dir):
+    """Lines of source pairs, numbered over one file: exact fields, names in their folders and not met before, boxes, questions, answers."""
+    from .sources.manifests import numbered, pair_problems
+    from .sources.scratch import folder, stored
+
+    path = folder(spark, "pairs")
+    D.view(spark, sf_dir, _PAIR_LINES).orderBy("doc_id").select("value").coalesce(1).write.text(path)
+    return pair_problems(V.parsed(stored(numbered(spark, path).select("index", "raw"), "pairs_rows")))
+
+
 @query("SELECT o_orderstatus AS split, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
 def snk02_manifest_round_trip(spark, sf_dir):
     """JSON lines by split, written whole and read again."""
@@ -1141,6 +1257,23 @@ def snk07_markdown_report(spark, sf_dir):
     return spark.createDataFrame([(as_markdown(named.groupBy(F.col("r_name").alias("name")).agg((F.count("*") / F.lit(25.0)).alias("share")).orderBy("name"), "Nations"),)], "report string")
 
 
+_SECTIONED = {"Counts": ("concat('| ', condition, ' | ', count(*), ' | ', sum(vision_tokens), ' | ', count(*) FILTER (proxy_fallback), ' |')", "s"), "Zero gaps": ("concat('| ', condition, ' | ', printf('%.4f', avg(CAST(corrected_gap = 0 AS INT))), ' |')", "t")}
+
+
+@query(
+    f"WITH {TOK}, {SAM}, " + ", ".join(f"x{i} AS (SELECT string_agg(line, chr(10) ORDER BY condition) AS body FROM (SELECT condition, {line} AS line FROM {source} GROUP BY condition) y)" for i, (line, source) in enumerate(_SECTIONED.values()))
+    + " SELECT concat('# Conditions', chr(10), chr(10), '## Counts', chr(10), chr(10), 'Means are of examples.', chr(10), chr(10), '| condition | examples | tokens | fallbacks |', chr(10), '| --- | --- | --- | --- |', chr(10), x0.body, chr(10), chr(10), '## Zero gaps', chr(10), chr(10), '| condition | zero_fraction |', chr(10), '| --- | --- |', chr(10), x1.body, chr(10)) AS report FROM x0, x1"
+)
+def snk07_sectioned_report(spark, sf_dir):
+    """A Markdown report of two sections over conditions."""
+    from .plans.reports import as_sections
+
+    tokens, samples = D.view(spark, sf_dir, D.TOKENS), D.view(spark, sf_dir, D.SAMPLES)
+    counts = samples.groupBy("condition").agg(F.count("*").alias("examples"), F.sum("vision_tokens").alias("tokens"), F.count_if("proxy_fallback").alias("fallbacks")).orderBy("condition")
+    zero = tokens.groupBy("condition").agg(F.avg((F.col("corrected_gap") == 0).cast("int")).alias("zero_fraction")).orderBy("condition")
+    return spark.createDataFrame([(as_sections("Conditions", [("Counts", "Means are of examples.", counts), ("Zero gaps", "", zero)]),)], "report string")
+
+
 # Contracts of examples, attempts and samples.
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import canonical_json
 from ..functions.prompts import earlier, student
-from .contracts import ContractError, box_holds, evidence_holds, lines, parsed, rules_table
+from .contracts import ContractError, answer_holds, box_holds, evidence_holds, inside, lines, parsed, question_holds, rules_table, type_of
 
 
 def numbered(spark: SparkSession, path: str, rows: int | None = None, sha256: str | None = None) -> DataFrame:
@@ -22,6 +22,40 @@ def numbered(spark: SparkSession, path: str, rows: int | None = None, sha256: st
     return out
 
 
+#: The fields of a row of source pairs, and of its extra information.
+PAIR_FIELDS = ("images", "teacher_images", "original_images", "bbox", "problem", "answer", "extra_info")
+EXTRA_FIELDS = ("answer", "question")
+
+
+def pair_problems(rows: DataFrame, hint: str = "Answer with the option's letter") -> DataFrame:
+    """(index, rule) of numbered rows (index, doc) that break the contract of source pairs.
+
+    A row has the fields named above and no others. Each list of images has one name, in the folder named as its field. No
+    student or teacher image is an earlier row's. The box is of whole numbers and has an area. A null doc breaks the first
+    rule, and all that need its fields. Lines are parsed anew after they were stored, as a stored variant may come back with
+    other types of numbers.
+    """
+    doc = F.col("doc")
+    field = lambda path, kind: F.try_variant_get(doc, f"$.{path}", kind)
+    keys = lambda path, names: F.array_sort(F.map_keys(F.try_variant_get(doc, path, "map<string,variant>"))) == F.array(*map(F.lit, sorted(names)))
+    folders = PAIR_FIELDS[:3]
+    box, whole = field("bbox", "array<long>"), type_of(doc, "bbox") == "ARRAY<BIGINT>"
+    x = [F.try_element_at(box, F.lit(i)) for i in range(1, 5)]
+    question, asked, answer = field("problem", "string"), field("extra_info.question", "string"), field("answer", "string")
+    named = rows.withColumns({f"_{f}": F.when(F.size(field(f, "array<string>")) == 1, field(f, "array<string>")[0]) for f in folders})
+    rules = {"fields are the told ones": keys("$", PAIR_FIELDS)}
+    rules |= {f"{f} has one name in its folder": inside(F.col(f"_{f}"), f) for f in folders}
+    rules |= {"box is of whole numbers with an area": (F.size(box) == 4) & whole & (x[0] >= 0) & (x[1] >= 0) & (x[0] < x[2]) & (x[1] < x[3]), "extra fields are the told ones": keys("$.extra_info", EXTRA_FIELDS)}
+    rules |= {"question is the cleaned one with a hint": question_holds(question, asked, hint=hint), "answer is a letter of the options": answer_holds(answer, asked) & (answer == field("extra_info.answer", "string"))}
+    found = rules_table(named, "index", rules)
+    for f in folders[:2]:
+        # The first row of each name is a minimum by name; rows of one name don't meet in a task.
+        seen = named.where(F.col(f"_{f}").isNotNull()).groupBy(f"_{f}").agg(F.min("index").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+        again = named.join(seen, f"_{f}").where("index > _first")
+        found = found.unionAll(again.select("index", F.lit(f"{f} is new").alias("rule")))
+    return found
+
+
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """(file, bytes, sha256) of whole files."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from ..operators import calibration as C
+
 
 def stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -39,6 +42,50 @@ def allowed(rows: DataFrame, names: list[str], key: str = "key") -> DataFrame:
     return rows.where(F.col(key).isin(names) & ~dropped).withColumn(key, F.regexp_replace(key, "/", "_"))
 
 
+#: The measures that a rank tells of itself alone.
+RANK_LOCAL = ("policy_loss", "opsd_loss", "content_tokens", "generated_tokens")
+
+
+def trainer_logs(rows: DataFrame, step: str, local: str = "rank_local/", of_rank: tuple[str, ...] = RANK_LOCAL) -> DataFrame:
+    """(step, key, value) of a trainer's logs (step, key, value), under the names that they are published by.
+
+    Measures of one rank pass if they are in of_rank. Counters of optimizer and teacher don't, as the evidence has them, but
+    optimizer_state_max_step does. Slashes become underscores. Null names, and values that are null or not finite, are left
+    out. Of keys that get one name, the last by code point counts, and of its values the greatest.
+    """
+    key, value = F.col("key"), F.col("value").cast("double")
+    rest = F.substr(key, F.lit(len(local) + 1))
+    name = F.when(key.startswith(local), F.when(rest.isin(*of_rank), F.concat(F.lit("rank_local_"), rest))).when((key == "optimizer_state_max_step") | ~key.rlike("^(?:optimizer|teacher)_"), F.translate(key, "/", "_"))
+    known = rows.select(step, F.concat(F.lit("trainer/"), name).alias("_name"), key.alias("_key"), value.alias("value")).where(F.col("_name").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    return known.groupBy(step, F.col("_name").alias("key")).agg(F.max_by("value", F.struct("_key", "value")).alias("value"))
+
+
+def step_payloads(rollouts: DataFrame, logs: DataFrame, step: str, scores: tuple[str, ...] = (), positions: str | None = None, threshold: float = 0.8) -> DataFrame:
+    """(step, key, value) of what the log event of each step publishes: its rollouts' measures, and the trainer's logs.
+
+    The rollouts of a step are its window. Of each column in scores, whole numbers from 0 to 10, the valid ones, their
+    share, mean and counts are told; positions names the column of sampled positions. Measures of nothing are left out.
+    A step without rollouts has its logs alone, one without logs its rollouts' measures.
+    """
+    correct, eligible, scored, paired = C.kinds()
+    measures = C.plain_measures(threshold) | {"answer_label_unavailable_count": F.count_if(~F.col("answer_label_available")), "visual_proxy_fallback_count": F.count_if(~eligible), "attempt_count": F.count("*")}
+    for c in scores:
+        measures |= {f"{c}/valid_count": F.count(c), f"{c}/coverage": F.count(c) / F.count("*"), f"{c}/mean": F.avg(c)} | {f"{c}/{i}_count": F.count_if(F.col(c) == i) for i in range(11)}
+    at = F.lit("train/")
+    frames = [(rollouts.groupBy(step).agg(*[c.alias(n) for n, c in measures.items()]), at)]
+    frames += [(C.described(rollouts, [step], F.when(eligible, F.col("visual_proxy")), ends=False), F.lit("train/visual_proxy_stats/")), (C.described(rollouts, [step], F.col("vision_tokens"), ends=False), F.lit("train/vision_tokens/"))]
+    for name, where, report, target in (("answer_ece10", scored, "answer_confidence", correct), ("visual_proxy_binned_mean_error10", paired, "visual_confidence", F.col("visual_proxy"))):
+        bins = rollouts.where(where).groupBy(step, C.bin_of(F.col(report), 10).alias("bin")).agg(F.count("*").alias("n"), F.abs(F.avg(report) - F.avg(target)).alias("error"))
+        frames.append((bins.groupBy(step).agg((F.sum(F.col("n") * F.col("error")) / F.sum("n")).alias(name)), at))
+    if positions is not None:
+        told = C.diagnostic_coverage(rollouts, step, positions).drop("attempts")
+        frames.append((told.withColumnsRenamed({n: n.replace("diagnostic_", "opsd_diagnostic_") for n in told.columns}), at))
+    out = [C.paths(f, [step], where, [n for n in f.columns if n != step]) for f, where in frames]
+    errors = rollouts.select(step, F.explode("format_errors").alias("name")).where(F.col("name").rlike("^[A-Za-z0-9_]+$")).groupBy(step, "name").agg(F.count("*").cast("double").alias("value"))
+    out += [errors.select(step, F.concat(F.lit("train/format_error_"), "name", F.lit("_count")).alias("measure"), "value"), trainer_logs(logs, step).withColumnRenamed("key", "measure")]
+    return reduce(DataFrame.unionAll, out).where("value IS NOT NULL").withColumnRenamed("measure", "key")
+
+
 class Falling(ValueError):
     """A counter of a run moved backwards."""
 
@@ -72,9 +119,11 @@ class Tracker:
             raise RuntimeError("the tracker has finished")
         self.waiting.append(rollouts)
 
-    def log_training(self, evidence: dict, step: int) -> None:
-        """Flush what waits as one window of the report, with the counters."""
+    def log_training(self, evidence: dict, step: int, logs: DataFrame | None = None) -> None:
+        """Flush what waits as one window of the report, with the counters and the trainer's logs (key, value)."""
         out = self._evidence(evidence, step)
+        if logs is not None:
+            out |= {r["key"]: r["value"] for r in trainer_logs(logs.withColumn("step", F.lit(step)), "step").collect()}
         if self.waiting:
             rows = self.waiting[0]
             for more in self.waiting[1:]:
