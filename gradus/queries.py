@@ -1433,6 +1433,56 @@ def src11_pack_mismatches(spark, sf_dir):
     return pack_mismatches(pack, {"selected_ids": names}, "new")
 
 
+_PROMPTS = "5f" * 32
+_PACK_ROWS = {
+    "row has the version": "doc_id % 11 = 1", "row has the prompts' digest": "doc_id % 13 = 2", "reason_text is text or null": "doc_id % 7 IN (3, 4)", "format_errors are texts": "doc_id % 9 IN (2, 3)",
+    "prompt digest is SHA-256": "doc_id % 17 = 4", "id is the manifest's at its place": "doc_id % 19 = 5",
+}
+_PACK_HEADS = {
+    "manifest is of a completed preparation": "source LIKE '%3'", "manifest has the version": "source LIKE '%1'", "manifest has the prompts' digest": "lang = 'de'", "pack has the manifest's digest": "source LIKE '%4'",
+    "manifest has the number of rows": "source LIKE '%2'",
+}
+
+
+def _told(rules: dict[str, str]) -> str:
+    quoted = ", ".join(f"CASE WHEN {when} THEN '{rule.replace(chr(39), 2 * chr(39))}' END" for rule, when in rules.items())
+    return f"unnest(list_filter([{quoted}], lambda x: x IS NOT NULL)) AS rule"
+
+
+@query(f"WITH d AS (SELECT *, concat(lang, '/', source) AS label, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS place FROM documents), g AS (SELECT label, any_value(lang) AS lang, any_value(source) AS source, count(*) AS n FROM d GROUP BY label) SELECT label, place, {_told(_PACK_ROWS)} FROM d UNION ALL SELECT label, n, 'id is the manifest''s at its place' FROM g WHERE source LIKE '%2' UNION ALL SELECT label, NULL, {_told(_PACK_HEADS)} FROM g")
+def src11_pack_protocol(spark, sf_dir):
+    """A pack of each language and source, written and read again, against its manifest: of its rows, ids and bytes some are changed."""
+    from .sources.files import digests, listing
+    from .sources.packs import protocol_problems
+    from .sources.scratch import folder, stored
+
+    path, k = folder(spark, "packs"), F.col("doc_id")
+    field = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    string = lambda value: F.concat(F.lit('"'), value, F.lit('"'))
+    whole = F.sha2(F.coalesce("text", F.lit("")), 256)
+    reason = F.when(k % 7 == 3, None).when(k % 7 == 4, field("reason_text", F.lit("5"))).when(k % 7 == 5, field("reason_text", F.lit("null"))).otherwise(field("reason_text", string(F.substring(whole, 1, 8))))
+    errors = F.when(k % 9 == 1, '["a"]').when(k % 9 == 2, '["a",null]').when(k % 9 == 3, '"a"').otherwise("[]")
+    row = F.concat_ws(
+        ",", field("example_id", string(k.cast("string"))), field("proxy_output_protocol", F.when(k % 11 == 1, '"old"').otherwise('"new"')), field("proxy_prompt_source_sha256", string(F.when(k % 13 == 2, "5f").otherwise(_PROMPTS))),
+        reason, field("format_errors", errors), field("prompt_token_sha256", string(F.when(k % 17 == 4, F.concat(whole, F.lit("0"))).otherwise(whole))),
+    )
+    docs = D.table(spark, sf_dir, "documents").select("lang", "source", "doc_id", F.concat(F.lit("{"), row, F.lit("}")).alias("value"))
+    docs.repartition("lang", "source").sortWithinPartitions("lang", "source", "doc_id").drop("doc_id").write.partitionBy("lang", "source").text(path)
+    part = lambda name: F.regexp_extract("file", f"/{name}=([^/]*)/", 1)
+    label = F.concat(part("lang"), F.lit("/"), part("source")).alias("label")
+    packs = V.parsed(V.lines(spark, path)).select(label, (F.col("line") - 1).alias("place"), "doc")
+    own = stored(digests(listing(spark, path).where(F.col("file").rlike("/part-[^/]*$"))).select(label, "sha256"), "digests")
+    ends = lambda n: F.col("label").endswith(n)
+    counts = packs.groupBy("label").agg(F.count("*").alias("n"))
+    changed = [F.lit("prepare").alias("mode"), F.when(ends("3"), "failed").otherwise("completed").alias("status"), F.when(ends("1"), "old").otherwise("new").alias("version")]
+    changed += [F.when(F.col("label").startswith("de/"), "5f").otherwise(_PROMPTS).alias("prompts_sha256"), F.when(ends("4"), F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("pack_sha256"), F.when(ends("2"), F.col("n") + 1).otherwise(F.col("n")).alias("rows")]
+    heads = own.join(counts, "label").select("label", *changed)
+    name = F.try_variant_get("doc", "$.example_id", "string")
+    ids = packs.select("label", "place", F.when(name.cast("long") % 19 == 5, F.concat(name, F.lit("x"))).otherwise(name).alias("example_id"))
+    ids = ids.unionAll(counts.where(ends("2")).select("label", F.col("n").alias("place"), F.lit("one more")))
+    return protocol_problems(packs, own, heads, ids, "new", _PROMPTS)
+
+
 @query("SELECT CAST(24 - n_nationkey AS INT) AS pos, CAST(n_nationkey AS VARCHAR) AS id, n_name FROM nation WHERE 24 - n_nationkey < 20")
 def src12_listed_rows(spark, sf_dir):
     """The rows of a frozen list in its order, of which the first twenty are taken."""
@@ -1503,6 +1553,22 @@ def _html_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "width", "height", "pixels", box.alias("box"))
 
 
+@query("WITH p AS (SELECT concat('pages ', page_id // 200) AS label, page_id, CAST(strlen(coalesce(html, '')) // 72 AS INT) AS height FROM pages) SELECT label, concat(page_id, '.png') AS name, 24 AS width, height, true AS same, NULL::BIGINT AS ignored FROM p WHERE page_id % 5 <> 1 UNION ALL SELECT label, NULL, NULL, NULL, NULL, count(CASE WHEN page_id % 5 = 1 THEN 1 END) FROM p GROUP BY label")
+def src16_packed_images(spark, sf_dir):
+    """Every page's bytes as an image, packed in archives of 200 pages in parts, and taken out again; of each archive a fifth isn't asked for."""
+    from .sources.archives import as_png, extracted, written
+    from .sources.scratch import folder, stored
+
+    label = F.concat(F.lit("pages "), F.floor(F.col("page_id") / 200).cast("string")).alias("label")
+    rows = _html_images(spark, sf_dir).select(label, "page_id", F.concat("page_id", F.lit(".png")).alias("name"), as_png("width", "height", "pixels").alias("content"))
+    rows = stored(rows, "images")
+    archives = written(rows, folder(spark, "archives"), 1 << 20)
+    asked = rows.where("page_id % 5 <> 1").groupBy("label").agg(F.collect_list("name").alias("allowed"))
+    found = extracted(archives.join(asked, "label").withColumn("complete", F.lit(True))).where("problem IS NULL")
+    own = rows.select("label", "name", F.sha2("content", 256).alias("_own"))
+    return found.join(own, ["label", "name"], "left").select("label", "name", "width", "height", (F.col("sha256") == F.col("_own")).alias("same"), "ignored")
+
+
 @query()
 def arr16_variant_digests(spark, sf_dir):
     """Digests of all variants of every page's bytes as an image; tests hold them against plain loops."""

@@ -1,7 +1,11 @@
 import hashlib
+import io
 import json
+import tarfile
+import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gradus.functions import digests, images
@@ -47,3 +51,34 @@ def test_tensor_digest(spark):
         plain.update(len(header).to_bytes(8, "big") + header + parts[key].nbytes.to_bytes(8, "big") + parts[key].tobytes())
     rows = spark.createDataFrame([([(k, f"torch.{v.dtype}", list(v.shape), bytearray(v.tobytes())) for k, v in parts.items()],)], "t array<struct<key:string,dtype:string,shape:array<int>,bytes:binary>>")
     assert rows.select(digests.tensor_sha256(F.col("t"))).first()[0] == plain.hexdigest()
+
+
+def test_written_archives(spark, tmp_path):
+    """Parts of bounded size, odd labels, repeated names, null and empty members, a second run, an empty table."""
+    big = np.random.default_rng(1).bytes(50_000)
+    rows = [("a/ü %20", "b.png", bytearray(big)), ("a/ü %20", "a.png", bytearray(A.png(2, 1, b"abcdef"))), ("b", "x.png", None), ("b", "y.png", bytearray(b"2")), ("b", "y.png", bytearray(b"1")), (None, "z", bytearray(b"3")), ("b", None, bytearray(b"4"))]
+    files = spark.createDataFrame(rows, "label string, name string, content binary")
+    to = f"file://{tmp_path}/out"
+    got = {r["label"]: r for r in A.written(files, to, 20_000).collect()}
+    again = {r["label"]: r for r in A.written(files, to, 20_000).collect()}
+    assert set(got) == {"a/ü %20", "b"} and got == again
+    found = sorted((tmp_path / "out").iterdir())
+    assert len(found) == sum(len(r["paths"]) for r in got.values()) and all(p.stat().st_size <= 20_000 for p in found)
+    assert len(got["a/ü %20"]["paths"]) == 3
+    members = {}
+    for label, r in got.items():
+        data = b"".join((tmp_path / "out" / p.rsplit("/", 1)[1]).read_bytes() for p in r["paths"])
+        assert len(data) == r["bytes"]
+        with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as archive:
+            members[label] = [(m.name, archive.extractfile(m).read()) for m in archive.getmembers()]
+    assert members == {"a/ü %20": [("a.png", A.png(2, 1, b"abcdef")), ("b.png", big)], "b": [("x.png", b""), ("y.png", b"1"), ("y.png", b"2")]}
+    assert A.written(files.where("false"), to).count() == 0
+
+
+def test_png(spark):
+    data = A.png(2, 2, bytes(range(12)))
+    assert A.png_size(data) == (2, 2)
+    at = data.index(b"IDAT")
+    assert zlib.decompress(data[at + 4 : -16]) == b"\0" + bytes(range(6)) + b"\0" + bytes(range(6, 12))
+    with pytest.raises(ValueError):
+        A.png(2, 2, b"123")
