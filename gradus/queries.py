@@ -1444,12 +1444,12 @@ _PACK_HEADS = {
 }
 
 
-def _told(rules: dict[str, str]) -> str:
+def _broken_sql(rules: dict[str, str]) -> str:
     quoted = ", ".join(f"CASE WHEN {when} THEN '{rule.replace(chr(39), 2 * chr(39))}' END" for rule, when in rules.items())
     return f"unnest(list_filter([{quoted}], lambda x: x IS NOT NULL)) AS rule"
 
 
-@query(f"WITH d AS (SELECT *, concat(lang, '/', source) AS label, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS place FROM documents), g AS (SELECT label, any_value(lang) AS lang, any_value(source) AS source, count(*) AS n FROM d GROUP BY label) SELECT label, place, {_told(_PACK_ROWS)} FROM d UNION ALL SELECT label, n, 'id is the manifest''s at its place' FROM g WHERE source LIKE '%2' UNION ALL SELECT label, NULL, {_told(_PACK_HEADS)} FROM g")
+@query(f"WITH d AS (SELECT *, concat(lang, '/', source) AS label, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1 AS place FROM documents), g AS (SELECT label, any_value(lang) AS lang, any_value(source) AS source, count(*) AS n FROM d GROUP BY label) SELECT label, place, {_broken_sql(_PACK_ROWS)} FROM d UNION ALL SELECT label, n, 'id is the manifest''s at its place' FROM g WHERE source LIKE '%2' UNION ALL SELECT label, NULL, {_broken_sql(_PACK_HEADS)} FROM g")
 def src11_pack_protocol(spark, sf_dir):
     """A pack of each language and source, written and read again, against its manifest: of its rows, ids and bytes some are changed."""
     from .sources.files import digests, listing
