@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +113,18 @@ def test_digests(spark):
     assert digests.listed_sha256(ids, "pos", "id").first()["sha256"] == hashlib.sha256(b"a\nb").hexdigest()
     nested = spark.range(1).select(F.lit("r").alias("k"), F.struct(F.lit(1).alias("x"), F.struct(F.lit(2.5).alias("y"), F.lit("s").alias("z"), F.lit(True).alias("t"), F.lit(float("nan")).alias("n")).alias("b")).alias("a"))
     assert [tuple(r) for r in digests.flattened(nested, "k").collect()] == [("r", "a/x", 1.0), ("r", "a/b/y", 2.5)]
+
+
+def test_folding_of_lists(spark):
+    """Lists of any strings, nulls and empty ones, against the folding of each; ASCII text folds alike without Python."""
+    rng = random.Random(3)
+    parts = ["A", "b", " ", "\t", "\n", "\x1c", "\x1f", "\x0b", "\x00", "Z9", "ß", "İ", "ﬁ", " ", " ", "Σς", "１", "é", "é"]
+    strings = ["".join(rng.choices(parts[: 10 if i % 2 else None], k=rng.randrange(7))) for i in range(400)]
+    lists = [None, [], [None], *[[rng.choice([None, *strings]) for _ in range(rng.randrange(5))] for _ in range(300)]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "i int, v array<string>")
+    got = {r["i"]: r["f"] for r in rows.select("i", T.folded("v").alias("f")).collect()}
+    assert got == {i: None if x is None else [T.fold(v) for v in x] for i, x in enumerate(lists)}
+    rows = spark.createDataFrame([(s,) for s in [None, *strings]], "t string")
+    assert all(r["f"] == T.fold(r["t"]) for r in rows.select("t", T.normalized("t").alias("f")).collect())
+    plain = rows.where("length(t) = octet_length(t)").select("t", T.normalized_ascii(F.col("t")).alias("f")).collect()
+    assert len(plain) > 200 and all(r["f"] == T.fold(r["t"]) for r in plain)
