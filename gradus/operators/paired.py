@@ -40,9 +40,19 @@ def off_formula(tokens: DataFrame, weight: float, alpha: float, slack: float = 1
     return tokens.where((F.abs(F.col("corrected_gap") - gap) > slack) | (F.abs(F.col("uncertainty") - mixed) > slack))
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean of doubles by the sum of their decimals to twenty places, which no order of rows changes.
+
+    Where a value isn't finite, or is 1e8 or more, it is the average of the doubles.
+    """
+    x = value.cast("double")
+    decimal = x.try_cast("decimal(28,20)")
+    return F.when(F.count(decimal) == F.count(x), F.avg(decimal).cast("double")).otherwise(F.avg(x))
+
+
 def off_mean(tokens: DataFrame, samples: DataFrame, metric: str, slack: float = 1e-4) -> DataFrame:
-    """Samples whose metric isn't the mean of their tokens'."""
-    means = tokens.groupBy("example_id", "condition").agg(F.avg(metric).alias("token_mean"))
+    """Samples whose metric isn't the mean of their tokens', which is exact: at the slack itself, an average of doubles would tell by the order of tokens."""
+    means = tokens.groupBy("example_id", "condition").agg(exact_mean(F.col(metric)).alias("token_mean"))
     return samples.join(means, ["example_id", "condition"]).where(F.abs(F.col(metric) - F.col("token_mean")) > slack)
 
 

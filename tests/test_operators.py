@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,18 @@ def test_token_checks(spark):
     assert [r["condition"] for r in P.off_formula(tokens, 1.0, 0.5).collect()] == ["c"]
     assert [r["example_id"] for r in P.unequal_sequences(tokens).collect()] == ["a"]
     assert P.off_mean(tokens, samples(spark), "raw_js").count() == 1
+
+
+def test_exact_means_by_any_order(spark):
+    values = [0.09698, 0.07084, 0.0645, 0.1048, 0.1409, 0.10686]
+    sample = statistics.mean(values)
+    assert abs(sample - statistics.mean(values[1:])) > 1e-4  # by its rounding alone: as decimals the two are 0.0001 apart
+    recorded = spark.createDataFrame([("a", "n", sample)], "example_id string, condition string, raw_js double")
+    for order in (values[1:], values[:0:-1]):
+        tokens = spark.createDataFrame([("a", "n", v) for v in order], "example_id string, condition string, raw_js double").coalesce(1)
+        assert [r["token_mean"] for r in P.off_mean(tokens, recorded, "raw_js").collect()] == [statistics.mean(values[1:])]
+    nan, inf = math.nan, math.inf
+    cases = {"a": ([0.1] * 3, 0.1), "b": ([0.1, None, 0.3], 0.2), "c": ([None], None), "d": ([1.0, nan], nan), "e": ([1.0, inf], inf), "f": ([3e8, 0.5, 0.5], 1e8 + 1 / 3), "g": ([-0.25, 1e-7], -0.12499995), "h": ([1e-300], 0.0)}
+    rows = spark.createDataFrame([(k, v) for k, (given, _) in cases.items() for v in given], "k string, v double")
+    got = {r["k"]: r["m"] for r in rows.groupBy("k").agg(P.exact_mean(F.col("v")).alias("m")).collect()}
+    assert math.isnan(got.pop("d")) and got == {k: want for k, (_, want) in cases.items() if k != "d"}
